@@ -6,8 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outrate.llm import quality_rules
-from outrate.llm.common import read, ready
+from outrate.llm import huffman, quality_rules
+from outrate.llm.common import read, ready, scratch_path
+from outrate.llm.tokens import default_path, encoder
+
+
+def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, tokenizer = scratch_path(spark, "huffman"), default_path()
+    huffman.write(read(spark, sf_dir, "documents"), path, tokenizer, end_id=2)
+    return huffman.digests(spark, path, encoder(tokenizer).size)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
