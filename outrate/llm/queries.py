@@ -6,17 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outrate.llm import huffman, quality_rules
+from outrate.llm import forest, huffman, quality_rules, tiling, urls, warc
 from outrate.llm.common import read, ready, scratch_path
 from outrate.llm.tokens import default_path, encoder
 
 
+def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.group(read(spark, sf_dir, "documents"))
+
+
 def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, tokenizer = scratch_path(spark, "huffman"), default_path()
     huffman.write(read(spark, sf_dir, "documents"), path, tokenizer, end_id=2)
     return huffman.digests(spark, path, encoder(tokenizer).size)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(read(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -56,9 +56,9 @@ def groups(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of every word, and the number of words before each text (n + 1)."""
-    full = ~_BLANK[data]
+    full = ~blank[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.concatenate([[False], full[:-1]]) if len(full) else full
