@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from outrate.llm.bits import among, bitset
 from outrate.llm.common import table
 from outrate.llm.components import components
 from outrate.llm.shingles import mix, sets
@@ -139,11 +140,31 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """pairs (a, b) that are links by their full sets.  A hot cell is dealt out over several tasks, its document with each part."""
     placed = pairs.select(F.col("a").alias("cell"), F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.lit(8)).alias("part"))
     need = placed.union(placed.select("cell", F.col("cell").alias("node"), "part").distinct())
-    rows = need.join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
+    rows = need.join(docs.select(F.col("doc_id").alias("node"), "text").hint("merge"), "node")  # texts never fit a broadcast
     ready = rows.repartition("cell", "part").sortWithinPartitions("cell", "part", F.col("node") != F.col("cell"))
     return table(ready.select("cell", "node", "text").mapInArrow(_confirm, "a long, b long"), "confirmed")
 
 
+def _only(bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.take(pa.array(among(bits, mix(b["doc_id"].to_numpy().view(np.uint64)))))
+
+    return run
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(mix(b["doc_id"].to_numpy().view(np.uint64)).view(np.int64))], names=["key"])
+
+
+def _candidates(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The documents that stand in pairs, and a few others; their texts need no shuffle for it."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).mapInArrow(_mixed, "key long")
+    some = docs.where("doc_id IS NOT NULL").mapInArrow(_only(bitset(named, F.col("key"))), "doc_id long, text string")
+    return table(some, "texts")
+
+
 def group(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -155,13 +176,14 @@ def group(docs: DataFrame) -> DataFrame:
     reps = full.join(nodes.where("doc_id = rep").select("doc_id").distinct(), "doc_id").select(F.col("doc_id").alias("id"), "n_shingles", "sig")
     placed = table(reps.mapInArrow(_plant, "tree int, region long, deep long, label binary, id long"), "forest")
     hot = placed.groupBy("tree", "region").count().where(F.col("count") > HOT).select("tree", "region", F.lit(True).alias("hot"))
+    hot = table(hot, "hot")
     keyed = placed.join(hot, ["tree", "region"], "left").select(F.when(F.col("hot"), F.col("deep")).otherwise(F.col("region")).alias("key"), "label", "id")
     ordered = keyed.repartition("key").sortWithinPartitions("key", "label", "id")
     seen = ordered.select("key", "id").mapInArrow(_neighbours, "a long, b long").where("a <> b").distinct()
     one, two = (reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
     pairs = table(seen.join(one, "a").join(two, "b").mapInArrow(_likely, "a long, b long, share double"), "candidates")
     best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("share"), "a"))).where("rank = 1")
-    sources = docs.where("doc_id IS NOT NULL").join(nodes.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
+    sources = _candidates(docs, pairs)
     links = _confirmed(best.select("a", "b"), sources)
     known = components(links)
     a, b = (known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")

@@ -23,12 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from outrate.llm.bits import among, bitset
 from outrate.llm.common import table
 from outrate.llm.shingles import buffers, fold, groups, word_bounds, word_hashes
 
 SEED, COVER = 5, 50
-#: Bits of the seed set: 4 MB, however many seeds there are.
-BITS = 25
 
 _other = np.ones(256, bool)
 _other[128:] = False
@@ -77,32 +76,20 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[i
     return found
 
 
-def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64), (hashes & np.uint64((1 << BITS) - 1)).astype(np.int64)
-
-
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         seeds = [np.unique(fold(x, SEED)).view(np.int64) for x in tokens(b["text"])]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*seeds, np.zeros(0, np.int64)])), pa.array(np.repeat(b["item"].to_numpy(), [len(x) for x in seeds]))], names=["seed", "item"])
 
 
-def _words_of_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        at = np.concatenate(_slots(b["seed"].to_numpy().view(np.uint64)))
-        yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array(np.left_shift(np.int64(1), at & 63))], names=["word", "bits"])
-
-
 def _scan(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has = lambda at: (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
         for b in batches:
             rows, hits = [], []
             for r, x in enumerate(tokens(b["text"])):
                 every = fold(x, SEED)
-                one, two = _slots(every)
-                at = np.flatnonzero(has(one))
-                if len(at) and len(at := at[has(two[at]).astype(bool)]):
+                at = among(bits, every)
+                if len(at):
                     rows.append(r)
                     hits.append(np.unique(every[at]).view(np.int64))
             if rows:
@@ -137,9 +124,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").distinct()
     items = table(items.withColumn("item", F.xxhash64(F.col("item_id").cast("string"), "text")), "items")
     seeds = table(items.mapInArrow(_seeds, "seed long, item long"), "seeds")
-    bits = np.zeros(1 << (BITS - 6), np.uint64)
-    for r in seeds.mapInArrow(_words_of_bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():  # at most as many as the set has words
-        bits[r.word] = np.int64(r.bits).view(np.uint64)
+    bits = bitset(seeds, F.col("seed"))
     hits = table(docs.mapInArrow(_scan(bits), "key long, doc_id long, text string, hits array<long>"), "hits")
     pairs = hits.select("key", F.explode("hits").alias("seed")).join(seeds, "seed").select("key", "item").distinct()
     both = pairs.join(hits.select("key", "doc_id", "text").distinct(), "key").join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
