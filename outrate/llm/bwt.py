@@ -1,97 +1,106 @@
 """Burrows-Wheeler transforms of small shards of strings, merged by refining their interleave.
 
-The strings of a shard each end with a terminator; terminators differ from all else and from each
-other.  Merging never sorts suffixes again: it starts with the shards one after another, and each
-round deals the order out by the symbol that stands before each suffix.  After k rounds suffixes stand
-in order of their first k symbols, and rows that a round separates for the first time share a prefix
-of exactly k - 1, so after ``length`` rounds every block of more than one row is a string of that
-length which begins at more than one place.
+A symbol is a block of ``BLOCK`` bytes: before the suffix that starts at p stands the block that
+starts at p - BLOCK.  The last BLOCK places of each string begin no whole block; each of them counts
+as a symbol of its own, after all others.  Merging never sorts suffixes again: it starts with the
+shards one after another, and each round deals the order out by the symbol before each suffix.  After
+k rounds suffixes stand in order of their first k symbols, and rows that round k separates share a
+prefix of k - 1 symbols, so after ``length / BLOCK`` rounds every range of more than one row is a string of
+``length`` bytes that begins at more than one place.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: No byte of UTF-8.
-END = 255
+BLOCK = 8
+#: Rows of a shard, so that ranks fit in 16 bits, whose sorts take linear time.
+SHARD = 60_000
 
 
-def suffix_order(data: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of a shard, by doubling ranks; each terminator has a rank of its own, after all bytes."""
-    n = len(data)
-    rank = data.astype(np.int64)
-    stops = np.flatnonzero(data == END)
-    rank[stops] = END + np.arange(len(stops))
-    order, k = np.argsort(rank, kind="stable"), 1
+def _by_symbol(symbols: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of symbols below most, by radix sorts of 16 bits."""
+    order = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable")
+    if most > 1 << 16:
+        order = order[np.argsort((symbols >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a shard by doubling.  symbols: number of the block at each place; those of short places are unique
+    in it and the largest, and nothing is compared past them."""
+    n = len(symbols)
+    rank = np.unique(symbols, return_inverse=True)[1]
+    k = BLOCK
     while True:
-        key = rank[order]
+        after = np.zeros(n, np.uint16)
+        after[:-k] = rank[k:]
+        order = np.argsort(after, kind="stable")
+        order = order[np.argsort(rank.astype(np.uint16)[order], kind="stable")]
+        one, two = rank[order], after[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-        if rank[order[-1]] == n - 1:
+        rank[order] = np.cumsum(np.concatenate([[0], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+        if rank[order[-1]] == n - 1 or k >= n // 2:
             return order
-        after = np.zeros(n, np.int64)
-        after[:-k] = rank[k:]  # past a terminator nothing is compared: its rank is unique
-        rank = rank * n + after
-        order, k = np.argsort(rank, kind="stable"), 2 * k
-
-
-def transform(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(Burrows-Wheeler transform, suffix order); before a string's first symbol stands a terminator."""
-    order = suffix_order(data)
-    return data[order - 1], order
+        k *= 2
 
 
-def merge(shards: list[np.ndarray], stops: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' transforms and the block of every row, after ``length`` rounds or as soon as no block has two rows.
+def merge(shards: list[np.ndarray], ends: list[int], most: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of the shards' transforms and the range of every row, after some rounds or as soon as no range has two rows.
 
-    stops: number of strings in each shard.  A row's place in its shard is its rank among the rows of that shard.
+    A transform has ``most`` where no block stands before a suffix; ends: how many rows of that kind each shard has.  A row's place
+    in its shard is its rank among the rows of that shard.
     """
-    n, m = sum(map(len, shards)), sum(stops)
+    n, m = sum(map(len, shards)), sum(ends)
     symbols = np.concatenate(shards)
     z = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(x) for x in shards])
-    last = np.repeat(np.arange(len(shards), dtype=np.uint8), stops)
-    block, before = np.zeros(n, np.int32), np.empty(n, np.uint8)
+    last = np.repeat(np.arange(len(shards), dtype=np.uint8), ends)
+    part, before = np.zeros(n, np.int32), np.empty(n, symbols.dtype)
     new = np.ones(n, bool)
-    for _ in range(length):
+    for _ in range(rounds):
         before[np.argsort(z, kind="stable")] = symbols
-        order = np.argsort(before, kind="stable")
-        symbol, was = before[order], block[order]
-        np.not_equal(symbol[1:], symbol[:-1], out=new[1:])
-        new[1:] |= was[1:] != was[:-1]
-        new[n - m :] = True
-        z = np.concatenate([z[order[: n - m]], last])
-        block = np.cumsum(new, dtype=np.int32)
-        if block[-1] == n:
+        order = _by_symbol(before, most + 1)[: n - m]
+        symbol, was = before[order], part[order]
+        np.not_equal(symbol[1:], symbol[:-1], out=new[1 : n - m])
+        new[1 : n - m] |= was[1:] != was[:-1]
+        z = np.concatenate([z[order], last])
+        part = np.cumsum(new, dtype=np.int32)
+        if part[-1] == n:
             break
-    return z, block
+    return z, part
 
 
-def repeated(strings: list[bytes], length: int, n_shards: int = 4) -> list[tuple[int, int, int]]:
-    """(string, begin, end): maximal runs of begins of ``length``-byte strings that occur at more than one place among all strings."""
-    n_shards = max(1, min(n_shards, len(strings)))
-    cut = [len(strings) * k // n_shards for k in range(n_shards + 1)]
-    shards, orders, stops, owner, offset = [], [], [], [], []
+def repeated(strings: list[bytes], length: int) -> list[tuple[int, int, int]]:
+    """(string, begin, end): maximal runs of begins of ``length``-byte strings that occur at more than one place among all strings.
+    Every string has ``length`` bytes at least, a multiple of BLOCK; a shard holds at least one."""
+    size = np.array([len(s) + 1 for s in strings])
+    data = np.frombuffer(b"\0".join(strings) + b"\0" * (BLOCK + 1), np.uint8)
+    begin, n = np.cumsum(size) - size, int(size.sum())
+    value = np.zeros(n, np.uint64)
+    for k in range(BLOCK):
+        value |= data[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    owner = np.repeat(np.arange(len(strings)), size)
+    place = np.arange(n) - begin[owner]
+    short = place > size[owner] - 1 - BLOCK
+    kinds, block = np.unique(value, return_inverse=True)
+    most = len(kinds)
+    symbol = np.where(short, most + 1 + np.arange(n), block)
+    before = np.where(place < BLOCK, most, np.concatenate([np.zeros(BLOCK, np.int64), block[:-BLOCK]])).astype(np.int32)
+    cut = np.unique(np.searchsorted(begin, np.arange(0, n, SHARD // 2), "left"))
+    cut = [*cut[cut < len(strings)].tolist(), len(strings)]
+    shards, orders, ends = [], [], []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
-        data = np.frombuffer(b"\xff".join(strings[a:b]) + b"\xff", np.uint8)
-        bw, order = transform(data)
-        size = np.array([len(s) + 1 for s in strings[a:b]])
-        begin = np.cumsum(size) - size
-        shards.append(bw)
-        stops.append(b - a)
-        orders.append(order)
-        owner.append(np.repeat(np.arange(a, b), size)[order])
-        offset.append(order - np.repeat(begin, size)[order])
-    z, block = merge(shards, stops, length)
-    at = np.argsort(z, kind="stable")
-    size = np.bincount(block)
-    who, where = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
-    who[at], where[at] = np.concatenate(owner), np.concatenate(offset)
-    many = size[block] > 1
-    who, where = who[many], where[many]
-    by = np.lexsort((where, who))
-    who, where = who[by], where[by]
-    if not len(who):
+        at = slice(begin[a], begin[b - 1] + size[b - 1])
+        orders.append(suffix_order(symbol[at]) + begin[a])
+        shards.append(before[orders[-1]])
+        ends.append(BLOCK * (b - a))
+    z, part = merge(shards, ends, most, length // BLOCK)
+    at = np.empty(n, np.int64)
+    at[np.argsort(z, kind="stable")] = np.concatenate(orders)
+    many = np.sort(at[np.bincount(part)[part] > 1])
+    if not len(many):
         return []
-    first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (where[1:] != where[:-1] + 1)]))
-    final = np.append(first[1:], len(who)) - 1
-    return list(zip(who[first].tolist(), where[first].tolist(), (where[final] + 1).tolist(), strict=True))
+    first = np.flatnonzero(np.concatenate([[True], (many[1:] != many[:-1] + 1) | (owner[many[1:]] != owner[many[:-1]])]))
+    final = np.append(first[1:], len(many)) - 1
+    a, b = many[first], many[final]
+    return list(zip(owner[a].tolist(), place[a].tolist(), (place[b] + 1).tolist(), strict=True))

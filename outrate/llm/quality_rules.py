@@ -117,6 +117,11 @@ def judge(docs: DataFrame, keys: list[str], text: str = "text", table: tuple[Rul
 
 
 def keep(docs: DataFrame, text: str = "text", table: tuple[Rule, ...] = TABLE) -> DataFrame:
-    """The rows of docs that pass, with their columns as they were; no join, no shuffle."""
+    """The rows of docs that pass, with their columns as they were; no join, no shuffle.
+
+    A filter would be pushed through the projections and so repeat their expressions many times over;
+    a generator keeps them below.
+    """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__text"))
-    return judge(whole, ["__row"], "__text", table).where("kept").select("__row.*")
+    judged = judge(whole, ["__row"], "__text", table)
+    return judged.select(F.explode_outer(F.expr("if(kept, array(__row), array())")).alias("__row")).where("__row IS NOT NULL").select("__row.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outrate.llm import forest, huffman, pii, quality_rules, repeats, tiling, urls, warc
+from outrate.llm import cotraining, forest, huffman, packing, pii, quality_rules, repeats, tiling, urls, warc
 from outrate.llm.common import read, ready, scratch_path
 from outrate.llm.tokens import default_path, encoder
 
@@ -49,6 +49,15 @@ def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), default_path(), end_id=1)
+
+
+def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.train(docs, read(spark, sf_dir, "labels")))
+
+
 def _with_ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ready(spark)

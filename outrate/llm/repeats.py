@@ -36,7 +36,7 @@ from outrate.llm.shingles import _BASE, _BYTE, _powers, buffers, mix
 LENGTH, GRAM, HOT = 200, 64, 2000
 WIDE = LENGTH - GRAM + 1
 #: Bytes of text hashed together, and of contexts whose transforms are merged together.
-PIECE, MERGE = 1 << 20, 1 << 19
+PIECE, MERGE = 1 << 20, 1 << 18
 _PLACE = 24
 
 
