@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from outrate.llm.shingles import _BASE, _BYTE, _powers, buffers, mix
 LENGTH, GRAM, HOT = 200, 64, 2000
 WIDE = LENGTH - GRAM + 1
 #: Bytes of text hashed together, and of contexts whose transforms are merged together.
-PIECE, MERGE = 1 << 20, 1 << 18
+PIECE, MERGE = 1 << 19, 1 << 18
 _PLACE = 24
 
 
@@ -197,37 +198,36 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b[c] for c in ("h", "k1", "k2", "lo", "hi", "anchor")), pa.array(s, pa.binary())], names=["h", "k1", "k2", "lo", "hi", "anchor", "s"])
 
 
-def _halved(contexts: DataFrame, first: int, last: int) -> DataFrame:
-    """The rows' windows that begin ``first`` to ``last`` bytes from the anchor, keyed by the bytes that all such windows share."""
-    lo, hi = F.greatest(F.col("lo"), F.col("anchor") + first), F.least(F.col("hi"), F.col("anchor") + last)
-    some = contexts.withColumns({"__lo": lo, "__hi": hi}).where("__lo <= __hi")
+def _halved(contexts: DataFrame) -> DataFrame:
+    """The rows' windows, which begin ``first`` to ``last`` bytes from the anchor, in two halves, each keyed by the bytes that all
+    windows of its half share."""
+    mid = F.expr("CAST(floor((first + last) / 2) AS INT)")
+    halves = F.array(F.struct(F.col("first").alias("x"), mid.alias("y")), F.struct((mid + 1).alias("x"), F.col("last").alias("y")))
+    some = contexts.withColumn("half", F.explode(halves)).select("h", "k1", "k2", "lo", "hi", "anchor", "s", F.col("half.x").alias("first"), F.col("half.y").alias("last"))
+    some = some.withColumns({"__lo": F.greatest("lo", F.col("anchor") + F.col("first")), "__hi": F.least("hi", F.col("anchor") + F.col("last"))}).where("__lo <= __hi")
     s = F.expr(f"substring(s, __lo - lo + 1, __hi - __lo + {LENGTH})")
-    core = F.expr(f"substring(s, anchor + {last} - lo + 1, {first - last + LENGTH})")
-    return some.select(F.xxhash64("h", F.lit(first), core).alias("key"), "h", "k1", "k2", F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), "anchor", s.alias("s"))
+    core = F.expr(f"substring(s, anchor + last - lo + 1, first - last + {LENGTH})")
+    return some.select(F.xxhash64("h", "first", "last", core).alias("key"), "h", "k1", "k2", F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), "anchor", "first", "last", s.alias("s"))
 
 
 def _compared(contexts: DataFrame) -> DataFrame:
-    """Spans of windows that occur in more than one of the contexts, which are distinct for their anchor."""
-    spans, todo = [], [(1 - WIDE, 0, contexts.withColumn("key", F.col("h")))]
-    while todo:
-        first, last, rows = todo.pop()
-        sizes = table(rows.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot")), "hot")
-        if sizes.isEmpty():
-            small = rows
-        else:
-            marked = rows.join(sizes, "key", "left")
-            small = marked.where("hot IS NULL").drop("hot")
-            if first == last:
-                spans.append(marked.where("hot").select("k1", "k2", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b")))
-            else:
-                hot, mid = marked.where("hot").drop("hot", "key"), (first + last) // 2
-                todo += [(x, y, table(_halved(hot, x, y), "halves")) for x, y in ((first, mid), (mid + 1, last))]
-        ordered = small.select("key", "k1", "k2", "lo", "s").repartition("key").sortWithinPartitions("key")
-        spans.append(table(ordered.mapInArrow(_merged, SPAN), "merged"))
-    out = spans[0]
-    for s in spans[1:]:
-        out = out.union(s)
-    return out
+    """Spans of windows that occur in more than one of the contexts, which are distinct for their anchor.  All hot groups are halved
+    together, at most eight times."""
+    rows = contexts.withColumns({"key": F.col("h"), "first": F.lit(1 - WIDE), "last": F.lit(0)})
+    small, whole = [], []
+    while True:
+        hot = table(rows.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot")), "hot")
+        if hot.isEmpty():
+            small.append(rows)
+            break
+        marked = rows.join(hot, "key", "left")
+        small.append(marked.where("hot IS NULL").drop("hot"))
+        whole.append(marked.where("hot AND first = last").select("k1", "k2", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b")))
+        rows = table(_halved(marked.where("hot AND first < last").drop("hot", "key")), "halves")
+    together = reduce(DataFrame.union, [x.select("key", "k1", "k2", "lo", "s") for x in small])
+    ordered = together.repartition("key").sortWithinPartitions("key")
+    merged = table(ordered.mapInArrow(_merged, SPAN), "merged")
+    return reduce(DataFrame.union, whole, merged)
 
 
 RESULT = "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
