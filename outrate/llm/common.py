@@ -52,7 +52,7 @@ def ready(spark: SparkSession) -> None:
     paths = [p for p in os.environ.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = ":".join([root, *paths])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -200,5 +200,5 @@ def group(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs but for those of which a near copy with a smaller doc_id is in the same group."""
-    gone = group(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = table(group(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")  # of known size: broadcast only if small
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

@@ -11,7 +11,7 @@ from outrate.llm.common import LOWER_BYTES
 
 WIDTH = 5
 #: Bytes of text hashed together; a longer text is taken alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _rng = np.random.default_rng(7)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
