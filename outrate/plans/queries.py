@@ -99,10 +99,10 @@ def singleton_rows(spark, sf):
     return detectors.singletons(_suppliers(spark, sf))
 
 
-@query(f"WITH {PARTS}, {CENTERS} SELECT cluster, round(max(CASE WHEN i = 1 THEN m END), 4) AS m1, round(max(CASE WHEN i = 2 THEN m END), 4) AS m2 FROM c GROUP BY cluster")
+@query(f"WITH {PARTS}, {CENTERS} SELECT cluster, round(max(CASE WHEN i = 1 THEN m END) + 1e-8, 6) AS m1, round(max(CASE WHEN i = 2 THEN m END) + 1e-8, 6) AS m2 FROM c GROUP BY cluster")
 def mean_centers(spark, sf):
     reps = rd.represent(rd.single(_parts(spark, sf)), 2).select("cluster", "rep").dropDuplicates(["cluster"])
-    return reps.select("cluster", F.round(F.col("rep")[0], 4).alias("m1"), F.round(F.col("rep")[1], 4).alias("m2"))
+    return reps.select("cluster", F.round(F.col("rep")[0] + 1e-8, 6).alias("m1"), F.round(F.col("rep")[1] + 1e-8, 6).alias("m2"))
 
 
 @query(f"WITH {VECTORS}, {CENTERS} SELECT row_id, cluster, round(d, 6) AS d FROM d")
