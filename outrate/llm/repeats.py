@@ -12,7 +12,8 @@
    suffix is compared with those of other anchors, and none is sorted again.
 4. An anchor with more than ``HOT`` contexts is split: windows that begin in the first or second half
    of its context are grouped anew by all bytes that such windows must share, until groups are small
-   or the shared bytes are the whole window.
+   or the shared bytes are the whole window.  Equal halves repeat as a whole, and one of each goes on, so a
+   group of near copies shrinks as its halves do.
 
 All strings are judged on the input.  Null text: empty.  Texts shorter than LENGTH stay.  Rows of one
 doc_id or without one are documents of their own.  An empty table gives an empty result.
@@ -117,21 +118,26 @@ def _items(bits: np.ndarray):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (h, cx): adds whether the context occurs again, and whether the row stands for it.  One row is held back between batches."""
-    last, again = None, False  # the row held back, and whether the one before it was of its context
-    for b in batches:
+def _runs(group: str, part: str):
+    """Rows in order of (group, part): adds whether the part occurs again, and whether the row stands for it.  One row is held back
+    between batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, again = None, False  # the row held back, and whether the one before it was of its part
+        for b in batches:
+            if last is not None:
+                b = pa.concat_batches([last, b])
+            if not b.num_rows:
+                continue
+            x, y = b[group].to_numpy(), b[part].to_numpy()
+            same = np.concatenate([[again], (x[1:] == x[:-1]) & (y[1:] == y[:-1])])
+            again, last = bool(same[-1]), b.slice(b.num_rows - 1)
+            twice = same[:-1] | same[1:]
+            yield pa.RecordBatch.from_arrays([*b.slice(0, b.num_rows - 1).columns, pa.array(twice), pa.array(~same[:-1])], names=[*b.schema.names, "twice", "stands"])
         if last is not None:
-            b = pa.concat_batches([last, b])
-        if not b.num_rows:
-            continue
-        h, cx = b["h"].to_numpy(), b["cx"].to_numpy()
-        same = np.concatenate([[again], (h[1:] == h[:-1]) & (cx[1:] == cx[:-1])])
-        again, last = bool(same[-1]), b.slice(b.num_rows - 1)
-        twice = same[:-1] | same[1:]
-        yield pa.RecordBatch.from_arrays([*b.slice(0, b.num_rows - 1).columns, pa.array(twice), pa.array(~same[:-1])], names=[*b.schema.names, "twice", "stands"])
-    if last is not None:
-        yield pa.RecordBatch.from_arrays([*last.columns, pa.array([again]), pa.array([not again])], names=[*last.schema.names, "twice", "stands"])
+            yield pa.RecordBatch.from_arrays([*last.columns, pa.array([again]), pa.array([not again])], names=[*last.schema.names, "twice", "stands"])
+
+    return run
 
 
 def _select(bits: np.ndarray, inside: bool = True):
@@ -210,6 +216,9 @@ def _halved(contexts: DataFrame) -> DataFrame:
     return some.select(F.xxhash64("h", "first", "last", core).alias("key"), "h", "k1", "k2", F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), "anchor", "first", "last", s.alias("s"))
 
 
+HALF = "key long, h long, k1 long, k2 long, lo int, hi int, anchor int, first int, last int, s binary, part long"
+
+
 def _compared(contexts: DataFrame) -> DataFrame:
     """Spans of windows that occur in more than one of the contexts, which are distinct for their anchor.  All hot groups are halved
     together, at most eight times."""
@@ -223,7 +232,12 @@ def _compared(contexts: DataFrame) -> DataFrame:
         marked = rows.join(hot, "key", "left")
         small.append(marked.where("hot IS NULL").drop("hot"))
         whole.append(marked.where("hot AND first = last").select("k1", "k2", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b")))
-        rows = table(_halved(marked.where("hot AND first < last").drop("hot", "key")), "halves")
+        halves = _halved(marked.where("hot AND first < last").drop("hot", "key")).withColumn("part", F.xxhash64("s"))
+        told = halves.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_runs("key", "part"), f"{HALF}, twice boolean, stands boolean")
+        halves = table(told, "halves")
+        # Halves that are equal repeat as a whole; one of them is compared further.
+        whole.append(halves.where("twice").select("k1", "k2", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b")))
+        rows = halves.where("stands").drop("part", "twice", "stands")
     together = reduce(DataFrame.union, [x.select("key", "k1", "k2", "lo", "s") for x in small])
     ordered = together.repartition("key").sortWithinPartitions("key")
     merged = table(ordered.mapInArrow(_merged, SPAN), "merged")
@@ -271,7 +285,7 @@ def remove(docs: DataFrame) -> DataFrame:
     counts = texts.select("text").mapInArrow(_hashes, "h long").groupBy("h").count().where("count > 1")
     bits = bitset(counts, F.col("h"))
     items = texts.mapInArrow(_items(bits), ITEM)
-    runs = table(items.repartition("h", "cx").sortWithinPartitions("h", "cx").mapInArrow(_runs, f"{ITEM}, twice boolean, stands boolean"), "runs")
+    runs = table(items.repartition("h", "cx").sortWithinPartitions("h", "cx").mapInArrow(_runs("h", "cx"), f"{ITEM}, twice boolean, stands boolean"), "runs")
     stand = runs.where("stands").drop("cx", "twice", "stands")
     several = stand.groupBy("h").count().where("count > 1").select("h")
     stand = table(stand.join(several, "h", "left_semi"), "contexts")
