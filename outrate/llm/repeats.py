@@ -140,6 +140,16 @@ def _runs(group: str, part: str):
     return run
 
 
+def _told(rows: DataFrame, group: str, part: str, schema: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose part occurs again in their group (some twice), and one row for each part.  Each partition keeps one row of a part
+    before the shuffle, so a part that a third of all rows share brings as many rows as there are partitions."""
+    marks = f"{schema}, twice boolean, stands boolean"
+    local = table(rows.sortWithinPartitions(group, part).mapInArrow(_runs(group, part), marks), name)
+    dealt = local.where("stands").drop("twice", "stands").repartition(group, part).sortWithinPartitions(group, part)
+    heads = table(dealt.mapInArrow(_runs(group, part), marks), f"{name}-heads")
+    return local.where("twice").union(heads.where("twice")), heads.where("stands").drop("twice", "stands")
+
+
 def _select(bits: np.ndarray, inside: bool = True):
     """Rows whose k1 may be in the set, or the others."""
 
@@ -233,11 +243,10 @@ def _compared(contexts: DataFrame) -> DataFrame:
         small.append(marked.where("hot IS NULL").drop("hot"))
         whole.append(marked.where("hot AND first = last").select("k1", "k2", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b")))
         halves = _halved(marked.where("hot AND first < last").drop("hot", "key")).withColumn("part", F.xxhash64("s"))
-        told = halves.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_runs("key", "part"), f"{HALF}, twice boolean, stands boolean")
-        halves = table(told, "halves")
         # Halves that are equal repeat as a whole; one of them is compared further.
-        whole.append(halves.where("twice").select("k1", "k2", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b")))
-        rows = halves.where("stands").drop("part", "twice", "stands")
+        twice, stands = _told(halves, "key", "part", HALF, "halves")
+        whole.append(twice.select("k1", "k2", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b")))
+        rows = stands.drop("part")
     together = reduce(DataFrame.union, [x.select("key", "k1", "k2", "lo", "s") for x in small])
     ordered = together.repartition("key").sortWithinPartitions("key")
     merged = table(ordered.mapInArrow(_merged, SPAN), "merged")
@@ -285,13 +294,13 @@ def remove(docs: DataFrame) -> DataFrame:
     counts = texts.select("text").mapInArrow(_hashes, "h long").groupBy("h").count().where("count > 1")
     bits = bitset(counts, F.col("h"))
     items = texts.mapInArrow(_items(bits), ITEM)
-    runs = table(items.repartition("h", "cx").sortWithinPartitions("h", "cx").mapInArrow(_runs("h", "cx"), f"{ITEM}, twice boolean, stands boolean"), "runs")
-    stand = runs.where("stands").drop("cx", "twice", "stands")
+    twice, stand = _told(items, "h", "cx", ITEM, "runs")
+    stand = stand.drop("cx")
     several = stand.groupBy("h").count().where("count > 1").select("h")
     stand = table(stand.join(several, "h", "left_semi"), "contexts")
     need = texts.mapInArrow(_select(_keys(stand)), schema).hint("merge")
     contexts = table(stand.join(need, ["k1", "k2"]).mapInArrow(_cut, "h long, k1 long, k2 long, lo int, hi int, anchor int, s binary"), "bytes")
-    spans = runs.where("twice").select("k1", "k2", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b")).union(_compared(contexts))
+    spans = twice.select("k1", "k2", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b")).union(_compared(contexts))
     gathered = table(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans")).join(copies, ["k1", "k2"], "left_anti"), "spans")  # of one text each
     found = table(gathered.join(texts.mapInArrow(_select(_keys(gathered)), schema).hint("merge"), ["k1", "k2"]).select("k1", "k2", "spans", "text").mapInArrow(_removed, RESULT), "removed")
     gone = copies.withColumn("copied", F.lit(True))
