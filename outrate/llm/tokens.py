@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable
@@ -13,11 +14,25 @@ MEMO = 600_000
 #: Longer pieces are encoded anew each time.
 LONGEST = 64
 
-_ragged = re.compile(r" \s|\s |^\s|\s$")
+#: Words of visible ASCII (no apostrophe) and Latin letters fall into runs of letters, of digits and of other characters in every
+#: tokenizer that splits as GPT-2's does.
+_LATIN = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+_plain = re.compile(f"[!-&(-~{_LATIN}]+")
+_runs = re.compile(f"[{_LATIN}]+|[0-9]+|[^{_LATIN}0-9]+")
 _cut = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself where it is visible, else the next one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
 class Encoder:
     """Byte-level BPE never joins across a single space that stands between two other characters: the
     space begins the next word.  Texts are cut there and each distinct piece is encoded once."""
@@ -27,33 +42,74 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.first: dict[str, bytes] = {}
         self.after: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.bytes = [np.array([i], self.type).tobytes() for i in range(self.size)]
+        added = [t.content.strip() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        shape = json.loads(self.tokenizer.to_str())
+        split = shape["pre_tokenizer"] or {}
+        by_runs = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        self.splits = bool(by_runs) and shape["normalizer"] is None
 
     def _new(self, pieces: list[str]) -> Iterable[bytes]:
         batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return (np.array(e.ids, self.type).tobytes() for e in batch(pieces, add_special_tokens=False))
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one run, straight from the tokenizer's BPE model."""
+        known = self.pieces.get(piece)
+        if known is None:
+            letters = piece.encode().decode("latin-1").translate(_LETTERS)
+            known = self.pieces[piece] = b"".join([self.bytes[t.id] for t in self.model.tokenize(letters)])
+        return known
+
+    def _learn(self, words: set[str], big: dict[str, bytes]) -> None:
+        """Ids of words that follow a space; big takes those not worth a place in the memo."""
+        others = []
+        for w in words:
+            if self.splits and len(w) <= LONGEST and _plain.fullmatch(w) and not self.added.search(w):
+                one, *more = _runs.findall(w)
+                self.after[w] = b"".join([self._piece(" " + one), *map(self._piece, more)])
+            else:
+                others.append(w)
+        for w, ids in zip(others, self._new([" " + w for w in others]), strict=True):
+            (big if len(w) > LONGEST or w[-1].isspace() else self.after)[w] = ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian numbers of self.type."""
-        if len(self.after) > MEMO:
-            self.after.clear()
-        if len(self.first) > MEMO // 10:
-            self.first.clear()
-        split = [_cut.split(t) if _ragged.search(t) else t.split(" ") for t in texts]
+        """Ids of each text as little-endian numbers of self.type.
+
+        The memo has no word with a blank at either end, so a text with more than single spaces shows itself by the words missed.
+        """
+        for memo, most in ((self.after, MEMO), (self.pieces, MEMO), (self.first, MEMO // 10)):
+            if len(memo) > most:
+                memo.clear()
         first, after, big = self.first, self.after, {}
-        new = {p[0] for p in split}.difference(first)
+        split, out, new, missing = [], [], set(), set()
+        for t in texts:
+            p = t.split(" ")
+            ids = list(map(after.get, p))
+            missed = [w for w, x in zip(p, ids, strict=True) if x is None] if None in ids else []
+            if not p[0] or p[0][-1].isspace() or "" in missed or [w.strip() for w in missed] != missed:
+                p = _cut.split(t)
+                ids = list(map(after.get, p))
+                missed = [w for w, x in zip(p, ids, strict=True) if x is None]
+            split.append(p)
+            out.append(ids)
+            new.add(p[0])
+            missing.update(missed[1:] if missed and missed[0] is p[0] else missed)
+        new.difference_update(first)
         first.update(zip(new, self._new(list(new)), strict=True))
-        new = set()
-        for p in split:
-            new.update(set(p[1:]).difference(after))
-        for some, to in (([x for x in new if len(x) <= LONGEST], after), ([x for x in new if len(x) > LONGEST], big)):
-            to.update(zip(some, self._new([" " + x for x in some]), strict=True))
-        get = (lambda x: after.get(x) or big[x]) if big else after.__getitem__
-        return [first[p[0]] + b"".join(map(get, p[1:])) for p in split]
+        self._learn(missing, big)
+        for p, ids in zip(split, out, strict=True):
+            ids[0] = first[p[0]]
+            if None in ids:
+                ids[:] = [x if x is not None else after[w] if w in after else big[w] for w, x in zip(p, ids, strict=True)]
+        return [b"".join(ids) for ids in out]
 
 
 def encoder(path: str) -> Encoder:

@@ -173,3 +173,16 @@ def test_empty(spark, docs):
     none = docs.where("false")
     assert forest.group(none).count() == 0 and repeats.remove(none).count() == 0 and packing.pack(none, default_path(), 1).count() == 0
     assert pii.find(none, pii.fit(none)).count() == 0 and quality_rules.keep(none).count() == 0
+
+
+def test_memo_of_words_gives_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    from outrate.llm.tokens import Encoder, default_path
+
+    path = default_path()
+    texts = ["", " ", "a b\n", "a b\n c", "\nfoo bar", " lead  two ", "a ", "x\r\n y", "3.14,15 (ab) x_y [a-b]", "a b c  d", "a b don't x's,' z!?d 12a a12 \n\n x \t y"]
+    texts += ["é.è ǅ ə.a ß;ſ ªº µ a·b ́a <|endoftext|> </s> x<|endoftext|>", "x" * 5000 + " " + "y" * 70 + ".", "日本 语 a日b １２ ½ x² Ⅷ"]
+    whole, memo = Tokenizer.from_file(path), Encoder(path)
+    for _ in range(2):
+        assert [np.frombuffer(x, memo.type).tolist() for x in memo.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
