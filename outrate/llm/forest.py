@@ -189,10 +189,10 @@ def group(docs: DataFrame) -> DataFrame:
     a, b = (known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
     open_pairs = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     open_pairs = table(open_pairs.select("a", "b"), "open")
+    more = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(nodes.where("doc_id <> rep"))
     if not open_pairs.isEmpty():
-        known = components(links.union(_confirmed(open_pairs, sources)).union(nodes.where("doc_id <> rep")))
-    else:
-        known = components(links.union(nodes.where("doc_id <> rep")))
+        more = more.union(_confirmed(open_pairs, sources))
+    known = components(more)
     out = signed.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
