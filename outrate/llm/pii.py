@@ -36,13 +36,15 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 SAMPLE, EPOCHS, RATE, DECAY = 400, 6, 0.25, 1e-4
 LONGEST, AROUND, MARGIN = 14, 5, 3.0
-#: Digits outside of base spans that make a line worth the model's time, unless it holds ``@``.
-LEAST_DIGITS = 7
+#: Tokens the model reads together, and those at the end that it only looks at: what begins there is read with the next ones.
+READ, AHEAD = 400, 2 * LONGEST
+#: Digits of the shortest phone number; an ip may have fewer, in LEAST_GROUPS groups.  What has neither, nor ``@``, can be no type.
+LEAST_DIGITS, LEAST_GROUPS = 7, 4
 
 Span = tuple[str, int, int]
 _token = re.compile(r"[^\W\d_]+|[0-9]+|\S")
 _hint = re.compile(r"[0-9@]+")
-_plain_email = re.compile(r"[^\s@]*@[^\s@]")
+_digits = re.compile(r"[0-9]+")
 
 
 def luhn(digits: str) -> bool:
@@ -231,12 +233,12 @@ def _gradient(model: Model, n: int, feats: dict[tuple[int, int], list[int]], gol
     return g, s
 
 
-def decode(model: Model, n: int, feats: dict[tuple[int, int], list[int]]) -> list[tuple[int, int, int]]:
-    """(begin, end, kind) of the entities on the best path that pass MARGIN."""
+def path(model: Model, n: int, feats: dict[tuple[int, int], list[int]], start: int = OTHER) -> list[tuple[int, int, int, bool]]:
+    """(begin, end, kind, whether it passes MARGIN) of the entities on the best path after a segment of kind start."""
     score, step = _scores(model, feats), model[1]
     ends = _by_end(feats)
     best = np.full((n + 1, OTHER + 1), -np.inf)
-    best[0, OTHER] = 0.0
+    best[0, start] = 0.0
     back: dict[tuple[int, int], tuple[int, int]] = {}
     for j in range(1, n + 1):
         before = best[j - 1] + step[:, OTHER]
@@ -249,12 +251,18 @@ def decode(model: Model, n: int, feats: dict[tuple[int, int], list[int]]) -> lis
     out, j, k = [], n, int(best[n].argmax())
     while j:
         i, last = back[j, k]
-        if k < OTHER and step[last, k] + score[i, j][k] + step[k, OTHER] - step[last, OTHER] - (j - i) * step[OTHER, OTHER] >= MARGIN:
-            out.append((i, j, k))
+        if k < OTHER:
+            over = step[last, k] + score[i, j][k] + step[k, OTHER] - step[last, OTHER] - (j - i) * step[OTHER, OTHER]
+            out.append((i, j, k, bool(over >= MARGIN)))
         j, k = i, last
     return out[::-1]
 
 
+def decode(model: Model, n: int, feats: dict[tuple[int, int], list[int]]) -> list[tuple[int, int, int]]:
+    """(begin, end, kind) of the entities on the best path that pass MARGIN."""
+    return [(i, j, k) for i, j, k, passes in path(model, n, feats) if passes]
+
+
 def _labelled(text: str, spans: list[Span]) -> tuple[int, dict, dict] | None:
     toks = tokens(text)
     feats = lattice(text, toks)
@@ -337,7 +345,30 @@ def _windows(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
 
 
 def _worth(s: str) -> bool:
-    return bool(_plain_email.search(s)) or "@" in s or sum(c in "0123456789" for c in s) >= LEAST_DIGITS
+    groups = _digits.findall(s)
+    return "@" in s or len(groups) >= LEAST_GROUPS or sum(map(len, groups)) >= LEAST_DIGITS
+
+
+def _read(model: Model, s: str) -> Iterator[tuple[int, int, int]]:
+    """(begin, end, kind) of the entities in a stretch, which is read by READ tokens at a time: bounded memory for a line of digits.
+
+    Borders of spans are those of the stretch.  Each part decides on segments that begin before its last AHEAD tokens, so all of them
+    lie within it; the next part begins there, or where the last of them ends.
+    """
+    toks, p, last = tokens(s), 0, OTHER
+    while p < len(toks):
+        part = toks[p : p + READ]
+        more = p + READ < len(toks)
+        decided = len(part) - AHEAD if more else len(part)
+        to, after = decided, OTHER
+        if _worth(s[part[0][0] : part[-1][1]]):
+            for i, j, k, passes in path(model, len(part), lattice(s, part), last):
+                if i < decided:
+                    if passes:
+                        yield part[i][0], part[j - 1][1], k
+                    if j >= to:
+                        to, after = j, k
+        p, last = p + to, after
 
 
 def spans(text: str, model: Model | None) -> list[Span]:
@@ -346,15 +377,9 @@ def spans(text: str, model: Model | None) -> list[Span]:
     found = list(base)
     if model is not None:
         for a, b in _windows(text, base):
-            for c in range(a, b, 400):  # bounded work for a line of digits
-                s = text[max(a, c - 60) : min(b, c + 400)]
-                if not _worth(s):
-                    continue
-                off, toks = max(a, c - 60), tokens(s)
-                for i, j, k in decode(model, len(toks), lattice(s, toks)):
-                    x, y = off + toks[i][0], off + toks[j - 1][1]
-                    if all(y <= p or q <= x for _, p, q in found):
-                        found.append((KINDS[k], x, y))
+            for x, y, k in _read(model, text[a:b]):
+                if all(a + y <= p or q <= a + x for _, p, q in base):  # the model's own never overlap
+                    found.append((KINDS[k], a + x, a + y))
     return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

@@ -83,6 +83,29 @@ def test_pii(docs):
     assert pii.base_spans("a@b a@b.c_d@e.f 300.1.1.1, 4111 1111 1111 1111") == [("email", 4, 9), ("email", 9, 15), ("card", 27, 46)]
 
 
+@pytest.fixture(scope="module")
+def pii_model():
+    rng = random.Random(8)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    ips = [f"host at {'.'.join(str(rng.choice([rng.randint(0, 9), rng.randint(0, 255)])) for _ in range(4))} is up" for _ in range(60)]
+    phones = [f"call +1 ({number(3)}) {number(3)}-{number(4)} today" for _ in range(60)]
+    return pii.train([*ips, *phones, *(f"page {number(2)} of {number(3)} in {number(4)}" for _ in range(60))])
+
+
+@pytest.mark.parametrize("ip", ["8 . 8 . 8 . 8", "10 . 0 . 0 . 1"])
+def test_pii_scores_ips_of_few_digits(pii_model, ip):
+    text = f"host at {ip} is up"
+    assert pii.spans(text, pii_model) == [("ip", 8, 8 + len(ip))]
+
+
+def test_pii_masks_all_of_a_long_line(pii_model):
+    rng = random.Random(9)
+    for lead in range(0, 40, 8):
+        line = "x" * lead + " is " + " and ".join(" . ".join(str(rng.randint(100, 255)) for _ in range(4)) for _ in range(80))
+        found = pii.spans(line, pii_model)
+        assert len(found) == 80 and not any(c.isdigit() for c in pii.masked(line, found))
+
+
 def test_urls(spark):
     cases = {"https://a.example.net/en/1": "allow", "http://x.net/": "block", "http://EXAMPLE.com/de/q?x": "block", "ftp://a.org/fr/": "allow", "nothing": "allow", None: "allow", "http://notexample.com/": "allow"}
     pages = spark.createDataFrame([(i, u, "<p>the words</p>") for i, u in enumerate(cases)], "page_id long, url string, html string")
