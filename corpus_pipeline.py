@@ -8,6 +8,9 @@ from outrate.llm import forest, packing, pii, quality_rules, tiling
 from outrate.llm.common import read, ready, table
 from outrate.llm.tokens import default_path
 
+#: Hundredths of the similarity (of sets of five words) from which texts are near copies.
+LINK = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -18,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
     ready(spark)
-    return forest.keep(docs)
+    return forest.keep(docs, LINK)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

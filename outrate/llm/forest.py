@@ -1,16 +1,17 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
-Every document's set of word shingles gets ``TREES * DEPTH`` MinHash values.  A tree is the order of
-all documents by its own ``DEPTH`` values and, below them, the values of the next tree.  Documents
-that agree on the first ``DEPTH`` values form a region of the tree; a region of more than ``HOT``
+Every document's set of word shingles gets ``trees * depth`` MinHash values.  A tree is the order of
+all documents by its own ``depth`` values and, below them, the values of the next tree.  Documents
+that agree on the first ``depth`` values form a region of the tree; a region of more than ``HOT``
 documents is refined to twice that depth.  Within a region documents stand in order, so those with
 the longest common prefixes are neighbours: each becomes a candidate with the ``NEAR`` before it.
 Equal sets are joined beforehand, candidates that their signatures rule out are dropped, and links are
 confirmed on the full sets: first each document's likeliest partner, then all candidates that these
 links have not joined yet.
 
-A pair at the threshold of 0.85 shares a region of one tree with probability 0.85 ** 6 = 0.38; that
-none of 24 trees shows it has probability 1e-5.
+Trees and depth follow from the threshold: a pair at 0.85 shares a region of one tree with probability
+0.85 ** 6 = 0.38, one at 0.80 with 0.80 ** 5 = 0.33; that none of 24 or 29 trees shows it has
+probability 1e-5.
 
 Null and empty text, or text of blanks: the set is empty, the document is linked with nothing.  Rows
 without doc_id are linked with nothing, and kept.  Rows of one doc_id and equal text count as one
@@ -19,7 +20,9 @@ document in links but each comes back.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,58 +34,81 @@ from outrate.llm.common import table
 from outrate.llm.components import components
 from outrate.llm.shingles import mix, sets
 
-TREES, DEPTH, NEAR, SMALL, HOT = 24, 6, 3, 10, 4000
-#: Confirmed links have 100 * intersection >= LINK * union.
+#: The most trees, and the probability that a pair at the threshold shares no region.
+TREES, MISS = 29, 1.2e-5
+NEAR, SMALL, HOT = 3, 10, 4000
+#: Confirmed links have 100 * intersection >= link * union.
 LINK = 85
-#: Share of equal signature values under which a pair is dropped: five standard deviations below the link's.
-DROP = 0.70
 
-_rng = np.random.default_rng(11)
-_A = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
+
+class Forest(NamedTuple):
+    link: int
+    trees: int
+    depth: int
+    #: Share of equal signature values under which a pair is dropped: five standard deviations below the link's.
+    drop: float
+    a: np.ndarray
+    b: np.ndarray
+
+
+def planned(link: int) -> Forest:
+    """The deepest trees that miss a pair at the threshold with MISS at most."""
+    t = link / 100
+    trees = lambda depth: math.ceil(math.log(MISS) / math.log1p(-(t**depth)))
+    depth = max((d for d in range(1, 9) if trees(d) <= TREES), default=1)
+    n, rng = trees(depth) * depth, np.random.default_rng(11)
+    a = rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1)
+    return Forest(link, trees(depth), depth, math.floor(100 * (t - 5 * math.sqrt(t * (1 - t) / n))) / 100, a, rng.integers(0, 1 << 32, n, dtype=np.uint32))
+
 
 _signed = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary())])
 SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, sig binary"
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = list(sets(b["text"]))
-        size = np.array([len(x) for x in found], np.int64)
-        has = np.flatnonzero(size)
-        key, sig = np.zeros((2, len(found)), np.uint64), np.zeros((len(has), TREES * DEPTH), np.uint32)
-        if len(has):
-            every, at = np.concatenate([found[i] for i in has]), np.cumsum(size[has]) - size[has]
-            for k, salt in enumerate((1, 2)):
-                key[k, has] = np.add.reduceat(mix(every ^ np.uint64(salt)), at)
-            high = (every >> np.uint64(32)).astype(np.uint32)
-            for k in range(TREES * DEPTH):
-                sig[:, k] = np.minimum.reduceat(high * _A[k] + _B[k], at)
-        rows = dict(zip(has.tolist(), ((sig * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16), strict=True))
-        signed = [rows[i].tobytes() if i in rows else None for i in range(len(found))]
-        k1, k2 = key.view(np.int64)
-        yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(size), pa.array(k1), pa.array(k2), pa.array(signed, pa.binary())], schema=_signed)
+def _sign(plan: Forest):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = list(sets(b["text"]))
+            size = np.array([len(x) for x in found], np.int64)
+            has = np.flatnonzero(size)
+            key, sig = np.zeros((2, len(found)), np.uint64), np.zeros((len(has), len(plan.a)), np.uint32)
+            if len(has):
+                every, at = np.concatenate([found[i] for i in has]), np.cumsum(size[has]) - size[has]
+                for k, salt in enumerate((1, 2)):
+                    key[k, has] = np.add.reduceat(mix(every ^ np.uint64(salt)), at)
+                high = (every >> np.uint64(32)).astype(np.uint32)
+                for k in range(len(plan.a)):
+                    sig[:, k] = np.minimum.reduceat(high * plan.a[k] + plan.b[k], at)
+            rows = dict(zip(has.tolist(), ((sig * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16), strict=True))
+            signed = [rows[i].tobytes() if i in rows else None for i in range(len(found))]
+            k1, k2 = key.view(np.int64)
+            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(size), pa.array(k1), pa.array(k2), pa.array(signed, pa.binary())], schema=_signed)
+
+    return run
 
 
 _placed = pa.schema([("tree", pa.int32()), ("region", pa.int64()), ("deep", pa.int64()), ("label", pa.binary()), ("id", pa.int64())])
 
 
-def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint16).reshape(b.num_rows, -1)
-        twice = np.concatenate([sig, sig[:, :DEPTH]], axis=1)
-        for t in range(TREES):
-            label = np.ascontiguousarray(twice[:, t * DEPTH : (t + 2) * DEPTH])
-            halves = []
-            for depth in (DEPTH, 2 * DEPTH):
-                h = np.full(b.num_rows, t, np.uint64)
-                for k in range(depth):
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + label[:, k])
-                halves.append(h.view(np.int64))
-            rows = [x.tobytes() for x in label.astype(">u2")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), *map(pa.array, halves), pa.array(rows, pa.binary()), b["id"]], schema=_placed)
+def _plant(plan: Forest):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint16).reshape(b.num_rows, -1)
+            twice = np.concatenate([sig, sig[:, : plan.depth]], axis=1)
+            for t in range(plan.trees):
+                label = np.ascontiguousarray(twice[:, t * plan.depth : (t + 2) * plan.depth])
+                halves = []
+                for depth in (plan.depth, 2 * plan.depth):
+                    h = np.full(b.num_rows, t, np.uint64)
+                    for k in range(depth):
+                        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + label[:, k])
+                    halves.append(h.view(np.int64))
+                rows = [x.tobytes() for x in label.astype(">u2")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), *map(pa.array, halves), pa.array(rows, pa.binary()), b["id"]], schema=_placed)
+
+    return run
 
 
 _pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -107,42 +133,50 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = [], []
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _likely(plan: Forest):
     """Drops pairs by their sizes and signatures."""
-    for x in batches:
-        if not x.num_rows:
-            continue
-        one, two = (np.frombuffer(b"".join(x[c].to_pylist()), np.uint16).reshape(x.num_rows, -1) for c in ("sa", "sb"))
-        share = (one == two).mean(axis=1)
-        na, nb = x["na"].to_numpy(), x["nb"].to_numpy()
-        ok = (share >= DROP) & (100 * np.minimum(na, nb) >= LINK * np.maximum(na, nb))
-        yield pa.RecordBatch.from_arrays([x["a"].filter(pa.array(ok)), x["b"].filter(pa.array(ok)), pa.array(share[ok])], names=["a", "b", "share"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if not x.num_rows:
+                continue
+            one, two = (np.frombuffer(b"".join(x[c].to_pylist()), np.uint16).reshape(x.num_rows, -1) for c in ("sa", "sb"))
+            share = (one == two).mean(axis=1)
+            na, nb = x["na"].to_numpy(), x["nb"].to_numpy()
+            ok = (share >= plan.drop) & (100 * np.minimum(na, nb) >= plan.link * np.maximum(na, nb))
+            yield pa.RecordBatch.from_arrays([x["a"].filter(pa.array(ok)), x["b"].filter(pa.array(ok)), pa.array(share[ok])], names=["a", "b", "share"])
+
+    return run
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(link: int):
     """Rows in order of cell, the cell's own document first: links of the others with it."""
-    own, mine = None, None
-    for x in batches:
-        a, b = [], []
-        for cell, node, found in zip(x["cell"].to_pylist(), x["node"].to_pylist(), sets(x["text"]), strict=True):
-            if node == cell:
-                own, mine = cell, found
-            elif own == cell:
-                both = len(np.intersect1d(mine, found, assume_unique=True))
-                if 100 * both >= LINK * (len(mine) + len(found) - both):
-                    a.append(cell)
-                    b.append(node)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, mine = None, None
+        for x in batches:
+            a, b = [], []
+            for cell, node, found in zip(x["cell"].to_pylist(), x["node"].to_pylist(), sets(x["text"]), strict=True):
+                if node == cell:
+                    own, mine = cell, found
+                elif own == cell:
+                    both = len(np.intersect1d(mine, found, assume_unique=True))
+                    if 100 * both >= link * (len(mine) + len(found) - both):
+                        a.append(cell)
+                        b.append(node)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_pairs)
+
+    return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, link: int) -> DataFrame:
     """pairs (a, b) that are links by their full sets.  A hot cell is dealt out over several tasks, its document with each part."""
     placed = pairs.select(F.col("a").alias("cell"), F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.lit(8)).alias("part"))
     need = placed.union(placed.select("cell", F.col("cell").alias("node"), "part").distinct())
     rows = need.join(docs.select(F.col("doc_id").alias("node"), "text").hint("merge"), "node")  # texts never fit a broadcast
     ready = rows.repartition("cell", "part").sortWithinPartitions("cell", "part", F.col("node") != F.col("cell"))
-    return table(ready.select("cell", "node", "text").mapInArrow(_confirm, "a long, b long"), "confirmed")
+    return table(ready.select("cell", "node", "text").mapInArrow(_confirm(link), "a long, b long"), "confirmed")
 
 
 def _only(bits: np.ndarray):
@@ -165,40 +199,41 @@ def _candidates(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return table(some, "texts")
 
 
-def group(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept."""
+def group(docs: DataFrame, link: int = LINK) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; linked are texts with a similarity of link hundredths or more."""
+    plan = planned(link)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = table(docs.mapInArrow(_sign, SIGNED), "signed")
+    signed = table(docs.mapInArrow(_sign(plan), SIGNED), "signed")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     nodes = full.join(same, ["k1", "k2", "n_shingles"]).select("doc_id", "rep").distinct()
     nodes = table(nodes, "nodes")
     reps = full.join(nodes.where("doc_id = rep").select("doc_id").distinct(), "doc_id").select(F.col("doc_id").alias("id"), "n_shingles", "sig")
-    placed = table(reps.mapInArrow(_plant, "tree int, region long, deep long, label binary, id long"), "forest")
+    placed = table(reps.mapInArrow(_plant(plan), "tree int, region long, deep long, label binary, id long"), "forest")
     hot = placed.groupBy("tree", "region").count().where(F.col("count") > HOT).select("tree", "region", F.lit(True).alias("hot"))
     hot = table(hot, "hot")
     keyed = placed.join(hot, ["tree", "region"], "left").select(F.when(F.col("hot"), F.col("deep")).otherwise(F.col("region")).alias("key"), "label", "id")
     ordered = keyed.repartition("key").sortWithinPartitions("key", "label", "id")
     seen = ordered.select("key", "id").mapInArrow(_neighbours, "a long, b long").where("a <> b").distinct()
     one, two = (reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
-    pairs = table(seen.join(one, "a").join(two, "b").mapInArrow(_likely, "a long, b long, share double"), "candidates")
+    pairs = table(seen.join(one, "a").join(two, "b").mapInArrow(_likely(plan), "a long, b long, share double"), "candidates")
     best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("share"), "a"))).where("rank = 1")
     sources = _candidates(docs, pairs)
-    links = _confirmed(best.select("a", "b"), sources)
+    links = _confirmed(best.select("a", "b"), sources, link)
     known = components(links)
     a, b = (known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
     open_pairs = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     open_pairs = table(open_pairs.select("a", "b"), "open")
     more = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(nodes.where("doc_id <> rep"))
     if not open_pairs.isEmpty():
-        more = more.union(_confirmed(open_pairs, sources))
+        more = more.union(_confirmed(open_pairs, sources, link))
     known = components(more)
     out = signed.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, link: int = LINK) -> DataFrame:
     """The rows of docs but for those of which a near copy with a smaller doc_id is in the same group."""
-    gone = table(group(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")  # of known size: broadcast only if small
+    gone = table(group(docs, link).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")  # of known size: broadcast only if small
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

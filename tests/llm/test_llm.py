@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from outrate.llm import bwt, cotraining, forest, huffman, packing, pii, quality_rules, repeats, tiling, urls, warc
 from outrate.llm.common import ready, scratch_path
 from outrate.llm.tokens import default_path, encoder
@@ -60,6 +61,16 @@ def test_forest(docs, rows):
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+def test_near_copies_from_a_similarity_of_80(spark):
+    rng = random.Random(6)
+    texts = [" ".join(str(rng.random()) for _ in range(54)) for _ in range(20)]
+    texts += [t.replace(t.split()[25], "x") for t in texts]  # 5 of 50 shingles are others: 45 / 55
+    pairs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, pairs, "").collect()} == set(range(20))
+    assert forest.keep(pairs).count() == 40
+    assert [(p.trees, p.depth, p.drop) for p in map(forest.planned, (85, 80))] == [(24, 6, 0.7), (29, 5, 0.63)]
+
+
 def test_huffman_round_trip(spark, docs, rows):
     path = scratch_path(spark, "test-huffman")
     huffman.write(docs.where("doc_id IS NOT NULL"), path, default_path(), 2)
