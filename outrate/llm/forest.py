@@ -9,6 +9,11 @@ Equal sets are joined beforehand, candidates that their signatures rule out are
 confirmed on the full sets: first each document's likeliest partner, then all candidates that these
 links have not joined yet.
 
+In a region of more than ``SMALL`` documents not all pairs are compared that way, so its documents go
+through an exact pass: their shingles are put into one order, the rarest first, and two sets that are
+a link share one of their first shingles (prefix filter).  All pairs of different components that do
+are confirmed too.
+
 Trees and depth follow from the threshold: a pair at 0.85 shares a region of one tree with probability
 0.85 ** 6 = 0.38, one at 0.80 with 0.80 ** 5 = 0.33; that none of 24 or 29 trees shows it has
 probability 1e-5.
@@ -37,6 +42,8 @@ from outrate.llm.shingles import mix, sets
 #: The most trees, and the probability that a pair at the threshold shares no region.
 TREES, MISS = 29, 1.2e-5
 NEAR, SMALL, HOT = 3, 10, 4000
+#: Shingles are counted in 2 ** SLOTS slots, 1 MB, to tell the rare ones; of a hot shingle's components DEAL stand in one part.
+SLOTS, DEAL = 18, 256
 #: Confirmed links have 100 * intersection >= link * union.
 LINK = 85
 
@@ -199,6 +206,62 @@ def _candidates(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return table(some, "texts")
 
 
+_prefix = pa.schema([("shingle", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("id", pa.int64())])
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << SLOTS, np.int64)
+    for b in batches:
+        for found in sets(b["text"]):
+            np.add.at(total, _slots(found), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+
+
+def _prefixes(counts: np.ndarray, link: int):
+    """The shingles of each set that come first: a link shares link hundredths of the greater set at least, so one of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, size = [], []
+            for found in sets(b["text"]):
+                n = len(found)
+                first.append(found[np.lexsort((found, counts[_slots(found)]))[: n - -(-link * n // 100) + 1 if n else 0]])
+                size.append(n)
+            if first:
+                each = np.array([len(x) for x in first])
+                at = np.concatenate([np.arange(k, dtype=np.int32) for k in each])
+                columns = np.concatenate(first).view(np.int64), at, np.repeat(np.array(size, np.int32), each), np.repeat(b["doc_id"].to_numpy(), each)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_prefix)
+
+    return run
+
+
+def _unjoined(crowd: DataFrame, texts: DataFrame, link: int) -> DataFrame:
+    """crowd (id, component) -> all pairs (a, b) of different components that may be links by their sizes and first shingles."""
+    counts = np.zeros(1 << SLOTS, np.int32)
+    for x in texts.mapInArrow(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # 2 ** SLOTS rows at most
+        counts[x.slot] = min(x.n, 2**31 - 1)
+    rows = table(texts.mapInArrow(_prefixes(counts, link), "shingle long, at int, n int, id long").join(crowd, "id"), "prefixes")
+    # Pairs of components first, so that a large component's rows are not compared with each other; hot shingles are dealt out.
+    each = rows.select("shingle", "component").distinct()
+    hot = each.groupBy("shingle").count().where("count > 1").select("shingle", F.ceil(F.col("count") / DEAL).cast("int").alias("parts"))
+    each = table(each.join(hot, "shingle"), "components")
+    one = each.select("shingle", F.col("component").alias("ca"), F.pmod(F.xxhash64("component"), "parts").cast("int").alias("part"))
+    two = each.select("shingle", F.col("component").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    apart = one.join(two, ["shingle", "part"]).where("ca < cb").select("shingle", "ca", "cb")
+    a, b = (rows.select("shingle", F.col("component").alias(f"c{x}"), F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}")) for x in "ab")
+    both = apart.join(a, ["shingle", "ca"]).join(b, ["shingle", "cb"])
+    # The first shingle that a link's sets share leaves room for the least intersection behind it, itself included.
+    least = f"({link} * (na + nb) + {99 + link}) DIV {100 + link}"
+    fits = both.where(f"na - ata >= {least} AND nb - atb >= {least}")
+    return table(fits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "unjoined")
+
+
 def group(docs: DataFrame, link: int = LINK) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; linked are texts with a similarity of link hundredths or more."""
     plan = planned(link)
@@ -210,8 +273,10 @@ def group(docs: DataFrame, link: int = LINK) -> DataFrame:
     nodes = table(nodes, "nodes")
     reps = full.join(nodes.where("doc_id = rep").select("doc_id").distinct(), "doc_id").select(F.col("doc_id").alias("id"), "n_shingles", "sig")
     placed = table(reps.mapInArrow(_plant(plan), "tree int, region long, deep long, label binary, id long"), "forest")
-    hot = placed.groupBy("tree", "region").count().where(F.col("count") > HOT).select("tree", "region", F.lit(True).alias("hot"))
-    hot = table(hot, "hot")
+    large = placed.groupBy("tree", "region").count().where(F.col("count") > SMALL).select("tree", "region", (F.col("count") > HOT).alias("hot"))
+    large = table(large, "large")
+    crowd = table(placed.join(large, ["tree", "region"], "left_semi").select("id").distinct(), "crowd")
+    hot = large.where("hot")
     keyed = placed.join(hot, ["tree", "region"], "left").select(F.when(F.col("hot"), F.col("deep")).otherwise(F.col("region")).alias("key"), "label", "id")
     ordered = keyed.repartition("key").sortWithinPartitions("key", "label", "id")
     seen = ordered.select("key", "id").mapInArrow(_neighbours, "a long, b long").where("a <> b").distinct()
@@ -228,6 +293,14 @@ def group(docs: DataFrame, link: int = LINK) -> DataFrame:
     if not open_pairs.isEmpty():
         more = more.union(_confirmed(open_pairs, sources, link))
     known = components(more)
+    if not crowd.isEmpty():
+        crowd = crowd.join(known.select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        texts = _candidates(docs, crowd.select(F.col("id").alias("a"), F.col("id").alias("b")))
+        late = _unjoined(crowd, texts, link)
+        if not late.isEmpty():
+            late = _confirmed(late, texts, link)
+            if not late.isEmpty():
+                known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
     out = signed.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -61,6 +61,20 @@ def test_forest(docs, rows):
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+def test_forest_finds_links_in_a_family_of_unlinked_documents(spark):
+    rng = random.Random(12)
+    base, texts = [str(rng.random()) for _ in range(150)], []
+    for k in range(1000):  # all change the same three words: 131 / 161; those of a pair share one of them: 136 / 156
+        words = list(base)
+        words[20], words[70], words[120] = f"pair{k % 500 if k % 500 < 100 else k}", str(rng.random()), str(rng.random())
+        texts.append(" ".join(words))
+    sets = [_shingles(t) for t in texts]
+    for a, b, link in ((0, 500, True), (0, 1, False), (1, 300, False), (300, 800, False)):
+        assert (100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])) == link
+    got = {r.doc_id: r.component_id for r in forest.group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: k % 500 if k % 500 < 100 else k for k in range(1000)}
+
+
 def test_near_copies_from_a_similarity_of_80(spark):
     rng = random.Random(6)
     texts = [" ".join(str(rng.random()) for _ in range(54)) for _ in range(20)]
