@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from outrate.functions.vectors import dist, mean
 from outrate.operators.neighbors import knn, nearest, nearest_in, within
 
-#: Hierarchical clustering keeps all distances of one dataset in one task.
-HAC_ROWS = 5000
-
 
 def keep_state(df: DataFrame) -> DataFrame:
     """Cuts an iteration's lineage in the shared checkpoint folder; without one, the plan is kept whole."""
@@ -153,29 +150,45 @@ def dbscan_noise(points: DataFrame, eps: float, least: int, dims: int) -> DataFr
     return points.join(reached.select(F.col("a").alias("row_id")).distinct(), "row_id", "left_anti").select("row_id")
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    kept = keep_state(df)
+    return df.localCheckpoint() if kept is df else kept
+
+
 def hac(points: DataFrame, k: int) -> DataFrame:
-    """Complete-linkage clusters (row_id, cluster), cut at k; labels by first row.  One task holds all distances, so at most HAC_ROWS rows."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("row_id")
-        n = len(group)
-        if n > HAC_ROWS:
-            raise ValueError(f"hierarchical clustering takes {HAC_ROWS} rows at most, not {n}")
-        x = np.stack(group["x"].to_numpy())
-        d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2)) if n <= 600 else np.stack([np.sqrt(((x - r) ** 2).sum(1)) for r in x])
-        np.fill_diagonal(d, np.inf)
-        label, alive = np.arange(n), n
-        while alive > max(1, k):
-            i, j = divmod(int(d.argmin()), n)
-            i, j = min(i, j), max(i, j)
-            d[i] = d[:, i] = np.maximum(d[i], d[j])
-            d[i, i] = np.inf
-            d[j] = d[:, j] = np.inf
-            label[label == j] = i
-            alive -= 1
-        return pd.DataFrame({"row_id": group["row_id"].to_numpy(), "cluster": pd.factorize(label)[0] + 1})
-
-    return points.select("row_id", "x", F.lit(1).alias("all")).groupBy("all").applyInPandas(run, "row_id long, cluster long")
+    """Complete-linkage clusters (row_id, cluster), cut at k; labels by first row.
+
+    A cluster goes by its first row.  All pairs of clusters that are each other's nearest are merged in one round, which leads to the
+    same tree as one merge after another; then the lowest merges are applied until k clusters are left.
+    """
+    rows = _settled(points.select("row_id", "x"))
+    first = rows.groupBy("x").agg(F.min("row_id").alias("a"))
+    merges = _settled(rows.join(first, "x").where("row_id <> a").select("a", F.col("row_id").alias("b"), F.lit(0.0).alias("d"), F.lit(0).alias("round")))
+    one, two = (first.select(F.col("a").alias(c), F.col("x").alias(f"x{c}")) for c in "ab")
+    squares = F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    apart = _settled(one.join(two, F.col("a") < F.col("b")).select("a", "b", F.sqrt(squares).alias("d")))
+    done = 0
+    while not apart.isEmpty():
+        done += 1
+        ends = apart.select(F.explode(F.array("a", "b")).alias("end"), "d", "a", "b")
+        best = ends.groupBy("end").agg(F.min(F.struct("d", "a", "b")).alias("m"))
+        now = _settled(best.groupBy("m").count().where("count = 2").select("m.a", "m.b", "m.d", F.lit(done).alias("round")))
+        merges = _settled(merges.union(now))
+        for c in "ab":
+            into = now.select(F.col("b").alias(c), F.col("a").alias("into"))
+            apart = apart.join(into, c, "left").withColumn(c, F.coalesce("into", c)).drop("into")
+        apart = apart.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("d").alias("d"))
+        apart = _settled(apart)
+    lowest = merges.orderBy("d", "round", "a", "b").limit(max(0, rows.count() - max(1, k)))
+    label = _settled(rows.select("row_id").join(lowest.select(F.col("b").alias("row_id"), "a"), "row_id", "left").select("row_id", F.coalesce("a", "row_id").alias("l")))
+    while True:
+        up = label.select(F.col("row_id").alias("l"), F.col("l").alias("up"))
+        new = _settled(label.join(up, "l").select("row_id", F.col("up").alias("l"), (F.col("up") != F.col("l")).alias("moved")))
+        label = new.select("row_id", "l")
+        if new.where("moved").isEmpty():
+            break
+    names = label.select("l").distinct().select("l", F.row_number().over(Window.orderBy("l")).cast("long").alias("cluster"))  # k rows
+    return label.join(names, "l").select("row_id", "cluster")
 
 
 def lps(points: DataFrame, k: int, to: int, dims: int) -> DataFrame:

@@ -1,5 +1,8 @@
 """Golden values of a ten-point example and invariants of the operators."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +60,22 @@ def test_density(toy):
     assert {r.row_id: r.cluster for r in detectors.hac(toy.select("row_id", "x"), 3).collect()}[10] == 3
 
 
+def test_hac_has_no_limit_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(detectors, "HAC_ROWS", 10, raising=False)
+    rng = random.Random(3)
+    x = [(rng.random(), rng.random()) for _ in range(30)]
+    x += x[:3]
+    groups = [[i] for i in range(len(x))]
+    far = lambda p, q: max(math.dist(x[i], x[j]) for i in p for j in q)
+    while len(groups) > 6:
+        _, i, j = min((far(p, q), i, j) for j, q in enumerate(groups) for i, p in enumerate(groups[:j]))
+        groups[i] += groups.pop(j)
+    want = {i: n for n, g in enumerate(sorted(groups, key=min), 1) for i in g}
+    points = spark.createDataFrame([(i, list(p)) for i, p in enumerate(x)], "row_id long, x array<double>")
+    assert {r.row_id: r.cluster for r in detectors.hac(points, 6).collect()} == want
+    assert detectors.hac(points.where("false"), 6).count() == 0
+
+
 def test_arff(spark, tmp_path):
     path = tmp_path / "a.arff"
     path.write_text("@RELATION a\n\n@ATTRIBUTE id real\n@ATTRIBUTE v real\n@ATTRIBUTE w real\n@ATTRIBUTE outlier {'no','yes'}\n\n@DATA\n1,2.5,3,'no'\n2,4,5,'yes'\n")
