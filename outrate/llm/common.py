@@ -25,11 +25,15 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, else the context's checkpoint folder.  Only on
+    one machine, where neither is set, a temporary one."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = context.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="outrate-")
     return _own_dir[app]
@@ -47,12 +51,13 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package, and keep Arrow batches of whole texts small."""
+    """Let Python workers import this package, and keep Arrow batches of whole texts small, by rows and by bytes."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = [p for p in os.environ.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = ":".join([root, *paths])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,8 @@ of bits they take, from which the decoder knows where it may start.  Spark's com
 under temporary names, so a lost executor leaves no half of a block.
 
 Null text counts as empty and still has its end id.  Null doc_ids come first; rows of equal doc_id
-are ordered by text and stay separate.  An empty table gives empty tables.  Extra columns are ignored.
+are ordered by a hash of their text and stay separate.  A long text is a block of its own.  An empty
+table gives empty tables.  Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -118,18 +119,22 @@ def unpack(steps: bytes, bits: bytes, n: int, lookup: np.ndarray, limit: int = L
 def _blocks(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, shard = encoder(path), TaskContext.get().partitionId()
-        end = np.array([end_id], code.type).tobytes()
         block, before, ids, docs, sizes, held = 0, 0, [], [], [], 0
 
         def row():
-            return batch(_raw, shard=[shard], block=[block], before=[before], doc_ids=[docs], lengths=[sizes], ids=[b"".join(ids)])
+            return batch(_raw, shard=[shard], block=[block], before=[before], doc_ids=[[d for some in docs for d in some]], lengths=[np.concatenate(sizes)], ids=[b"".join(ids)])
 
         for b in batches:
-            for doc, x in zip(b["doc_id"].to_pylist(), code.encode(b["text"].to_pylist()), strict=True):
-                ids += [x, end]
-                docs.append(doc)
-                sizes.append(len(x) // code.type.itemsize + 1)
-                held += sizes[-1]
+            every, count = code.with_end(b["text"], end_id)
+            end, doc_ids, at = np.cumsum(count), b["doc_id"].to_pylist(), 0
+            while at < len(count):
+                done = int(end[at - 1]) if at else 0
+                to = min(len(count), int(np.searchsorted(end, done + BLOCK - held)) + 1)  # the row that fills the block
+                ids.append(every[done : end[to - 1]].tobytes())
+                docs.append(doc_ids[at:to])
+                sizes.append(count[at:to])
+                held += int(end[to - 1]) - done
+                at = to
                 if held >= BLOCK:
                     yield row()
                     block, before, ids, docs, sizes, held = block + 1, before + held, [], [], [], 0
@@ -167,7 +172,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Tokenizes docs (doc_id, text), counts ids over all of them, and writes the two tables."""
     code = encoder(tokenizer)
     size, kind = code.size, code.type
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("salt", F.xxhash64("text"))
+    # The salt deals out rows of one doc_id; it is sampled for the bounds in place of texts.
+    ordered = rows.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt").select("doc_id", "text")
     raw = table(ordered.mapInArrow(_blocks(tokenizer, end_id), RAW), "ids")
     counts = np.zeros(size, np.int64)
     found = raw.select("ids").mapInArrow(_counts(size, kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))

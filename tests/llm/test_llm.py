@@ -223,14 +223,41 @@ def test_empty(spark, docs):
     assert pii.find(none, pii.fit(none)).count() == 0 and quality_rules.keep(none).count() == 0
 
 
-def test_memo_of_words_gives_the_tokenizers_ids():
+def test_memo_of_pieces_gives_the_tokenizers_ids(monkeypatch):
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
-    from outrate.llm.tokens import Encoder, default_path
+    from outrate.llm import shingles, tokens
 
-    path = default_path()
-    texts = ["", " ", "a b\n", "a b\n c", "\nfoo bar", " lead  two ", "a ", "x\r\n y", "3.14,15 (ab) x_y [a-b]", "a b c  d", "a b don't x's,' z!?d 12a a12 \n\n x \t y"]
+    path, rng = default_path(), random.Random(1)
+    texts = ["", None, " ", "a b\n", "a b\n c", "\nfoo bar", " lead  two ", "a ", "x\r\n y", "3.14,15 (ab) x_y [a-b]", "a b c  d", "a b don't x's,' z!?d 12a a12 \n\n x \t y"]
     texts += ["é.è ǅ ə.a ß;ſ ªº µ a·b ́a <|endoftext|> </s> x<|endoftext|>", "x" * 5000 + " " + "y" * 70 + ".", "日本 语 a日b １２ ½ x² Ⅷ"]
-    whole, memo = Tokenizer.from_file(path), Encoder(path)
-    for _ in range(2):
-        assert [np.frombuffer(x, memo.type).tolist() for x in memo.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    odd = [*"ab cd  \n\n\t.,'123é×ßñ÷\u00a0\u3000日🎉<\x00\x1c\r\vȿɀÀª\u0085²", "<|endoftext|>", "'s", "n't", " 'll"]
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    whole = Tokenizer.from_file(path)
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for memo in (1 << 20, 3000):  # the smaller memo starts over, and takes texts in parts
+        monkeypatch.setattr(tokens, "MEMO", memo)
+        monkeypatch.setattr(tokens, "LONG", memo // 2)
+        monkeypatch.setattr(shingles, "CHUNK", memo // 2)
+        code = tokens.Encoder(path)
+        for _ in range(2):
+            for some in range(0, len(texts), 100):
+                ids, count = code.encode(pa.array(texts[some : some + 100], pa.string()))
+                end = np.cumsum(count)
+                assert [ids[e - n : e].tolist() for n, e in zip(count, end, strict=True)] == want[some : some + 100]
+        long = " ".join(t for t in texts if t) * 3
+        assert code.encode(pa.array([long]))[0].tolist() == whole.encode(long, add_special_tokens=False).ids
+
+
+def test_packing_puts_copies_together(spark, monkeypatch):
+    """Neighbours are found among all documents, not in a random shard."""
+    monkeypatch.setattr(packing, "SHARD", 4000)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(100)) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts)), "doc_id long, text string")
+    found, _, _ = packing.shards(docs, default_path(), 1)
+    shard = {d: r.shard for r in found.collect() for d in r.doc_ids}
+    assert len(set(shard.values())) > 20
+    assert sum(shard[i] == shard[i + 150] for i in range(150)) >= 135
