@@ -1,31 +1,38 @@
-"""Quality scores by co-training: one classifier reads the text, another only the page's metadata.
+"""Quality scores by co-training: one naive Bayes classifier reads the text, another only the page's metadata.
 
-Both are logistic regressions.  They start from a bounded sample of labelled documents; in each round
-either labels the documents of a bounded unlabelled pool that it is surest of, and the other learns
-them too.  A held-out fifth of the labelled sample, which neither has seen, calibrates each view's log
-odds and the weights with which they are added.  All documents are then scored in one scan; what is
-sent to the tasks are the two weight vectors.
+Every document becomes two short lists of numbers: what its text is like (ranges of shares of letters, digits, symbols, repeated and
+new words, and how often words of each hash occur), and hashes of its metadata.  Both classifiers start from a bounded sample of
+labelled documents.  In each round both score all documents; those that either is sure of (a calibrated probability of SURE) teach
+the other.  What is learned from them are counts by class, summed in Spark over the whole table; nothing is sampled on that side, so it
+grows with the input.  Taught and labelled counts weigh the same, and the classes' shares stay those of the labels.
 
-Null and empty text: the features of an empty text.  Null metadata: a value of its own.  Labels that
-are null or without a document are ignored; of several labels of a document each counts.  Without
-labels of both kinds every score is 0.5 and all are kept.  An empty table gives an empty result.
+A held-out fifth of the labelled sample, from which neither learns, calibrates each view's log odds in each round, and at the end
+the weights with which the views are added.  All documents are then scored in one scan.
+
+Null and empty text: the features of an empty text.  Null metadata: a value of its own.  Rows of one doc_id, or without one, are scored
+each for itself.  Labels that are null or without a document are ignored; of several labels of a document each counts.  Without labels
+of both kinds every score is 0.5 and all are kept.  An empty table gives an empty result.  Extra columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outrate.llm.shingles import buffers, mix, sequences
+from outrate.llm.common import table
+from outrate.llm.shingles import buffers, sequences
 
-#: Labelled documents and unlabelled ones that the classifiers learn from, at most.
-LABELLED, POOL = 2000, 2000
-ROUNDS, SURE, STEPS, RIDGE = 4, 100, 150, 1e-3
-WORDS, META = 512, 64
+#: Labelled documents that the classifiers start from, at most.
+LABELLED = 2000
+ROUNDS, SURE, SMOOTH = 3, 0.95, 1.0
+#: Bins for words, and for each of META kinds of metadata.
+WORDS, META, BINS = 256, 4, 1024
 #: Documents with a score below it are not kept.
 KEEP = 0.5
 _EDGES = np.array([0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 0.9])
@@ -33,14 +40,13 @@ _CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".", ",", "!?", "#*$%&|<
 _class = np.full(256, len(_CLASSES), np.uint8)
 for _k, _s in enumerate(_CLASSES):
     _class[np.frombuffer(_s.encode(), np.uint8)] = _k
-STYLE = (len(_CLASSES) + 3) * (len(_EDGES) + 1)
-TEXT = STYLE + WORDS
+RANGES = len(_EDGES) + 1
+STYLES = len(_CLASSES) + 3
 
 
-def text_features(texts: pa.Array) -> np.ndarray:
-    """A row for each text: which range each share falls in, and how often words with each hash occur."""
-    n = len(texts)
-    out = np.zeros((n, TEXT), np.float32)
+def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the range that each share falls in, and how many words have each hash."""
+    style, hashed = np.zeros((len(texts), STYLES), np.uint8), np.zeros((len(texts), WORDS), np.int64)
     data, offsets = buffers(texts)
     for a, words, first, begin, end, at in sequences(texts):
         rows = len(at) - 1
@@ -50,114 +56,176 @@ def text_features(texts: pa.Array) -> np.ndarray:
         shares = list((np.bincount(which * 16 + _class[some], minlength=16 * rows).reshape(rows, 16)[:, : len(_CLASSES)] / size[:, None]).T)
         owner = np.repeat(np.arange(rows), np.diff(first))
         count = np.maximum(np.diff(first), 1)
-        new = np.zeros(rows)
-        again = np.zeros(rows)
-        for r in range(rows):
-            new[r] = len(np.unique(words[first[r] : first[r + 1]]))
-        same = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1]) if len(words) else np.zeros(0, bool)
-        np.add.at(again, owner[1:][same] if len(words) else owner, 1)
+        order = np.lexsort((words, owner))
+        o, w = owner[order], words[order]
+        new = np.bincount(o[np.concatenate([[True], (o[1:] != o[:-1]) | (w[1:] != w[:-1])])] if len(o) else o, minlength=rows)
+        same = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
+        again = np.bincount(owner[1:][same], minlength=rows)
         length = np.bincount(owner, (end - begin).astype(float), minlength=rows) / count
         shares += [1 - new / count, again / count, np.minimum(length / 20, 1)]
         for k, s in enumerate(shares):
-            out[np.arange(a, a + rows), k * (len(_EDGES) + 1) + np.searchsorted(_EDGES, s)] = 1
-        hashed = np.bincount(owner * WORDS + (words >> np.uint64(55)).astype(np.int64), minlength=rows * WORDS).reshape(rows, WORDS)
-        out[a : a + rows, STYLE:] = np.sqrt(hashed / count[:, None])
-    return out
-
-
-def meta_features(lang: list, source: list, n_chars: list) -> np.ndarray:
-    out = np.zeros((len(lang), META), np.float32)
-    size = [f"n{int(x or 0).bit_length()}" for x in n_chars]
-    for names in ([f"l{x}" for x in lang], [f"s{x}" for x in source], size, [f"{a}{b}" for a, b in zip(size, lang, strict=True)]):
-        keys = mix(np.array([int.from_bytes(x.encode()[:8], "little") + len(x) * 7919 for x in names], np.uint64))
-        out[np.arange(len(names)), (keys % np.uint64(META)).astype(np.int64)] += 1
-    return out
-
-
-def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights and, last, the intercept of a ridge logistic regression, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    rate = 4 / (np.linalg.norm(x, 2) ** 2 / len(x) + 4 * RIDGE)
-    w, v = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    for k in range(STEPS):
-        ahead = w + k / (k + 3) * v
-        g = x.T @ (1 / (1 + np.exp(-x @ ahead)) - y) / len(x) + RIDGE * ahead
-        new = ahead - rate * g
-        v, w = new - w, new
+            style[a : a + rows, k] = np.searchsorted(_EDGES, s)
+        hashed[a : a + rows] = np.bincount(owner * WORDS + (words >> np.uint64(56)).astype(np.int64), minlength=rows * WORDS).reshape(rows, WORDS)
+    return style, hashed
+
+
+_features = pa.schema([("doc_id", pa.int64()), ("style", pa.binary(STYLES)), ("words", pa.binary(4 * WORDS)), ("meta", pa.binary(2 * META))])
+FEATURES = "doc_id long, style binary, words binary, meta binary"
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        style, hashed = text_features(b["text"])
+        meta = np.stack([b[f"m{k}"].to_numpy() for k in range(META)], axis=1).astype("<u2")
+        raw = [pa.FixedSizeBinaryArray.from_buffers(t, b.num_rows, [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary()) for t, x in zip((_features[1].type, _features[2].type, _features[3].type), (style, hashed.astype("<u4"), meta), strict=True)]
+        yield pa.RecordBatch.from_arrays([b["doc_id"], *raw], names=_features.names)
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, lang, source, n_chars) -> the features of every row, written to the shared folder."""
+    size = F.floor(F.log2(F.greatest(F.coalesce("n_chars", F.lit(0)).cast("long"), F.lit(0)) + 1) * 2)
+    kinds = (F.col("lang"), F.col("source"), size, F.concat_ws("/", size, F.coalesce("lang", F.lit("?"))))
+    bins = [F.pmod(F.xxhash64(F.lit(k), F.coalesce(x.cast("string"), F.lit("\0"))), F.lit(BINS)).cast("int").alias(f"m{k}") for k, x in enumerate(kinds)]
+    return table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *bins).mapInArrow(_featured, FEATURES), "features")
+
+
+class Rows(NamedTuple):
+    style: np.ndarray
+    words: np.ndarray
+    meta: np.ndarray
+
+
+def _rows(style: pa.Array, words: pa.Array, meta: pa.Array) -> Rows:
+    parts = (b"".join(x.as_buffer() for x in c) for c in (style, words, meta))
+    s, w, m = parts
+    return Rows(np.frombuffer(s, np.uint8).reshape(-1, STYLES), np.frombuffer(w, "<u4").reshape(-1, WORDS), np.frombuffer(m, "<u2").reshape(-1, META))
+
+
+#: Counts by class: how many documents, styles, word hashes (each document's add up to one), and metadata.
+SIZES = (1, STYLES * RANGES, WORDS, META * BINS)
+_AT = np.cumsum((0, *SIZES))
+
+
+def _counts(x: Rows, weight: np.ndarray, text: bool) -> np.ndarray:
+    """Sums over rows of what one view sees, in millionths; weight: 0 or 1."""
+    out = np.zeros(_AT[-1])
+    some = np.flatnonzero(weight)
+    out[0] = len(some)
+    if text:
+        at = x.style[some].astype(np.int64) + np.arange(STYLES) * RANGES
+        out[_AT[1] : _AT[2]] = np.bincount(at.ravel(), minlength=SIZES[1])
+        w = x.words[some]
+        out[_AT[2] : _AT[3]] = (w / np.maximum(w.sum(axis=1, keepdims=True), 1)).sum(axis=0)
+    else:
+        at = x.meta[some].astype(np.int64) + np.arange(META) * BINS
+        out[_AT[3] :] = np.bincount(at.ravel(), minlength=SIZES[3])
+    return np.round(out * 1e6).astype(np.int64)
+
+
+def _odds(labelled: np.ndarray, taught: np.ndarray) -> np.ndarray:
+    """Log odds of every slot for class 1 from counts (class, slot): labelled and taught distributions have equal weight."""
+    p = np.zeros((2, _AT[-1]))
+    for counts in (labelled, taught):
+        for c in (0, 1):
+            for k in (1, 2, 3):
+                part = slice(_AT[k], _AT[k + 1])
+                groups = (STYLES, 1, META)[k - 1]
+                n = counts[c, part].reshape(groups, -1) / 1e6
+                if n.sum():
+                    p[c, part] += ((n + SMOOTH / n.shape[1]) / (n.sum(axis=1, keepdims=True) + SMOOTH)).ravel()
+    p = np.where(p > 0, p, 1.0)
+    return np.log(p[1]) - np.log(p[0])
+
+
+def _views(x: Rows, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of the parts of each view: (styles, words) and (metadata)."""
+    style = text[x.style.astype(np.int64) + np.arange(STYLES) * RANGES + _AT[1]].sum(axis=1)
+    words = (x.words / np.maximum(x.words.sum(axis=1, keepdims=True), 1)) @ text[_AT[2] : _AT[3]]
+    return np.stack([style, words], axis=1), meta[x.meta.astype(np.int64) + np.arange(META) * BINS + _AT[3]].sum(axis=1, keepdims=True)
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights and, last, the intercept of a ridge logistic regression on a few columns, by Newton's method."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(x) + ridge * np.eye(len(w)), x.T @ (p - y) / len(x) + ridge * w)
     return w
 
 
-def log_odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return x @ w[:-1].astype(np.float32) + np.float32(w[-1])
+def _calibrated(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return x @ w[:-1] + w[-1]
 
 
-Model = tuple[np.ndarray, np.ndarray, np.ndarray]
+class Model(NamedTuple):
+    text: np.ndarray
+    meta: np.ndarray
+    text_fit: np.ndarray
+    meta_fit: np.ndarray
+    both: np.ndarray
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> Model | None:
-    """(text weights, metadata weights, weights of both log odds and 1) for quality."""
+def _teach(model: Model):
+    """Counts by class that the rows either view is sure of teach the other: slots of (view, class, count)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, limit = np.zeros((2, 2, _AT[-1]), np.int64), np.log(SURE / (1 - SURE))
+        for b in batches:
+            if b.num_rows:
+                x = _rows(b["style"], b["words"], b["meta"])
+                text, meta = (_calibrated(v, w) for v, w in zip(_views(x, model.text, model.meta), (model.text_fit, model.meta_fit), strict=True))
+                for view, teacher in ((0, meta), (1, text)):
+                    total[view, 0] += _counts(x, teacher <= -limit, view == 0)
+                    total[view, 1] += _counts(x, teacher >= limit, view == 0)
+        some = np.flatnonzero(total.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total.ravel()[some])], names=["slot", "n"])
+
+    return run
+
+
+def train(feats: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model | None:
+    """feats: of ``features``; labels (doc_id, quality) -> the classifiers, or None without labels of both kinds."""
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("quality"))
+    sample = known.orderBy(F.xxhash64("__id"), "__id", "quality").limit(LABELLED).collect()
+    chosen = feats.sparkSession.createDataFrame(sample, "__id long, quality int")  # LABELLED rows at most
+    found = feats.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("quality", "style", "words", "meta").collect()
+    found.sort(key=lambda r: (r.style, r.words, r.meta, r.quality))
+    order = np.random.default_rng(5).permutation(len(found))
+    y = np.array([float(found[i].quality > 0) for i in order])
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
         return None
-    views, pools = (text, meta), (pool_text, pool_meta)
-    taught: list[dict[int, float]] = [{}, {}]  # pool documents and labels that each view has from the other
-    rate = y[~held].mean()
-    for k in range(ROUNDS + 1):
-        weights = []
-        for v, p, t in zip(views, pools, taught, strict=True):
-            more = list(t)
-            weights.append(fit(np.vstack([v[~held], p[more]]), np.append(y[~held], [t[i] for i in more])))
-        if k == ROUNDS or not len(pool_text):
-            break
-        for me, other in ((0, 1), (1, 0)):
-            score = log_odds(pools[me], weights[me])
-            fresh = np.array([i for i in range(len(score)) if i not in taught[other]], np.int64)
-            by = fresh[np.argsort(score[fresh], kind="stable")]
-            n = min(SURE, len(by) // 2)
-            low = max(1, round(n * (1 - rate)))
-            sure = [(i, 0.0) for i in by[:low].tolist() if score[i] < -2] + [(i, 1.0) for i in by[::-1][: n - low].tolist() if score[i] > 2]
-            taught[other].update(sure)
-    both = np.stack([log_odds(v[held], w) for v, w in zip(views, weights, strict=True)], axis=1)
-    return *weights, fit(both.astype(np.float32), y[held])
-
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            text, meta = text_features(b["text"]), meta_features(*(b[c].to_pylist() for c in ("lang", "source", "n_chars")))
-            yield pa.RecordBatch.from_arrays([b["quality"], pa.array([r.astype(np.float16).tobytes() for r in text]), pa.array([r.astype(np.float16).tobytes() for r in meta])], names=["quality", "text", "meta"])
-
-
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """docs (doc_id, text, lang, source, n_chars), labels (doc_id, quality)."""
-    spark = docs.sparkSession
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality"))
-    sample = known.orderBy(F.xxhash64("__id"), "__id", "quality").limit(LABELLED)
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").join(known.select("__id"), F.col("doc_id") == F.col("__id"), "left_anti")
-    pool = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(POOL).select(F.col("doc_id").alias("__id"), F.lit(-1).alias("quality"))
-    chosen = spark.createDataFrame(sample.union(pool).collect(), "__id long, quality int")  # LABELLED + POOL ids at most
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"].cast("long") == chosen["__id"]).select("__id", "quality", "text", "lang", "source", "n_chars")
-    found = rows.mapInArrow(_gather, "quality int, text binary, meta binary").collect()
-    found.sort(key=lambda r: (r.text, r.meta))
-    order = np.random.default_rng(5).permutation(len(found))
-    y = np.array([found[i].quality for i in order])
-    text, meta = (np.array([np.frombuffer(found[i][c], np.float16) for i in order], np.float32).reshape(len(found), -1) for c in ("text", "meta"))
-    return cotrain(text[y >= 0], meta[y >= 0], (y[y >= 0] > 0).astype(float), text[y < 0], meta[y < 0]) if len(found) else None
-
-
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs -> doc_id, text_score, meta_score (log odds), score (probability of quality), kept."""
+    every = _rows(*(pa.array([found[i][c] for i in order], pa.binary()) for c in ("style", "words", "meta")))
+    learn, hold = (Rows(*(c[m] for c in every)) for m in (~held, held))
+    own = np.stack([np.stack([_counts(learn, y[~held] == c, view == 0) for c in (0, 1)]) for view in (0, 1)])
+    taught = np.zeros_like(own)
+    unlabelled = feats.join(F.broadcast(chosen.select("__id").distinct()), F.col("doc_id") == F.col("__id"), "left_anti").select("style", "words", "meta")
+    for k in range(rounds + 1):
+        text, meta = (_odds(own[v], taught[v]) for v in (0, 1))
+        parts = _views(hold, text, meta)
+        fits = [fit(p, y[held]) for p in parts]
+        model = Model(text, meta, *fits, fit(np.stack([_calibrated(p, w) for p, w in zip(parts, fits, strict=True)], axis=1), y[held]))
+        if k < rounds:
+            before, taught = taught, np.zeros_like(own)
+            for r in unlabelled.mapInArrow(_teach(model), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # the slots of the counts at most
+                taught.ravel()[r.slot] = r.n
+            if (taught == before).all():
+                break
+    return model
+
+
+def score(feats: DataFrame, model: Model | None) -> DataFrame:
+    """feats -> doc_id, text_score, meta_score (calibrated log odds), score (probability of quality), kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            one = two = np.zeros(b.num_rows)
-            p = np.full(b.num_rows, 0.5)
+            one, two, p = np.zeros(b.num_rows), np.zeros(b.num_rows), np.full(b.num_rows, 0.5)
             if model is not None and b.num_rows:
-                w1, w2, mixed = model
-                one = log_odds(text_features(b["text"]), w1)
-                two = log_odds(meta_features(*(b[c].to_pylist() for c in ("lang", "source", "n_chars"))), w2)
-                p = 1 / (1 + np.exp(-(one * mixed[0] + two * mixed[1] + mixed[2])))
-            one, two, p = (np.round(x.astype(float), 4) for x in (one, two, p))
-            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(one), pa.array(two), pa.array(p), pa.array(p >= KEEP)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
-
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, kept boolean")
+                parts = _views(_rows(b["style"], b["words"], b["meta"]), model.text, model.meta)
+                one, two = (_calibrated(v, w) for v, w in zip(parts, (model.text_fit, model.meta_fit), strict=True))
+                p = 1 / (1 + np.exp(-_calibrated(np.stack([one, two], axis=1), model.both)))
+            one, two, p = (np.round(x, 4) for x in (one, two, p))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(one), pa.array(two), pa.array(p), pa.array(p >= KEEP)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
+
+    return feats.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, kept boolean")

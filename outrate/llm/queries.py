@@ -54,8 +54,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return cotraining.score(docs, cotraining.train(docs, read(spark, sf_dir, "labels")))
+    found = cotraining.features(read(spark, sf_dir, "documents"))
+    return cotraining.score(found, cotraining.train(found, read(spark, sf_dir, "labels")))
 
 
 def _with_ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
