@@ -50,6 +50,22 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more rows than one of SHARE, and more than FEW, are joined by broadcast: there are fewer than SHARE of them.
+SHARE, FEW = 200, 500
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left (a written table) joined with right, which has one row for each key.  Keys that hold a great part of left's rows would
+    bring them to one task; their rows of right, fewer than SHARE, are sent to all tasks instead."""
+    total = left.count()
+    hot = left.groupBy(*on).count().where(F.col("count") > max(FEW, total / SHARE)).select(*on)
+    hot = table(hot, "hot") if total > FEW else hot.where("false")
+    if total <= FEW or hot.isEmpty():
+        return left.join(right, on, how)
+    few = right.join(F.broadcast(hot), on, "left_semi")
+    return left.join(F.broadcast(hot), on, "left_anti").join(right, on, how).unionByName(left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, how))
+
+
 def ready(spark: SparkSession) -> None:
     """Let Python workers import this package, and keep Arrow batches of whole texts small, by rows and by bytes."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outrate.llm.bits import among, bitset
-from outrate.llm.common import table
+from outrate.llm.common import hot_join, table
 from outrate.llm.components import components
 from outrate.llm.shingles import mix, sets
 
@@ -44,6 +44,8 @@ TREES, MISS = 29, 1.2e-5
 NEAR, SMALL, HOT = 3, 10, 4000
 #: Shingles are counted in 2 ** SLOTS slots, 1 MB, to tell the rare ones; of a hot shingle's components DEAL stand in one part.
 SLOTS, DEAL = 18, 256
+#: Tasks that a document's candidates are dealt out to.
+PARTS = 64
 #: Confirmed links have 100 * intersection >= link * union.
 LINK = 85
 
@@ -179,7 +181,7 @@ def _confirm(link: int):
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, link: int) -> DataFrame:
     """pairs (a, b) that are links by their full sets.  A hot cell is dealt out over several tasks, its document with each part."""
-    placed = pairs.select(F.col("a").alias("cell"), F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.lit(8)).alias("part"))
+    placed = pairs.select(F.col("a").alias("cell"), F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.lit(PARTS)).alias("part"))
     need = placed.union(placed.select("cell", F.col("cell").alias("node"), "part").distinct())
     rows = need.join(docs.select(F.col("doc_id").alias("node"), "text").hint("merge"), "node")  # texts never fit a broadcast
     ready = rows.repartition("cell", "part").sortWithinPartitions("cell", "part", F.col("node") != F.col("cell"))
@@ -268,9 +270,9 @@ def group(docs: DataFrame, link: int = LINK) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = table(docs.mapInArrow(_sign(plan), SIGNED), "signed")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    nodes = full.join(same, ["k1", "k2", "n_shingles"]).select("doc_id", "rep").distinct()
-    nodes = table(nodes, "nodes")
+    equal = ["k1", "k2", "n_shingles"]
+    same = full.groupBy(*equal).agg(F.min("doc_id").alias("rep"))
+    nodes = table(hot_join(full.select("doc_id", *equal), same, equal).select("doc_id", "rep").distinct(), "nodes")
     reps = full.join(nodes.where("doc_id = rep").select("doc_id").distinct(), "doc_id").select(F.col("doc_id").alias("id"), "n_shingles", "sig")
     placed = table(reps.mapInArrow(_plant(plan), "tree int, region long, deep long, label binary, id long"), "forest")
     large = placed.groupBy("tree", "region").count().where(F.col("count") > SMALL).select("tree", "region", (F.col("count") > HOT).alias("hot"))

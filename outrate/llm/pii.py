@@ -68,7 +68,7 @@ def base_spans(text: str) -> list[Span]:
             out.append(("email", a, end := m.end()))
         at = text.find("@", m.end() if m else at + 1)
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p := x.lstrip("0")) <= 3 and int(p or "0") <= 255 for x in m[0].split(".")):
             out.append(("ip", *m.span()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d):

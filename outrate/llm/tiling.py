@@ -7,9 +7,9 @@ rolling Karp-Rabin hashes give all matches of five words and more; the longest i
 the longest that is left of the others, and so on, so no word counts twice and passages in another
 order count in full.  A document is contaminated if tiles cover at least ``COVER`` percent of an item.
 
-Items of fewer than five words, null and empty texts match nothing.  Rows without doc_id are judged
-like others.  Repeated rows each get the same verdict; repeated items count once.  Empty tables give
-an empty result.
+Items of fewer than five words, null and empty texts match nothing.  Very long texts are tiled whole.
+Rows without doc_id are judged like others.  Repeated rows get the same verdict, named once; repeated
+items count once.  Empty tables give an empty result.  Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from outrate.llm.common import table
 from outrate.llm.shingles import buffers, fold, groups, word_bounds, word_hashes
 
 SEED, COVER = 5, 50
+#: Pairs of equal seeds of an item and a text that are looked at together.
+AT_ONCE = 1 << 20
 
 _other = np.ones(256, bool)
 _other[128:] = False
@@ -52,14 +54,27 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[i
     order = np.argsort(one, kind="stable")
     lo, hi = np.searchsorted(one[order], two, "left"), np.searchsorted(one[order], two, "right")
     hits = np.flatnonzero(hi > lo)
-    j = np.repeat(hits, (hi - lo)[hits])
-    within = np.arange(len(j)) - np.repeat(np.cumsum((hi - lo)[hits]) - (hi - lo)[hits], (hi - lo)[hits])
-    i = order[lo[j] + within]
-    by = np.lexsort((i, j - i))
-    i, j = i[by], j[by]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(j - i) != 0) | (np.diff(i) != 1)])) if len(i) else np.zeros(0, int)
-    sizes = np.diff(np.append(new, len(i))) + least - 1
-    heap = [(-int(n), int(i[k]), int(j[k])) for n, k in zip(sizes, new, strict=True)]
+    ahead, behind = np.append(one, np.uint64(0)), np.append(two, np.uint64(0))  # behind the last and, by index -1, before the first
+    begins, ends = [], []
+    if not len(hits):
+        return []
+    total = np.cumsum((hi - lo)[hits])
+    cuts = np.unique(np.searchsorted(total, np.arange(0, int(total[-1]), AT_ONCE), "left"))
+    for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(hits)], strict=True):
+        some = hits[x:y]
+        n = (hi - lo)[some]
+        j = np.repeat(some, n)
+        i = order[lo[j] + np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n)]
+        # only the ends of matches are kept, so a word that both texts repeat many times takes no more room than their lengths
+        new = (i == 0) | (j == 0) | (ahead[i - 1] != behind[j - 1])
+        last = (i == len(one) - 1) | (j == len(two) - 1) | (ahead[i + 1] != behind[j + 1])
+        begins.append(np.stack([j - i, i])[:, new])
+        ends.append(np.stack([j - i, i])[:, last])
+    begin, end = (np.concatenate(x, axis=1) for x in (begins, ends))
+    begin, end = (x[:, np.lexsort((x[1], x[0]))] for x in (begin, end))  # in order of diagonal, then place: a match's ends meet
+    i, j = begin[1], begin[0] + begin[1]
+    sizes = end[1] - begin[1] + least
+    heap = list(zip((-sizes).tolist(), i.tolist(), j.tolist(), strict=True))
     heapq.heapify(heap)
     free_item, free_text, found = np.ones(len(item), bool), np.ones(len(text), bool), []
     while heap:

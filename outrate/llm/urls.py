@@ -1,26 +1,28 @@
 """URL filter: longest-match rules, and for the rest naive Bayes over the words of hosts and paths.
 
 Hosts are written without spaces, so each label is split into words first: a Viterbi search over the
-unigram counts of the pages' own words, where an unknown stretch costs more the longer it is.  The
-classifier is multinomial naive Bayes over these words; it learns from urls that name a known bad or
-a harmless thing (``SEEDS``), and a url is blocked only if that is likelier by ``MARGIN``.
-
-Null url or one without ``://``: host and path are empty, no rule fits, and the verdict is allow.
-Rules are compared by bytes.  Repeated rows are judged alike; an empty table gives an empty result.
+unigram counts of all words of all pages, where an unknown stretch costs more the longer it is.  Counts
+and labels meet in a join, so none is left out at any size.  The classifier is multinomial naive Bayes
+over these words; urls that name a known bad thing (``SEEDS``) are its examples of bad ones, all others
+of good ones, and a url is blocked only if that is likelier by ``MARGIN``.
+
+Null url or one without ``://``: host and path are empty, no rule fits, and the verdict is allow.  A rule
+with a path from ``/`` does not fit a url whose path is empty.  Rules are compared by bytes.  Very long
+urls are split whole.  Repeated rows are judged alike, and so are rows without page_id; an empty table
+gives an empty result.  Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outrate.llm.common import LOWER, UPPER, table
+from outrate.llm.common import LOWER, UPPER, hot_join, table
 
 #: Rule -> verdict: host, then path from its first slash.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -29,9 +31,8 @@ SEEDS = frozenset("spam pills casino viagra porn xxx poker betting bet loan loan
 #: Words of any host or path, which say nothing.
 PLAIN = frozenset("www com org net example html htm php index http https blog m en de fr es ref page".split())
 LONGEST, MARGIN, SMOOTH = 20, 1.0, 1.0
-#: The splitter knows the commonest words only, as many as can be told apart by sixteenths of a power of two; this bounds what
-#: is sent to the tasks (about 2 MB).
-VOCABULARY = 50_000
+#: What each letter of an unknown stretch costs.
+UNKNOWN = 2.3
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -52,94 +53,83 @@ def rule(host: Column, path: Column, rules: dict[str, str] = RULES) -> Column:
     return found
 
 
-def _splitter(costs: dict[str, float], total: float):
-    def unknown(n: int) -> float:
-        return math.log(total) + 2.3 * n
-
-    def split(label: str) -> list[str]:
-        n = len(label)
-        best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - LONGEST), j):
-                cost = best[i] + (costs.get(label[i:j]) or unknown(j - i))
-                if cost < best[j]:
-                    best[j], back[j] = cost, i
-        words, j = [], n
-        while j:
-            words.append(label[back[j] : j])
-            j = back[j]
-        return words[::-1]
-
-    return split
-
-
-_label = re.compile(r"[^\W\d_]+")
-
-
-def words(host_path: pd.Series, split) -> Iterator[list[str]]:
-    memo: dict[str, list[str]] = {}
-    for text in host_path:
-        out = []
-        for label in _label.findall(text.lower()):
-            if label not in memo:
-                memo[label] = [w for k in range(0, len(label), 200) for w in split(label[k : k + 200])]
-            out += memo[label]
-        yield [w for w in out if w not in PLAIN]
-
-
-def unigrams(pages: DataFrame) -> dict[str, int]:
-    """Counts of the commonest words of all pages' visible text, and of the seeds."""
+def split(label: str, costs: dict[str, float], total: float) -> list[str]:
+    """The cheapest split of a label into words; what is no word costs more the longer it is."""
+    n, base = len(label), math.log(total)
+    best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+    for j in range(1, n + 1):
+        for i in range(max(0, j - LONGEST), j):
+            cost = best[i] + costs.get(label[i:j], base + UNKNOWN * (j - i))
+            if cost < best[j]:
+                best[j], back[j] = cost, i
+    words, j = [], n
+    while j:
+        words.append(label[back[j] : j])
+        j = back[j]
+    return words[::-1]
+
+
+def unigrams(pages: DataFrame) -> DataFrame:
+    """(word, n): counts of all words of all pages' visible text, and of the seeds."""
     text = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^<>]*>", " "))
-    word = F.explode(F.split(text, r"[^\p{L}]+"))
-    counts = pages.select(word.alias("w")).where(F.length("w").between(2, LONGEST)).groupBy("w").count()
-    counts = table(counts, "unigrams")
-    # How many words have a count in each sixteenth of a power of two: some hundred rows, however many words there are.
-    step = F.floor(F.log2("count") * 16)
-    least, n = None, 0
-    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
-        n += r.n
-        if n > VOCABULARY:
-            break
-        least = r.step
-    top = {} if least is None else {r["w"]: r["count"] for r in counts.where(step >= least).collect()}  # VOCABULARY rows at most
-    return {w: max(1, n // 10) if len(w) == 2 else n for w, n in top.items()} | {w: max(top.get(w, 0), 50) for w in SEEDS | {"farm", "online", "shop", "news"}}
-
-
-def segment(pages: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """pages with __words: the words of host and path."""
-    total = float(sum(counts.values()) + 1)
-    costs = {w: math.log(total / n) for w, n in counts.items()}
-    sent = pages.sparkSession.sparkContext.broadcast((costs, total))
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        split = _splitter(*sent.value)
-        for host_path in batches:
-            yield pd.Series(list(words(host_path, split)))
-
-    return pages.withColumn("__words", F.pandas_udf(run, "array<string>")(F.concat("host", F.lit(" "), "path")))
-
-
-def scores(segmented: DataFrame) -> DataFrame:
-    """Log odds of every word for bad: two counts of all urls, smoothed.  Urls with a seed are the bad ones; the seeds' own words
-    count too, and each url once per word."""
-    bad = F.exists("__words", lambda w: w.isin(list(SEEDS)))
-    each = segmented.select(bad.alias("bad"), F.explode(F.array_distinct("__words")).alias("word"))
+    counts = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where(F.length("word").between(2, LONGEST)).groupBy("word").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("n", F.when(F.length("word") == 2, F.greatest(F.lit(1), F.floor(F.col("n") / 10))).otherwise(F.col("n")).cast("long"))
+    sure = pages.sparkSession.createDataFrame([(w, 50) for w in sorted(SEEDS | {"farm", "online", "shop", "news"})], "word string, n long")
+    return table(counts.union(sure).groupBy("word").agg(F.max("n").alias("n")), "unigrams")
+
+
+def _split(total: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [split(label, {x["word"]: math.log(total / x["n"]) for x in known}, total) for label, known in zip(b["label"].to_pylist(), b["known"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["label"], pa.array([sorted(set(x)) for x in out], pa.list_(pa.string()))], names=["label", "words"])
+
+    return run
+
+
+def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
+    """labels (label), each once -> label, words: its distinct words.  Every part of a label that could be a word is looked up in
+    the whole of counts by a join, and a task gets each label with what was found for it."""
+    total = float((counts.agg(F.sum("n")).first()[0] or 0) + 1)
+    # A long label is taken in stretches, so no row has more than 200 * LONGEST parts.
+    stretch = F.explode(F.sequence(F.lit(0), F.length("label") - 1, F.lit(200))).alias("from")
+    some = labels.select("label", stretch).select("label", F.expr(f"substring(label, from + 1, 200 + {LONGEST - 1})").alias("s"))
+    at = "transform(sequence(1, least(200, length(s))), i -> transform(sequence(1, least({0}, length(s) - i + 1)), n -> substring(s, i, n)))".format(LONGEST)
+    parts = some.select("label", F.explode(F.array_distinct(F.flatten(F.expr(at)))).alias("word")).where("length(word) > 1").distinct()
+    known = hot_join(table(parts, "parts"), counts, ["word"]).groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return table(labels.join(known, "label", "left").select("label", F.coalesce("known", F.array().cast("array<struct<word:string,n:bigint>>")).alias("known")).mapInArrow(_split(total), "label string, words array<string>"), "split")
+
+
+def scores(urls: DataFrame) -> DataFrame:
+    """urls (words) -> word, odds: log odds of every word for bad by two counts of all urls, smoothed.  Urls with a seed are the bad
+    ones; the seeds' own words count too, and each url once per word."""
+    each = urls.select(_bad().alias("bad"), F.explode("words").alias("word"))
     per = each.groupBy("word").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g"))
     total = per.agg(F.sum("b").alias("nb"), F.sum("g").alias("ng"), F.count("*").alias("v"))
     p, q = (F.log((F.col(x) + SMOOTH) / (F.col(n) + SMOOTH * F.col("v"))) for x, n in (("b", "nb"), ("g", "ng")))
     return per.crossJoin(F.broadcast(total)).select("word", (p - q).alias("odds"))  # one row of totals
 
 
+def _bad() -> Column:
+    return F.exists("words", lambda w: w.isin(sorted(SEEDS)))
+
+
 def judge(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) -> page_id, host, path, rule, verdict, score (log odds for bad; null where a rule decides)."""
     host, path = parts(F.col("__url"))
-    split = pages.select("page_id", F.col("url").alias("__url")).select("page_id", host.alias("host"), path.alias("path"))
-    split = split.withColumn("rule", rule(F.col("host"), F.col("path"))).withColumn("__row", F.xxhash64("host", "path"))
-    segmented = table(segment(split.select("host", "path", "__row"), unigrams(pages)), "segmented")
-    prior = segmented.agg(F.count_if(F.exists("__words", lambda w: w.isin(list(SEEDS)))).alias("b"), F.count("*").alias("n")).first()
-    base = math.log((prior.b + 1) / (prior.n - prior.b + 1))
-    rows = segmented.dropDuplicates(["__row"]).select("__row", F.explode_outer("__words").alias("word"))
-    total = rows.join(scores(segmented), "word", "left").groupBy("__row").agg((F.lit(base) + F.coalesce(F.sum("odds"), F.lit(0.0))).alias("score"))
+    every = pages.select("page_id", F.col("url").alias("__url")).select("page_id", host.alias("host"), path.alias("path"))
+    every = table(every.withColumns({"u1": F.xxhash64("host", "path"), "u2": F.xxhash64("path", "host")}), "urls")
+    each = every.select("u1", "u2", "host", "path").dropDuplicates(["u1", "u2"])
+    label = F.explode(F.array_distinct(F.split(F.lower(F.concat("host", F.lit(" "), "path")), r"[^\p{L}]+"))).alias("label")
+    labels = table(each.select("u1", "u2", label).where(F.col("label") != "").where(~F.col("label").isin(sorted(PLAIN))), "labels")
+    words = hot_join(labels, segmented(labels.select("label").distinct(), unigrams(pages)), ["label"]).groupBy("u1", "u2").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    words = table(words.withColumn("words", F.filter("words", lambda w: ~w.isin(sorted(PLAIN)))), "words")
+    odds = scores(words)
+    bad, n = words.agg(F.count_if(_bad()), F.count("*")).first()
+    base = math.log((bad + 1) / (n - bad + 1))
+    found = table(words.select("u1", "u2", F.explode("words").alias("word")), "url-words")
+    total = hot_join(found, odds, ["word"]).groupBy("u1", "u2").agg((F.lit(base) + F.sum("odds")).alias("score"))
+    out = hot_join(every, total, ["u1", "u2"], "left").withColumn("score", F.coalesce("score", F.lit(base))).withColumn("rule", rule(F.col("host"), F.col("path")))
     verdicts = reduce(lambda c, r: c.when(F.col("rule") == r, F.lit(RULES[r])), RULES, F.when(F.lit(False), ""))
-    out = split.join(total, "__row", "left")
-    return out.select("page_id", "host", "path", "rule", verdicts.otherwise(F.when(F.col("score") > MARGIN, "block").otherwise("allow")).alias("verdict"), F.when(F.col("rule").isNull(), F.round("score", 6)).alias("score"))
+    method = F.when((F.col("score") > MARGIN) & (F.col("host") != ""), "block").otherwise("allow")
+    return out.select("page_id", "host", "path", "rule", verdicts.otherwise(method).alias("verdict"), F.when(F.col("rule").isNull(), F.round("score", 6)).alias("score"))
