@@ -2,9 +2,10 @@
 
 Every document's set of word shingles gets ``trees * depth`` MinHash values.  A tree is the order of
 all documents by its own ``depth`` values and, below them, the values of the next tree.  Documents
-that agree on the first ``depth`` values form a region of the tree; a region of more than ``HOT``
-documents is refined to twice that depth.  Within a region documents stand in order, so those with
-the longest common prefixes are neighbours: each becomes a candidate with the ``NEAR`` before it.
+that agree on the first ``depth`` values form a region of the tree.  Within a region documents stand in
+order, so those with the longest common prefixes are neighbours, however deep their region goes: each
+becomes a candidate with the ``NEAR`` before it.  Regions of more than ``HOT`` documents are dealt out by
+ranges of that order.
 Equal sets are joined beforehand, candidates that their signatures rule out are dropped, and links are
 confirmed on the full sets: first each document's likeliest partner, then all candidates that these
 links have not joined yet.
@@ -20,7 +21,8 @@ probability 1e-5.
 
 Null and empty text, or text of blanks: the set is empty, the document is linked with nothing.  Rows
 without doc_id are linked with nothing, and kept.  Rows of one doc_id and equal text count as one
-document in links but each comes back.  An empty table gives an empty result.
+document in links but each comes back.  Very long texts are hashed whole, in a group of their own.  An
+empty table gives an empty result.  Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -96,7 +98,7 @@ def _sign(plan: Forest):
     return run
 
 
-_placed = pa.schema([("tree", pa.int32()), ("region", pa.int64()), ("deep", pa.int64()), ("label", pa.binary()), ("id", pa.int64())])
+_placed = pa.schema([("tree", pa.int32()), ("region", pa.int64()), ("label", pa.binary()), ("id", pa.int64())])
 
 
 def _plant(plan: Forest):
@@ -108,38 +110,70 @@ def _plant(plan: Forest):
             twice = np.concatenate([sig, sig[:, : plan.depth]], axis=1)
             for t in range(plan.trees):
                 label = np.ascontiguousarray(twice[:, t * plan.depth : (t + 2) * plan.depth])
-                halves = []
-                for depth in (plan.depth, 2 * plan.depth):
-                    h = np.full(b.num_rows, t, np.uint64)
-                    for k in range(depth):
-                        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + label[:, k])
-                    halves.append(h.view(np.int64))
-                rows = [x.tobytes() for x in label.astype(">u2")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), *map(pa.array, halves), pa.array(rows, pa.binary()), b["id"]], schema=_placed)
+                h = np.full(b.num_rows, t, np.uint64)
+                for k in range(plan.depth):
+                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + label[:, k])
+                rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * plan.depth), b.num_rows, [None, pa.py_buffer(label.astype(">u2"))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(h.view(np.int64)), rows, b["id"]], schema=_placed)
 
     return run
 
 
 _pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_pairs_edges = pa.schema([*_pairs, pa.field("key", pa.int64()), pa.field("label", pa.binary()), pa.field("id", pa.int64())])
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (key, label): each with the NEAR rows before it, or all of a small region."""
-    held: list[int] = []
-    at, a, b = None, [], []
-    for rows in batches:
-        for key, node in zip(rows["key"].to_pylist(), rows["id"].to_pylist(), strict=True):
-            if key != at:
-                at, held = key, []
-            for other in held if len(held) < SMALL else held[-NEAR:]:
-                a.append(min(node, other))
-                b.append(max(node, other))
-            held.append(node)
-            if len(held) > 2 * SMALL:
-                del held[:-SMALL]
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_pairs)
-            a, b = [], []
+def _neighbours(edges: bool):
+    """Rows in order of (key, label): pairs of each with the NEAR rows before it, or with all of a small region.  edges: also the
+    partition's first and last rows, whose neighbours may stand in other partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, place = np.zeros((3, 0), np.int64)  # the last rows, and their places in their regions
+        first, last = None, None
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            old = len(key)
+            key, node = np.concatenate([key, rows["key"].to_numpy()]), np.concatenate([node, rows["id"].to_numpy()])
+            at = np.arange(len(key))
+            begin = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), at, 0))
+            place = at - begin + np.where(begin == 0, place[0] if old else 0, 0)
+            found = []
+            for s in range(1, min(SMALL, len(key))):
+                i = np.arange(max(s, old), len(key))
+                i = i[(key[i] == key[i - s]) & ((s <= NEAR) | (place[i] < SMALL))]
+                found.append(np.stack([np.minimum(node[i], node[i - s]), np.maximum(node[i], node[i - s])]))
+            if found:
+                a, b = np.concatenate(found, axis=1)
+                nothing = [pa.nulls(len(a), t) for t in (pa.int64(), pa.binary(), pa.int64())] if edges else []
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *nothing], schema=_pairs_edges if edges else _pairs)
+            key, node, place = key[-SMALL:], node[-SMALL:], place[-SMALL:]
+            if edges:
+                first = rows if first is None else pa.concat_batches([first, rows.slice(0, NEAR)]).slice(0, NEAR)
+                first = first.slice(0, NEAR)
+                last = pa.concat_batches([*([last] if last is not None else []), rows.slice(max(0, rows.num_rows - NEAR))])
+                last = last.slice(max(0, last.num_rows - NEAR))
+        if first is not None:
+            ends = pa.concat_batches([first, last])
+            nothing = pa.nulls(ends.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([nothing, nothing, ends["key"], ends["label"], ends["id"]], schema=_pairs_edges)
+
+    return run
+
+
+def _seen(placed: DataFrame, large: DataFrame) -> DataFrame:
+    """Candidates (a, b).  Regions of more than HOT documents are dealt out by ranges of their order, so a task never has one alone;
+    the rows at the ends of ranges, a few for each task, are compared once more together."""
+    marked = hot_join(placed, large, ["tree", "region"], "left")
+    cold = marked.where("hot IS NULL OR NOT hot").select(F.col("region").alias("key"), "label", "id")
+    seen = cold.repartition("key").sortWithinPartitions("key", "label", "id").select("key", "id").mapInArrow(_neighbours(False), "a long, b long")
+    if not large.where("hot").isEmpty():
+        hot = marked.where("hot").select(F.col("region").alias("key"), "label", "id")
+        ranges = hot.repartitionByRange("key", "label", "id").sortWithinPartitions("key", "label", "id")
+        near = table(ranges.mapInArrow(_neighbours(True), "a long, b long, key long, label binary, id long"), "hot-neighbours")
+        ends = near.where("a IS NULL").select("key", "label", "id").repartition(1).sortWithinPartitions("key", "label", "id")
+        seen = seen.union(near.where("a IS NOT NULL").select("a", "b")).union(ends.select("key", "id").mapInArrow(_neighbours(False), "a long, b long"))
+    return seen.where("a <> b").distinct()
 
 
 def _likely(plan: Forest):
@@ -274,14 +308,11 @@ def group(docs: DataFrame, link: int = LINK) -> DataFrame:
     same = full.groupBy(*equal).agg(F.min("doc_id").alias("rep"))
     nodes = table(hot_join(full.select("doc_id", *equal), same, equal).select("doc_id", "rep").distinct(), "nodes")
     reps = full.join(nodes.where("doc_id = rep").select("doc_id").distinct(), "doc_id").select(F.col("doc_id").alias("id"), "n_shingles", "sig")
-    placed = table(reps.mapInArrow(_plant(plan), "tree int, region long, deep long, label binary, id long"), "forest")
+    placed = table(reps.mapInArrow(_plant(plan), "tree int, region long, label binary, id long"), "forest")
     large = placed.groupBy("tree", "region").count().where(F.col("count") > SMALL).select("tree", "region", (F.col("count") > HOT).alias("hot"))
     large = table(large, "large")
-    crowd = table(placed.join(large, ["tree", "region"], "left_semi").select("id").distinct(), "crowd")
-    hot = large.where("hot")
-    keyed = placed.join(hot, ["tree", "region"], "left").select(F.when(F.col("hot"), F.col("deep")).otherwise(F.col("region")).alias("key"), "label", "id")
-    ordered = keyed.repartition("key").sortWithinPartitions("key", "label", "id")
-    seen = ordered.select("key", "id").mapInArrow(_neighbours, "a long, b long").where("a <> b").distinct()
+    crowd = table(hot_join(placed, large, ["tree", "region"]).select("id").distinct(), "crowd")
+    seen = _seen(placed, large)
     one, two = (reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
     pairs = table(seen.join(one, "a").join(two, "b").mapInArrow(_likely(plan), "a long, b long, share double"), "candidates")
     best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("share"), "a"))).where("rank = 1")

@@ -42,7 +42,10 @@ def _shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def test_forest(docs, rows):
+@pytest.mark.parametrize("hot", [2, 4000])
+def test_forest(docs, rows, hot, monkeypatch):
+    monkeypatch.setattr(forest, "HOT", hot)
+    monkeypatch.setattr(forest, "SMALL", min(hot, forest.SMALL))
     sets = {i: _shingles(t) for i, t, *_ in rows if i is not None}
     root = {i: i for i in sets}
 
