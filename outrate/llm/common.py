@@ -54,16 +54,18 @@ def table(df: DataFrame, name: str) -> DataFrame:
 SHARE, FEW = 200, 500
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """left (a written table) joined with right, which has one row for each key.  Keys that hold a great part of left's rows would
-    bring them to one task; their rows of right, fewer than SHARE, are sent to all tasks instead."""
-    total = left.count()
-    hot = left.groupBy(*on).count().where(F.col("count") > max(FEW, total / SHARE)).select(*on)
-    hot = table(hot, "hot") if total > FEW else hot.where("false")
-    if total <= FEW or hot.isEmpty():
+    bring them to one task; their rows of right, fewer than SHARE, are sent to all tasks instead.  counts: (keys, n), left's rows by key."""
+    if counts is None:
+        counts = left.groupBy(*on).agg(F.count("*").alias("n"))
+    many = table(counts.where(F.col("n") > FEW).select(*on, "n"), "many")
+    if many.isEmpty():
         return left.join(right, on, how)
-    few = right.join(F.broadcast(hot), on, "left_semi")
-    return left.join(F.broadcast(hot), on, "left_anti").join(right, on, how).unionByName(left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, how))
+    hot = many.where(F.col("n") > left.count() / SHARE).select(*on)
+    few = table(right.join(F.broadcast(hot), on, "left_semi"), "few")
+    rest, some = (left.join(F.broadcast(hot), on, x) for x in ("left_anti", "left_semi"))
+    return rest.join(right, on, how).unionByName(some.join(F.broadcast(few), on, how))
 
 
 def ready(spark: SparkSession) -> None:

@@ -10,10 +10,11 @@ Equal sets are joined beforehand, candidates that their signatures rule out are
 confirmed on the full sets: first each document's likeliest partner, then all candidates that these
 links have not joined yet.
 
-In a region of more than ``SMALL`` documents not all pairs are compared that way, so its documents go
-through an exact pass: their shingles are put into one order, the rarest first, and two sets that are
-a link share one of their first shingles (prefix filter).  All pairs of different components that do
-are confirmed too.
+In a region of more than ``SMALL`` documents not all pairs are compared that way.  Where such a region
+is not wholly in one component yet, its documents go through an exact pass: their shingles are put into
+one order, the rarest first, and two sets that are a link share one of their first shingles (prefix
+filter).  All pairs of different components that do, and may be links by what stands behind it, are
+confirmed too.
 
 Trees and depth follow from the threshold: a pair at 0.85 shares a region of one tree with probability
 0.85 ** 6 = 0.38, one at 0.80 with 0.80 ** 5 = 0.33; that none of 24 or 29 trees shows it has
@@ -44,8 +45,8 @@ from outrate.llm.shingles import mix, sets
 #: The most trees, and the probability that a pair at the threshold shares no region.
 TREES, MISS = 29, 1.2e-5
 NEAR, SMALL, HOT = 3, 10, 4000
-#: Shingles are counted in 2 ** SLOTS slots, 1 MB, to tell the rare ones; of a hot shingle's components DEAL stand in one part.
-SLOTS, DEAL = 18, 256
+#: Shingles are counted in 2 ** SLOTS slots, 1 MB, to tell the rare ones; of a hot shingle's documents about DEAL stand in one block.
+SLOTS, DEAL = 18, 512
 #: Tasks that a document's candidates are dealt out to.
 PARTS = 64
 #: Confirmed links have 100 * intersection >= link * union.
@@ -164,7 +165,7 @@ def _neighbours(edges: bool):
 def _seen(placed: DataFrame, large: DataFrame) -> DataFrame:
     """Candidates (a, b).  Regions of more than HOT documents are dealt out by ranges of their order, so a task never has one alone;
     the rows at the ends of ranges, a few for each task, are compared once more together."""
-    marked = hot_join(placed, large, ["tree", "region"], "left")
+    marked = hot_join(placed, large.drop("n"), ["tree", "region"], "left", large)
     cold = marked.where("hot IS NULL OR NOT hot").select(F.col("region").alias("key"), "label", "id")
     seen = cold.repartition("key").sortWithinPartitions("key", "label", "id").select("key", "id").mapInArrow(_neighbours(False), "a long, b long")
     if not large.where("hot").isEmpty():
@@ -277,25 +278,79 @@ def _prefixes(counts: np.ndarray, link: int):
     return run
 
 
+_open = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _compared(link: int):
+    """Rows in order of (shingle, i, j, side): pairs of both sides, two blocks of at most DEAL rows, that are of different components
+    and may be links by their sizes and by what stands behind the shingle in both."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        node, component, n, at, side = (rows[c].to_numpy() for c in ("id", "component", "n", "at", "side"))
+        one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: a block with itself
+        least = -(-link * (n[one, None].astype(np.int64) + n[two]) // (100 + link))
+        fits = (component[one, None] != component[two]) & ((n - at)[one, None] >= least) & ((n - at)[two] >= least)
+        x, y = np.nonzero(fits)
+        a, b = node[one[x]], node[two[y]]
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=_open)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([b[c].to_numpy() for c in ("shingle", "i", "j")])
+            cuts = np.flatnonzero(np.concatenate([[last is not None and (key[:, 0] != last).any()], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+            for x, y in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                if x in cuts and held:
+                    yield pairs(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                if y > x:
+                    held.append(b.slice(x, y - x))
+            last = key[:, -1]
+        if held:
+            yield pairs(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
 def _unjoined(crowd: DataFrame, texts: DataFrame, link: int) -> DataFrame:
-    """crowd (id, component) -> all pairs (a, b) of different components that may be links by their sizes and first shingles."""
+    """crowd (id, component) -> all pairs (a, b) of different components that may be links by their sizes and first shingles.
+
+    The documents that have a shingle among their first ones are dealt out to blocks, and each two blocks are compared in a task, so a
+    shingle of many documents is neither one task's work nor as many rows as it has pairs.
+    """
     counts = np.zeros(1 << SLOTS, np.int32)
     for x in texts.mapInArrow(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # 2 ** SLOTS rows at most
         counts[x.slot] = min(x.n, 2**31 - 1)
     rows = table(texts.mapInArrow(_prefixes(counts, link), "shingle long, at int, n int, id long").join(crowd, "id"), "prefixes")
-    # Pairs of components first, so that a large component's rows are not compared with each other; hot shingles are dealt out.
-    each = rows.select("shingle", "component").distinct()
-    hot = each.groupBy("shingle").count().where("count > 1").select("shingle", F.ceil(F.col("count") / DEAL).cast("int").alias("parts"))
-    each = table(each.join(hot, "shingle"), "components")
-    one = each.select("shingle", F.col("component").alias("ca"), F.pmod(F.xxhash64("component"), "parts").cast("int").alias("part"))
-    two = each.select("shingle", F.col("component").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    apart = one.join(two, ["shingle", "part"]).where("ca < cb").select("shingle", "ca", "cb")
-    a, b = (rows.select("shingle", F.col("component").alias(f"c{x}"), F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}")) for x in "ab")
-    both = apart.join(a, ["shingle", "ca"]).join(b, ["shingle", "cb"])
-    # The first shingle that a link's sets share leaves room for the least intersection behind it, itself included.
-    least = f"({link} * (na + nb) + {99 + link}) DIV {100 + link}"
-    fits = both.where(f"na - ata >= {least} AND nb - atb >= {least}")
-    return table(fits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "unjoined")
+    several = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("p"), F.max("component").alias("q")).where("p < q")
+    several = table(several.select("shingle", "n", F.ceil(F.col("n") / DEAL).cast("int").alias("parts")), "several")
+    rows = hot_join(rows, several.select("shingle", "parts"), ["shingle"], counts=several).withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    block = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    rows = rows.select("shingle", "id", "component", "n", "at", "own", block).withColumns({
+        "i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1),
+    })
+    dealt = rows.select("shingle", "i", "j", "side", "id", "component", "n", "at").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    return table(dealt.mapInArrow(_compared(link), "a long, b long").distinct(), "unjoined")
+
+
+def _crowd(placed: DataFrame, large: DataFrame, known: DataFrame) -> DataFrame | None:
+    """(id, component) of the documents in large regions whose documents are not all in one component yet."""
+    if large.isEmpty():
+        return None
+    some = table(hot_join(placed.select("tree", "region", "id"), large.select("tree", "region"), ["tree", "region"], counts=large), "in-large")
+    named = some.select("id").distinct().join(known.select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    named = table(named, "named")
+    some = some.join(named, "id")
+    mixed = some.groupBy("tree", "region").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("n")).where("p < q")
+    mixed = table(mixed.select("tree", "region", "n"), "mixed")
+    if mixed.isEmpty():
+        return None
+    ids = hot_join(table(some.select("tree", "region", "id"), "in-mixed"), mixed.select("tree", "region"), ["tree", "region"], counts=mixed).select("id").distinct()
+    return table(named.join(ids, "id", "left_semi"), "crowd")
 
 
 def group(docs: DataFrame, link: int = LINK) -> DataFrame:
@@ -305,13 +360,12 @@ def group(docs: DataFrame, link: int = LINK) -> DataFrame:
     signed = table(docs.mapInArrow(_sign(plan), SIGNED), "signed")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     equal = ["k1", "k2", "n_shingles"]
-    same = full.groupBy(*equal).agg(F.min("doc_id").alias("rep"))
-    nodes = table(hot_join(full.select("doc_id", *equal), same, equal).select("doc_id", "rep").distinct(), "nodes")
+    same = full.groupBy(*equal).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    nodes = table(hot_join(full.select("doc_id", *equal), same.drop("n"), equal, counts=same).select("doc_id", "rep").distinct(), "nodes")
     reps = full.join(nodes.where("doc_id = rep").select("doc_id").distinct(), "doc_id").select(F.col("doc_id").alias("id"), "n_shingles", "sig")
     placed = table(reps.mapInArrow(_plant(plan), "tree int, region long, label binary, id long"), "forest")
-    large = placed.groupBy("tree", "region").count().where(F.col("count") > SMALL).select("tree", "region", (F.col("count") > HOT).alias("hot"))
-    large = table(large, "large")
-    crowd = table(hot_join(placed, large, ["tree", "region"]).select("id").distinct(), "crowd")
+    large = placed.groupBy("tree", "region").agg(F.count("*").alias("n")).where(F.col("n") > SMALL)
+    large = table(large.withColumn("hot", F.col("n") > HOT), "large")
     seen = _seen(placed, large)
     one, two = (reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
     pairs = table(seen.join(one, "a").join(two, "b").mapInArrow(_likely(plan), "a long, b long, share double"), "candidates")
@@ -326,8 +380,8 @@ def group(docs: DataFrame, link: int = LINK) -> DataFrame:
     if not open_pairs.isEmpty():
         more = more.union(_confirmed(open_pairs, sources, link))
     known = components(more)
-    if not crowd.isEmpty():
-        crowd = crowd.join(known.select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    crowd = _crowd(placed, large, known)
+    if crowd is not None:
         texts = _candidates(docs, crowd.select(F.col("id").alias("a"), F.col("id").alias("b")))
         late = _unjoined(crowd, texts, link)
         if not late.isEmpty():

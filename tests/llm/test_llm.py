@@ -325,3 +325,26 @@ def test_urls_by_brute_force(spark, monkeypatch):
     assert len(bad) > 5 and {"block", "allow"} == {r.verdict for r in got.values()}
     assert urls.split("sunflowergarden", costs, total) == ["sun", "flower", "garden"]
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_components(spark):
+    from outrate.llm.components import components
+
+    rng = random.Random(4)
+    big = 2**62
+    links = [(i, i + 1) for i in range(60)] + [(big + rng.randrange(400), big + rng.randrange(400)) for _ in range(300)] + [(5000, 5000 + i) for i in range(300)] + [(7, 7), (None, 3), (-4, 90), (-4, 90)]
+    root = {}
+
+    def find(i):
+        root.setdefault(i, i)
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        if a is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = [(r.node, r.component) for r in components(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert sorted(got) == sorted((i, find(i)) for i in root)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
