@@ -28,17 +28,21 @@ def bitset(keys: DataFrame, key: Column) -> np.ndarray:
     """The set of the well-mixed 64-bit keys, as words of 64 bits."""
     out = np.zeros(1 << (BITS - 6), np.int64)
     found = keys.select(key.alias("key")).where("key IS NOT NULL").mapInArrow(_words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    for part in found.mapInArrow(_dense, "bits binary").toLocalIterator():  # at most one row of the set's size from each task
-        at, bits = np.frombuffer(part.bits, np.int64).reshape(2, -1)
-        out[at] |= bits
+    at, bits = gathered(found)
+    out[at] = bits
     return out.view(np.uint64)
 
 
 def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            both = np.stack([b["word"].to_numpy().astype(np.int64), b["bits"].to_numpy()])
-            yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary())], names=["bits"])
+    rows = [np.stack([b[0].to_numpy().astype(np.int64), b[1].to_numpy()]) for b in batches if b.num_rows]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(rows, axis=1).tobytes()], pa.binary())], names=["pairs"])
+
+
+def gathered(pairs: DataFrame) -> np.ndarray:
+    """Rows of two numbers, each first one once and below a fixed bound, brought to the driver: 16 bytes each."""
+    found = [np.frombuffer(r.pairs, np.int64).reshape(2, -1) for r in pairs.mapInArrow(_dense, "pairs binary").collect()]
+    return np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
 
 
 def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:

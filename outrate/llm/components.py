@@ -2,60 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outrate.llm.common import table
 
-STAR = "u long, v long, moved boolean"
-_star = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("moved", pa.bool_())])
-
-
-def _stars(large: bool):
-    """Rows in order of (u, v): the least of u and its neighbours v becomes the neighbour of those greater than u, or of u and all v
-    (which then are less).  A row has moved if it says something new.  Only a node's least neighbour is held."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, least, other = None, None, None  # the last row's, its node's least neighbour
-        for b in batches:
-            u, v, moved = (b[c].to_numpy(zero_copy_only=False) for c in ("u", "v", "moved"))
-            if not len(u):
-                continue
-            same = np.concatenate([[node == u[0]], u[1:] == u[:-1]])
-            again = same & np.concatenate([[other == v[0]], v[1:] == v[:-1]])
-            begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(u))))
-            m = np.minimum(v[begin], u)
-            if same[0]:
-                m[: len(u) if same.all() else int(np.argmin(same))] = least
-            node, other, least = u[-1], v[-1], m[-1]
-            if large:
-                keep = ~again & (v > u)
-                yield pa.RecordBatch.from_arrays([pa.array(v[keep]), pa.array(m[keep]), pa.array(moved[keep] | (m[keep] != u[keep]))], schema=_star)
-            else:
-                own, rest = ~same, ~again & (v != m)
-                columns = (np.concatenate([x[own], y[rest]]) for x, y in ((u, v), (m, m), (moved, np.ones(len(u), bool))))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_star)
-
-    return run
 
+def _star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges with m, the least neighbour of u.  The minimum is found before the shuffle; of a node with a great part of all edges the
+    join deals the rows out anew."""
+    return edges.join(least, "u")
 
-def components(links: DataFrame) -> DataFrame:
-    """links (a, b) -> (node, component): the smallest node reachable, for every node that has a link.
 
-    Self links and repeated links do no harm; links with a null end are ignored.  Each round moves
-    every link's greater end to the smallest neighbour, so a path shrinks by halves.
+def stars(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """links (a, b) -> (node, component): the smallest node reachable, for every node that has a link but the smallest ones.
+
+    Self links and repeated links do no harm; links with a null end are ignored.  Each round moves every link's greater end to the
+    smallest neighbour, so a path shrinks by halves.  With rounds, it may end before all components are one star: then nodes of one
+    component may have several, and all of them are connected by these stars.
     """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), F.lit(False).alias("moved"))
+    edges, done = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), 0
     while True:
-        both = edges.union(edges.select("v", "u", "moved"))
-        larger = both.repartition("u").sortWithinPartitions("u", "v").mapInArrow(_stars(True), STAR)
-        edges = table(larger.repartition("u").sortWithinPartitions("u", "v").mapInArrow(_stars(False), STAR), "stars")
-        if edges.where("moved").isEmpty():
-            break
-        edges = edges.withColumn("moved", F.lit(False))
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+        both = edges.union(edges.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = _star(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") != F.col("u")).alias("moved"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.bool_or("moved").alias("any"))
+        small = _star(large.select("u", "v"), least)
+        # The row of the least neighbour keeps u's place, every other one moves to it.
+        moved = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (F.col("any") | (F.col("v") != F.col("m"))).alias("moved"))
+        edges, done = table(moved.where("u <> v").groupBy("u", "v").agg(F.bool_or("moved").alias("moved")), "stars"), done + 1
+        if done == rounds or edges.where("moved").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        edges = edges.select("u", "v")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links (a, b) -> (node, component): the smallest node reachable, for every node that has a link."""
+    found = stars(links)
+    return found.union(found.select(F.col("component").alias("node"), "component").distinct())

@@ -37,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from outrate.llm.bits import among, bitset
+from outrate.llm.bits import among, bitset, gathered
 from outrate.llm.common import hot_join, table
-from outrate.llm.components import components
+from outrate.llm.components import components, stars
 from outrate.llm.shingles import mix, sets
 
 #: The most trees, and the probability that a pair at the threshold shares no region.
@@ -323,8 +323,8 @@ def _unjoined(crowd: DataFrame, texts: DataFrame, link: int) -> DataFrame:
     shingle of many documents is neither one task's work nor as many rows as it has pairs.
     """
     counts = np.zeros(1 << SLOTS, np.int32)
-    for x in texts.mapInArrow(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # 2 ** SLOTS rows at most
-        counts[x.slot] = min(x.n, 2**31 - 1)
+    slot, n = gathered(texts.mapInArrow(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")))  # 2 ** SLOTS rows at most
+    counts[slot] = np.minimum(n, 2**31 - 1)
     rows = table(texts.mapInArrow(_prefixes(counts, link), "shingle long, at int, n int, id long").join(crowd, "id"), "prefixes")
     several = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("p"), F.max("component").alias("q")).where("p < q")
     several = table(several.select("shingle", "n", F.ceil(F.col("n") / DEAL).cast("int").alias("parts")), "several")
@@ -372,8 +372,8 @@ def group(docs: DataFrame, link: int = LINK) -> DataFrame:
     best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("share"), "a"))).where("rank = 1")
     sources = _candidates(docs, pairs)
     links = _confirmed(best.select("a", "b"), sources, link)
-    known = components(links)
-    a, b = (known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    known = stars(links, 2)  # these only spare confirmations
+    a, b = (known.groupBy(F.col("node").alias(x)).agg(F.min("component").alias(f"c{x}")) for x in "ab")
     open_pairs = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     open_pairs = table(open_pairs.select("a", "b"), "open")
     more = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(nodes.where("doc_id <> rep"))
