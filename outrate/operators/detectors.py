@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outrate.functions.vectors import dist, mean
-from outrate.operators.neighbors import knn, nearest, nearest_in, within
-
-
-def keep_state(df: DataFrame) -> DataFrame:
-    """Cuts an iteration's lineage in the shared checkpoint folder; without one, the plan is kept whole."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            return df
-        context.setCheckpointDir(named)
-    return df.checkpoint()
+from outrate.operators.neighbors import distances, knn, knn_with_ties, matrix, nearest, nearest_in, within
+from outrate.operators.ratedistortion import moves, purge_moved
+from outrate.operators.state import kept
 
 
 def singletons(clusters: DataFrame) -> DataFrame:
@@ -29,13 +23,81 @@ def singletons(clusters: DataFrame) -> DataFrame:
     return clusters.join(ones, "cluster", "left_semi").select("row_id")
 
 
-def lloyd(points: DataFrame, init: DataFrame, dims: int, rounds: int) -> DataFrame:
-    """k-means from given centers (center, c), a fixed number of rounds: row_id, cluster."""
-    centers = init
+Centers = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def _near(batches: Iterator[pa.RecordBatch], centers: Centers, dims: int):
+    """For each batch and grid: the batch's ids, its rows, the numbers of their nearest centers, and the distances."""
+    for b in batches:
+        if b.num_rows:
+            ids, x = b["row_id"].to_numpy(), matrix(b["x"], dims)
+            for grid, (_, c) in centers.items():
+                d = distances(x, c)
+                best = np.round(d, 9).argmin(axis=1)
+                yield grid, ids, x, best, d[np.arange(len(best)), best]
+
+
+def assigned(points: DataFrame, centers: Centers, dims: int) -> DataFrame:
+    """(grid, row_id, cluster, d): each row's nearest center in every grid; ties: the smaller."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for grid, ids, _, best, d in _near(batches, centers, dims):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), grid)), pa.array(ids), pa.array(centers[grid][0][best]), pa.array(d)], names=["grid", "row_id", "cluster", "d"])
+
+    return points.select(F.col("row_id").cast("long").alias("row_id"), "x").mapInArrow(run, "grid long, row_id long, cluster long, d double")
+
+
+def _sums(points: DataFrame, centers: Centers, dims: int, cut: dict[int, float] | None = None) -> list[tuple]:
+    """(grid, center, rows, sum of distances, sums of coordinates) of the rows within cut: partial sums in the tasks, a row for each center
+    to the driver, as many as the model has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {g: np.zeros((len(names), 2 + dims)) for g, (names, _) in centers.items()}
+        for grid, _, x, best, d in _near(batches, centers, dims):
+            some = d <= cut[grid] if cut else slice(None)
+            for k, column in enumerate([np.ones(len(best)), d, *x.T]):
+                total[grid][:, k] += np.bincount(best[some], column[some], len(total[grid]))
+        for grid, sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sums), grid)), pa.array(centers[grid][0]), pa.array(list(sums), pa.list_(pa.float64()))], names=["grid", "center", "sums"])
+
+    parts = points.select(F.col("row_id").cast("long").alias("row_id"), "x").mapInArrow(run, "grid long, center long, sums array<double>")
+    every = parts.groupBy("grid", "center").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(2 + dims)]).alias("sums")).orderBy("grid", "center")
+    return [(r.grid, r.center, r.sums[0], r.sums[1], np.array(r.sums[2:])) for r in every.collect()]
+
+
+def _moved(sums: list[tuple], centers: Centers) -> tuple[Centers, bool]:
+    """The means as new centers, without those that lost all rows, and whether any is elsewhere."""
+    new: Centers = {}
+    for grid in centers:
+        own = [(c, x / n) for g, c, n, _, x in sums if g == grid and n > 0]
+        new[grid] = np.array([c for c, _ in own], np.int64), np.array([x for _, x in own])
+    still = all(len(new[g][0]) == len(c) and np.allclose(new[g][1], x, rtol=1e-12, atol=1e-12) for g, (c, x) in centers.items())
+    return new, not still
+
+
+def started(init: DataFrame, grids: dict[int, int] | None = None) -> Centers:
+    """Centers (center, c) as they are, in grid 0; or in each grid the first so many of them."""
+    rows = sorted((r.center, r.c) for r in init.select("center", "c").collect())
+    return {g: (np.array([c for c, _ in rows[:k]], np.int64), np.array([x for _, x in rows[:k]], np.float64)) for g, k in (grids or {0: len(rows)}).items()}
+
+
+#: The most rounds; loops end as soon as centers stand still.
+ROUNDS = 100
+
+
+def lloyd_all(points: DataFrame, centers: Centers, dims: int, rounds: int = ROUNDS) -> DataFrame:
+    """k-means from given centers, until they stand still: (grid, row_id, cluster, d)."""
+    points = kept(points.select("row_id", "x"))
     for _ in range(rounds):
-        found = nearest(points, centers, dims).select("row_id", F.col("center").alias("cluster"))
-        centers = keep_state(found.join(points, "row_id").groupBy("cluster").agg(mean(F.col("x"), dims).alias("c")).withColumnRenamed("cluster", "center"))
-    return nearest(points, centers, dims).select("row_id", F.col("center").alias("cluster"))
+        centers, moved = _moved(_sums(points, centers, dims), centers)
+        if not moved:
+            break
+    return assigned(points, centers, dims)
+
+
+def lloyd(points: DataFrame, init: DataFrame, dims: int, rounds: int = ROUNDS) -> DataFrame:
+    """k-means from given centers (center, c), until they stand still: row_id, cluster."""
+    return lloyd_all(points, started(init), dims, rounds).select("row_id", "cluster") if not init.isEmpty() else points.select("row_id", F.lit(None).cast("long").alias("cluster"))
 
 
 def first_rows(points: DataFrame, k: int) -> DataFrame:
@@ -43,58 +105,137 @@ def first_rows(points: DataFrame, k: int) -> DataFrame:
     return points.orderBy("row_id").limit(k).select(F.row_number().over(Window.orderBy("row_id")).alias("center"), F.col("x").alias("c"))
 
 
-def kmeans_mm(points: DataFrame, init: DataFrame, dims: int, out: int, rounds: int) -> DataFrame:
-    """k-means--: in each round the ``out`` farthest rows do not count: row_id, d of the last round's."""
-    centers = init
+def kmeans_mm_all(points: DataFrame, centers: Centers, dims: int, out: int, rounds: int = ROUNDS) -> DataFrame:
+    """k-means--: in each round the ``out`` farthest rows do not count, until centers stand still: (grid, row_id, d) of the last round's."""
+    x = kept(points.select(F.col("row_id").cast("long").alias("row_id"), "x"))
     for r in range(rounds):
-        found = nearest(points, centers, dims)
-        far = found.orderBy(F.round("d", 9).desc(), "row_id").limit(out).select("row_id", "d")
-        if r < rounds - 1:
-            rest = found.join(far.select("row_id"), "row_id", "left_anti").join(points, "row_id")
-            centers = keep_state(rest.groupBy("center").agg(mean(F.col("x"), dims).alias("c")))
+        found = kept(assigned(x, centers, dims))
+        far = reduce(DataFrame.union, [found.where(F.col("grid") == g).orderBy(F.round("d", 9).desc(), "row_id").limit(out) for g in centers])
+        far = kept(far.select("grid", "row_id", "d"))
+        if r == rounds - 1:
+            break
+        rest = found.join(far.select("grid", "row_id"), ["grid", "row_id"], "left_anti").join(x, "row_id")
+        sums = rest.groupBy("grid", "cluster").agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(dims)]).alias("s")).orderBy("grid", "cluster").collect()
+        centers, moved = _moved([(g.grid, g.cluster, g.n, 0.0, np.array(g.s)) for g in sums], centers)
+        if not moved:
+            break
     return far
 
 
-def kmor(points: DataFrame, init: DataFrame, dims: int, gamma: float, rounds: int) -> DataFrame:
-    """k-means with outlier removal: rows farther than gamma times the inliers' mean distance form a cluster of their own."""
-    centers, cut = init, None
+def kmeans_mm(points: DataFrame, init: DataFrame, dims: int, out: int, rounds: int = ROUNDS) -> DataFrame:
+    """k-means-- from given centers: row_id, d of the ``out`` farthest rows."""
+    return kmeans_mm_all(points, started(init), dims, out, rounds).select("row_id", "d")
+
+
+def kmor_all(points: DataFrame, centers: Centers, dims: int, gamma: dict[int, float], rounds: int = ROUNDS) -> DataFrame:
+    """k-means with outlier removal: rows farther than gamma times the inliers' mean distance form a cluster of their own, until centers
+    and limits stand still: (grid, row_id, d)."""
+    cut: dict[int, float] | None = None
+    points = kept(points.select("row_id", "x"))
     for r in range(rounds):
-        found = nearest(points, centers, dims)
-        inside = found if cut is None else found.where(F.col("d") <= cut)
-        limit = inside.agg(F.avg("d")).first()[0]
-        cut = gamma * (limit or 0.0)
-        if r < rounds - 1:
-            rest = found.where(F.col("d") <= cut).join(points, "row_id")
-            centers = keep_state(rest.groupBy("center").agg(mean(F.col("x"), dims).alias("c")))
-    return found.where(F.col("d") > cut).select("row_id", "d")
+        sums, was = _sums(points, centers, dims, cut), cut
+        rows, total = ({g: sum(x[k] for x in sums if x[0] == g) for g in centers} for k in (2, 3))
+        cut = {g: gamma[g] * (total[g] / rows[g] if rows[g] else 0.0) for g in centers}
+        if r == rounds - 1:
+            break
+        new, moved = _moved(_sums(points, centers, dims, cut), centers)
+        if not moved and was and all(math.isclose(cut[g], was[g], rel_tol=1e-12) for g in cut):
+            break
+        centers = {g: new[g] if len(new[g][0]) else centers[g] for g in centers}
+    limits = F.create_map(*[F.lit(v) for g, c in cut.items() for v in (g, c)])
+    return assigned(points, centers, dims).where(F.col("d") > limits[F.col("grid")]).select("grid", "row_id", "d")
 
 
-def ocrd(points: DataFrame, dims: int, beta: float, q0: float = 0.5, rounds: int = 10, eps: float = 1e-10) -> DataFrame:
-    """One-class rate distortion: row_id of rows not wholly represented by the common center."""
+def kmor(points: DataFrame, init: DataFrame, dims: int, gamma: float, rounds: int = ROUNDS) -> DataFrame:
+    """The same from given centers with one gamma: row_id, d."""
+    return kmor_all(points, started(init), dims, {0: gamma}, rounds).select("row_id", "d")
+
+
+def ocrd_all(points: DataFrame, dims: int, betas: dict[int, float], q0: float = 0.5, rounds: int = 10, eps: float = 1e-10) -> DataFrame:
+    """One-class rate distortion for every beta: (grid, row_id) of rows not wholly represented by the common center.  A beta's center and
+    rate are the model, dims + 1 numbers; each round is one aggregation for all of them that still move."""
+    points = kept(points.select("row_id", "x"))
     n = points.count()
     if not n:
-        return points.select("row_id")
-    w = [v / n for v in points.agg(mean(F.col("x"), dims)).first()[0]]
-    for _ in range(rounds):
-        d = dist(F.col("x"), F.array(*map(F.lit, w)), dims)
-        q = F.least(F.lit(1.0), F.lit(n * q0) * F.pow(F.lit(2.0), -beta * d))
-        rows = points.select("row_id", "x", d.alias("d"), q.alias("q"))
-        got = rows.agg(F.count_if(F.col("q") == 1).alias("whole"), F.sum(F.when(F.col("q") < 1, F.pow(F.lit(2.0), -beta * F.col("d")))).alias("rest"), F.array(*[F.sum(F.col("q") * F.col("x")[i]) / n for i in range(dims)]).alias("w")).first()
-        change = sum((a - b) ** 2 for a, b in zip(w, got.w, strict=True))
-        w, q0 = list(got.w), got.whole / n + q0 * (got.rest or 0.0)
-        if change <= eps:
+        return points.select(F.lit(0).cast("long").alias("grid"), "row_id")
+    mean_all = points.agg(mean(F.col("x"), dims)).first()[0]
+    state = {g: (np.array(mean_all, float), float(q0)) for g in betas}
+    used, active = dict(state), set(betas)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {g: np.zeros(2 + dims) for g in active}
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b["x"], dims)
+                for g in active:
+                    w, q = used[g]
+                    p = np.exp2(-betas[g] * distances(x, w[None])[:, 0])
+                    rate = np.minimum(1.0, n * q * p)
+                    total[g] += np.concatenate([[(rate == 1).sum(), p[rate < 1].sum()], (rate[:, None] * x).sum(axis=0)])
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(total), pa.int64()), pa.array([total[g] for g in sorted(total)], pa.list_(pa.float64()))], names=["grid", "sums"])
+
+    for r in range(rounds):
+        for g in active:
+            used[g] = state[g]
+        parts = points.select("x").mapInArrow(run, "grid long, sums array<double>").groupBy("grid").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(2 + dims)]).alias("sums"))
+        for row in parts.collect():  # one for each beta
+            whole, rest, w = row.sums[0], row.sums[1], np.array(row.sums[2:]) / n
+            state[row.grid] = w, whole / n + used[row.grid][1] * rest
+            if ((used[row.grid][0] - w) ** 2).sum() <= eps:
+                active = active - {row.grid}
+        if not active:
             break
-    return rows.where("q < 1").select("row_id")
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, ids = matrix(b["x"], dims), b["row_id"].to_numpy()
+                for g, (w, q) in used.items():
+                    out = ids[n * q * np.exp2(-betas[g] * distances(x, w[None])[:, 0]) < 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), g)), pa.array(out)], names=["grid", "row_id"])
+
+    return points.select(F.col("row_id").cast("long").alias("row_id"), "x").mapInArrow(flag, "grid long, row_id long")
+
+
+def ocrd(points: DataFrame, dims: int, beta: float, q0: float = 0.5, rounds: int = 10, eps: float = 1e-10) -> DataFrame:
+    """One-class rate distortion: row_id of rows not wholly represented by the common center."""
+    return ocrd_all(points, dims, {0: beta}, q0, rounds, eps).select("row_id")
+
+
+def singletons_all(clusters: DataFrame) -> DataFrame:
+    """(grid, row_id) of clusters of one row."""
+    return clusters.groupBy("grid", "cluster").agg(F.min("row_id").alias("row_id"), F.count("*").alias("f")).where("f = 1").select("grid", "row_id")
+
+
+def cblof_all(clusters: DataFrame, dims: int) -> DataFrame:
+    """clusters (grid, row_id, cluster, x, large) -> (grid, row_id, score): see ``cblof``; large, the same in all of a grid."""
+    centers = clusters.groupBy("grid", "cluster", "large").agg(F.count("*").alias("f"), mean(F.col("x"), dims).alias("c"))
+    ranked = kept(centers.withColumn("big", F.row_number().over(Window.partitionBy("grid").orderBy(F.desc("f"), "cluster")) <= F.col("large")))
+    own = clusters.drop("large").join(ranked, ["grid", "cluster"])
+    inside = own.where("big").select("grid", "row_id", (F.col("f") * dist(F.col("x"), F.col("c"), dims)).alias("score"))
+    big = ranked.where("big").select("grid", F.col("c").alias("other"))
+    far = own.where("NOT big").select("grid", "row_id", "f", "x").join(big, "grid").groupBy("grid", "row_id", "f").agg(F.min(dist(F.col("x"), F.col("other"), dims)).alias("far"))
+    return inside.union(far.select("grid", "row_id", (F.col("f") * F.col("far")).alias("score")))
 
 
 def cblof(clusters: DataFrame, dims: int, large: int) -> DataFrame:
     """Cluster-based factor (row_id, score): in one of the ``large`` biggest clusters size times distance to its center, else
     size times distance to the nearest of those centers."""
-    centers = clusters.groupBy("cluster").agg(F.count("*").alias("f"), mean(F.col("x"), dims).alias("c"))
-    ranked = centers.withColumn("big", F.row_number().over(Window.orderBy(F.desc("f"), "cluster")) <= large)
-    own = clusters.join(ranked, "cluster")
-    near = nearest(own.where("NOT big").select("row_id", "x"), ranked.where("big").select(F.col("cluster").alias("center"), "c"), dims).select("row_id", F.col("d").alias("far"))
-    return own.join(near, "row_id", "left").select("row_id", (F.col("f") * F.when(F.col("big"), dist(F.col("x"), F.col("c"), dims)).otherwise(F.col("far"))).alias("score"))
+    return cblof_all(clusters.select(F.lit(0).alias("grid"), "row_id", "cluster", "x", F.lit(large).alias("large")), dims).select("row_id", "score")
+
+
+def cblof_knn_all(clusters: DataFrame, d1: DataFrame, near: DataFrame) -> DataFrame:
+    """clusters (grid, row_id, cluster, large), d1 (row_id, d1), near (a, b, d) of all pairs both ways -> (grid, row_id, score): see
+    ``cblof_knn``, for every grid."""
+    rows = clusters.join(d1, "row_id")
+    stats = rows.groupBy("grid", "cluster", "large").agg(F.count("*").alias("f"), F.avg("d1").alias("m"))
+    stats = stats.withColumn("big", F.row_number().over(Window.partitionBy("grid").orderBy(F.desc("f"), "cluster")) <= F.col("large"))
+    rows = kept(rows.drop("large").join(stats, ["grid", "cluster"]))
+    inside = rows.where("big").select("grid", "row_id", (F.col("f") * (F.col("d1") - F.col("m"))).alias("score"))
+    other = rows.where("big").select("grid", F.col("row_id").alias("b"), F.col("m").alias("mb"))
+    some = rows.where("NOT big").select("grid", F.col("row_id").alias("a"), "f").join(near, "a").join(other, ["grid", "b"])
+    best = some.groupBy("grid", "a", "f").agg(F.min_by(F.struct("d", "mb"), F.struct("d", "b")).alias("m"))
+    return inside.union(best.select("grid", F.col("a").alias("row_id"), (F.col("f") * (F.col("m.d") - F.col("m.mb"))).alias("score")))
 
 
 def cblof_knn(clusters: DataFrame, dims: int, large: int) -> DataFrame:
@@ -113,91 +254,159 @@ def cblof_knn(clusters: DataFrame, dims: int, large: int) -> DataFrame:
 
 def lof(points: DataFrame, k: int, dims: int) -> DataFrame:
     """Local outlier factor (row_id, score); rows at the k-distance all count as neighbours."""
-    a, b = (points.select(F.col("row_id").alias(c), F.col("x").alias(f"x{c}")) for c in "ab")
-    every = a.join(b, F.col("a") != F.col("b")).select("a", "b", dist(F.col("xa"), F.col("xb"), dims).alias("d"))
-    w = Window.partitionBy("a").orderBy("d")
-    near = every.withColumn("rk", F.rank().over(w)).where(F.col("rk") <= k).select("a", "b", "d")
-    kd = near.groupBy("a").agg(F.max("d").alias("kd"))
-    reach = near.join(kd.select(F.col("a").alias("b"), "kd"), "b").withColumn("r", F.greatest("d", "kd"))
-    lrd = reach.groupBy("a").agg((F.count("*") / F.sum("r")).alias("lrd"))
-    other = lrd.select(F.col("a").alias("b"), F.col("lrd").alias("lb"))
-    return near.join(other, "b").groupBy("a").agg(F.avg("lb").alias("m")).join(lrd, "a").select(F.col("a").alias("row_id"), (F.col("m") / F.col("lrd")).alias("score"))
+    near = kept(knn_with_ties(points, k, dims).select(F.lit(0).alias("grid"), "a", "b", "d"))
+    return lof_all(near).select("row_id", "score")
+
+
+def lof_all(near: DataFrame) -> DataFrame:
+    """(grid, row_id, score) from every row's neighbours (grid, a, b, d), a written table, which is read three times."""
+    kd = near.groupBy("grid", "a").agg(F.max("d").alias("kd"))
+    reach = near.join(kd.withColumnRenamed("a", "b"), ["grid", "b"]).withColumn("r", F.greatest("d", "kd"))
+    lrd = kept(reach.groupBy("grid", "a").agg((F.count("*") / F.sum("r")).alias("lrd")))
+    other = lrd.select("grid", F.col("a").alias("b"), F.col("lrd").alias("lb"))
+    return near.join(other, ["grid", "b"]).groupBy("grid", "a").agg(F.avg("lb").alias("m")).join(lrd, ["grid", "a"]).select("grid", F.col("a").alias("row_id"), (F.col("m") / F.col("lrd")).alias("score"))
+
+
+def dbscan_all(near: DataFrame, points: DataFrame, grid: DataFrame) -> DataFrame:
+    """near (a, b, d), both ways, up to the largest eps; grid (grid, eps, least) -> (grid, row_id, cluster): the smallest core row_id
+    reachable; border rows take the smallest such, noise null."""
+    near = kept(near.join(F.broadcast(grid), F.col("d") <= F.col("eps")).select("grid", "a", "b", "least"))  # as many rows as the grid has points
+    cores = kept(near.groupBy("grid", "a", "least").count().where(F.col("count") + 1 >= F.col("least")).select("grid", "a"))
+    if not grid.where("least <= 1").isEmpty():
+        cores = kept(cores.union(grid.where("least <= 1").select("grid").join(points.select(F.col("row_id").alias("a")))).distinct())
+    edges = kept(near.join(cores, ["grid", "a"], "left_semi").join(cores.withColumnRenamed("a", "b"), ["grid", "b"], "left_semi").select("grid", "a", "b"))
+    label = cores.select("grid", "a", F.col("a").alias("l"))
+    while True:
+        best = edges.join(label.select("grid", F.col("a").alias("b"), F.col("l").alias("lb")), ["grid", "b"]).groupBy("grid", "a").agg(F.min("lb").alias("lb"))
+        new = label.join(best, ["grid", "a"], "left").select("grid", "a", F.col("l").alias("old"), F.least("l", F.coalesce("lb", "l")).alias("m"))
+        jump = new.select("grid", F.col("a").alias("m"), F.col("m").alias("mm"))
+        new = kept(new.join(jump, ["grid", "m"]).select("grid", "a", "old", F.col("mm").alias("l")))
+        label = new.select("grid", "a", "l")
+        if new.where("l <> old").isEmpty():
+            break
+    border = near.join(label.select("grid", F.col("a").alias("b"), "l"), ["grid", "b"]).groupBy("grid", "a").agg(F.min("l").alias("l")).join(cores, ["grid", "a"], "left_anti")
+    found = label.union(border.select("grid", "a", "l")).select("grid", F.col("a").alias("row_id"), F.col("l").alias("cluster"))
+    return points.select("row_id").join(F.broadcast(grid.select("grid"))).join(found, ["grid", "row_id"], "left")  # the grid again
 
 
 def dbscan(points: DataFrame, eps: float, least: int, dims: int) -> DataFrame:
     """Density clusters (row_id, cluster): the smallest core row_id reachable; border rows take the smallest such, noise 0 - as null."""
-    near = keep_state(within(points, eps, dims).select("a", "b"))
-    core = keep_state(near.groupBy("a").count().where(F.col("count") + 1 >= least).select("a"))
-    edges = near.join(core, "a", "left_semi").join(core.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
-    label = core.select("a", F.col("a").alias("l"))
-    while True:
-        best = edges.join(label.select(F.col("a").alias("b"), F.col("l").alias("lb")), "b").groupBy("a").agg(F.min("lb").alias("lb"))
-        new = label.join(best, "a", "left").select("a", F.least("l", F.coalesce("lb", "l")).alias("m"))
-        jump = new.select(F.col("a").alias("m"), F.col("m").alias("mm"))
-        new = keep_state(new.join(jump, "m").select("a", F.col("mm").alias("l")))
-        if new.join(label.withColumnRenamed("l", "old"), "a").where("l <> old").isEmpty():
-            break
-        label = new
-    border = near.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("l")).join(label.select("a"), "a", "left_anti")
-    return points.select("row_id").join(label.union(border.select("a", "l")).select(F.col("a").alias("row_id"), F.col("l").alias("cluster")), "row_id", "left")
+    grid = points.sparkSession.createDataFrame([(0, float(eps), least)], "grid long, eps double, least int")
+    return dbscan_all(within(points, eps, dims), points, grid).select("row_id", "cluster")
+
+
+def alone(clusters: DataFrame) -> DataFrame:
+    """Noise (cluster null) as clusters of one row each, with labels behind all others in order of row_id."""
+    last = clusters.groupBy("grid").agg((F.coalesce(F.max("cluster"), F.lit(0)) + 1 - F.min("row_id")).alias("behind"))
+    return clusters.join(last, "grid").select("grid", "row_id", F.coalesce("cluster", F.col("behind") + F.col("row_id")).alias("cluster"))
+
+
+def represented(clusters: DataFrame, near: DataFrame, grid: DataFrame) -> DataFrame:
+    """clusters (grid, row_id, cluster) -> with rep (row_id of the nearest row of the same cluster within eps, else the row itself), d, and
+    second, the distance to the second nearest of these, 0 without one."""
+    own = clusters.select("grid", F.col("row_id").alias("a"), "cluster")
+    other = clusters.select("grid", F.col("row_id").alias("b"), F.col("cluster").alias("cb"))
+    some = near.join(F.broadcast(grid.select("grid", "eps")), F.col("d") <= F.col("eps")).join(own, ["grid", "a"]).join(other, ["grid", "b"]).where("cluster = cb")
+    w = Window.partitionBy("grid", "a").orderBy("d", "b")
+    two = some.select("grid", "a", "b", "d", F.row_number().over(w).alias("rk")).where("rk <= 2")
+    at = lambda k, c: F.max(F.when(F.col("rk") == k, F.col(c)))
+    two = two.groupBy("grid", F.col("a").alias("row_id")).agg(at(1, "b").alias("b1"), at(1, "d").alias("d1"), at(2, "d").alias("d2"))
+    found = clusters.join(two, ["grid", "row_id"], "left")
+    return found.select("grid", "row_id", "cluster", F.coalesce("b1", "row_id").alias("rep"), F.coalesce("d1", F.lit(0.0)).alias("d"), F.coalesce("d2", F.lit(0.0)).alias("second"))
+
+
+def purge_density(measured: DataFrame, kind: str) -> DataFrame:
+    """(grid, row_id): purging of density clusters, represented by neighbours, against their perturbation: the moved row stands for
+    itself, and rows that it stood for take their second nearest.  measured, of ``represented``, should be a written table."""
+    stats, picks = moves(measured, kind)
+    lost = measured.join(picks.where("f > 1").select("grid", "moved"), "grid").where("rep = moved AND row_id <> moved").groupBy("grid").agg(F.sum(F.col("second") - F.col("d")).alias("change"))
+    after = picks.where("f > 1").join(lost, "grid", "left").select("grid", (F.col("total") - F.col("first.d") + F.coalesce("change", F.lit(0.0))).alias("total2"))
+    return purge_moved(measured, stats, picks, after)
 
 
 def dbscan_noise(points: DataFrame, eps: float, least: int, dims: int) -> DataFrame:
     """Rows that are no core and have none within eps."""
-    near = keep_state(within(points, eps, dims).select("a", "b"))
+    near = kept(within(points, eps, dims).select("a", "b"))
     core = near.groupBy("a").count().where(F.col("count") + 1 >= least).select("a")
+    if least <= 1:
+        return points.where("false").select("row_id")
     reached = near.join(core.select(F.col("a").alias("b")), "b", "left_semi").select("a").union(core)
     return points.join(reached.select(F.col("a").alias("row_id")).distinct(), "row_id", "left_anti").select("row_id")
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    kept = keep_state(df)
-    return df.localCheckpoint() if kept is df else kept
-
-
-def hac(points: DataFrame, k: int) -> DataFrame:
-    """Complete-linkage clusters (row_id, cluster), cut at k; labels by first row.
+def hac_merges(points: DataFrame) -> DataFrame:
+    """Complete linkage: (step, a, b, d), the merges in order; cluster b goes into a, and both go by their first rows.
 
-    A cluster goes by its first row.  All pairs of clusters that are each other's nearest are merged in one round, which leads to the
-    same tree as one merge after another; then the lowest merges are applied until k clusters are left.
+    All pairs of clusters that are each other's nearest are merged in one round, which leads to the same tree as one merge after another.
     """
-    rows = _settled(points.select("row_id", "x"))
+    rows = kept(points.select("row_id", "x"))
     first = rows.groupBy("x").agg(F.min("row_id").alias("a"))
-    merges = _settled(rows.join(first, "x").where("row_id <> a").select("a", F.col("row_id").alias("b"), F.lit(0.0).alias("d"), F.lit(0).alias("round")))
+    merges = [rows.join(first, "x").where("row_id <> a").select("a", F.col("row_id").alias("b"), F.lit(0.0).alias("d"), F.lit(0).alias("round"))]
     one, two = (first.select(F.col("a").alias(c), F.col("x").alias(f"x{c}")) for c in "ab")
     squares = F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    apart = _settled(one.join(two, F.col("a") < F.col("b")).select("a", "b", F.sqrt(squares).alias("d")))
-    done = 0
+    apart = kept(one.join(two, F.col("a") < F.col("b")).select("a", "b", F.sqrt(squares).alias("d")))
     while not apart.isEmpty():
-        done += 1
         ends = apart.select(F.explode(F.array("a", "b")).alias("end"), "d", "a", "b")
         best = ends.groupBy("end").agg(F.min(F.struct("d", "a", "b")).alias("m"))
-        now = _settled(best.groupBy("m").count().where("count = 2").select("m.a", "m.b", "m.d", F.lit(done).alias("round")))
-        merges = _settled(merges.union(now))
+        now = kept(best.groupBy("m").count().where("count = 2").select("m.a", "m.b", "m.d", F.lit(len(merges)).alias("round")))
+        merges.append(now)
         for c in "ab":
             into = now.select(F.col("b").alias(c), F.col("a").alias("into"))
             apart = apart.join(into, c, "left").withColumn(c, F.coalesce("into", c)).drop("into")
         apart = apart.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("d").alias("d"))
-        apart = _settled(apart)
-    lowest = merges.orderBy("d", "round", "a", "b").limit(max(0, rows.count() - max(1, k)))
-    label = _settled(rows.select("row_id").join(lowest.select(F.col("b").alias("row_id"), "a"), "row_id", "left").select("row_id", F.coalesce("a", "row_id").alias("l")))
+        apart = kept(apart)
+    every = reduce(DataFrame.union, merges).orderBy("d", "round", "a", "b")
+    return kept(every.select(F.row_number().over(Window.orderBy("d", "round", "a", "b")).alias("step"), "a", "b", "d"))  # fewer than rows, whose pairs were all listed
+
+
+def cut(points: DataFrame, merges: DataFrame, thetas: list[int]) -> DataFrame:
+    """(grid, row_id, cluster): for each theta, which is the grid, the clusters after all but its last theta - 1 merges, by their first rows.
+
+    A row goes by itself until it is merged, then by what it was merged into, until that is merged: these stretches are found for all
+    cuts at once, then each cut takes those that hold its step.
+    """
+    n = points.count()
+    up = merges.select(F.col("b").alias("name"), F.col("a").alias("into"), F.col("step").cast("long").alias("step"))
+    here = kept(points.select("row_id", F.col("row_id").alias("name"), F.lit(0).cast("long").alias("since")).join(up, "name", "left"))
+    stretches = [here]
     while True:
-        up = label.select(F.col("row_id").alias("l"), F.col("l").alias("up"))
-        new = _settled(label.join(up, "l").select("row_id", F.col("up").alias("l"), (F.col("up") != F.col("l")).alias("moved")))
-        label = new.select("row_id", "l")
-        if new.where("moved").isEmpty():
+        here = here.where("step IS NOT NULL").select("row_id", F.col("into").alias("name"), F.col("step").alias("since"))
+        here = kept(here.join(up, "name", "left"))
+        if here.isEmpty():
             break
-    names = label.select("l").distinct().select("l", F.row_number().over(Window.orderBy("l")).cast("long").alias("cluster"))  # k rows
-    return label.join(names, "l").select("row_id", "cluster")
+        stretches.append(here)
+    grid = points.sparkSession.createDataFrame([(t, n - t) for t in thetas], "grid long, done long")
+    every = reduce(DataFrame.unionByName, stretches)
+    held = every.join(F.broadcast(grid), (F.col("since") <= F.col("done")) & (F.col("step").isNull() | (F.col("step") > F.col("done"))))  # a row for each cut
+    return held.select("grid", "row_id", F.col("name").alias("cluster"))
 
 
-def lps(points: DataFrame, k: int, to: int, dims: int) -> DataFrame:
-    """Low-rank score (row_id, score): the sum of the ``to`` largest singular values of each row's k neighbours."""
-    near = knn(points, k, dims).join(points.select(F.col("row_id").alias("b"), "x"), "b")
-    rows = near.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "x"))), lambda s: s["x"]).alias("m"))
+def hac(points: DataFrame, k: int) -> DataFrame:
+    """Complete-linkage clusters (row_id, cluster), cut at k; labels by first row."""
+    found = kept(cut(points, hac_merges(points), [max(1, k)]))
+    names = found.select("cluster").distinct().select("cluster", F.row_number().over(Window.orderBy("cluster")).cast("long").alias("name"))  # k rows
+    return found.join(names, "cluster").select("row_id", F.col("name").alias("cluster"))
+
+
+def scaled(points: DataFrame, dims: int) -> DataFrame:
+    """Every coordinate with mean 0 and standard deviation 1 (of a sample); constant ones are null, as in R's scale NaN."""
+    z = points.agg(*[f(F.col("x")[i]).alias(f"{n}{i}") for i in range(dims) for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+    return points.crossJoin(F.broadcast(z)).select("row_id", F.array(*[(F.col("x")[i] - F.col(f"m{i}")) / F.nullif(F.col(f"s{i}"), F.lit(0.0)) for i in range(dims)]).alias("x"))  # one row
+
+
+def lps_of(near: DataFrame, points: DataFrame, k: int, to: int) -> DataFrame:
+    """lps from every row's neighbours (a, b, rk) and scaled points."""
+    found = near.where(F.col("rk") <= k).join(points.select(F.col("row_id").alias("b"), "x"), "b")
+    rows = found.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "x"))), lambda s: s["x"]).alias("m"))
 
     def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"row_id": b["a"], "score": [float(np.linalg.svd(np.stack(m), compute_uv=False)[:to].sum()) for m in b["m"]]})
+            yield pd.DataFrame({"row_id": b["a"], "score": [float(np.linalg.svd(np.nan_to_num(np.stack(m).astype(float)), compute_uv=False)[:to].sum()) for m in b["m"]]})
 
     return rows.mapInPandas(top, "row_id long, score double")
+
+
+def lps(points: DataFrame, k: int, to: int, dims: int) -> DataFrame:
+    """Low-rank score (row_id, score): the sum of the ``to`` largest singular values of each row's k neighbours, in scaled coordinates."""
+    even = kept(scaled(points, dims))
+    return lps_of(knn(points, k, dims), even, k, to)

@@ -138,3 +138,60 @@ def with_perturbed(clusters: DataFrame, kind: str, dims: int) -> DataFrame:
 def rate(d: Column) -> Column:
     """The theoretical curve log2(1000 / D)."""
     return F.log2(F.lit(1000.0) / d)
+
+
+# -- many clusterings at once: (grid, row_id, cluster, x), one for each point of a grid of parameters
+
+
+def measure(clusters: DataFrame, dims: int) -> DataFrame:
+    """clusters (grid, row_id, cluster, x) with rep, the cluster's mean, and d, the distance to it."""
+    means = clusters.groupBy("grid", "cluster").agg(mean(F.col("x"), dims).alias("rep"))
+    return clusters.join(means, ["grid", "cluster"]).withColumn("d", dist(F.col("x"), F.col("rep"), dims))
+
+
+def moves(measured: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(grid, cluster, f) of all clusters, and for each grid the row that a perturbation of that kind moves: grid, n, total (distortion), s
+    (sum of f log2 f), cluster, f, moved (row_id), and first, its row.  See ``perturb`` for kinds and ties."""
+    extra = [c for c in ("x", "rep", "d", "second") if c in measured.columns]
+    row, far = F.struct("row_id", *extra), F.round("d", 9)
+    pick = F.max_by(row, F.struct(far, -F.col("row_id"))) if kind[3:] == "max" else F.min_by(row, F.struct(far, "row_id"))
+    stats = measured.groupBy("grid", "cluster").agg(F.count("*").alias("f"), F.sum("d").alias("distortion"), pick.alias("row"))
+    target = F.struct("cluster", "f", "row")
+    if kind[:3] == "max":
+        chosen = F.max_by(target, F.struct("f", -F.col("cluster")))
+    else:
+        chosen = F.min_by(target, F.when(F.col("f") > 1, F.struct("f", "cluster")))
+    picks = stats.groupBy("grid").agg(F.sum("f").alias("n"), F.sum("distortion").alias("total"), F.sum(xlog2x(F.col("f"))).alias("s"), chosen.alias("t"))
+    return stats.select("grid", "cluster", "f"), picks.select("grid", "n", "total", "s", "t.cluster", "t.f", F.col("t.row.row_id").alias("moved"), F.col("t.row").alias("first"))
+
+
+def purge_moved(measured: DataFrame, stats: DataFrame, picks: DataFrame, after: DataFrame) -> DataFrame:
+    """(grid, row_id) beyond the radius that the slope between a clustering and its perturbation sets.  after (grid, total2): the
+    perturbation's distortion.  None where the perturbation does not lower the distortion and raise the entropy: a curve of one vertex.
+    Where nothing else changes, the moved row lies on its cluster's radius, so what is equal in nine decimals is beyond it."""
+    f, n = F.col("f"), F.col("n")
+    gain = (xlog2x(f) - xlog2x(f - 1)) / n
+    slopes = picks.join(after, "grid").where(F.col("total2") < F.col("total")).select("grid", "n", (-gain / (F.col("total") - F.col("total2"))).alias("slope")).where("slope < 0")
+    edges = stats.join(slopes, "grid").select("grid", "cluster", (change_of_entropy(f, n) / -F.col("slope")).alias("radius"))
+    return measured.select("grid", "cluster", "row_id", "d").join(edges, ["grid", "cluster"]).where(F.round(F.col("d") - F.col("radius"), 9) >= 0).select("grid", "row_id")
+
+
+def purge_perturbed(measured: DataFrame, kind: str, dims: int) -> DataFrame:
+    """(grid, row_id): purging of each clustering, by means, against its perturbation.  The move changes one cluster's mean, so only that
+    cluster's rows are measured again.  measured should be a written table, as three scans read it."""
+    stats, picks = moves(measured, kind)
+    rest = F.array(*[(F.col("f") * F.col("first.rep")[i] - F.col("first.x")[i]) / (F.col("f") - 1) for i in range(dims)])
+    target = picks.where("f > 1").select("grid", "cluster", "moved", rest.alias("mean2"))
+    again = measured.select("grid", "cluster", "row_id", "x", "d").join(target, ["grid", "cluster"]).where("row_id <> moved")
+    change = again.groupBy("grid").agg(F.sum(dist(F.col("x"), F.col("mean2"), dims)).alias("new"), F.sum("d").alias("old"))
+    after = picks.join(change, "grid").select("grid", (F.col("total") - F.col("old") - F.col("first.d") + F.col("new")).alias("total2"))
+    return purge_moved(measured, stats, picks, after)
+
+
+def flagged_by(measured: DataFrame, ks: list[float]) -> DataFrame:
+    """(grid, row_id, flags): how many of the ascending ks, from the largest down, flag the row by the parametric purge."""
+    per = measured.groupBy("grid", "cluster").agg(F.count("*").alias("f"), F.sum("d").alias("distortion"))
+    total = per.groupBy("grid").agg(F.sum("f").alias("n"), F.sum("distortion").alias("total"))
+    change = per.join(total, "grid").select("grid", "cluster", change_of_entropy(F.col("f"), F.col("n")).alias("change"), "total")
+    flags = F.size(F.filter(F.array(*map(F.lit, ks)), lambda k: F.col("d") >= F.col("change") / k * F.col("total")))
+    return measured.select("grid", "cluster", "row_id", "d").join(change, ["grid", "cluster"]).select("grid", "row_id", flags.alias("flags"))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outrate.functions.vectors import change_of_entropy
-from outrate.operators import detectors, metrics, neighbors
+from outrate.operators import detectors, grids, metrics, neighbors
 from outrate.operators import ratedistortion as rd
-from outrate.sources.points import HULL_POINTS, disc_noise, table_points
+from outrate.operators.state import kept, scratch
+from outrate.sources.points import HULL_POINTS, datasets, disc_noise, separated, sparse_noise, table_points, write_arff, write_separated
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,12 +155,13 @@ def rd_envelope(spark, sf):
     return rd.envelope(_constants(spark).select(F.col("distortion").alias("d"), F.col("entropy").alias("h")), spark.range(30, 950).withColumnRenamed("id", "i"))
 
 
-@query(f"""WITH c AS (SELECT column1 AS d, column2 AS h, lead(column1) OVER (ORDER BY column1) AS d2, lead(column2) OVER (ORDER BY column1) AS h2 FROM (VALUES {_HULL_VALUES}) AS v(column0, column1, column2)),
- x AS (SELECT r AS id, 30 + 870.0::DOUBLE * r / 60 AS x FROM range(61) AS t(r))
-SELECT id, round(x, 6) AS x, round(h + (h2 - h) * (x - d) / (d2 - d), 6) AS h FROM x JOIN c ON x >= d AND (x < d2 OR (d2 = 900 AND x >= 900))""")
+@query(f"""WITH rd AS (SELECT column0 AS clustering_id, column1 AS dist, column2 AS h, 1 AS n FROM (VALUES {_HULL_VALUES}) AS v(column0, column1, column2)), s AS (SELECT 1 AS clustering_id, 1 AS cluster, 1 AS f), {HULL},
+ c AS (SELECT dist AS d, h, lead(dist) OVER (ORDER BY dist) AS d2, lead(h) OVER (ORDER BY dist) AS h2, max(dist) OVER () AS hi, min(dist) OVER () AS lo FROM cu),
+ x AS (SELECT r AS id, lo + (hi - lo) * r / 60 AS x FROM range(61) AS t(r), (SELECT any_value(lo) AS lo, any_value(hi) AS hi FROM c))
+SELECT id, round(x, 6) AS x, round(h + (h2 - h) * (x - d) / (d2 - d), 6) AS h FROM x JOIN c ON x >= d AND (x < d2 OR (d2 = hi AND x >= hi))""")
 def rd_interpolate(spark, sf):
-    out = rd.interpolate(_constants(spark).select(F.col("distortion").alias("d"), F.col("entropy").alias("h")), 61)
-    return out.select("id", F.round("x", 6).alias("x"), F.round("h", 6).alias("h"))
+    curve = rd.lower_hull(_constants(spark)).select(F.col("distortion").alias("d"), F.col("entropy").alias("h"))
+    return rd.interpolate(curve, 61).select("id", F.round("x", 6).alias("x"), F.round("h", 6).alias("h"))
 
 
 @query("SELECT i, round(log2(1000.0 / i), 9) AS h FROM range(30, 950) AS r(i)")
@@ -193,7 +195,8 @@ def _register(kind: str) -> None:
         return found.select("row_id", F.col("cluster").cast("long").alias("cluster"))
 
     def purge(spark, sf):
-        return rd.purge(rd.with_perturbed(_vectors(spark, sf), kind, DIMS), DIMS)
+        measured = kept(rd.measure(_vectors(spark, sf).withColumn("grid", F.lit(0)), DIMS))
+        return rd.purge_perturbed(measured, kind, DIMS).select("row_id")
 
     QUERIES[f"perturb_{kind}"], SQL[f"perturb_{kind}"] = labels, f"WITH {VECTORS}, {CENTERS}, {_perturbed_sql(kind)} SELECT row_id, cluster::BIGINT AS cluster FROM nl"
     QUERIES[f"purge_{kind}"], SQL[f"purge_{kind}"] = purge, _purge_sql(kind)
@@ -383,66 +386,76 @@ def cblof_knn(spark, sf):
 
 
 def _assign(centers: str, name: str) -> str:
-    return f""" {name} AS (SELECT row_id, s, r, arg_min(c, (round(d, 9), c)) AS c, min(d) AS d FROM (SELECT p.row_id, p.s, p.r, c, sqrt((p.s - x) * (p.s - x) + (p.r - y) * (p.r - y)) AS d FROM p, {centers}) GROUP BY ALL)"""
+    return f""" {name} AS MATERIALIZED (SELECT row_id, s, r, arg_min(c, (round(d, 9), c)) AS c, min(d) AS d FROM (SELECT p.row_id, p.s, p.r, c, sqrt((p.s - x) * (p.s - x) + (p.r - y) * (p.r - y)) AS d FROM p, {centers}) GROUP BY ALL)"""
 
 
 _START = f"WITH {PARTS}, c0 AS (SELECT row_number() OVER (ORDER BY row_id) AS c, s AS x, r AS y FROM p QUALIFY c <= 5), "
-_ROUNDS = 3
+#: Rounds in SQL; both stand still before.
+_ROUNDS = 40
 
 
 def _lloyd_sql() -> str:
     parts = []
     for k in range(_ROUNDS):
-        parts += [_assign(f"c{k}", f"a{k}"), f" c{k + 1} AS (SELECT c, avg(s) AS x, avg(r) AS y FROM a{k} GROUP BY c)"]
+        parts += [_assign(f"c{k}", f"a{k}"), f" c{k + 1} AS MATERIALIZED (SELECT c, avg(s) AS x, avg(r) AS y FROM a{k} GROUP BY c)"]
     return _START + ",".join([*parts, _assign(f"c{_ROUNDS}", "z")])
 
 
 @query(_lloyd_sql() + " SELECT row_id, c AS cluster FROM z")
 def lloyd(spark, sf):
     p = _parts(spark, sf)
-    return detectors.lloyd(p.select("row_id", "x"), detectors.first_rows(p, 5), 2, _ROUNDS).select("row_id", F.col("cluster").cast("long").alias("cluster"))
+    return detectors.lloyd(p.select("row_id", "x"), detectors.first_rows(p, 5), 2).select("row_id", F.col("cluster").cast("long").alias("cluster"))
 
 
 @query(_lloyd_sql() + " SELECT row_id FROM z WHERE c IN (SELECT c FROM z GROUP BY c HAVING count(*) = 1)")
 def kmeans_singletons(spark, sf):
     p = _parts(spark, sf)
-    return detectors.singletons(detectors.lloyd(p.select("row_id", "x"), detectors.first_rows(p, 5), 2, _ROUNDS))
+    return detectors.singletons(detectors.lloyd(p.select("row_id", "x"), detectors.first_rows(p, 5), 2))
 
 
 def _without(k: int, rest: str) -> str:
-    return f" c{k + 1} AS (SELECT c, avg(s) AS x, avg(r) AS y FROM a{k} WHERE {rest} GROUP BY c)"
+    return f" c{k + 1} AS MATERIALIZED (SELECT c, avg(s) AS x, avg(r) AS y FROM a{k} WHERE {rest} GROUP BY c)"
 
 
 def _mm_sql(out: int) -> str:
     parts = []
     for k in range(_ROUNDS):
-        parts += [_assign(f"c{k}", f"a{k}"), f" o{k} AS (SELECT row_id, d FROM a{k} ORDER BY round(d, 9) DESC, row_id LIMIT {out})", _without(k, f"row_id NOT IN (SELECT row_id FROM o{k})")]
+        parts += [_assign(f"c{k}", f"a{k}"), f" o{k} AS MATERIALIZED (SELECT row_id, d FROM a{k} ORDER BY round(d, 9) DESC, row_id LIMIT {out})", _without(k, f"row_id NOT IN (SELECT row_id FROM o{k})")]
     return _START + ",".join(parts) + f" SELECT row_id, round(d, 6) AS d FROM o{_ROUNDS - 1}"
 
 
 @query(_mm_sql(20))
 def kmeans_mm(spark, sf):
     p = _parts(spark, sf)
-    return detectors.kmeans_mm(p.select("row_id", "x"), detectors.first_rows(p, 5), 2, 20, _ROUNDS).select("row_id", F.round("d", 6).alias("d"))
+    return detectors.kmeans_mm(p.select("row_id", "x"), detectors.first_rows(p, 5), 2, 20).select("row_id", F.round("d", 6).alias("d"))
 
 
-def _kmor_sql(gamma: float) -> str:
+def _kmor_sql(gamma: float, rounds: int) -> str:
     parts = []
-    for k in range(_ROUNDS):
+    for k in range(rounds):
         inside = f"WHERE d <= (SELECT l FROM l{k - 1})" if k else ""
-        parts += [_assign(f"c{k}", f"a{k}"), f" l{k} AS (SELECT {gamma} * avg(d) AS l FROM a{k} {inside})", _without(k, f"d <= (SELECT l FROM l{k})")]
-    return _START + ",".join(parts) + f" SELECT row_id, round(d, 6) AS d FROM a{_ROUNDS - 1} WHERE d > (SELECT l FROM l{_ROUNDS - 1})"
+        parts += [_assign(f"c{k}", f"a{k}"), f" l{k} AS MATERIALIZED (SELECT {gamma} * avg(d) AS l FROM a{k} {inside})", _without(k, f"d <= (SELECT l FROM l{k})")]
+    return _START + ",".join(parts) + f" SELECT row_id, round(d, 6) AS d FROM a{rounds - 1} WHERE d > (SELECT l FROM l{rounds - 1})"
 
 
-@query(_kmor_sql(1.5))
+@query(_kmor_sql(1.5, 10))
 def kmor(spark, sf):
     p = _parts(spark, sf)
-    return detectors.kmor(p.select("row_id", "x"), detectors.first_rows(p, 5), 2, 1.5, _ROUNDS).select("row_id", F.round("d", 6).alias("d"))
+    return detectors.kmor(p.select("row_id", "x"), detectors.first_rows(p, 5), 2, 1.5, 10).select("row_id", F.round("d", 6).alias("d"))
 
 
-@query()
+def _ocrd_sql(beta: float, rounds: int = 10) -> str:
+    parts = [f"WITH {SUPPLIERS}, z AS (SELECT row_id, (r - m) / s AS x FROM p, (SELECT avg(r) AS m, stddev_samp(r) AS s FROM p)), s0 AS MATERIALIZED (SELECT count(*) AS n, avg(x) AS w, 0.5::DOUBLE AS q FROM z)"]
+    for k in range(rounds - 1):
+        parts.append(f""" r{k} AS (SELECT x, n, w, q, 2.0 ** (-{beta} * abs(x - w)) AS p FROM z, s{k}),
+ n{k} AS MATERIALIZED (SELECT any_value(n) AS n, any_value(w) AS w0, any_value(q) AS q0, sum(least(1, n * q * p) * x) / any_value(n) AS w, count(*) FILTER (n * q * p >= 1) / any_value(n) + any_value(q) * coalesce(sum(p) FILTER (n * q * p < 1), 0) AS q FROM r{k}),
+ s{k + 1} AS MATERIALIZED (SELECT n, CASE WHEN (w - w0) * (w - w0) <= 1e-10 THEN w0 ELSE w END AS w, CASE WHEN (w - w0) * (w - w0) <= 1e-10 THEN q0 ELSE q END AS q FROM n{k})""")
+    return ",".join(parts) + f" SELECT row_id FROM z, s{rounds - 1} WHERE n * q * 2.0 ** (-{beta} * abs(x - w)) < 1"
+
+
+@query(_ocrd_sql(6.0))
 def ocrd(spark, sf):
-    return detectors.ocrd(_vectors(spark, sf), DIMS, 0.9)
+    return detectors.ocrd(kept(detectors.scaled(_suppliers(spark, sf), 1)), 1, 6.0)
 
 
 @query()
@@ -483,25 +496,154 @@ def _cp_sql(params: bool) -> str:
 @query(_cp_sql(True))
 def cpp_lloyd(spark, sf):
     p = _parts(spark, sf)
-    labels = detectors.lloyd(p.select("row_id", "x"), detectors.first_rows(p, 5), 2, _ROUNDS)
+    labels = detectors.lloyd(p.select("row_id", "x"), detectors.first_rows(p, 5), 2)
     return rd.purge_parametric(rd.single(labels.join(p.select("row_id", "x"), "row_id")), 2, _KS)
 
 
-@query()
+_LLOYD_PURGE = f"""{_lloyd_sql()}, el AS (SELECT row_id, c AS cluster, 1 AS i, s AS v FROM z UNION ALL SELECT row_id, c, 2, r FROM z),
+ {CENTERS.replace('FROM e ', 'FROM el ').replace('e.cluster', 'el.cluster').replace('c AS (SELECT', 'cc AS (SELECT').replace('JOIN c ', 'JOIN cc ')}, {_perturbed_sql('maxmax')},
+ e2 AS (SELECT el.row_id, nl.cluster, i, v FROM el JOIN nl USING (row_id)),
+ d2 AS (SELECT row_id, e2.cluster, sqrt(sum((v - m) * (v - m))) AS d FROM e2 JOIN (SELECT cluster, i, avg(v) AS m FROM e2 GROUP BY ALL) USING (cluster, i) GROUP BY ALL),
+ f2 AS (SELECT cluster, count(*) AS f, sum(d) AS ds FROM d2 GROUP BY ALL),
+ t2 AS (SELECT sum(ds) AS dt, log2(sum(f)) - sum(f * log2(f)) / sum(f) AS h FROM f2),
+ k AS (SELECT (t.h - t2.h) / (t.dt - t2.dt) AS k FROM t, t2 WHERE t2.dt < t.dt AND t2.h > t.h)
+SELECT row_id FROM d JOIN f USING (cluster), t, k WHERE d >= {CE} / -k"""
+
+
+@query(_LLOYD_PURGE)
 def cp_lloyd(spark, sf):
-    p = _parts(spark, sf)
-    labels = detectors.lloyd(p.select("row_id", "x"), detectors.first_rows(p, 5), 2, _ROUNDS)
-    return rd.purge(rd.with_perturbed(labels.join(p.select("row_id", "x"), "row_id"), "maxmax", 2), 2)
+    p = _parts(spark, sf).select("row_id", "x")
+    labels = detectors.lloyd_all(p, detectors.started(detectors.first_rows(p, 5)), 2).select("grid", "row_id", "cluster")
+    return rd.purge_perturbed(kept(rd.measure(labels.join(p, "row_id"), 2)), "maxmax", 2).select("row_id")
 
 
 @query()
 def cp_hac(spark, sf):
     s = _suppliers(spark, sf).select("row_id", "x")
-    return rd.purge(rd.with_perturbed(detectors.hac(s, 6).join(s, "row_id"), "maxmax", 1), 1)
+    labels = detectors.hac(s, 6).withColumn("grid", F.lit(0))
+    return rd.purge_perturbed(kept(rd.measure(labels.join(s, "row_id"), 1)), "maxmax", 1).select("row_id")
 
 
 @query()
-def cp_dbscan(spark, sf):
+def cpp_hac(spark, sf):
+    s = _suppliers(spark, sf).select("row_id", "x")
+    return rd.purge_parametric(rd.single(detectors.hac(s, 6).join(s, "row_id")), 1, _KS)
+
+
+_DENSE = f"""WITH RECURSIVE {_NEAR}, ce AS (SELECT a, b FROM nb WHERE a IN (FROM co) AND b IN (FROM co)),
+ re AS (SELECT a AS root, a AS node FROM co UNION SELECT root, b FROM re JOIN ce ON ce.a = node),
+ lb AS (SELECT node, min(root) AS l FROM re GROUP BY node),
+ bd AS (SELECT a AS node, min(l) AS l FROM nb JOIN lb ON lb.node = b WHERE a NOT IN (SELECT node FROM lb) GROUP BY a),
+ la AS MATERIALIZED (SELECT row_id, coalesce(l, (SELECT max(l) FROM lb) + 1 - (SELECT min(row_id) FROM p) + row_id) AS cluster FROM p LEFT JOIN (FROM lb UNION ALL FROM bd) x ON x.node = row_id),
+ nd AS (SELECT a, b, sqrt((x.s - y.s) * (x.s - y.s) + (x.r - y.r) * (x.r - y.r)) AS d FROM nb JOIN p x ON x.row_id = a JOIN p y ON y.row_id = b),
+ rp AS (SELECT a AS row_id, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM nd JOIN la x ON x.row_id = a JOIN la y ON y.row_id = b WHERE x.cluster = y.cluster),
+ d AS MATERIALIZED (SELECT row_id, cluster, coalesce(b1, row_id) AS rep, coalesce(d1, 0) AS d, coalesce(d2, 0) AS sec FROM la LEFT JOIN (SELECT row_id, max(b) FILTER (k = 1) AS b1, max(d) FILTER (k = 1) AS d1, max(d) FILTER (k = 2) AS d2 FROM rp GROUP BY row_id) USING (row_id)),
+ f AS (SELECT cluster, count(*) AS f, sum(d) AS ds FROM d GROUP BY ALL),
+ t AS (SELECT sum(f) AS n, sum(ds) AS dt, log2(sum(f)) - sum(f * log2(f)) / sum(f) AS h FROM f)"""
+
+
+def _density(spark, sf):
+    """The parts' density clusters, represented by neighbours, as grid 0."""
     p = _parts(spark, sf).select("row_id", "x")
-    labels = detectors.dbscan(p, 1.25, 4, 2).select("row_id", F.coalesce("cluster", F.col("row_id") + 1_000_000_000).alias("cluster"))
-    return rd.purge(rd.with_perturbed(labels.join(p, "row_id"), "maxmax", 2), 2)
+    near = kept(neighbors.within(p, 1.25, 2))
+    grid = spark.createDataFrame([(0, 1.25, 4)], "grid long, eps double, least int")
+    return kept(detectors.represented(detectors.alone(detectors.dbscan_all(near, p, grid)), near, grid))
+
+
+@query(f"{_DENSE} SELECT row_id, rep, round(d, 6) AS d FROM d")
+def dbscan_reps(spark, sf):
+    return _density(spark, sf).select("row_id", "rep", F.round("d", 6).alias("d"))
+
+
+@query(f"""{_DENSE}, {_perturbed_sql('maxmax')}, f2 AS (SELECT cluster, count(*) AS f FROM nl GROUP BY ALL),
+ t2 AS (SELECT (SELECT sum(CASE WHEN row_id = (SELECT row_id FROM mv) THEN 0 WHEN rep = (SELECT row_id FROM mv) THEN sec ELSE d END) FROM d) AS dt, log2(sum(f)) - sum(f * log2(f)) / sum(f) AS h FROM f2),
+ k AS (SELECT (t.h - t2.h) / (t.dt - t2.dt) AS k FROM t, t2 WHERE t2.dt < t.dt AND t2.h > t.h)
+SELECT row_id FROM d JOIN f USING (cluster), t, k WHERE round(d - {CE} / -k, 9) >= 0""")
+def cp_dbscan(spark, sf):
+    return detectors.purge_density(_density(spark, sf), "maxmax").select("row_id")
+
+
+@query(f"{_DENSE} SELECT row_id, k FROM d JOIN f USING (cluster), t, (SELECT unnest({_KS})::DOUBLE AS k) WHERE d >= {CE} / k * dt")
+def cpp_dbscan(spark, sf):
+    flags = rd.flagged_by(_density(spark, sf), _KS).where("flags > 0")
+    return flags.select("row_id", F.explode(F.slice(F.array(*map(F.lit, _KS)), F.lit(len(_KS) + 1) - F.col("flags"), F.col("flags"))).alias("k"))
+
+
+# -- grid searches: the winner of each metric, held against an arbitrary truth, every seventh row
+
+
+def _searched(points: Query, dims: int, name: str, **config) -> Query:
+    def run(spark, sf):
+        p = points(spark, sf).select("row_id", "x")
+        found = grids.winners(grids.SEARCHERS[name](grids.task(p, p.where("row_id % 7 = 0"), dims), **config))
+        return found.select("metric", F.round("p1", 6).alias("p1"), F.round("p2", 6).alias("p2"), F.round("value", 9).alias("value"))
+
+    return run
+
+
+_GRADED = """ m AS (SELECT g, p1, p2, tp::DOUBLE AS tp, (p - tp)::DOUBLE AS fp, (mm - tp)::DOUBLE AS fn, (nn - mm - (p - tp))::DOUBLE AS tn FROM fl, (SELECT count(*) AS nn, count(*) FILTER (row_id % 7 = 0) AS mm FROM p)),
+ s AS (SELECT g, p1, p2, CASE WHEN tp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f_score,
+ CASE WHEN tp > 0 AND tn > 0 THEN (tp * tn - fp * fn) / (sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn)) ELSE 0 END AS mcc FROM m),
+ u AS (SELECT 'precision' AS metric, g, p1, p2, precision AS v FROM s UNION ALL SELECT 'recall', g, p1, p2, recall FROM s UNION ALL SELECT 'f_score', g, p1, p2, f_score FROM s UNION ALL SELECT 'mcc', g, p1, p2, mcc FROM s)
+SELECT metric, round(p1, 6) AS p1, round(p2, 6) AS p2, round(v, 9) AS value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY round(v, 9) DESC, g) AS r FROM u) WHERE r = 1"""
+_LOF_KS = [20, 10, 5]
+_DBSCAN_GRID = f"""WITH {SUPPLIERS}, {PAIRS.replace('pr AS (', 'pr AS MATERIALIZED (')}, kn AS MATERIALIZED (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rk FROM pr),
+ ep AS (SELECT row_number() OVER (ORDER BY rk, d) AS g, rk AS least, d AS eps FROM (SELECT DISTINCT rk, d FROM kn WHERE rk BETWEEN 2 AND 11)),
+ co AS MATERIALIZED (SELECT g, a FROM ep JOIN kn ON kn.rk = least - 1 AND kn.d <= eps),
+ re AS (SELECT g, a FROM co UNION SELECT g, pr.a FROM co JOIN pr ON pr.b = co.a JOIN ep USING (g) WHERE d <= eps),
+ fl AS (SELECT g, least::DOUBLE AS p1, eps AS p2, (SELECT count(*) FROM p) - coalesce(c, 0) AS p, (SELECT count(*) FROM p WHERE row_id % 7 = 0) - coalesce(h, 0) AS tp
+        FROM ep LEFT JOIN (SELECT g, count(*) AS c, count(*) FILTER (a % 7 = 0) AS h FROM re GROUP BY g) USING (g)),"""
+_LOF_GRID = f"""WITH {VECTORS}, {PAIRS}, ks AS (SELECT unnest({_LOF_KS}) AS kk, unnest([0, 1, 2]) AS g),
+ ra AS MATERIALIZED (SELECT a, b, d, rank() OVER (PARTITION BY a ORDER BY d) AS rk FROM pr), nb AS MATERIALIZED (SELECT g, a, b, d FROM ra JOIN ks ON rk <= kk),
+ kd AS (SELECT g, a, max(d) AS kd FROM nb GROUP BY ALL), lr AS MATERIALIZED (SELECT nb.g, nb.a, count(*) / sum(greatest(d, kd)) AS lrd FROM nb JOIN kd ON kd.a = nb.b AND kd.g = nb.g GROUP BY ALL),
+ sc AS (SELECT nb.g, nb.a, avg(o.lrd) / any_value(s.lrd) AS score FROM nb JOIN lr o ON o.a = nb.b AND o.g = nb.g JOIN lr s ON s.a = nb.a AND s.g = nb.g GROUP BY ALL),
+ tp AS (SELECT g, a FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, a DESC) AS r FROM sc) WHERE r <= (SELECT count(*) FROM p WHERE row_id % 7 = 0)),
+ fl AS (SELECT g, kk::DOUBLE AS p1, NULL::DOUBLE AS p2, count(*) AS p, count(*) FILTER (a % 7 = 0) AS tp FROM tp JOIN ks USING (g) GROUP BY ALL),"""
+
+for _name, _config in {
+    "ocrd": {}, "kmeans_singletons": {"starts": 3}, "kmeans_mm": {}, "kmor": {}, "cblof_kmeans": {"starts": 3}, "cp_kmeans": {"starts": 3}, "cpp_kmeans": {"starts": 3},
+    "hac_singletons": {}, "cblof_hac": {}, "cp_hac": {}, "cpp_hac": {}, "dbscan_noise": {}, "cblof_dbscan": {"steps": 3}, "cp_dbscan": {"steps": 3}, "cpp_dbscan": {"steps": 3},
+}.items():
+    QUERIES[f"grid_{_name}"] = _searched(_suppliers, 1, _name, **_config)
+QUERIES["grid_lps"] = _searched(_vectors, DIMS, "lps", ks=[16, 8, 4, 2])
+QUERIES["grid_lof"], SQL["grid_lof"] = _searched(_vectors, DIMS, "lof", ks=_LOF_KS), _LOF_GRID + _GRADED
+SQL["grid_dbscan_noise"] = _DBSCAN_GRID + _GRADED
+
+
+@query()
+def competition(spark, sf):
+    """Three detectors on two point sets; seconds, which differ from run to run, are left out."""
+    s, p = (f(spark, sf).select("row_id", "x") for f in (_suppliers, _parts))
+    sets = {"suppliers": grids.task(s, s.where("row_id % 7 = 0"), 1), "parts": grids.task(p, p.where("row_id % 7 = 0"), 2)}
+    return grids.competition(sets, {n: grids.SEARCHERS[n] for n in ("kmeans_singletons", "cpp_kmeans", "dbscan_noise")}).drop("seconds")
+
+
+# -- files
+
+
+@query("SELECT p_partkey + 1 AS row_id, p_size::DOUBLE AS x1, p_retailprice::DOUBLE AS x2, p_partkey::DOUBLE AS src_id, p_partkey % 7 = 0 AS is_outlier, 'parts' AS dataset FROM part")
+def arff_parts(spark, sf):
+    """The parts as an ARFF file, read again through the registry of datasets; row numbers follow the file's order, which is that of keys."""
+    p = _parts(spark, sf).withColumn("is_outlier", F.col("row_id") % 7 == 0)
+    path = scratch(p)
+    write_arff(p, path, ["size", "price"])
+    return datasets(spark, {"parts": path}).select("row_id", F.col("x")[0].alias("x1"), F.col("x")[1].alias("x2"), "src_id", "is_outlier", "dataset")
+
+
+def _separated(sep: str) -> Query:
+    def run(spark, sf):
+        p = _parts(spark, sf)
+        path = scratch(p)
+        write_separated(p, path, sep)
+        return separated(spark, path, 2, sep).select("row_id", F.col("x")[0].alias("x1"), F.col("x")[1].alias("x2"))
+
+    return run
+
+
+for _name, _sep in (("text_parts", " "), ("csv_parts", ",")):
+    QUERIES[_name], SQL[_name] = _separated(_sep), "SELECT p_partkey + 1 AS row_id, p_size::DOUBLE AS x1, p_retailprice::DOUBLE AS x2 FROM part"
+
+
+@query()
+def noise_sparse(spark, sf):
+    return sparse_noise(_suppliers(spark, sf).select("row_id", F.array((F.col("x")[0] / 200).alias("a"), F.lit(50.0)).alias("x"))).select("row_id", F.round(F.col("x")[0], 6).alias("x"), F.round(F.col("x")[1], 6).alias("y"))

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Fixed values: (entropy, distortion) pairs of the illustration of a lower hull.
-HULL_POINTS = [(30, 15.0), (110, 12.0), (200, 10.0), (300, 9.5), (400, 7.0), (620, 5.0), (900, 3.0)]
+from outrate.operators.neighbors import within
+from outrate.operators.state import kept
+
+#: Entropies and distortions of the illustration of a lower hull.
+HULL_ENTROPIES = (15, 12, 10, 7, 5, 3, 11, 6, 19, 7.6, 11, 17, 16, 17, 16.5, 18.3, 19, 15.5, 16, 14, 15)
+HULL_DISTORTIONS = (30, 110, 200, 400, 620, 900, 600, 890, 400, 750, 380, 170, 220, 230, 260, 280, 350, 330, 300, 380, 399)
+HULL_POINTS = [(float(d), float(h)) for d, h in zip(HULL_DISTORTIONS, HULL_ENTROPIES, strict=True)]
 
 
 def table_points(df: DataFrame, key: str, columns: list[str], cluster: str | None = None) -> DataFrame:
@@ -55,3 +60,47 @@ def disc_noise(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
     """y * (cos, sin)(2 pi x) for normal x and uniform y."""
     t = spark.range(1, n + 1).select(F.col("id").alias("row_id"), (2 * F.pi() * F.randn(seed)).alias("t"), F.rand(seed + 1).alias("y"))
     return t.select("row_id", F.array(F.col("y") * F.cos("t"), F.col("y") * F.sin("t")).alias("x"))
+
+
+#: Where noise for the map of Europe is drawn (least and greatest longitude, latitude), how far it keeps from all else, and
+#: the four points it starts with.
+NOISE_BOX, NOISE_GAP = ((-40.0, 80.0), (25.0, 90.0)), 3.5
+NOISE_FIRST = ((-20.0, 40.0), (-10.0, 80.0), (60.0, 41.0), (70.0, 60.0))
+
+
+def sparse_noise(points: DataFrame, n: int = 100, seed: int = 1, drawn: int = 20) -> DataFrame:
+    """(row_id, x) of n points: the four first ones, then uniform draws that keep their distance from points (row_id, x) and from all noise
+    accepted before them.  ``drawn`` draws for each point are made at once; a draw is accepted when all those before it that are near are
+    rejected, which gives what one draw after another gives."""
+    spark = points.sparkSession
+    (x0, x1), (y0, y1) = NOISE_BOX
+    t = spark.range(n * drawn).select((F.col("id") + len(NOISE_FIRST)).alias("row_id"), F.array(x0 + (x1 - x0) * F.rand(seed), y0 + (y1 - y0) * F.rand(seed + 1)).alias("x"))
+    first = spark.createDataFrame([(i, list(p)) for i, p in enumerate(NOISE_FIRST)], "row_id long, x array<double>")
+    draws = kept(first.union(t))
+    shifted = points.select((-F.col("row_id") - 1).alias("row_id"), "x")  # apart from the ids of draws
+    close = within(draws.union(shifted), NOISE_GAP, 2).where(f"a >= {len(NOISE_FIRST)} AND d < {NOISE_GAP}")
+    open_ = kept(draws.select("row_id").join(close.where("b < 0").select(F.col("a").alias("row_id")).distinct(), "row_id", "left_anti"))
+    before = kept(close.where("b >= 0 AND b < a").select("a", "b"))
+    accepted = None
+    while not open_.isEmpty():
+        waits = before.join(open_.select(F.col("row_id").alias("a")), "a").join(open_.select(F.col("row_id").alias("b")), "b").select("a").distinct()
+        now = kept(open_.join(waits.select(F.col("a").alias("row_id")), "row_id", "left_anti"))
+        accepted = now if accepted is None else accepted.union(now)
+        gone = before.join(now.select(F.col("row_id").alias("b")), "b").select(F.col("a").alias("row_id")).union(now).distinct()
+        open_ = kept(open_.join(gone, "row_id", "left_anti"))
+    chosen = accepted.orderBy("row_id").limit(n)
+    return draws.join(chosen, "row_id")
+
+
+def write_arff(points: DataFrame, path: str, names: list[str]) -> None:
+    """points (row_id, x, is_outlier) as one ARFF file; its order is theirs, so one task writes it."""
+    spark = points.sparkSession
+    head = ["@RELATION points", "", "@ATTRIBUTE id real", *(f"@ATTRIBUTE {n} real" for n in names), "@ATTRIBUTE outlier {'no','yes'}", "", "@DATA"]
+    line = F.concat_ws(",", F.col("row_id").cast("string"), F.array_join(F.transform("x", lambda v: v.cast("string")), ","), F.when(F.col("is_outlier"), "'yes'").otherwise("'no'"))
+    rows = spark.createDataFrame([(i - len(head), 0, h) for i, h in enumerate(head)], "a int, b long, value string").union(points.select(F.lit(0), "row_id", line))
+    rows.repartition(1).sortWithinPartitions("a", "b").select("value").write.text(path)
+
+
+def write_separated(points: DataFrame, path: str, sep: str = " ") -> None:
+    """points (row_id, x) as header-less separated numbers, in one file for the same reason."""
+    points.repartition(1).sortWithinPartitions("row_id").select(F.array_join(F.transform("x", lambda v: v.cast("string")), sep).alias("value")).write.text(path)

@@ -60,8 +60,7 @@ def test_density(toy):
     assert {r.row_id: r.cluster for r in detectors.hac(toy.select("row_id", "x"), 3).collect()}[10] == 3
 
 
-def test_hac_has_no_limit_of_rows(spark, monkeypatch):
-    monkeypatch.setattr(detectors, "HAC_ROWS", 10, raising=False)
+def test_hac_has_no_limit_of_rows(spark):
     rng = random.Random(3)
     x = [(rng.random(), rng.random()) for _ in range(30)]
     x += x[:3]
