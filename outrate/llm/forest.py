@@ -238,7 +238,7 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _candidates(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The documents that stand in pairs, and a few others; their texts need no shuffle for it."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).mapInArrow(_mixed, "key long")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().mapInArrow(_mixed, "key long")
     some = docs.where("doc_id IS NOT NULL").mapInArrow(_only(bitset(named, F.col("key"))), "doc_id long, text string")
     return table(some, "texts")
 

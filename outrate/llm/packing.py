@@ -31,9 +31,9 @@ from outrate.llm.shingles import mix
 from outrate.llm.tokens import encoder
 
 #: Ids in a window, and bytes of ids in a shard: what one index covers, so also what a task holds.
-WINDOW, SHARD = 2048, 4 << 20
+WINDOW, SHARD = 2048, 2 << 20
 #: Shards in a partition, at least; and the most partitions (each is read as a stream).
-RUN, PARTITIONS = 4, 20_000
+RUN, PARTITIONS = 8, 20_000
 #: BM25's parameters.
 K1, B = 1.2, 0.75
 
