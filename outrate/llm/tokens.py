@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+_SPACE = _LETTERS[32]
 _encoders: dict[str, Encoder] = {}
 
 
@@ -94,10 +97,17 @@ class Encoder:
 
     def _learn(self, keys: np.ndarray, hashes: np.ndarray, pieces: list[bytes]) -> None:
         """Ids of distinct new pieces, straight from the tokenizer's BPE model."""
-        tokenize = self.model.tokenize
-        found = [[t.id for t in tokenize(p.decode("latin-1").translate(_LETTERS))] for p in pieces]
-        count = np.array([len(x) for x in found], np.int64)
-        ids = np.array([i for x in found for i in x], self.type)
+        tokenize, number, every, size = self.model.tokenize, attrgetter("id"), [], []
+        collects = gc.isenabled()
+        gc.disable()  # so many small objects would be looked at again and again; none of them is in a cycle
+        for p in pieces:
+            s = p.decode("latin-1")
+            found = tokenize(s.replace(" ", _SPACE) if s.isascii() and s.isprintable() else s.translate(_LETTERS))
+            every += map(number, found)
+            size.append(len(found))
+        if collects:
+            gc.enable()
+        count, ids = np.array(size, np.int64), np.array(every, self.type)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
@@ -150,7 +160,10 @@ class Encoder:
         plain = np.flatnonzero(~odd)
         where, long = at[plain], size[plain]
         eight = np.ndarray((n + 17,), "<u8", raw + bytes(24), strides=(1,))
-        keys = np.stack([eight[where + 8 * k] & _MASK[np.clip(long - 8 * k, 0, 8)] for k in range(3)])
+        keys, some = np.zeros((3, len(plain)), np.uint64), slice(None)
+        for k in range(3):  # the second and third eight bytes only of those that have them
+            keys[k, some] = eight[where[some] + 8 * k] & _MASK[np.minimum(long[some] - 8 * k, 8)]
+            some = np.flatnonzero(long > 8 * (k + 1))
         hashes = mix(keys[0] * _A ^ keys[1] * _B ^ keys[2] * _C)
         if self.n + len(plain) > MEMO or self.held > OTHERS:
             self._forget()
