@@ -12,7 +12,9 @@ The model is trained anew on a bounded sample: the ``SAMPLE`` distinct snippets
 separators, so that it learns the shape of a span rather than one notation.
 
 Null and empty text: no spans.  Rows without doc_id and repeated rows are each scanned by themselves.
-An empty table gives an empty result; without snippets only base spans are found.
+An empty table gives an empty result; without snippets only base spans are found.  Very long texts are
+read whole, READ tokens at a time.  Extra columns, whatever their names, are ignored by ``find`` and kept by
+``mask``.
 """
 
 from __future__ import annotations

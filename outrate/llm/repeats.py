@@ -16,7 +16,8 @@
    group of near copies shrinks as its halves do.
 
 All strings are judged on the input.  Null text: empty.  Texts shorter than LENGTH stay.  Rows of one
-doc_id or without one are documents of their own.  An empty table gives an empty result.
+doc_id or without one are documents of their own.  Very long texts are taken in pieces that overlap, so
+no string is missed.  An empty table gives an empty result.  Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ from outrate.llm.shingles import buffers, groups, mix
 
 #: Pieces of at most WIDE bytes that a worker remembers (about 50 bytes each), and bytes of all others; then it starts over.
 MEMO, WIDE, OTHERS = 1 << 20, 24, 16 << 20
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 #: Bytes of a long text that are looked up together: never more pieces than the memo has room for.
 LONG = MEMO // 2
 

@@ -10,8 +10,10 @@ names.  A lost executor thus leaves temporary files, never half of an archive, a
 replaces files by equal ones.
 
 Null html: an empty payload.  Null url: an empty target.  Null page_id: written after the others, with
-no id.  Rows of equal page_id and payload: the first is the response, the others revisit it.  An empty
-table gives a manifest without files.
+no id.  Rows of equal page_id and payload: the first is the response, the others revisit it.  Of more
+than LOOK * SHARD_ROWS pages shards grow, but a task reads its shard as a stream and holds one file of it.
+Very long payloads are one record each.  An empty table gives a manifest without files.  Extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outrate.llm.common import table
@@ -35,6 +37,8 @@ from outrate.llm.common import table
 ROLL = 64 << 20
 #: Pages in a shard, about; and how many ids the driver looks at to set the bounds.
 SHARD_ROWS, LOOK = 4000, 20_000
+#: Bounds are looked up in two steps, so many at a time.
+STEP = 128
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILES = "shard int, name string, records long, bytes long, sha1 string"
@@ -151,6 +155,14 @@ def bounds(pages: DataFrame) -> list[int]:
     return sorted({ids[len(ids) * k // shards] for k in range(1, shards)}) if ids else []
 
 
+def _shard(page_id: Column, starts: list[int]) -> Column:
+    """How many starts are not above the id: first among every STEP-th of them, then among those between."""
+    numbers = lambda x: F.array(*[F.lit(v).cast("long") for v in x]).cast("array<bigint>")
+    below = lambda x: F.size(F.filter(x, lambda v: v <= page_id))
+    before = F.greatest(below(numbers(starts[::STEP])) - 1, F.lit(0)) * STEP
+    return before + below(F.slice(numbers(starts), before + 1, F.lit(STEP)))
+
+
 def write(pages: DataFrame, path: str, roll: int = ROLL) -> None:
     """pages (page_id, url, html) as archives in the folder path, with the manifest in ``manifest``."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
@@ -161,8 +173,7 @@ def write(pages: DataFrame, path: str, roll: int = ROLL) -> None:
     none = F.lit(None).cast("string")
     rows = pages.select("page_id", F.lit(1).alias("kind"), "url", "html", none.alias("digest"), F.lit(None).cast("long").alias("refers_to"))
     rows = rows.union(revisits.select("page_id", F.lit(0).alias("kind"), none.alias("url"), none.alias("html"), "digest", "refers_to"))
-    edges = F.array(*[F.lit(x).cast("long") for x in starts]) if starts else F.array().cast("array<bigint>")
-    shard = F.when(F.col("page_id").isNull(), len(starts)).otherwise(F.size(F.filter(edges, lambda x: x <= F.col("page_id")))).cast("int")
+    shard = F.when(F.col("page_id").isNull(), len(starts)).otherwise(_shard(F.col("page_id"), starts)).cast("int")
     placed = rows.withColumn("shard", shard).repartition(len(starts) + 1, "shard")
     ordered = placed.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "kind", "url", "html")
     store, top = _filesystem(path)

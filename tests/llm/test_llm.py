@@ -348,3 +348,105 @@ def test_components(spark):
     got = [(r.node, r.component) for r in components(spark.createDataFrame(links, "a long, b long")).collect()]
     assert sorted(got) == sorted((i, find(i)) for i in root)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_warc_shards(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SHARD_ROWS", 1)
+    monkeypatch.setattr(warc, "STEP", 7)
+    rows = [(i * 3 - 50, f"http://u/{i}", f"<p>{i % 40}</p>" * 5) for i in range(120)]
+    path = scratch_path(spark, "test-warc-shards")
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, shard int")
+    warc.write(pages, path)
+    files = spark.read.schema(warc.FILES).json(f"{path}/manifest").collect()
+    assert len({f.shard for f in files}) == 120 and sum(f.records for f in files) == 120
+    last = {h: max(i for i, _, x in rows if x == h) for _, _, h in rows}
+    assert {r.page_id: r.refers_to for r in warc.read(spark, path).collect()} == {i: last[h] if last[h] != i else None for i, _, h in rows}
+    none = scratch_path(spark, "test-warc-none")
+    warc.write(pages.where("false"), none)
+    assert warc.read(spark, none).count() == 0
+
+
+def test_empty_tables_of_the_other_operators(spark, docs):
+    none = docs.where("false")
+    path = scratch_path(spark, "test-huffman-none")
+    huffman.write(none, path, default_path(), 2)
+    assert huffman.digests(spark, path, encoder(default_path()).size).count() == 0
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    assert tiling.contaminated(none, items).count() == 0 and tiling.contaminated(docs, items.where("false")).count() == 0
+    assert tiling.keep(docs, items.where("false")).count() == docs.count() and forest.keep(none).count() == 0
+    assert pii.mask(none, None).count() == 0
+
+
+def test_long_zeros_are_no_ip():
+    assert pii.base_spans("0" * 5000 + "1.2.3.4 and 000.0.0.0") == [("ip", 0, 5007), ("ip", 5012, 5021)]
+
+
+def test_tiling_by_brute_force():
+    rng = random.Random(1)
+
+    def brute(item, text, least=5):
+        free, found = ([True] * len(item), [True] * len(text)), []
+        while True:
+            best = None
+            for a in range(len(item)):
+                for b in range(len(text)):
+                    k = 0
+                    while a + k < len(item) and b + k < len(text) and item[a + k] == text[b + k] and free[0][a + k] and free[1][b + k]:
+                        k += 1
+                    if k >= least and (best is None or (-k, a, b) < best):
+                        best = (-k, a, b)
+            if best is None:
+                return found
+            k, a, b = -best[0], *best[1:]
+            free[0][a : a + k], free[1][b : b + k] = [False] * k, [False] * k
+            found.append((k, a, b))
+
+    for n in range(150):
+        v = rng.choice([1, 2, 3, 6])
+        item, text = (np.array([rng.randrange(v) + 1 for _ in range(rng.randrange(25))], np.uint64) for _ in "ab")
+        if n % 2 and len(item) > 8:
+            text = np.concatenate([text, item[4:], text[:3], item[:6]])
+        assert tiling.tiles(item, text) == brute(item.tolist(), text.tolist())
+
+
+def _tables(spark, tmp_path, rows, schema, items):
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Every stage on what the one before kept, held against plain recomputations."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    texts = [f"The {word()} of {word()} and " + " ".join(word() for _ in range(rng.randint(40, 90))) + ", it is to be." for _ in range(40)]
+    texts += [t + " " + word() for t in texts[:6]] + texts[6:9]
+    item = " ".join(word() for _ in range(24))
+    texts += [f"The start of {texts[30]} {item} and {texts[31]}", f"The {' '.join(word() for _ in range(40))}. Write to jo.doe@mail.example.org or +1 (279) 555-0024 from 10.1.2.3, it is.", "", "too short", None]
+    rows = [(i, t, "en", "s", len(t or ""), "mine", i * 2) for i, t in enumerate(texts)] + [(None, texts[33] + " without an id of its own", None, None, None, None, None)]
+    sf = _tables(spark, tmp_path, rows, "doc_id long, text string, lang string, source string, n_chars long, rep string, component_id int", [(1, item), (2, None)])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = corpus_pipeline.quality(spark, docs, sf)
+    assert good.columns == docs.columns
+    own = {r.doc_id for r in quality_rules.judge(docs, ["doc_id"]).where("kept").collect()}
+    assert {r.doc_id for r in good.collect()} == own and {i for i, t in enumerate(texts) if t and len(t.split()) < 10} & own == set()
+    single = corpus_pipeline.near_copies(spark, good, sf)
+    kept, sets = {r.doc_id for r in single.collect()}, {i: _shingles(texts[i]) for i in own if i is not None}
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert kept == {None} | {i for i in sets if not any(j < i and linked(i, j) for j in sets)} and single.columns == docs.columns
+    clean = corpus_pipeline.benchmark(spark, single, sf)
+    assert {r.doc_id for r in clean.collect()} == kept - {len(texts) - 5} and clean.columns == docs.columns
+    masked = {r.doc_id: r for r in corpus_pipeline.personal_data(spark, clean, sf).collect()}
+    assert set(masked) == kept - {len(texts) - 5} and not {"@", "555"} & {x for x in ("@", "555") for r in masked.values() if x in r.text}
+    assert all(r.text == texts[i] and r.component_id == 2 * i for i, r in masked.items() if i is not None and i < 40)
+    assert "<email>" in masked[len(texts) - 4].text and "<ip>" in masked[len(texts) - 4].text
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    code, length = encoder(default_path()).tokenizer, Counter()
+    for r in pieces:
+        length[r.doc_id] += r.length
+    assert length == {i: len(code.encode(r.text, add_special_tokens=False).ids) + 1 for i, r in masked.items()}
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    sf = _tables(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long", [])
+    assert corpus_pipeline.run(spark, sf).count() == 0
