@@ -1,4 +1,10 @@
-"""Stages that turn raw documents into training sequences."""
+"""Stages that turn raw documents into training sequences.
+
+Each stage but the last returns the columns of documents, whatever they are, for the rows that stay.  Null texts count as empty, which the
+quality rules reject; a stage that gets such rows all the same keeps them.  Rows without doc_id pass the near copies and are judged by
+their text elsewhere.  Repeated rows: of a doc_id's equal rows none is a copy of another; all stay or go together.  Very long texts are
+read whole.  Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
