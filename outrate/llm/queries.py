@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from outrate.llm import cotraining, forest, huffman, packing, pii, quality_rules, repeats, tiling, urls, warc
-from outrate.llm.common import read, ready, scratch_path
+from outrate.llm.common import LOWER, UPPER, read, ready, scratch_path
 from outrate.llm.tokens import default_path, encoder
 
 
@@ -97,5 +97,57 @@ def _op7_sql() -> str:
     FROM c"""
 
 
+def _op1_sql() -> str:
+    return f"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+      FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(ws) < 5 THEN ws ELSE list_slice(ws, i, i + 4) END, ' ') AS g
+      FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS r(i) WHERE len(ws) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    both_have AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s AS x JOIN s AS y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+    link AS (
+      SELECT a, b FROM both_have JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+    reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+    least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+    SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(c.b, w.doc_id)) AS component_id,
+           w.doc_id <= coalesce(c.b, w.doc_id) AS kept
+    FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least_of AS c ON c.a = w.doc_id"""
+
+
+#: The digest is regrouped from four bits a digit to five.
+_OP5 = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+    q AS (
+      SELECT page_id, strlen(t)::BIGINT AS payload_bytes, max(page_id) OVER (PARTITION BY t) AS last_id,
+             list_transform(string_split(h, ''), lambda c: instr('0123456789abcdef', c) - 1) AS d
+      FROM p)
+    SELECT page_id, payload_bytes,
+           array_to_string(list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             (((d[i // 4 + 1] * 16 + coalesce(d[i // 4 + 2], 0)) >> (3 - i % 4)) & 31) + 1, 1)), '') AS payload_digest,
+           CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> last_id THEN last_id END AS refers_to
+    FROM q"""
+
+#: Windows of 200 bytes, 400 hexadecimal digits, are told apart by their md5; every text is cut into blocks only to read them sooner.
+_OP8 = """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    block AS (SELECT doc_id, c, substr(h, 2 * c + 1, 800) AS x FROM d, unnest(range(0, length(h) // 2 - 199, 200)) AS r(c)),
+    win AS (SELECT doc_id, c + i AS i, md5(substr(x, 2 * i + 1, 400)) AS s FROM block, unnest(range(0, least(200, length(x) // 2 - 199))) AS r(i)),
+    hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM win) WHERE n > 1),
+    mark AS (SELECT doc_id, i, (i > coalesce(lag(i) OVER w + 200, -1))::INT AS new FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM mark),
+    span AS (SELECT doc_id, k, min(i) AS a, max(i) + 200 AS b FROM run GROUP BY ALL),
+    cut AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS p FROM span),
+    part AS (
+      SELECT doc_id, a AS pos, substr(h, 2 * p + 1, 2 * (a - p)) AS h, b - a AS n FROM cut JOIN d USING (doc_id)
+      UNION ALL
+      SELECT doc_id, 1e18::BIGINT, substr(h, 2 * coalesce(b, 0) + 1), 0 FROM d LEFT JOIN (SELECT doc_id, max(b) AS b FROM span GROUP BY doc_id) USING (doc_id))
+    SELECT doc_id, (length(any_value(d.h)) // 2)::BIGINT AS n_bytes, sum(n)::BIGINT AS n_removed, (count(*) - 1)::BIGINT AS n_spans,
+           sha256(unhex(string_agg(part.h, '' ORDER BY pos))) AS kept_sha256
+    FROM part JOIN d USING (doc_id) GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": _op7_sql()}
+    return {"op1_minhash_forest": _op1_sql(), "op5_warc": _OP5, "op7_quality_rules": _op7_sql(), "op8_repeated_bytes": _OP8}

@@ -6,11 +6,12 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from outrate.llm import bwt, cotraining, forest, huffman, packing, pii, quality_rules, repeats, tiling, urls, warc
+from outrate.llm import bwt, cotraining, forest, huffman, packing, pii, quality_rules, queries, repeats, tiling, urls, warc
 from outrate.llm.common import ready, scratch_path
 from outrate.llm.tokens import default_path, encoder
 
@@ -450,3 +451,16 @@ def test_pipeline_by_brute_force(spark, tmp_path):
 def test_pipeline_of_nothing(spark, tmp_path):
     sf = _tables(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long", [])
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_sql(spark, rows, tmp_path):
+    """The queries that have SQL give its rows, with nulls, blanks, repeats and texts beyond ASCII."""
+    texts = [t for i, t, *_ in rows if i is not None] + ["äß " * 90, "x" + "äß " * 90, "\u2003 a\u00a0b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").selectExpr("*", "concat('http://a.example/', page_id) AS url").write.parquet(f"{tmp_path}/pages.parquet")
+    for name in ("documents", "pages"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        found, want = queries.queries()[name](spark, str(tmp_path)), duckdb.sql(sql)
+        assert sorted(found.columns) == sorted(want.columns)
+        assert sorted(map(str, (tuple(r) for r in found.select(want.columns).collect()))) == sorted(map(str, want.fetchall())), name
