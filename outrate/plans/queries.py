@@ -444,26 +444,36 @@ def kmor(spark, sf):
     return detectors.kmor(p.select("row_id", "x"), detectors.first_rows(p, 5), 2, 1.5, 10).select("row_id", F.round("d", 6).alias("d"))
 
 
-def _ocrd_sql(beta: float, rounds: int = 10) -> str:
-    parts = [f"WITH {SUPPLIERS}, z AS (SELECT row_id, (r - m) / s AS x FROM p, (SELECT avg(r) AS m, stddev_samp(r) AS s FROM p)), s0 AS MATERIALIZED (SELECT count(*) AS n, avg(x) AS w, 0.5::DOUBLE AS q FROM z)"]
+def _ocrd_sql(betas: str, rounds: int = 10) -> str:
+    """betas: (g, beta) as SQL; ends with ov (g, beta, row_id)."""
+    parts = [f"WITH {SUPPLIERS}, z AS (SELECT row_id, (r - m) / s AS x FROM p, (SELECT avg(r) AS m, stddev_samp(r) AS s FROM p)), s0 AS MATERIALIZED (SELECT g, beta, n, w, 0.5::DOUBLE AS q FROM (SELECT count(*) AS n, avg(x) AS w FROM z), ({betas}))"]
     for k in range(rounds - 1):
-        parts.append(f""" r{k} AS (SELECT x, n, w, q, 2.0 ** (-{beta} * abs(x - w)) AS p FROM z, s{k}),
- n{k} AS MATERIALIZED (SELECT any_value(n) AS n, any_value(w) AS w0, any_value(q) AS q0, sum(least(1, n * q * p) * x) / any_value(n) AS w, count(*) FILTER (n * q * p >= 1) / any_value(n) + any_value(q) * coalesce(sum(p) FILTER (n * q * p < 1), 0) AS q FROM r{k}),
- s{k + 1} AS MATERIALIZED (SELECT n, CASE WHEN (w - w0) * (w - w0) <= 1e-10 THEN w0 ELSE w END AS w, CASE WHEN (w - w0) * (w - w0) <= 1e-10 THEN q0 ELSE q END AS q FROM n{k})""")
-    return ",".join(parts) + f" SELECT row_id FROM z, s{rounds - 1} WHERE n * q * 2.0 ** (-{beta} * abs(x - w)) < 1"
+        parts.append(f""" r{k} AS (SELECT g, beta, x, n, w, q, 2.0 ** (-beta * abs(x - w)) AS p FROM z, s{k}),
+ n{k} AS MATERIALIZED (SELECT g, any_value(beta) AS beta, any_value(n) AS n, any_value(w) AS w0, any_value(q) AS q0, sum(least(1, n * q * p) * x) / any_value(n) AS w, count(*) FILTER (n * q * p >= 1) / any_value(n) + any_value(q) * coalesce(sum(p) FILTER (n * q * p < 1), 0) AS q FROM r{k} GROUP BY g),
+ s{k + 1} AS MATERIALIZED (SELECT g, beta, n, CASE WHEN (w - w0) * (w - w0) <= 1e-10 THEN w0 ELSE w END AS w, CASE WHEN (w - w0) * (w - w0) <= 1e-10 THEN q0 ELSE q END AS q FROM n{k})""")
+    return ",".join(parts) + f", ov AS (SELECT g, beta, row_id FROM z, s{rounds - 1} WHERE n * q * 2.0 ** (-beta * abs(x - w)) < 1)"
 
 
-@query(_ocrd_sql(6.0))
+@query(_ocrd_sql("SELECT 0 AS g, 6.0::DOUBLE AS beta") + " SELECT row_id FROM ov")
 def ocrd(spark, sf):
     return detectors.ocrd(kept(detectors.scaled(_suppliers(spark, sf), 1)), 1, 6.0)
 
 
-@query()
+#: Complete linkage of points on a line, where only neighbours can be next: one merge a round, all cuts as cu (theta, row_id, cluster).
+_TREE = f"""WITH RECURSIVE {SUPPLIERS}, so AS (SELECT row_id, r, row_number() OVER (ORDER BY r, row_id) AS o FROM p), ve AS MATERIALIZED (SELECT list(r ORDER BY o) AS v FROM so),
+ st AS (SELECT 0 AS step, list(struct_pack(a := row_id, i := o, j := o) ORDER BY o) AS cl FROM so UNION ALL
+  SELECT step + 1, list_concat(list_concat(cl[:x.i - 1], [struct_pack(a := x.a, i := cl[x.i].i, j := cl[x.i + 1].j)]), cl[x.i + 2:])
+  FROM (SELECT step, cl, list_sort(list_transform(range(1, len(cl)), lambda k: struct_pack(d := sqrt((v[cl[k + 1].j] - v[cl[k].i]) * (v[cl[k + 1].j] - v[cl[k].i])), a := least(cl[k].a, cl[k + 1].a), b := greatest(cl[k].a, cl[k + 1].a), i := k)))[1] AS x FROM st, ve WHERE len(cl) > 1)),
+ cu AS MATERIALIZED (SELECT theta, row_id, r, c.a AS cluster FROM (SELECT len(cl) AS theta, unnest(cl) AS c FROM st) JOIN so ON o BETWEEN c.i AND c.j),
+ z AS (SELECT row_id, r, dense_rank() OVER (ORDER BY cluster) AS c FROM cu WHERE theta = 6)"""
+
+
+@query(f"{_TREE} SELECT row_id, c AS cluster FROM z")
 def hac(spark, sf):
     return detectors.hac(_suppliers(spark, sf).select("row_id", "x"), 6)
 
 
-@query()
+@query(f"{_TREE} SELECT row_id FROM z WHERE c IN (SELECT c FROM z GROUP BY c HAVING count(*) = 1)")
 def hac_singletons(spark, sf):
     return detectors.singletons(detectors.hac(_suppliers(spark, sf).select("row_id", "x"), 6))
 
@@ -487,21 +497,21 @@ def noise_disc(spark, sf):
     return disc_noise(spark, 100).select("row_id", F.round(F.col("x")[0], 6).alias("x"), F.round(F.col("x")[1], 6).alias("y"))
 
 
-def _cp_sql(params: bool) -> str:
-    tail = f"SELECT row_id, k FROM d JOIN f USING (cluster), t, (SELECT unnest({_KS})::DOUBLE AS k) WHERE d >= {CE} / k * dt"
-    base = _lloyd_sql().replace(PARTS, f"{PARTS}") + f""", el AS (SELECT row_id, c AS cluster, 1 AS i, s AS v FROM z UNION ALL SELECT row_id, c, 2, r FROM z),{CENTERS.replace('FROM e ', 'FROM el ').replace('e.cluster', 'el.cluster').replace('c AS (SELECT', 'cc AS (SELECT').replace('JOIN c ', 'JOIN cc ')} """
-    return base + tail
+_LLOYD_ROWS = "SELECT row_id, c AS cluster, 1 AS i, s AS v FROM z UNION ALL SELECT row_id, c, 2, r FROM z"
+_TREE_ROWS = "SELECT row_id, c AS cluster, 1 AS i, r AS v FROM z"
 
 
-@query(_cp_sql(True))
-def cpp_lloyd(spark, sf):
-    p = _parts(spark, sf)
-    labels = detectors.lloyd(p.select("row_id", "x"), detectors.first_rows(p, 5), 2)
-    return rd.purge_parametric(rd.single(labels.join(p.select("row_id", "x"), "row_id")), 2, _KS)
+def _represented_sql(base: str, rows: str) -> str:
+    centers = CENTERS.replace("FROM e ", "FROM el ").replace("e.cluster", "el.cluster").replace("c AS (SELECT", "cc AS (SELECT").replace("JOIN c ", "JOIN cc ")
+    return f"{base}, el AS ({rows}),{centers}"
+
 
+def _cpp_sql(base: str, rows: str) -> str:
+    return f"{_represented_sql(base, rows)} SELECT row_id, k FROM d JOIN f USING (cluster), t, (SELECT unnest({_KS})::DOUBLE AS k) WHERE d >= {CE} / k * dt"
 
-_LLOYD_PURGE = f"""{_lloyd_sql()}, el AS (SELECT row_id, c AS cluster, 1 AS i, s AS v FROM z UNION ALL SELECT row_id, c, 2, r FROM z),
- {CENTERS.replace('FROM e ', 'FROM el ').replace('e.cluster', 'el.cluster').replace('c AS (SELECT', 'cc AS (SELECT').replace('JOIN c ', 'JOIN cc ')}, {_perturbed_sql('maxmax')},
+
+def _cp_sql(base: str, rows: str) -> str:
+    return f"""{_represented_sql(base, rows)}, {_perturbed_sql('maxmax')},
  e2 AS (SELECT el.row_id, nl.cluster, i, v FROM el JOIN nl USING (row_id)),
  d2 AS (SELECT row_id, e2.cluster, sqrt(sum((v - m) * (v - m))) AS d FROM e2 JOIN (SELECT cluster, i, avg(v) AS m FROM e2 GROUP BY ALL) USING (cluster, i) GROUP BY ALL),
  f2 AS (SELECT cluster, count(*) AS f, sum(d) AS ds FROM d2 GROUP BY ALL),
@@ -510,21 +520,28 @@ _LLOYD_PURGE = f"""{_lloyd_sql()}, el AS (SELECT row_id, c AS cluster, 1 AS i, s
 SELECT row_id FROM d JOIN f USING (cluster), t, k WHERE d >= {CE} / -k"""
 
 
-@query(_LLOYD_PURGE)
+@query(_cpp_sql(_lloyd_sql(), _LLOYD_ROWS))
+def cpp_lloyd(spark, sf):
+    p = _parts(spark, sf)
+    labels = detectors.lloyd(p.select("row_id", "x"), detectors.first_rows(p, 5), 2)
+    return rd.purge_parametric(rd.single(labels.join(p.select("row_id", "x"), "row_id")), 2, _KS)
+
+
+@query(_cp_sql(_lloyd_sql(), _LLOYD_ROWS))
 def cp_lloyd(spark, sf):
     p = _parts(spark, sf).select("row_id", "x")
     labels = detectors.lloyd_all(p, detectors.started(detectors.first_rows(p, 5)), 2).select("grid", "row_id", "cluster")
     return rd.purge_perturbed(kept(rd.measure(labels.join(p, "row_id"), 2)), "maxmax", 2).select("row_id")
 
 
-@query()
+@query(_cp_sql(_TREE, _TREE_ROWS))
 def cp_hac(spark, sf):
     s = _suppliers(spark, sf).select("row_id", "x")
     labels = detectors.hac(s, 6).withColumn("grid", F.lit(0))
     return rd.purge_perturbed(kept(rd.measure(labels.join(s, "row_id"), 1)), "maxmax", 1).select("row_id")
 
 
-@query()
+@query(_cpp_sql(_TREE, _TREE_ROWS))
 def cpp_hac(spark, sf):
     s = _suppliers(spark, sf).select("row_id", "x")
     return rd.purge_parametric(rd.single(detectors.hac(s, 6).join(s, "row_id")), 1, _KS)
@@ -608,6 +625,55 @@ for _name, _config in {
 QUERIES["grid_lps"] = _searched(_vectors, DIMS, "lps", ks=[16, 8, 4, 2])
 QUERIES["grid_lof"], SQL["grid_lof"] = _searched(_vectors, DIMS, "lof", ks=_LOF_KS), _LOF_GRID + _GRADED
 SQL["grid_dbscan_noise"] = _DBSCAN_GRID + _GRADED
+_BETAS = "SELECT i AS g, 0.1::DOUBLE + (10 - 0.1::DOUBLE) * i / (n - 1) AS beta FROM (SELECT count(*) AS n FROM p), unnest(range(n)) AS r(i)"
+SQL["grid_ocrd"] = f"""{_ocrd_sql(_BETAS)}, fl AS (SELECT s0.g, s0.beta AS p1, NULL::DOUBLE AS p2, count(row_id) AS p, count(*) FILTER (row_id % 7 = 0) AS tp FROM s0 LEFT JOIN ov USING (g) GROUP BY ALL),""" + _GRADED
+_GRID_KS = "SELECT 10 - k AS i, k FROM unnest(range(2, 11)) AS r(k)"
+
+
+def _grid_near(n: int) -> str:
+    return f" a{n} AS MATERIALIZED (SELECT g, row_id, r, c, d FROM (SELECT *, row_number() OVER (PARTITION BY g, row_id ORDER BY round(d, 9), c) AS rk FROM (SELECT g, row_id, r, c, abs(r - x) AS d FROM p, c{n})) WHERE rk = 1)"
+
+
+def _grid_start(grid: str) -> str:
+    return f"WITH {SUPPLIERS}, gr AS ({grid}), c0 AS MATERIALIZED (SELECT g, c, r AS x FROM gr, (SELECT row_number() OVER (ORDER BY row_id) AS c, r FROM p) WHERE c <= k)"
+
+
+def _grid_mm_sql() -> str:
+    parts = [_grid_start(f"SELECT i AS g, k FROM ({_GRID_KS})")]
+    for n in range(_ROUNDS):
+        parts += [_grid_near(n), f" o{n} AS MATERIALIZED (SELECT g, row_id, r, c, d, row_number() OVER (PARTITION BY g ORDER BY round(d, 9) DESC, row_id) <= (SELECT count(*) FROM p WHERE row_id % 7 = 0) AS far FROM a{n})"]
+        parts.append(f" c{n + 1} AS MATERIALIZED (SELECT g, c, avg(r) AS x FROM o{n} WHERE NOT far GROUP BY g, c)")
+    return ",".join(parts) + f", fl AS (SELECT g, k::DOUBLE AS p1, NULL::DOUBLE AS p2, count(*) AS p, count(*) FILTER (row_id % 7 = 0) AS tp FROM o{_ROUNDS - 1} JOIN gr USING (g) WHERE far GROUP BY ALL)," + _GRADED
+
+
+def _grid_kmor_sql(rounds: int = 10) -> str:
+    parts = [_grid_start(f"SELECT 30 * x.i + y.i AS g, k, 0.1::DOUBLE + (10 - 0.1::DOUBLE) * y.i / 29 AS gamma FROM ({_GRID_KS}) AS x, unnest(range(30)) AS y(i)")]
+    for n in range(rounds):
+        inside = f"FILTER (d <= l{n - 1}.l)" if n else ""
+        before = f"JOIN l{n - 1} USING (g)" if n else ""
+        parts += [_grid_near(n), f" l{n} AS MATERIALIZED (SELECT g, any_value(gamma) * coalesce(avg(d) {inside}, 0) AS l FROM a{n} JOIN gr USING (g) {before} GROUP BY g)"]
+        parts.append(f" w{n} AS MATERIALIZED (SELECT g, c, avg(r) AS x FROM a{n} JOIN l{n} USING (g) WHERE d <= l GROUP BY g, c)")
+        parts.append(f" c{n + 1} AS MATERIALIZED (FROM w{n} UNION ALL SELECT g, c, x FROM c{n} WHERE g NOT IN (SELECT g FROM w{n}))")
+    last = rounds - 1
+    return ",".join(parts) + f", fl AS (SELECT g, k::DOUBLE AS p1, gamma AS p2, count(*) FILTER (d > l) AS p, count(*) FILTER (d > l AND row_id % 7 = 0) AS tp FROM a{last} JOIN l{last} USING (g) JOIN gr USING (g) GROUP BY ALL)," + _GRADED
+
+
+SQL["grid_kmeans_mm"], SQL["grid_kmor"] = _grid_mm_sql(), _grid_kmor_sql()
+_SIZES = "cs AS MATERIALIZED (SELECT theta, cluster, count(*) AS f, avg(r) AS c FROM cu GROUP BY ALL)"
+_CUTS = f"{_SIZES}, cd AS MATERIALIZED (SELECT theta, cluster, row_id, r, f, c, abs(r - c) AS d FROM cu JOIN cs USING (theta, cluster)), ct AS (SELECT theta, count(*) AS n, sum(d) AS dt, log2(count(*)) - sum(log2(f)) / count(*) AS h FROM cd GROUP BY theta)"
+SQL["grid_hac_singletons"] = f"""{_TREE}, {_SIZES}, fl AS (SELECT (SELECT count(*) FROM p) - theta AS g, theta::DOUBLE AS p1, NULL::DOUBLE AS p2, count(*) FILTER (f = 1) AS p, count(*) FILTER (f = 1 AND cluster % 7 = 0) AS tp FROM cs GROUP BY theta),""" + _GRADED
+SQL["grid_cblof_hac"] = f"""{_TREE}, {_CUTS}, bg AS (SELECT theta, cluster, c FROM (SELECT *, row_number() OVER (PARTITION BY theta ORDER BY f DESC, cluster) AS k FROM cs) WHERE k <= least(theta - 1, 5)),
+ sc AS (SELECT cd.theta, row_id, any_value(f) * coalesce(min(abs(r - bg.c)) FILTER (bg.cluster = cd.cluster), min(abs(r - bg.c))) AS score FROM cd JOIN bg ON bg.theta = cd.theta GROUP BY cd.theta, row_id),
+ tp AS (SELECT theta, row_id FROM (SELECT *, row_number() OVER (PARTITION BY theta ORDER BY score DESC, row_id DESC) AS k FROM sc) WHERE k <= (SELECT count(*) FROM p WHERE row_id % 7 = 0)),
+ fl AS (SELECT theta AS g, theta::DOUBLE AS p1, NULL::DOUBLE AS p2, count(*) AS p, count(*) FILTER (row_id % 7 = 0) AS tp FROM tp WHERE theta BETWEEN 3 AND (SELECT count(*) - 1 FROM p) GROUP BY theta),""" + _GRADED
+SQL["grid_cpp_hac"] = f"""{_TREE}, {_CUTS}, mu AS (SELECT i, 0.1::DOUBLE + (10 - 0.1::DOUBLE) * i / 29 AS k FROM unnest(range(30)) AS r(i)),
+ fl AS (SELECT ((SELECT count(*) FROM p) - 1 - theta) * 30 + i AS g, theta::DOUBLE AS p1, k AS p2, count(*) FILTER (d >= {CE} / k * dt) AS p, count(*) FILTER (row_id % 7 = 0 AND d >= {CE} / k * dt) AS tp FROM cd JOIN ct USING (theta), mu WHERE theta < n GROUP BY ALL),""" + _GRADED
+SQL["grid_cp_hac"] = f"""{_TREE}, {_CUTS}, mv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY theta ORDER BY f DESC, cluster, round(d, 9) DESC, row_id) AS k FROM cd) WHERE k = 1 AND f > 1),
+ c2 AS (SELECT mv.theta, mv.cluster, mv.row_id AS moved, avg(cd.r) AS c FROM mv JOIN cd ON cd.theta = mv.theta AND cd.cluster = mv.cluster AND cd.row_id <> mv.row_id GROUP BY ALL),
+ nw AS (SELECT theta, sum(CASE WHEN row_id = moved THEN 0 WHEN cd.cluster = c2.cluster THEN abs(r - c2.c) ELSE d END) AS dt, log2(count(*)) - sum(CASE WHEN row_id = moved THEN 0 WHEN cd.cluster = c2.cluster THEN log2(f - 1) ELSE log2(f) END) / count(*) AS h FROM cd JOIN c2 USING (theta) GROUP BY theta),
+ sl AS (SELECT theta, (ct.h - nw.h) / (ct.dt - nw.dt) AS k FROM ct JOIN nw USING (theta) WHERE nw.dt < ct.dt AND nw.h > ct.h),
+ hi AS (SELECT cd.theta, row_id FROM cd JOIN ct USING (theta) JOIN sl USING (theta) WHERE round(d - {CE} / -k, 9) >= 0),
+ fl AS (SELECT n - 1 - ct.theta AS g, ct.theta::DOUBLE AS p1, NULL::DOUBLE AS p2, count(row_id) AS p, count(*) FILTER (row_id % 7 = 0) AS tp FROM ct LEFT JOIN hi USING (theta) WHERE ct.theta < n GROUP BY ALL),""" + _GRADED
 
 
 @query()
