@@ -255,3 +255,18 @@ def test_sparse_noise(spark):
         if all(math.dist(p, q) >= 3.5 for _, q in kept_rows) and all(math.dist(p, q) >= 3.5 for _, q in data):
             kept_rows.append((i, tuple(p)))
     assert got == kept_rows[:40]
+
+
+def test_tree_sql_with_equal_rows(spark, tmp_path):
+    """SQL and query of the tree agree where rows and merges tie."""
+    import duckdb
+
+    from outrate.plans import queries
+
+    values = [1.0, 1.0, 2.0, 3.0, 3.0, 3.0, 9.0, 10.0, 12.0, 13.0, 30.0, 80.0]
+    spark.createDataFrame([(i, i % 3, v) for i, v in enumerate(values)], "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW supplier AS FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    for name in ("hac", "hac_singletons"):
+        found, want = queries.QUERIES[name](spark, str(tmp_path)), duckdb.sql(queries.SQL[name])
+        rows = sorted(tuple(r) for r in found.select(want.columns).collect())
+        assert rows and rows == sorted(want.fetchall())
