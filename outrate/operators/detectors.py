@@ -65,13 +65,18 @@ def _sums(points: DataFrame, centers: Centers, dims: int, cut: dict[int, float]
     return [(r.grid, r.center, r.sums[0], r.sums[1], np.array(r.sums[2:])) for r in every.collect()]
 
 
-def _moved(sums: list[tuple], centers: Centers) -> tuple[Centers, bool]:
+def _stand(x: np.ndarray, new: np.ndarray, mode: str) -> bool:
+    """Whether centers stand still; mode ``reference``: moves are added up by coordinate first, so that opposite ones cancel."""
+    return bool(((x - new).sum(axis=0) ** 2).sum() < 1e-5) if mode == "reference" else np.allclose(new, x, rtol=1e-12, atol=1e-12)
+
+
+def _moved(sums: list[tuple], centers: Centers, mode: str = "canonical") -> tuple[Centers, bool]:
     """The means as new centers, without those that lost all rows, and whether any is elsewhere."""
     new: Centers = {}
     for grid in centers:
         own = [(c, x / n) for g, c, n, _, x in sums if g == grid and n > 0]
         new[grid] = np.array([c for c, _ in own], np.int64), np.array([x for _, x in own])
-    still = all(len(new[g][0]) == len(c) and np.allclose(new[g][1], x, rtol=1e-12, atol=1e-12) for g, (c, x) in centers.items())
+    still = all(len(new[g][0]) == len(c) and _stand(x, new[g][1], mode) for g, (c, x) in centers.items())
     return new, not still
 
 
@@ -105,8 +110,9 @@ def first_rows(points: DataFrame, k: int) -> DataFrame:
     return points.orderBy("row_id").limit(k).select(F.row_number().over(Window.orderBy("row_id")).alias("center"), F.col("x").alias("c"))
 
 
-def kmeans_mm_all(points: DataFrame, centers: Centers, dims: int, out: int, rounds: int = ROUNDS) -> DataFrame:
-    """k-means--: in each round the ``out`` farthest rows do not count, until centers stand still: (grid, row_id, d) of the last round's."""
+def kmeans_mm_all(points: DataFrame, centers: Centers, dims: int, out: int, rounds: int = ROUNDS, mode: str = "canonical") -> DataFrame:
+    """k-means--: in each round the ``out`` farthest rows do not count, until centers stand still: (grid, row_id, d) of the last round's.
+    mode ``reference``, for one grid: see ``_stand``."""
     x = kept(points.select(F.col("row_id").cast("long").alias("row_id"), "x"))
     for r in range(rounds):
         found = kept(assigned(x, centers, dims))
@@ -116,15 +122,15 @@ def kmeans_mm_all(points: DataFrame, centers: Centers, dims: int, out: int, roun
             break
         rest = found.join(far.select("grid", "row_id"), ["grid", "row_id"], "left_anti").join(x, "row_id")
         sums = rest.groupBy("grid", "cluster").agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(dims)]).alias("s")).orderBy("grid", "cluster").collect()
-        centers, moved = _moved([(g.grid, g.cluster, g.n, 0.0, np.array(g.s)) for g in sums], centers)
+        centers, moved = _moved([(g.grid, g.cluster, g.n, 0.0, np.array(g.s)) for g in sums], centers, mode)
         if not moved:
             break
     return far
 
 
-def kmeans_mm(points: DataFrame, init: DataFrame, dims: int, out: int, rounds: int = ROUNDS) -> DataFrame:
+def kmeans_mm(points: DataFrame, init: DataFrame, dims: int, out: int, rounds: int = ROUNDS, mode: str = "canonical") -> DataFrame:
     """k-means-- from given centers: row_id, d of the ``out`` farthest rows."""
-    return kmeans_mm_all(points, started(init), dims, out, rounds).select("row_id", "d")
+    return kmeans_mm_all(points, started(init), dims, out, rounds, mode).select("row_id", "d")
 
 
 def kmor_all(points: DataFrame, centers: Centers, dims: int, gamma: dict[int, float], rounds: int = ROUNDS) -> DataFrame:
@@ -218,9 +224,30 @@ def cblof_all(clusters: DataFrame, dims: int) -> DataFrame:
     return inside.union(far.select("grid", "row_id", (F.col("f") * F.col("far")).alias("score")))
 
 
-def cblof(clusters: DataFrame, dims: int, large: int) -> DataFrame:
+def first_places(clusters: DataFrame, n: int) -> DataFrame:
+    """(place, row_id, cluster) of the n rows with the smallest ids, as many as there are clusters."""
+    return clusters.orderBy("row_id").limit(n).select(F.row_number().over(Window.orderBy("row_id")).cast("long").alias("place"), "row_id", "cluster")
+
+
+def cblof_by_place(clusters: DataFrame, dims: int, large: int) -> DataFrame:
+    """``cblof`` with the original's two slips: a label, which is one of 1..n, is taken for the rank of its cluster's size, and for the place
+    of the row whose center is compared with rows of small clusters.  A label that is no rank has the score null."""
+    stats = clusters.groupBy("cluster").agg(F.count("*").alias("f"), mean(F.col("x"), dims).alias("c"))
+    ranked = kept(stats.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("f"), "cluster")).cast("long")))
+    size = ranked.select(F.col("rank").alias("cluster"), F.col("f").alias("size"))
+    own = clusters.join(ranked.select("cluster", "c", (F.col("rank") <= large).alias("big")).join(size, "cluster", "left"), "cluster")
+    first = first_places(clusters, ranked.count())
+    used = ranked.where(F.col("rank") <= large).select(F.col("cluster").alias("place")).join(first, "place").select("cluster").join(ranked, "cluster")
+    others = [r.c for r in used.select("c").collect()]  # ``large`` at most
+    far = F.array_min(F.array(*[dist(F.col("x"), F.lit(c), dims) for c in others])) if others else F.lit(None).cast("double")
+    return own.select("row_id", (F.col("size") * F.when(F.col("big"), dist(F.col("x"), F.col("c"), dims)).otherwise(far)).alias("score"))
+
+
+def cblof(clusters: DataFrame, dims: int, large: int, mode: str = "canonical") -> DataFrame:
     """Cluster-based factor (row_id, score): in one of the ``large`` biggest clusters size times distance to its center, else
-    size times distance to the nearest of those centers."""
+    size times distance to the nearest of those centers.  mode ``reference``: see ``cblof_by_place``."""
+    if mode == "reference":
+        return cblof_by_place(clusters, dims, large)
     return cblof_all(clusters.select(F.lit(0).alias("grid"), "row_id", "cluster", "x", F.lit(large).alias("large")), dims).select("row_id", "score")
 
 
@@ -238,11 +265,31 @@ def cblof_knn_all(clusters: DataFrame, d1: DataFrame, near: DataFrame) -> DataFr
     return inside.union(best.select("grid", F.col("a").alias("row_id"), (F.col("f") * (F.col("m.d") - F.col("m.mb"))).alias("score")))
 
 
-def cblof_knn(clusters: DataFrame, dims: int, large: int) -> DataFrame:
+def cblof_knn_by_place(rows: DataFrame, dims: int, large: int) -> DataFrame:
+    """``cblof_knn`` of rows (row_id, cluster, x, d1) with the original's slips: a label is taken for the rank of a size; means stand in the
+    order in which clusters first appear, are divided by the size once more, and are looked up by the label, or for rows of small clusters by
+    the place of their nearest row in a large one.  Beyond the last mean the score is null, which the original sorts before all others."""
+    rows = kept(rows.select("row_id", "cluster", "x", "d1"))
+    stats = rows.groupBy("cluster").agg(F.count("*").alias("f"), F.avg("d1").alias("m"), F.min("row_id").alias("first"))
+    place = lambda *by: F.row_number().over(Window.orderBy(*by)).cast("long")
+    ranked = kept(stats.withColumn("rank", place(F.desc("f"), "cluster")).withColumn("seen", place("first")))
+    size, seen = ranked.select(F.col("rank").alias("cluster"), F.col("f").alias("size")), ranked.select(F.col("seen").alias("cluster"), F.col("m").alias("mean"))
+    labelled = kept(ranked.select("cluster", "f", (F.col("rank") <= large).alias("big")).join(size, "cluster", "left").join(seen, "cluster", "left"))
+    own = kept(rows.join(labelled, "cluster"))
+    big, small = own.where("big"), own.where("NOT big")
+    inside = big.select("row_id", (F.col("size") * (F.col("d1") - F.col("mean") / F.col("f"))).alias("score"))
+    mean_at = first_places(rows, ranked.count()).join(seen.withColumnRenamed("cluster", "place"), "place").select(F.col("row_id").alias("b"), F.col("mean").alias("mb"))
+    near = nearest_in(small.select("row_id", "x"), big.select("row_id", "x"), dims).join(big.select(F.col("row_id").alias("b"), F.col("f").alias("fb")), "b").join(mean_at, "b", "left")
+    return inside.union(small.select("row_id", "size").join(near, "row_id").select("row_id", (F.col("size") * (F.col("d") - F.col("mb") / F.col("fb"))).alias("score")))
+
+
+def cblof_knn(clusters: DataFrame, dims: int, large: int, mode: str = "canonical") -> DataFrame:
     """The same with nearest-neighbour distances: size * (distance to the nearest row - mean of the cluster's such distances);
-    in small clusters, what the nearest row of a large cluster has."""
+    in small clusters, what the nearest row of a large cluster has.  mode ``reference``: see ``cblof_knn_by_place``."""
     d1 = knn(clusters.select("row_id", "x"), 1, dims).select(F.col("a").alias("row_id"), F.col("d").alias("d1"))
     rows = clusters.join(d1, "row_id")
+    if mode == "reference":
+        return cblof_knn_by_place(rows, dims, large)
     stats = rows.groupBy("cluster").agg(F.count("*").alias("f"), F.avg("d1").alias("m"))
     stats = stats.withColumn("big", F.row_number().over(Window.orderBy(F.desc("f"), "cluster")) <= large)
     rows = rows.join(stats, "cluster")
@@ -394,19 +441,28 @@ def scaled(points: DataFrame, dims: int) -> DataFrame:
     return points.crossJoin(F.broadcast(z)).select("row_id", F.array(*[(F.col("x")[i] - F.col(f"m{i}")) / F.nullif(F.col(f"s{i}"), F.lit(0.0)) for i in range(dims)]).alias("x"))  # one row
 
 
-def lps_of(near: DataFrame, points: DataFrame, k: int, to: int) -> DataFrame:
+def _rank_score(m: np.ndarray, to: int, mode: str) -> float:
+    if mode != "reference":
+        return float(np.linalg.svd(m, compute_uv=False)[:to].sum())
+    u, d, vt = np.linalg.svd(m, full_matrices=False)
+    to = min(to, len(d))
+    return float(np.linalg.svd(u[:to].T @ np.diag(d[:to]) @ vt.T[:to], compute_uv=False).sum())
+
+
+def lps_of(near: DataFrame, points: DataFrame, k: int, to: int, mode: str = "canonical") -> DataFrame:
     """lps from every row's neighbours (a, b, rk) and scaled points."""
     found = near.where(F.col("rk") <= k).join(points.select(F.col("row_id").alias("b"), "x"), "b")
     rows = found.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "x"))), lambda s: s["x"]).alias("m"))
 
     def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"row_id": b["a"], "score": [float(np.linalg.svd(np.nan_to_num(np.stack(m).astype(float)), compute_uv=False)[:to].sum()) for m in b["m"]]})
+            yield pd.DataFrame({"row_id": b["a"], "score": [_rank_score(np.nan_to_num(np.stack(m).astype(float)), to, mode) for m in b["m"]]})
 
     return rows.mapInPandas(top, "row_id long, score double")
 
 
-def lps(points: DataFrame, k: int, to: int, dims: int) -> DataFrame:
-    """Low-rank score (row_id, score): the sum of the ``to`` largest singular values of each row's k neighbours, in scaled coordinates."""
+def lps(points: DataFrame, k: int, to: int, dims: int, mode: str = "canonical") -> DataFrame:
+    """Low-rank score (row_id, score): the sum of the ``to`` largest singular values of each row's k neighbours, in scaled coordinates.
+    mode ``reference``: of the product that takes the first ``to`` rows of both singular bases, where their columns are meant."""
     even = kept(scaled(points, dims))
-    return lps_of(knn(points, k, dims), even, k, to)
+    return lps_of(knn(points, k, dims), even, k, to, mode)

@@ -173,8 +173,9 @@ def cp_hac(t: Task, kind: str = "maxmax", thin: int = 1) -> DataFrame:
     return scored(t, rd.purge_perturbed(kept(rd.measure(tree(t, thetas), t.dims)), kind, t.dims), [(k, None) for k in thetas])
 
 
-def cpp_hac(t: Task, multipliers: list[float] = MULTIPLIERS, thin: int = 1) -> DataFrame:
-    thetas = list(range(t.n - 1, 0, -1))[::thin]
+def cpp_hac(t: Task, multipliers: list[float] = MULTIPLIERS, thin: int = 1, mode: str = "canonical") -> DataFrame:
+    """mode ``reference``: the original's grid, which by a slip holds the first cut only."""
+    thetas = list(range(t.n - 1, 0, -1))[: 1 if mode == "reference" else None : thin]
     return scored_flags(t, rd.flagged_by(kept(rd.measure(tree(t, thetas), t.dims)), multipliers), len(thetas), multipliers, thetas)
 
 

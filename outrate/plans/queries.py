@@ -385,6 +385,25 @@ def cblof_knn(spark, sf):
     return detectors.cblof_knn(_vectors(spark, sf), DIMS, _LARGE).select("row_id", F.round("score", 5).alias("score"))
 
 
+@query(f"""WITH {PARTS}, {CENTERS}, rk AS (SELECT cluster, f, row_number() OVER (ORDER BY f DESC, cluster) AS k FROM f),
+ pl AS (SELECT cluster, row_number() OVER (ORDER BY row_id) AS place FROM p),
+ u AS (SELECT DISTINCT pl.cluster FROM pl JOIN rk ON rk.cluster = place AND k <= {_LARGE}),
+ q AS (SELECT p.row_id, min(sqrt((s - a.m) * (s - a.m) + (r - b.m) * (r - b.m))) AS far FROM p, c a JOIN c b ON a.cluster = b.cluster AND a.i = 1 AND b.i = 2 JOIN u ON u.cluster = a.cluster GROUP BY ALL)
+SELECT row_id, round(sz.f * CASE WHEN rk.k <= {_LARGE} THEN x.d ELSE far END, 4) AS score FROM d x JOIN rk ON rk.cluster = x.cluster JOIN rk sz ON sz.k = x.cluster JOIN q USING (row_id)""")
+def cblof_reference(spark, sf):
+    return detectors.cblof(_parts(spark, sf), 2, _LARGE, "reference").select("row_id", F.round("score", 4).alias("score"))
+
+
+@query(f"""WITH {VECTORS}, {PAIRS}, n1 AS (SELECT a AS row_id, min(d) AS d1 FROM pr GROUP BY a),
+ st AS (SELECT cluster, count(*) AS f, avg(d1) AS m, row_number() OVER (ORDER BY count(*) DESC, cluster) AS k, row_number() OVER (ORDER BY min(row_id)) AS seen FROM p JOIN n1 USING (row_id) GROUP BY cluster),
+ pl AS (SELECT row_id, row_number() OVER (ORDER BY row_id) AS place FROM p),
+ sm AS (SELECT a AS row_id, arg_min(b, (d, b)) AS b, arg_min(sb.f, (d, b)) AS fb, min(d) AS d FROM pr JOIN p pa ON pa.row_id = a JOIN st sa ON sa.cluster = pa.cluster AND sa.k > {_LARGE} JOIN p pb ON pb.row_id = b JOIN st sb ON sb.cluster = pb.cluster AND sb.k <= {_LARGE} GROUP BY a)
+SELECT p.row_id, round(sz.f * CASE WHEN st.k <= {_LARGE} THEN d1 - own.m / st.f ELSE sm.d - other.m / fb END, 5) AS score FROM p JOIN n1 USING (row_id) JOIN st USING (cluster) LEFT JOIN st sz ON sz.k = p.cluster LEFT JOIN st own ON own.seen = p.cluster
+ LEFT JOIN sm USING (row_id) LEFT JOIN pl ON pl.row_id = sm.b LEFT JOIN st other ON other.seen = pl.place""")
+def cblof_knn_reference(spark, sf):
+    return detectors.cblof_knn(_vectors(spark, sf), DIMS, _LARGE, "reference").select("row_id", F.round("score", 5).alias("score"))
+
+
 def _assign(centers: str, name: str) -> str:
     return f""" {name} AS MATERIALIZED (SELECT row_id, s, r, arg_min(c, (round(d, 9), c)) AS c, min(d) AS d FROM (SELECT p.row_id, p.s, p.r, c, sqrt((p.s - x) * (p.s - x) + (p.r - y) * (p.r - y)) AS d FROM p, {centers}) GROUP BY ALL)"""
 
@@ -430,6 +449,22 @@ def kmeans_mm(spark, sf):
     return detectors.kmeans_mm(p.select("row_id", "x"), detectors.first_rows(p, 5), 2, 20).select("row_id", F.round("d", 6).alias("d"))
 
 
+def _mm_reference_sql(out: int) -> str:
+    """The rows of the first round after which the moves, added up by coordinate, come to nothing."""
+    parts, found, still = [], [], []
+    for k in range(_ROUNDS):
+        parts += [_assign(f"c{k}", f"a{k}"), f" o{k} AS MATERIALIZED (SELECT row_id, d FROM a{k} ORDER BY round(d, 9) DESC, row_id LIMIT {out})", _without(k, f"row_id NOT IN (SELECT row_id FROM o{k})")]
+        found.append(f"SELECT {k} AS k, row_id, d FROM o{k}")
+        still.append(f"SELECT {k} AS k, count(*) = (SELECT count(*) FROM c{k}) AND pow(sum(n.x - o.x), 2) + pow(sum(n.y - o.y), 2) < 1e-5 AS still FROM c{k + 1} n JOIN c{k} o USING (c)")
+    return _START + ",".join(parts) + f" SELECT row_id, round(d, 6) AS d FROM ({' UNION ALL '.join(found)}) WHERE k = (SELECT min(k) FROM ({' UNION ALL '.join(still)}) WHERE still)"
+
+
+@query(_mm_reference_sql(20))
+def kmeans_mm_reference(spark, sf):
+    p = _parts(spark, sf)
+    return detectors.kmeans_mm(p.select("row_id", "x"), detectors.first_rows(p, 5), 2, 20, mode="reference").select("row_id", F.round("d", 6).alias("d"))
+
+
 def _kmor_sql(gamma: float, rounds: int) -> str:
     parts = []
     for k in range(rounds):
@@ -483,6 +518,11 @@ def lps(spark, sf):
     return detectors.lps(_vectors(spark, sf), 8, 2, DIMS).select("row_id", F.round("score", 6).alias("score"))
 
 
+@query()
+def lps_reference(spark, sf):
+    return detectors.lps(_vectors(spark, sf), 8, 2, DIMS, "reference").select("row_id", F.round("score", 6).alias("score"))
+
+
 @query()
 def kmeans_mllib(spark, sf):
     from pyspark.ml.clustering import KMeans

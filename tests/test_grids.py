@@ -270,3 +270,46 @@ def test_tree_sql_with_equal_rows(spark, tmp_path):
         found, want = queries.QUERIES[name](spark, str(tmp_path)), duckdb.sql(queries.SQL[name])
         rows = sorted(tuple(r) for r in found.select(want.columns).collect())
         assert rows and rows == sorted(want.fetchall())
+
+
+def test_reference_modes(spark, points, task):
+    """What the originals' slips give, recomputed row by row; labels and places count from 1."""
+    labels = [1 + (i % 3 if i < 28 else 3 if i < 40 else i - 36) for i in range(len(X))]  # four clusters of more rows, two of one
+    size = {c: labels.count(c) for c in set(labels)}
+    order = sorted(size, key=lambda c: (-size[c], c))
+    mean = {c: A[[i for i, x in enumerate(labels) if x == c]].mean(axis=0) for c in size}
+    sizes, big = [size[c] for c in order], set(order[:2])
+    centers = [mean[labels[c - 1]] for c in big]
+    want = [sizes[c - 1] * (math.dist(p, mean[c]) if c in big else min(math.dist(p, m) for m in centers)) for p, c in zip(X, labels, strict=True)]
+    rows = kept(points.join(spark.createDataFrame(list(enumerate(labels)), "row_id long, cluster long"), "row_id"))
+    got = {r.row_id: r.score for r in detectors.cblof(rows, 2, 2, "reference").collect()}
+    assert [got[i] for i in range(len(X))] == pytest.approx(want)
+
+    d1 = np.where(np.eye(len(X), dtype=bool), np.inf, D).min(axis=1)
+    means = [np.mean([d1[i] for i, x in enumerate(labels) if x == c]) for c in dict.fromkeys(labels)]
+    for i, c in enumerate(labels):
+        j = i if c in big else min((j for j in range(len(X)) if labels[j] in big), key=lambda j: (D[i, j], j))
+        at = c - 1 if c in big else j
+        want[i] = sizes[c - 1] * ((d1[i] if c in big else D[i, j]) - means[at] / size[labels[j]]) if at < len(means) else None
+    got = {r.row_id: r.score for r in detectors.cblof_knn(rows, 2, 2, "reference").collect()}
+    assert None in want and [i for i in got if got[i] is None] == [i for i in range(len(X)) if want[i] is None]
+    assert [got[i] for i in got if got[i] is not None] == pytest.approx([want[i] for i in got if want[i] is not None])
+
+    z = (A - A.mean(axis=0)) / A.std(axis=0, ddof=1)
+    got = {r.row_id: r.score for r in detectors.lps(points, 5, 2, 2, "reference").collect()}
+    for i in range(len(X)):
+        far = np.where(np.arange(len(X)) == i, np.inf, D[i])
+        u, d, v = np.linalg.svd(z[np.argsort(far, kind="stable")[:5]], full_matrices=False)
+        product = sum(d[k] * np.outer(u[k], v.T[k]) for k in range(2))
+        assert got[i] == pytest.approx(np.linalg.norm(product, "nuc"))
+    assert detectors.cblof(rows.where("false"), 2, 2, "reference").count() == 0 and detectors.cblof_knn(rows.where("false"), 2, 2, "reference").count() == 0
+    assert [(r.p1, r.p2) for r in grids.cpp_hac(task, [1.0, 2.0], mode="reference").select("p1", "p2").orderBy("p2").collect()] == [(len(X) - 1.0, 1.0), (len(X) - 1.0, 2.0)]
+
+
+def test_opposite_moves_end_the_reference_mode(spark):
+    """Two centers that move by the same way towards each other's other side: their moves cancel, and the first round is the last."""
+    line = [4.0, 6.0, 0.0, 0.0, 10.0, 10.0, -40.0]
+    rows = spark.createDataFrame([(i, [x]) for i, x in enumerate(line)], "row_id long, x array<double>")
+    start = spark.createDataFrame([(1, [4.0]), (2, [6.0])], "center long, c array<double>")
+    found = {m: {r.row_id: r.d for r in detectors.kmeans_mm(rows, start, 1, 1, mode=m).collect()} for m in ("canonical", "reference")}
+    assert found["reference"] == {6: 44.0} and found["canonical"][6] == pytest.approx(40 + 4 / 3)
