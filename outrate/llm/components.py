@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from outrate.llm.common import table
 
 
+#: Parts in which a node's links are joined with its least neighbour.
+SALTS = 16
+
+
 def _star(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges with m, the least neighbour of u.  The minimum is found before the shuffle; of a node with a great part of all edges the
-    join deals the rows out anew."""
-    return edges.join(least, "u")
+    """edges (u, v) with m, the least neighbour of u, which is found before the shuffle.  A node with a great part of all links has its
+    rows dealt out by a salt of their other end; least, only nodes that move a link, is there once for each salt."""
+    every = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(every, ["u", "salt"]).drop("salt")
 
 
 def stars(links: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -24,12 +29,13 @@ def stars(links: DataFrame, rounds: int | None = None) -> DataFrame:
     edges, done = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), 0
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.max("v").alias("far")).where("far > u").drop("far")
         large = _star(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") != F.col("u")).alias("moved"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.bool_or("moved").alias("any"))
-        small = _star(large.select("u", "v"), least)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("far"), F.bool_or("moved").alias("any"))
+        small = _star(large.select("u", "v"), least.where("far > m").drop("far"))
+        one = least.where("far = m").select("u", F.col("m").alias("v"), F.col("any").alias("moved"))
         # The row of the least neighbour keeps u's place, every other one moves to it.
-        moved = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (F.col("any") | (F.col("v") != F.col("m"))).alias("moved"))
+        moved = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (F.col("any") | (F.col("v") != F.col("m"))).alias("moved")).union(one)
         edges, done = table(moved.where("u <> v").groupBy("u", "v").agg(F.bool_or("moved").alias("moved")), "stars"), done + 1
         if done == rounds or edges.where("moved").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
