@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outrate.llm import cotraining, forest, huffman, packing, pii, quality_rules, repeats, tiling, urls, warc
+from outrate.llm import alignment, cotraining, forest, huffman, packing, pii, quality_rules, ranked, repeats, secret_scan, tiling, urls, warc
 from outrate.llm.common import LOWER, UPPER, read, ready, scratch_path
 from outrate.llm.tokens import default_path, encoder
 
@@ -58,6 +58,18 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.score(found, cotraining.train(found, read(spark, sf_dir, "labels")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(read(spark, sf_dir, "documents"), *alignment.default_paths())
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(read(spark, sf_dir, "documents")))
+
+
 def _with_ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ready(spark)
@@ -149,5 +161,21 @@ _OP8 = """
     FROM part JOIN d USING (doc_id) GROUP BY doc_id"""
 
 
+def _op12_sql() -> str:
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS ts FROM documents),
+    c AS (SELECT count(*)::BIGINT AS docs, sum(len(ts))::BIGINT AS every FROM d WHERE len(ts) > 0),
+    n AS (SELECT r, doc_id, 25 + (75 * len(ts)::HUGEINT * docs) // every AS m FROM d, c WHERE len(ts) > 0),
+    tf AS (SELECT r, term, count(*)::HUGEINT AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY ALL),
+    q AS (SELECT k, item_id, term, count(*)::HUGEINT AS times FROM (
+        SELECT k, item_id, unnest(ts) AS term FROM (SELECT row_number() OVER () AS k, item_id, {terms} AS ts FROM benchmark)) GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::HUGEINT AS w FROM tf, c GROUP BY term, docs),
+    s AS (SELECT k, item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+          FROM q JOIN w USING (term) JOIN tf USING (term) JOIN n USING (r) GROUP BY ALL)
+    SELECT item_id, (row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+    FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_forest": _op1_sql(), "op5_warc": _OP5, "op7_quality_rules": _op7_sql(), "op8_repeated_bytes": _OP8}
+    return {"op12_ranked_search": _op12_sql(), "op1_minhash_forest": _op1_sql(), "op5_warc": _OP5, "op7_quality_rules": _op7_sql(), "op8_repeated_bytes": _OP8}
