@@ -7,13 +7,14 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outrate.functions.vectors import dist, mean
-from outrate.operators.neighbors import distances, knn, knn_with_ties, matrix, nearest, nearest_in, within
+from outrate.operators.blocks import distances, matrix
+from outrate.operators.linkage import merges
+from outrate.operators.neighbors import knn, knn_with_ties, nearest, nearest_in, within
 from outrate.operators.ratedistortion import moves, purge_moved
 from outrate.operators.state import kept
 
@@ -382,28 +383,8 @@ def dbscan_noise(points: DataFrame, eps: float, least: int, dims: int) -> DataFr
 
 
 def hac_merges(points: DataFrame) -> DataFrame:
-    """Complete linkage: (step, a, b, d), the merges in order; cluster b goes into a, and both go by their first rows.
-
-    All pairs of clusters that are each other's nearest are merged in one round, which leads to the same tree as one merge after another.
-    """
-    rows = kept(points.select("row_id", "x"))
-    first = rows.groupBy("x").agg(F.min("row_id").alias("a"))
-    merges = [rows.join(first, "x").where("row_id <> a").select("a", F.col("row_id").alias("b"), F.lit(0.0).alias("d"), F.lit(0).alias("round"))]
-    one, two = (first.select(F.col("a").alias(c), F.col("x").alias(f"x{c}")) for c in "ab")
-    squares = F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    apart = kept(one.join(two, F.col("a") < F.col("b")).select("a", "b", F.sqrt(squares).alias("d")))
-    while not apart.isEmpty():
-        ends = apart.select(F.explode(F.array("a", "b")).alias("end"), "d", "a", "b")
-        best = ends.groupBy("end").agg(F.min(F.struct("d", "a", "b")).alias("m"))
-        now = kept(best.groupBy("m").count().where("count = 2").select("m.a", "m.b", "m.d", F.lit(len(merges)).alias("round")))
-        merges.append(now)
-        for c in "ab":
-            into = now.select(F.col("b").alias(c), F.col("a").alias("into"))
-            apart = apart.join(into, c, "left").withColumn(c, F.coalesce("into", c)).drop("into")
-        apart = apart.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("d").alias("d"))
-        apart = kept(apart)
-    every = reduce(DataFrame.union, merges).orderBy("d", "round", "a", "b")
-    return kept(every.select(F.row_number().over(Window.orderBy("d", "round", "a", "b")).alias("step"), "a", "b", "d"))  # fewer than rows, whose pairs were all listed
+    """Complete linkage: (step, a, b, d), the merges in order; cluster b goes into a, and both go by their first rows.  See ``linkage``."""
+    return merges(points)
 
 
 def cut(points: DataFrame, merges: DataFrame, thetas: list[int]) -> DataFrame:
@@ -424,7 +405,7 @@ def cut(points: DataFrame, merges: DataFrame, thetas: list[int]) -> DataFrame:
         stretches.append(here)
     grid = points.sparkSession.createDataFrame([(t, n - t) for t in thetas], "grid long, done long")
     every = reduce(DataFrame.unionByName, stretches)
-    held = every.join(F.broadcast(grid), (F.col("since") <= F.col("done")) & (F.col("step").isNull() | (F.col("step") > F.col("done"))))  # a row for each cut
+    held = every.join(grid, (F.col("since") <= F.col("done")) & (F.col("step").isNull() | (F.col("step") > F.col("done"))))  # a row for each cut
     return held.select("grid", "row_id", F.col("name").alias("cluster"))
 
 
@@ -441,28 +422,35 @@ def scaled(points: DataFrame, dims: int) -> DataFrame:
     return points.crossJoin(F.broadcast(z)).select("row_id", F.array(*[(F.col("x")[i] - F.col(f"m{i}")) / F.nullif(F.col(f"s{i}"), F.lit(0.0)) for i in range(dims)]).alias("x"))  # one row
 
 
-def _rank_score(m: np.ndarray, to: int, mode: str) -> float:
+def _rank_scores(m: np.ndarray, to: int, mode: str) -> np.ndarray:
+    """Of a stack of matrices."""
     if mode != "reference":
-        return float(np.linalg.svd(m, compute_uv=False)[:to].sum())
+        return np.linalg.svd(m, compute_uv=False)[:, :to].sum(axis=1)
     u, d, vt = np.linalg.svd(m, full_matrices=False)
-    to = min(to, len(d))
-    return float(np.linalg.svd(u[:to].T @ np.diag(d[:to]) @ vt.T[:to], compute_uv=False).sum())
+    to = min(to, d.shape[1])
+    return np.linalg.svd(u[:, :to].swapaxes(1, 2) * d[:, None, :to] @ vt.swapaxes(1, 2)[:, :to], compute_uv=False).sum(axis=1)
 
 
-def lps_of(near: DataFrame, points: DataFrame, k: int, to: int, mode: str = "canonical") -> DataFrame:
-    """lps from every row's neighbours (a, b, rk) and scaled points."""
-    found = near.where(F.col("rk") <= k).join(points.select(F.col("row_id").alias("b"), "x"), "b")
-    rows = found.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "x"))), lambda s: s["x"]).alias("m"))
+def lps_all(near: DataFrame, points: DataFrame, ks: list[int], to: int, dims: int, mode: str = "canonical") -> DataFrame:
+    """(grid, row_id, score), grid a place in ks: ``lps`` from every row's neighbours (a, b, rk) and scaled points, with the first k of one
+    list for each k."""
+    found = near.where(F.col("rk") <= max(ks)).join(points.select(F.col("row_id").alias("b"), "x"), "b")
+    rows = found.groupBy("a").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rk", "x"))), lambda s: s["x"])).alias("m"))
 
-    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"row_id": b["a"], "score": [_rank_score(np.nan_to_num(np.stack(m).astype(float)), to, mode) for m in b["m"]]})
+            ids, size = b["a"].to_numpy(), np.diff(b["m"].offsets.to_numpy()) // dims
+            for n in np.unique(size):  # but for the smallest tables all lists are as long
+                some = np.flatnonzero(size == n)
+                m = np.nan_to_num(np.asarray(b["m"].take(pa.array(some)).flatten().fill_null(np.nan), np.float64)).reshape(len(some), n, dims)
+                for grid, k in enumerate(ks):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), grid)), pa.array(ids[some]), pa.array(_rank_scores(m[:, :k], to, mode))], names=["grid", "row_id", "score"])
 
-    return rows.mapInPandas(top, "row_id long, score double")
+    return rows.mapInArrow(top, "grid long, row_id long, score double")
 
 
 def lps(points: DataFrame, k: int, to: int, dims: int, mode: str = "canonical") -> DataFrame:
     """Low-rank score (row_id, score): the sum of the ``to`` largest singular values of each row's k neighbours, in scaled coordinates.
     mode ``reference``: of the product that takes the first ``to`` rows of both singular bases, where their columns are meant."""
     even = kept(scaled(points, dims))
-    return lps_of(knn(points, k, dims), even, k, to, mode)
+    return lps_all(knn(points, k, dims), even, [k], to, dims, mode).select("row_id", "score")

@@ -15,10 +15,12 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from outrate.operators import detectors
+from outrate.operators import density as trees
+from outrate.operators import detectors, factors
 from outrate.operators import ratedistortion as rd
 from outrate.operators.metrics import best, rates
-from outrate.operators.neighbors import compared, knn, knn_with_ties
+from outrate.operators.neighbors import knn
+from outrate.operators.prefix import numbered, running
 from outrate.operators.state import kept
 
 
@@ -58,19 +60,24 @@ def _counted(t: Task, counts: DataFrame, params: DataFrame) -> DataFrame:
     return rates(every, ["grid_order", "p1", "p2"])
 
 
-def scored(t: Task, found: DataFrame, params: Params) -> DataFrame:
-    """found (grid, row_id): each grid point's predictions."""
+def scored(t: Task, found: DataFrame, params: Params | DataFrame) -> DataFrame:
+    """found (grid, row_id): each grid point's predictions; params: the grid, as a list or as a table (grid, p1, p2)."""
     hit = t.truth.withColumn("hit", F.lit(True))
     counts = found.join(hit, "row_id", "left").groupBy("grid").agg(F.count("hit").alias("tp"), F.count("*").alias("p"))
-    return _counted(t, counts, _table(t, params))
+    return _counted(t, counts, params if isinstance(params, DataFrame) else _table(t, params))
 
 
-def scored_flags(t: Task, found: DataFrame, grids: int, ks: list[float], names: list[float]) -> DataFrame:
-    """found (grid, row_id, flags): by how many of the ascending ks a row is flagged, the largest first.  A grid point is a clustering and a k."""
+def flag_counts(t: Task, found: DataFrame, ks: list[float]) -> DataFrame:
+    """found (grid, row_id, flags) -> (grid, k, tp, p): k, a place in ks; see ``scored_flags``."""
     hit = t.truth.withColumn("hit", F.lit(True))
     per = found.where("flags > 0").join(hit, "row_id", "left").groupBy("grid", "flags").agg(F.count("hit").alias("tp"), F.count("*").alias("p"))
     each = per.select("grid", "tp", "p", F.explode(F.sequence(F.lit(len(ks)) - F.col("flags"), F.lit(len(ks) - 1))).alias("k"))
-    counts = each.groupBy((F.col("grid") * len(ks) + F.col("k")).alias("grid")).agg(F.sum("tp").alias("tp"), F.sum("p").alias("p"))
+    return each.groupBy("grid", "k").agg(F.sum("tp").alias("tp"), F.sum("p").alias("p"))
+
+
+def scored_flags(t: Task, found: DataFrame, grids: int, ks: list[float], names: list[float]) -> DataFrame:
+    """found (grid, row_id, flags): by how many of the ascending ks a row is flagged, the largest first.  A grid point is a clustering and a k."""
+    counts = flag_counts(t, found, ks).select((F.col("grid") * len(ks) + F.col("k")).alias("grid"), "tp", "p")
     return _counted(t, counts, _table(t, [(names[g], k) for g in range(grids) for k in ks]))
 
 
@@ -199,65 +206,79 @@ def dbscan_noise(t: Task) -> DataFrame:
     w = Window.partitionBy("least").orderBy("v").rangeBetween(Window.unboundedPreceding, 0)
     reached = F.sum(F.when(F.col("eps"), 0).otherwise(1)).over(w)
     below = rows.unionByName(eps).select("least", "v", "eps", reached.alias("reached"), F.sum("hit").over(w).alias("hits")).where("eps")
-    grid = F.row_number().over(Window.orderBy("least", "v")).cast("long").alias("grid")  # the grid itself
-    graded = kept(below.select(grid, F.col("least").cast("double").alias("p1"), F.col("v").alias("p2"), (t.m - F.col("hits")).alias("tp"), (t.n - F.col("reached")).alias("p")))
+    graded = kept(numbered(below, ["least", "v"], "grid").select(F.col("grid").cast("long").alias("grid"), F.col("least").cast("double").alias("p1"), F.col("v").alias("p2"), (t.m - F.col("hits")).alias("tp"), (t.n - F.col("reached")).alias("p")))
     return _counted(t, graded.select("grid", "tp", "p"), graded.select("grid", "p1", "p2"))
 
 
-def density(t: Task, steps: int | None) -> tuple[DataFrame, DataFrame, DataFrame, Params]:
-    """(grid, row_id, cluster) with noise as clusters of its own, all pairs near enough, the grid (grid, eps, least), and its parameters: for
-    each number of points the distinct neighbour distances, or steps of them, evenly."""
-    near = kept(knn(t.points, max(least_points(t)), t.dims))
-    params: Params = []
-    for least in least_points(t):
-        own = near.where(F.col("rk") == least)
-        if steps:
-            eps = sorted(set(own.approxQuantile("d", [(i + 0.5) / steps for i in range(steps)], 0.0))) if t.n else []
-        else:
-            eps = [r.d for r in own.select("d").distinct().orderBy("d").collect()]  # the grid, as long as it is
-        params += [(least, e) for e in eps]
-    grid = t.points.sparkSession.createDataFrame([(g, float(e), int(k)) for g, (k, e) in enumerate(params)], "grid long, eps double, least int")
-    most = max([e for _, e in params], default=0.0)
-    pairs = kept(compared(t.points, t.points, t.dims, lambda d: d <= most))
-    return kept(detectors.alone(detectors.dbscan_all(pairs, t.points, grid))), pairs, grid, params
-
-
-def cblof_dbscan(t: Task, steps: int | None = None) -> DataFrame:
-    clusters, _, _, params = density(t, steps)
+def density(t: Task) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(grid, row_id, cluster) with noise as clusters of its own; neighbour lists; and the grid (grid, eps, least): for each number of points
+    all distinct neighbour distances, in their order."""
+    leasts = least_points(t)
+    near = kept(knn(t.points, max(leasts), t.dims))
+    eps = near.where(F.col("rk").isin(leasts)).select(F.col("rk").cast("int").alias("least"), F.col("d").alias("eps")).distinct()
+    grid = kept(numbered(eps, ["least", "eps"], "grid").select((F.col("grid") - 1).cast("long").alias("grid"), "eps", "least"))
+    tree = trees.forest(t.points, near, leasts, t.dims)
+    return kept(detectors.alone(trees.clusters(t.points, near, tree, grid))), near, grid
+
+
+def _named(grid: DataFrame) -> DataFrame:
+    return grid.select("grid", F.col("least").cast("double").alias("p1"), F.col("eps").alias("p2"))
+
+
+def cblof_dbscan(t: Task) -> DataFrame:
+    clusters, near, grid = density(t)
     large = clusters.groupBy("grid").agg(F.least(F.count_distinct("cluster") - 1, F.lit(5)).alias("large"))
-    pairs = kept(compared(t.points, t.points, t.dims, lambda d: d >= 0))
-    d1 = pairs.groupBy(F.col("a").alias("row_id")).agg(F.min("d").alias("d1"))
-    return scored(t, top(t, detectors.cblof_knn_all(kept(clusters.join(large, "grid")), d1, pairs)), params)
+    scores = trees.cblof_knn(kept(clusters.join(large, "grid")), t.points, near, t.dims)
+    return scored(t, top(t, scores.withColumn("score", F.round("score", 9))), _named(grid))
 
 
-def cp_dbscan(t: Task, kind: str = "maxmax", steps: int | None = None) -> DataFrame:
-    clusters, pairs, grid, params = density(t, steps)
-    return scored(t, detectors.purge_density(kept(detectors.represented(clusters, pairs, grid)), kind), params)
+def cp_dbscan(t: Task, kind: str = "maxmax") -> DataFrame:
+    clusters, near, grid = density(t)
+    return scored(t, detectors.purge_density(kept(trees.represented(clusters, t.points, near, grid, t.dims)), kind), _named(grid))
 
 
-def cpp_dbscan(t: Task, multipliers: list[float] = MULTIPLIERS, steps: int | None = None) -> DataFrame:
-    clusters, pairs, grid, params = density(t, steps)
-    measured = kept(detectors.represented(clusters, pairs, grid))
-    graded = scored_flags(t, rd.flagged_by(measured, multipliers), len(params), multipliers, list(range(len(params))))
-    return graded.withColumn("p1", F.element_at(F.array(*[F.lit(e) for _, e in params]) if params else F.array(F.lit(0.0)), F.col("p1").cast("int") + 1))
+def cpp_dbscan(t: Task, multipliers: list[float] = MULTIPLIERS) -> DataFrame:
+    """p1: eps; the number of points is told by the order of the grid."""
+    clusters, near, grid = density(t)
+    measured = kept(trees.represented(clusters, t.points, near, grid, t.dims))
+    place = (F.col("grid") * len(multipliers) + F.col("k")).alias("grid")
+    ks = t.points.sparkSession.createDataFrame(list(enumerate(multipliers)), "k int, p2 double")
+    counts = flag_counts(t, rd.flagged_by(measured, multipliers), multipliers).select(place, "tp", "p")
+    return _counted(t, counts, grid.crossJoin(F.broadcast(ks)).select(place, F.col("eps").alias("p1"), "p2"))  # the multipliers
 
 
 def lps(t: Task, ks: list[int] | None = None) -> DataFrame:
     ks = ks or list(range(-(-t.dims // 2), 1, -1))
     near, even = kept(knn(t.points, max(ks), t.dims)), kept(detectors.scaled(t.points, t.dims))
-    found = None
-    for g, k in enumerate(ks):
-        one = detectors.lps_of(near, even, k, 2).select(F.lit(g).cast("long").alias("grid"), "row_id", "score")
-        found = one if found is None else found.union(one)
-    return scored(t, top(t, found), [(k, None) for k in ks])
-
-
-def lof(t: Task, ks: list[int] | None = None, thin: int = 1) -> DataFrame:
-    ks = ks or list(range(t.n - 1, 0, -1))[::thin]
-    near = knn_with_ties(t.points, max(ks), t.dims)
-    grid = F.broadcast(t.points.sparkSession.createDataFrame(list(enumerate(ks)), "grid long, k int"))  # the grid
-    keyed = kept(near.join(grid, F.col("rk") <= F.col("k")).select("grid", "a", "b", "d"))
-    return scored(t, top(t, detectors.lof_all(keyed)), [(k, None) for k in ks])
+    return scored(t, top(t, detectors.lps_all(near, even, ks, 2, t.dims)), [(k, None) for k in ks])
+
+
+def lof(t: Task, ks: list[int] | None = None) -> DataFrame:
+    """For each k, from n - 1 down to 1."""
+    ks = ks or list(range(t.n - 1, 0, -1))
+    found = factors.lof_every(t.points, ks, t.dims)
+    number = t.points.sparkSession.createDataFrame(list(enumerate(ks)), "grid long, k int")
+    rows = found.join(number, "k").select("grid", "row_id", F.round("score", 9).alias("score"))
+    return scored(t, top(t, rows), [(k, None) for k in ks])
+
+
+def roc(t: Task, clusters: DataFrame, multipliers: list[float]) -> DataFrame:
+    """clusters (grid, row_id, cluster, x), one clustering -> (k, fpr, tpr) of the parametric purge for any number of multipliers: a row is
+    flagged from its own multiplier on, so that counts of rows up to each multiplier are running sums."""
+    own = rd.critical(kept(rd.measure(clusters, t.dims))).join(t.truth.withColumn("hit", F.lit(1)), "row_id", "left")
+    rows = own.where("k IS NOT NULL").select("k", F.lit(1).alias("p"), F.coalesce("hit", F.lit(0)).alias("tp"), F.lit(False).alias("asked"))
+    ks = t.points.sparkSession.createDataFrame([(float(k),) for k in multipliers], "k double").select("k", F.lit(0).alias("p"), F.lit(0).alias("tp"), F.lit(True).alias("asked"))
+    found = running(rows.union(ks), "k", ["p", "tp"]).where("asked")
+    n = found.select(F.col("k").alias("grid_order"), F.col("sum_tp").cast("double").alias("tp"), (F.col("sum_p") - F.col("sum_tp")).cast("double").alias("fp"), (t.m - F.col("sum_tp")).cast("double").alias("fn"), (t.n - t.m - F.col("sum_p") + F.col("sum_tp")).cast("double").alias("tn"))
+    return rates(n, ["grid_order"]).select(F.col("grid_order").alias("k"), "fpr", "tpr")
+
+
+#: Multipliers of the published curve, at the cut into THETA clusters.
+CURVE, THETA = spread(0.1, 100, 3000), 5
+
+
+def cpp_hac_roc(t: Task, multipliers: list[float] = CURVE, theta: int = THETA) -> DataFrame:
+    return roc(t, tree(t, [theta]), multipliers)
 
 
 SEARCHERS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (

@@ -1,74 +1,38 @@
 """Neighbour joins.  Distances are by direct subtraction, dimension after dimension.
 
-k nearest neighbours compare all pairs, which is the operator's definition.  Rows are dealt into blocks of about ROWS; blocks meet in an
-equi-join, and a task gets two blocks at a time and returns what its rows need of them, so neither all pairs nor a whole side stands
-anywhere.  The radius join deals rows out to cells of width eps by their first coordinates; an equi-join on the cell and those
-around it finds all pairs.
+Nearest neighbours are found block by block (``blocks``): a row asks for those blocks only that may hold something nearer than the k-th
+it knows.  The radius join deals rows of few dimensions out to cells of width eps, where an equi-join on the cell and those around it
+finds all pairs; in more dimensions blocks ask for what lies within eps.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outrate.functions.vectors import dist
+from outrate.operators.blocks import distances, matrix, search
 
-ROWS = 1024
+#: Dimensions up to which the radius join takes cells.
+FLAT = 3
 
 
 def _ends(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(points.select(F.col("row_id").alias(k), F.col("x").alias(f"x{k}")) for k in "ab")
 
 
-def matrix(x: pa.Array, dims: int) -> np.ndarray:
-    """Rows of an array<double> column."""
-    return np.asarray(x.flatten(), np.float64).reshape(-1, dims)
-
-
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a), len(b)))
-    for i in range(a.shape[1]):
-        out += (a[:, i, None] - b[None, :, i]) ** 2
-    return np.sqrt(out)
-
-
 def pairs(points: DataFrame, dims: int) -> DataFrame:
     """(a, b, d) for a < b."""
     a, b = _ends(points)
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", dist(F.col("xa"), F.col("xb"), dims).alias("d"))
 
 
-def _blocks(points: DataFrame, name: str) -> tuple[DataFrame, int]:
-    n = max(1, math.ceil(points.count() / ROWS))
-    block = F.pmod(F.xxhash64("row_id"), F.lit(n)).alias(name)
-    return points.groupBy(block).agg(F.collect_list(F.struct("row_id", "x")).alias(f"rows_{name}")), n  # about ROWS rows each
-
-
-def compared(points: DataFrame, others: DataFrame, dims: int, choose: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(a, b, d) for what choose takes of the distances of two blocks, a mask; others stand in order of row_id, a row itself is at inf."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                (a, xa), (b, xb) = ((rows.field("row_id").to_numpy(), matrix(rows.field("x"), dims)) for rows in (batch[c].slice(k, 1).flatten() for c in ("rows_a", "rows_b")))
-                order = np.argsort(b)
-                b, d = b[order], distances(xa, xb[order])
-                d[a[:, None] == b] = np.inf
-                i, j = np.nonzero(choose(d) & np.isfinite(d))
-                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j]), pa.array(d[i, j])], names=["a", "b", "d"])
-
-    one, _ = _blocks(points.select("row_id", "x"), "a")
-    two, n = _blocks(others.select("row_id", "x"), "b")
-    both = one.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))).join(two, "b")
-    return both.select("rows_a", "rows_b").mapInArrow(run, "a long, b long, d double")
-
-
 def _least(k: int) -> Callable[[np.ndarray], np.ndarray]:
     """Of each row the k least; ties: the earlier."""
 
@@ -84,33 +48,41 @@ def _least_with_ties(k: int) -> Callable[[np.ndarray], np.ndarray]:
     return lambda d: d <= (np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.inf)
 
 
-def knn(points: DataFrame, k: int, dims: int) -> DataFrame:
-    """(a, b, d, rk): the k nearest others; ties: the smaller id."""
-    near = compared(points, points, dims, _least(k))
+def knn(points: DataFrame, k: int, dims: int, seen: Accumulator | None = None) -> DataFrame:
+    """(a, b, d, rk): the k nearest others; ties: the smaller id.  seen counts distances."""
+    near = search(points, None, dims, k, _least(k), seen=seen)
+    return near.withColumn("rk", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("rk") <= k)
+
+
+def knn_for(rows: DataFrame, points: DataFrame, k: int, dims: int) -> DataFrame:
+    """The same for some rows only, among all points."""
+    near = search(rows, points, dims, k, _least(k))
     return near.withColumn("rk", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("rk") <= k)
 
 
-def knn_with_ties(points: DataFrame, k: int, dims: int) -> DataFrame:
+def knn_with_ties(points: DataFrame, k: int, dims: int, seen: Accumulator | None = None) -> DataFrame:
     """(a, b, d, rk): the others up to the k-th smallest distance, however many are at it."""
-    near = compared(points, points, dims, _least_with_ties(k))
+    near = search(points, None, dims, k, _least_with_ties(k), seen=seen)
     return near.withColumn("rk", F.rank().over(Window.partitionBy("a").orderBy("d"))).where(F.col("rk") <= k)
 
 
-def nearest_in(points: DataFrame, subset: DataFrame, dims: int) -> DataFrame:
+def nearest_in(points: DataFrame, subset: DataFrame, dims: int, seen: Accumulator | None = None) -> DataFrame:
     """(row_id, b, d): the nearest row of a subset, itself excluded; ties: the smaller id."""
-    best = compared(points, subset, dims, _least(1)).groupBy("a").agg(F.min_by(F.struct("b", "d"), F.struct("d", "b")).alias("m"))
+    best = search(points, subset, dims, 1, _least(1), seen=seen).groupBy("a").agg(F.min_by(F.struct("b", "d"), F.struct("d", "b")).alias("m"))
     return best.select(F.col("a").alias("row_id"), "m.b", "m.d")
 
 
-def within(points: DataFrame, eps: float, dims: int) -> DataFrame:
-    """(a, b, d) with d <= eps, both ways, without a = b."""
-    m, width = min(dims, 3), max(eps, 1e-12)
-    cells = [F.floor(F.col("x")[i] / width) for i in range(m)]
+def within(points: DataFrame, eps: float, dims: int, seen: Accumulator | None = None) -> DataFrame:
+    """(a, b, d) with d <= eps, both ways, without a = b.  In more than FLAT dimensions seen counts candidate pairs."""
+    if dims > FLAT:
+        return search(points, None, dims, None, lambda d: d <= eps, bound=eps, seen=seen)
+    width = max(eps, 1e-12)
+    cells = [F.floor(F.col("x")[i] / width) for i in range(dims)]
     placed = points.select("row_id", "x", *[c.alias(f"c{i}") for i, c in enumerate(cells)])
-    around = F.explode(F.array(*[F.struct(*[(F.col(f"c{i}") + s).alias(f"c{i}") for i, s in enumerate(step)]) for step in product((-1, 0, 1), repeat=m)]))
+    around = F.explode(F.array(*[F.struct(*[(F.col(f"c{i}") + s).alias(f"c{i}") for i, s in enumerate(step)]) for step in product((-1, 0, 1), repeat=dims)]))
     a = placed.select(F.col("row_id").alias("a"), F.col("x").alias("xa"), around.alias("cell")).select("a", "xa", "cell.*")
-    b = placed.select(F.col("row_id").alias("b"), F.col("x").alias("xb"), *[f"c{i}" for i in range(m)])
-    return a.join(b, [f"c{i}" for i in range(m)]).where("a <> b").select("a", "b", dist(F.col("xa"), F.col("xb"), dims).alias("d")).where(F.col("d") <= eps)
+    b = placed.select(F.col("row_id").alias("b"), F.col("x").alias("xb"), *[f"c{i}" for i in range(dims)])
+    return a.join(b, [f"c{i}" for i in range(dims)]).where("a <> b").select("a", "b", dist(F.col("xa"), F.col("xb"), dims).alias("d")).where(F.col("d") <= eps)
 
 
 def nearest(points: DataFrame, centers: DataFrame, dims: int) -> DataFrame:

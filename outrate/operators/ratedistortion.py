@@ -7,10 +7,17 @@ results, whose number does not grow with the rows, are joined back.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from outrate.functions.vectors import change_of_entropy, dist, mean, xlog2x
+from outrate.operators.state import importable
 
 
 def represent(clusters: DataFrame, dims: int) -> DataFrame:
@@ -36,21 +43,59 @@ def rd_points(stats: DataFrame) -> DataFrame:
     return stats.groupBy("clustering_id").agg(F.sum("distortion").alias("distortion"), F.greatest(h, F.lit(0.0)).alias("entropy"))
 
 
+def _chain(points: list[tuple]) -> list[tuple]:
+    """The strict lower hull of (distortion, entropy, clustering_id): of equal distortions the lowest, of equal points the first."""
+    out: list[tuple] = []
+    for p in sorted(points):
+        if out and out[-1][0] == p[0]:
+            continue
+        while len(out) > 1 and (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) >= (p[1] - out[-2][1]) * (out[-1][0] - out[-2][0]):
+            out.pop()
+        out.append(p)
+    return out
+
+
+def _hulls(points: DataFrame) -> DataFrame:
+    """The lower hull of each partition's points; of all points only those on some partition's hull can be on theirs."""
+    names, schema = points.columns, points.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            held = _chain(held + list(zip(*(b[c].to_pylist() for c in names))))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), b.schema.types)], names=names)
+
+    return points.mapInArrow(run, schema)
+
+
+#: Hulls that are merged at a time.
+MERGED = 8
+
+
 def lower_hull(points: DataFrame) -> DataFrame:
     """The descending part of the strict lower hull, by distortion: clustering_id, distortion, entropy, curve_pos.
 
-    A point stays unless it lies on or above a segment between two others; of equal distortions the
-    lowest, of equal points the first clustering_id.  Points are one per clustering, so the pairs are few.
-    """
-    first = Window.partitionBy("distortion").orderBy("entropy", "clustering_id")
-    p = points.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
-    a, b = (p.select(F.col("distortion").alias(f"{k}x"), F.col("entropy").alias(f"{k}y")) for k in "ab")
-    above = (F.col("entropy") - F.col("ay")) * (F.col("bx") - F.col("ax")) >= (F.col("by") - F.col("ay")) * (F.col("distortion") - F.col("ax"))
-    covered = p.join(a, F.col("ax") < F.col("distortion")).join(b, (F.col("bx") > F.col("distortion")) & above).select("clustering_id").distinct()
-    hull = p.join(covered, "clustering_id", "left_anti")
-    w = Window.orderBy("distortion")
-    down = hull.withColumn("before", F.lag("entropy").over(w)).where("before IS NULL OR entropy < before").drop("before")
-    return down.withColumn("curve_pos", F.row_number().over(w))
+    Tasks find the hulls of their own points by a monotone chain, and some hulls at a time are merged to the next one, until one is left:
+    nothing meets that isn't on a hull, and the last task gets what may be on the curve."""
+    importable(points.sparkSession)
+    p = _hulls(points.select("distortion", "entropy", "clustering_id"))
+    parts = points.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    parts = int(parts) // MERGED
+    while parts > 1:
+        p, parts = _hulls(p.repartition(parts)), parts // MERGED
+    p = _hulls(p.repartition(1))  # what is left of all others
+    names = ["clustering_id", "distortion", "entropy", "curve_pos"]
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pos = math.inf, 0
+        for b in batches:
+            h = np.minimum.accumulate(np.concatenate([[last], b["entropy"].to_numpy()]))
+            b = b.filter(pa.array(h[1:] < h[:-1]))
+            yield pa.RecordBatch.from_arrays([b["clustering_id"], b["distortion"], b["entropy"], pa.array(np.arange(pos + 1, pos + 1 + b.num_rows, dtype=np.int32))], names=names)
+            last, pos = h[-1], pos + b.num_rows
+
+    return p.mapInArrow(down, StructType([p.schema["clustering_id"], p.schema["distortion"], p.schema["entropy"], StructField("curve_pos", IntegerType())]))
 
 
 def slopes(curve: DataFrame) -> DataFrame:
@@ -195,3 +240,12 @@ def flagged_by(measured: DataFrame, ks: list[float]) -> DataFrame:
     change = per.join(total, "grid").select("grid", "cluster", change_of_entropy(F.col("f"), F.col("n")).alias("change"), "total")
     flags = F.size(F.filter(F.array(*map(F.lit, ks)), lambda k: F.col("d") >= F.col("change") / k * F.col("total")))
     return measured.select("grid", "cluster", "row_id", "d").join(change, ["grid", "cluster"]).select("grid", "row_id", flags.alias("flags"))
+
+
+def critical(measured: DataFrame) -> DataFrame:
+    """(grid, row_id, k): the least multiplier with which the parametric purge flags a row; null: none does."""
+    per = measured.groupBy("grid", "cluster").agg(F.count("*").alias("f"), F.sum("d").alias("distortion"))
+    total = per.groupBy("grid").agg(F.sum("f").alias("n"), F.sum("distortion").alias("total"))
+    change = per.join(total, "grid").select("grid", "cluster", (change_of_entropy(F.col("f"), F.col("n")) * F.col("total")).alias("limit"))
+    k = F.when(F.col("limit") == 0, 0.0).when(F.col("d") > 0, F.col("limit") / F.col("d"))
+    return measured.select("grid", "cluster", "row_id", "d").join(change, ["grid", "cluster"]).select("grid", "row_id", k.alias("k"))

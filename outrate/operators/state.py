@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(":") if p]
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = ":".join([root, *paths])
+
+
 def scratch(df: DataFrame) -> str:
     """A new path in the session's spark.checkpoint.dir or the context's checkpoint folder; where neither is set, and only on one
     machine, in a temporary folder."""
@@ -27,6 +36,7 @@ def scratch(df: DataFrame) -> str:
 
 def kept(df: DataFrame) -> DataFrame:
     """df, written once and read again: its lineage ends here, and a lost executor costs no recomputation."""
+    importable(df.sparkSession)
     path = scratch(df)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from outrate.functions.vectors import change_of_entropy
 from outrate.operators import detectors, grids, metrics, neighbors
 from outrate.operators import ratedistortion as rd
 from outrate.operators.state import kept, scratch
-from outrate.sources.points import HULL_POINTS, datasets, disc_noise, separated, sparse_noise, table_points, write_arff, write_separated
+from outrate.sources.points import datasets, disc_noise, separated, sparse_noise, table_points, write_arff, write_separated
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,36 +137,50 @@ def rd_curve(spark, sf):
     return curve.select(F.col("curve_pos").cast("long").alias("curve_pos"), "clustering_id", F.round("entropy", 8).alias("entropy"), F.round("slope", 12).alias("slope"))
 
 
-_HULL_VALUES = ", ".join(f"({i}, {d}::DOUBLE, {h}::DOUBLE)" for i, (d, h) in enumerate(HULL_POINTS, 1))
+#: Twenty clusterings of the parts by bands of their size.
+BANDS = f"""
+ l AS (SELECT p_partkey AS row_id, p_size::DOUBLE AS a, p_retailprice::DOUBLE AS b, clustering_id, floor((p_size - 1) * clustering_id / 50.0) AS cluster FROM part, (SELECT unnest(range(1, 21)) AS clustering_id)),
+ m AS (SELECT clustering_id, cluster, avg(a) AS ma, avg(b) AS mb, count(*) AS f FROM l GROUP BY ALL),
+ d AS (SELECT clustering_id, cluster, row_id, f, sqrt((a - ma) * (a - ma) + (b - mb) * (b - mb)) AS d FROM l JOIN m USING (clustering_id, cluster)),
+ s AS (SELECT clustering_id, cluster, any_value(f) AS f, sum(d) AS ds FROM d GROUP BY ALL),
+ rd AS MATERIALIZED (SELECT clustering_id, sum(ds) AS dist, greatest(log2(sum(f)) - sum(f * log2(f)) / sum(f), 0) AS h, sum(f) AS n FROM s GROUP BY ALL)"""
+
+
+def _bands(spark, sf):
+    p = _read(spark, sf, "part").withColumn("clustering_id", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    band = F.floor((F.col("p_size") - 1) * F.col("clustering_id") / 50.0)
+    clusters = p.select("clustering_id", F.col("p_partkey").alias("row_id"), band.alias("cluster"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")).alias("x"))
+    return kept(rd.rd_points(rd.cluster_stats(rd.distances(rd.represent(clusters, 2), 2))))
 
 
-def _constants(spark):
-    return spark.createDataFrame([(i, float(d), h) for i, (d, h) in enumerate(HULL_POINTS, 1)], "clustering_id int, distortion double, entropy double")
+def _rounded(df: DataFrame, **places: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
-@query(f"""WITH rd AS (SELECT column0 AS clustering_id, column1 AS dist, column2 AS h, 1 AS n FROM (VALUES {_HULL_VALUES}) AS v(column0, column1, column2)), s AS (SELECT 1 AS clustering_id, 1 AS cluster, 1 AS f), {HULL}
-SELECT clustering_id, dist AS distortion, h AS entropy, curve_pos FROM cu""")
+@query(f"WITH {BANDS}, {HULL} SELECT clustering_id, round(dist, 3) AS distortion, round(h, 8) AS entropy, curve_pos FROM cu")
 def lower_hull(spark, sf):
-    return rd.lower_hull(_constants(spark)).withColumn("curve_pos", F.col("curve_pos").cast("long"))
+    return _rounded(rd.lower_hull(_bands(spark, sf)), distortion=3, entropy=8).withColumn("curve_pos", F.col("curve_pos").cast("long"))
 
 
-@query(f"SELECT i, min(column2) AS h FROM (VALUES {_HULL_VALUES}) AS v(column0, column1, column2), range(30, 950) AS r(i) WHERE column1 <= i GROUP BY i")
+@query(f"WITH {BANDS} SELECT i, round(min(h), 8) AS h FROM rd, (SELECT unnest(range(ceil(min(dist))::BIGINT, ceil(max(dist))::BIGINT)) AS i FROM rd) WHERE dist <= i GROUP BY i")
 def rd_envelope(spark, sf):
-    return rd.envelope(_constants(spark).select(F.col("distortion").alias("d"), F.col("entropy").alias("h")), spark.range(30, 950).withColumnRenamed("id", "i"))
+    found = _bands(spark, sf)
+    at = found.agg(F.explode(F.sequence(F.ceil(F.min("distortion")), F.ceil(F.max("distortion")) - 1)).alias("i"))
+    return _rounded(rd.envelope(found.select(F.col("distortion").alias("d"), F.col("entropy").alias("h")), at), h=8)
 
 
-@query(f"""WITH rd AS (SELECT column0 AS clustering_id, column1 AS dist, column2 AS h, 1 AS n FROM (VALUES {_HULL_VALUES}) AS v(column0, column1, column2)), s AS (SELECT 1 AS clustering_id, 1 AS cluster, 1 AS f), {HULL},
+@query(f"""WITH {BANDS}, {HULL},
  c AS (SELECT dist AS d, h, lead(dist) OVER (ORDER BY dist) AS d2, lead(h) OVER (ORDER BY dist) AS h2, max(dist) OVER () AS hi, min(dist) OVER () AS lo FROM cu),
  x AS (SELECT r AS id, lo + (hi - lo) * r / 60 AS x FROM range(61) AS t(r), (SELECT any_value(lo) AS lo, any_value(hi) AS hi FROM c))
-SELECT id, round(x, 6) AS x, round(h + (h2 - h) * (x - d) / (d2 - d), 6) AS h FROM x JOIN c ON x >= d AND (x < d2 OR (d2 = hi AND x >= hi))""")
+SELECT id, round(x, 3) AS x, round(h + (h2 - h) * (x - d) / (d2 - d), 6) AS h FROM x JOIN c ON x >= d AND (x < d2 OR (d2 = hi AND x >= hi))""")
 def rd_interpolate(spark, sf):
-    curve = rd.lower_hull(_constants(spark)).select(F.col("distortion").alias("d"), F.col("entropy").alias("h"))
-    return rd.interpolate(curve, 61).select("id", F.round("x", 6).alias("x"), F.round("h", 6).alias("h"))
+    curve = kept(rd.lower_hull(_bands(spark, sf)).select(F.col("distortion").alias("d"), F.col("entropy").alias("h")))
+    return _rounded(rd.interpolate(curve, 61).select("id", "x", "h"), x=3, h=6)
 
 
-@query("SELECT i, round(log2(1000.0 / i), 9) AS h FROM range(30, 950) AS r(i)")
+@query(f"WITH {BANDS} SELECT clustering_id, round(log2(1000.0 / dist), 9) AS h FROM rd")
 def rd_theory(spark, sf):
-    return spark.range(30, 950).select(F.col("id").alias("i"), F.round(rd.rate(F.col("id").cast("double")), 9).alias("h"))
+    return _bands(spark, sf).select("clustering_id", F.round(rd.rate(F.col("distortion")), 9).alias("h"))
 
 
 def _perturbed_sql(kind: str) -> str:
@@ -532,9 +546,18 @@ def kmeans_mllib(spark, sf):
     return KMeans(k=10, seed=815, predictionCol="cluster").fit(v).transform(v).select("row_id", "cluster")
 
 
-@query()
+_UNIFORM = "(('0x' || substr(md5(row_id || ':{}'), 1, 12))::BIGINT::DOUBLE + 1) / 281474976710656"
+
+
+@query(f"""WITH {SUPPLIERS}, t AS (SELECT row_id, 2 * pi() * sqrt(-2 * ln({_UNIFORM.format(1)})) * cos(2 * pi() * {_UNIFORM.format(2)}) AS t, {_UNIFORM.format(3)} AS y FROM p)
+SELECT row_id, round(y * cos(t), 6) AS x, round(y * sin(t), 6) AS y FROM t""")
 def noise_disc(spark, sf):
-    return disc_noise(spark, 100).select("row_id", F.round(F.col("x")[0], 6).alias("x"), F.round(F.col("x")[1], 6).alias("y"))
+    return disc_noise(_suppliers(spark, sf)).select("row_id", F.round(F.col("x")[0], 6).alias("x"), F.round(F.col("x")[1], 6).alias("y"))
+
+
+@query(f"""WITH {VECTORS}, {PAIRS} SELECT a, b, round(d, 6) AS d FROM pr WHERE d <= 1.1""")
+def eps_join_vectors(spark, sf):
+    return neighbors.within(_vectors(spark, sf), 1.1, DIMS).select("a", "b", F.round("d", 6).alias("d"))
 
 
 _LLOYD_ROWS = "SELECT row_id, c AS cluster, 1 AS i, s AS v FROM z UNION ALL SELECT row_id, c, 2, r FROM z"
@@ -650,21 +673,65 @@ _DBSCAN_GRID = f"""WITH {SUPPLIERS}, {PAIRS.replace('pr AS (', 'pr AS MATERIALIZ
  re AS (SELECT g, a FROM co UNION SELECT g, pr.a FROM co JOIN pr ON pr.b = co.a JOIN ep USING (g) WHERE d <= eps),
  fl AS (SELECT g, least::DOUBLE AS p1, eps AS p2, (SELECT count(*) FROM p) - coalesce(c, 0) AS p, (SELECT count(*) FROM p WHERE row_id % 7 = 0) - coalesce(h, 0) AS tp
         FROM ep LEFT JOIN (SELECT g, count(*) AS c, count(*) FILTER (a % 7 = 0) AS h FROM re GROUP BY g) USING (g)),"""
-_LOF_GRID = f"""WITH {VECTORS}, {PAIRS}, ks AS (SELECT unnest({_LOF_KS}) AS kk, unnest([0, 1, 2]) AS g),
+_LOF_GRID = f"""WITH {{points}}, {PAIRS}, ks AS MATERIALIZED ({{ks}}),
  ra AS MATERIALIZED (SELECT a, b, d, rank() OVER (PARTITION BY a ORDER BY d) AS rk FROM pr), nb AS MATERIALIZED (SELECT g, a, b, d FROM ra JOIN ks ON rk <= kk),
  kd AS (SELECT g, a, max(d) AS kd FROM nb GROUP BY ALL), lr AS MATERIALIZED (SELECT nb.g, nb.a, count(*) / sum(greatest(d, kd)) AS lrd FROM nb JOIN kd ON kd.a = nb.b AND kd.g = nb.g GROUP BY ALL),
- sc AS (SELECT nb.g, nb.a, avg(o.lrd) / any_value(s.lrd) AS score FROM nb JOIN lr o ON o.a = nb.b AND o.g = nb.g JOIN lr s ON s.a = nb.a AND s.g = nb.g GROUP BY ALL),
+ sc AS (SELECT nb.g, nb.a, round(avg(o.lrd) / any_value(s.lrd), 9) AS score FROM nb JOIN lr o ON o.a = nb.b AND o.g = nb.g JOIN lr s ON s.a = nb.a AND s.g = nb.g GROUP BY ALL),
  tp AS (SELECT g, a FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, a DESC) AS r FROM sc) WHERE r <= (SELECT count(*) FROM p WHERE row_id % 7 = 0)),
  fl AS (SELECT g, kk::DOUBLE AS p1, NULL::DOUBLE AS p2, count(*) AS p, count(*) FILTER (a % 7 = 0) AS tp FROM tp JOIN ks USING (g) GROUP BY ALL),"""
 
 for _name, _config in {
     "ocrd": {}, "kmeans_singletons": {"starts": 3}, "kmeans_mm": {}, "kmor": {}, "cblof_kmeans": {"starts": 3}, "cp_kmeans": {"starts": 3}, "cpp_kmeans": {"starts": 3},
-    "hac_singletons": {}, "cblof_hac": {}, "cp_hac": {}, "cpp_hac": {}, "dbscan_noise": {}, "cblof_dbscan": {"steps": 3}, "cp_dbscan": {"steps": 3}, "cpp_dbscan": {"steps": 3},
+    "hac_singletons": {}, "cblof_hac": {}, "cp_hac": {}, "cpp_hac": {}, "dbscan_noise": {}, "cblof_dbscan": {}, "cp_dbscan": {}, "cpp_dbscan": {}, "lof": {},
 }.items():
     QUERIES[f"grid_{_name}"] = _searched(_suppliers, 1, _name, **_config)
-QUERIES["grid_lps"] = _searched(_vectors, DIMS, "lps", ks=[16, 8, 4, 2])
-QUERIES["grid_lof"], SQL["grid_lof"] = _searched(_vectors, DIMS, "lof", ks=_LOF_KS), _LOF_GRID + _GRADED
+QUERIES["grid_lps"] = _searched(_vectors, DIMS, "lps")
+QUERIES["grid_lof_vectors"], SQL["grid_lof_vectors"] = _searched(_vectors, DIMS, "lof", ks=_LOF_KS), _LOF_GRID.format(points=VECTORS, ks=f"SELECT unnest({_LOF_KS}) AS kk, unnest([0, 1, 2]) AS g") + _GRADED
+SQL["grid_lof"] = _LOF_GRID.format(points=SUPPLIERS, ks="SELECT n - 1 - i AS kk, i AS g FROM (SELECT count(*) AS n FROM p), unnest(range(n - 1)) AS r(i)") + _GRADED
 SQL["grid_dbscan_noise"] = _DBSCAN_GRID + _GRADED
+SQL["cpp_hac_roc"] = f"""{_TREE}, cs AS MATERIALIZED (SELECT cluster, count(*) AS f, avg(r) AS c FROM cu WHERE theta = 5 GROUP BY ALL), cd AS (SELECT row_id, f, abs(r - c) AS d FROM cu JOIN cs USING (cluster) WHERE theta = 5),
+ tt AS (SELECT count(*) AS n, sum(d) AS dt, count(*) FILTER (row_id % 7 = 0) AS m FROM cd), kc AS MATERIALIZED (SELECT row_id, CASE WHEN f = 1 OR dt = 0 THEN 0 WHEN d > 0 THEN ({CE}) * dt / d END AS kc, m, n FROM cd, tt),
+ mu AS (SELECT 0.1::DOUBLE + (100 - 0.1::DOUBLE) * i / 2999 AS k FROM unnest(range(3000)) AS r(i))
+SELECT round(k, 6) AS k, round(count(*) FILTER (kc <= k AND row_id % 7 <> 0) / any_value(n - m), 9) AS fpr, round(count(*) FILTER (kc <= k AND row_id % 7 = 0) / any_value(m), 9) AS tpr FROM mu, kc GROUP BY k"""
+
+
+def _roc(spark, sf):
+    p = _suppliers(spark, sf).select("row_id", "x")
+    return _rounded(grids.cpp_hac_roc(grids.task(p, p.where("row_id % 7 = 0"), 1)), k=6, fpr=9, tpr=9)
+
+
+QUERIES["cpp_hac_roc"] = _roc
+#: Density clusters of points on a line, where cores are one cluster as long as none of the gaps between them is wider than eps.
+_DENSE_GRID = f"""WITH {SUPPLIERS}, {PAIRS.replace('pr AS (', 'pr AS MATERIALIZED (')}, kn AS MATERIALIZED (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rk FROM pr), nn AS (SELECT count(*) AS n FROM p),
+ ep AS MATERIALIZED (SELECT row_number() OVER (ORDER BY rk, d) - 1 AS g, rk AS least, d AS eps FROM (SELECT DISTINCT rk, d FROM kn WHERE rk BETWEEN 2 AND 11)),
+ co AS MATERIALIZED (SELECT g, a AS row_id, r, eps FROM ep JOIN kn ON kn.rk = least - 1 AND kn.d <= eps JOIN p ON row_id = a),
+ gp AS (SELECT *, (r - lag(r) OVER (PARTITION BY g ORDER BY r, row_id) <= eps)::INT AS near FROM co),
+ rn AS (SELECT *, sum(1 - coalesce(near, 0)) OVER (PARTITION BY g ORDER BY r, row_id) AS run FROM gp),
+ lb AS MATERIALIZED (SELECT g, row_id, min(row_id) OVER (PARTITION BY g, run) AS l FROM rn),
+ bd AS (SELECT lb.g, pr.a AS row_id, min(l) AS l FROM lb JOIN pr ON pr.b = lb.row_id JOIN ep ON ep.g = lb.g AND pr.d <= eps ANTI JOIN co ON co.g = lb.g AND co.row_id = pr.a GROUP BY ALL),
+ ml AS (SELECT ep.g, coalesce(max(l), 0) + 1 - (SELECT min(row_id) FROM p) AS behind FROM ep LEFT JOIN lb USING (g) GROUP BY ep.g),
+ la AS MATERIALIZED (SELECT ml.g, p.row_id, coalesce(x.l, behind + p.row_id) AS cluster FROM ml CROSS JOIN p LEFT JOIN (FROM lb UNION ALL FROM bd) x ON x.g = ml.g AND x.row_id = p.row_id),
+ cz AS MATERIALIZED (SELECT g, cluster, count(*) AS f FROM la GROUP BY ALL),
+ rp AS (SELECT x.g, a AS row_id, b, d, row_number() OVER (PARTITION BY x.g, a ORDER BY d, b) AS k FROM pr JOIN la x ON x.row_id = a JOIN cz ON cz.g = x.g AND cz.cluster = x.cluster AND f > 1 JOIN la y ON y.row_id = b AND y.g = x.g AND y.cluster = x.cluster JOIN ep ON ep.g = x.g AND d <= eps),
+ dd AS MATERIALIZED (SELECT la.g, la.row_id, la.cluster, f, coalesce(b1, la.row_id) AS rep, coalesce(d1, 0) AS d, coalesce(d2, 0) AS sec FROM la JOIN cz USING (g, cluster)
+  LEFT JOIN (SELECT g, row_id, max(b) FILTER (k = 1) AS b1, max(d) FILTER (k = 1) AS d1, max(d) FILTER (k = 2) AS d2 FROM rp GROUP BY ALL) USING (g, row_id)),
+ dt AS MATERIALIZED (SELECT g, sum(d) AS dt, n FROM dd, nn GROUP BY g, n),"""
+_FLAGGED = "count(row_id) AS p, count(row_id) FILTER (row_id % 7 = 0) AS tp"
+SQL["grid_cblof_dbscan"] = f"""{_DENSE_GRID} lg AS (SELECT g, least(count(*) - 1, 5) AS large FROM cz GROUP BY g),
+ cm AS (SELECT la.g, la.cluster, count(*) AS f, avg(d) AS m FROM la JOIN kn ON a = row_id AND rk = 1 GROUP BY la.g, la.cluster),
+ st AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY f DESC, cluster) AS place FROM cm),
+ rw AS MATERIALIZED (SELECT la.g, row_id, la.cluster, f, m, place <= large AS big, d AS d1 FROM la JOIN st USING (g, cluster) JOIN lg USING (g) JOIN kn ON a = row_id AND rk = 1),
+ sc AS (SELECT g, row_id, f * (d1 - m) AS score FROM rw WHERE big UNION ALL
+  SELECT x.g, x.row_id, any_value(x.f) * arg_min(pr.d - y.m, struct_pack(d := pr.d, b := pr.b)) FROM rw x JOIN pr ON pr.a = x.row_id JOIN rw y ON y.row_id = pr.b AND y.g = x.g AND y.big WHERE NOT x.big GROUP BY x.g, x.row_id),
+ tp AS (SELECT g, row_id FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(score, 9) DESC, row_id DESC) AS k FROM sc) WHERE k <= (SELECT count(*) FROM p WHERE row_id % 7 = 0)),
+ fl AS (SELECT ep.g, least::DOUBLE AS p1, eps AS p2, {_FLAGGED} FROM ep LEFT JOIN tp USING (g) GROUP BY ALL),""" + _GRADED
+SQL["grid_cp_dbscan"] = f"""{_DENSE_GRID} mv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY f DESC, cluster, round(d, 9) DESC, row_id) AS k FROM dd) WHERE k = 1 AND f > 1),
+ ch AS (SELECT mv.g, any_value(mv.d) - coalesce(sum(o.sec - o.d), 0) AS less, any_value(mv.f) AS f FROM mv LEFT JOIN dd o ON o.g = mv.g AND o.rep = mv.row_id AND o.row_id <> mv.row_id GROUP BY mv.g),
+ sl AS (SELECT g, n, (f * log2(f) - (f - 1) * log2(f - 1)) / n / less AS k FROM ch JOIN dt USING (g) WHERE less > 0),
+ hi AS (SELECT g, row_id FROM dd JOIN sl USING (g) WHERE round(d - {CE} / k, 9) >= 0),
+ fl AS (SELECT ep.g, least::DOUBLE AS p1, eps AS p2, {_FLAGGED} FROM ep LEFT JOIN hi USING (g) GROUP BY ALL),""" + _GRADED
+SQL["grid_cpp_dbscan"] = f"""{_DENSE_GRID} mu AS (SELECT i, 0.1::DOUBLE + (10 - 0.1::DOUBLE) * i / 29 AS k FROM unnest(range(30)) AS r(i)),
+ fl AS (SELECT g * 30 + i AS g, eps AS p1, k AS p2, count(*) FILTER (d >= {CE} / k * dt) AS p, count(*) FILTER (row_id % 7 = 0 AND d >= {CE} / k * dt) AS tp FROM dd JOIN dt USING (g) JOIN ep USING (g), mu GROUP BY ALL),""" + _GRADED
 _BETAS = "SELECT i AS g, 0.1::DOUBLE + (10 - 0.1::DOUBLE) * i / (n - 1) AS beta FROM (SELECT count(*) AS n FROM p), unnest(range(n)) AS r(i)"
 SQL["grid_ocrd"] = f"""{_ocrd_sql(_BETAS)}, fl AS (SELECT s0.g, s0.beta AS p1, NULL::DOUBLE AS p2, count(row_id) AS p, count(*) FILTER (row_id % 7 = 0) AS tp FROM s0 LEFT JOIN ov USING (g) GROUP BY ALL),""" + _GRADED
 _GRID_KS = "SELECT 10 - k AS i, k FROM unnest(range(2, 11)) AS r(k)"
@@ -750,6 +817,16 @@ for _name, _sep in (("text_parts", " "), ("csv_parts", ",")):
     QUERIES[_name], SQL[_name] = _separated(_sep), "SELECT p_partkey + 1 AS row_id, p_size::DOUBLE AS x1, p_retailprice::DOUBLE AS x2 FROM part"
 
 
+@query("""SELECT row_number() OVER (ORDER BY s_suppkey, i) AS row_id, s_acctbal::DOUBLE AS x1, s_suppkey::DOUBLE AS x2 FROM supplier, unnest(range(1 + (s_suppkey % 3 = 0)::INT)) AS r(i)""")
+def coco_points(spark, sf):
+    """Suppliers as lines of two numbers, every third one twice and with a blank line after it, read again: blank lines have no number, repeated rows have."""
+    s = _read(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("key"), F.concat_ws(" ", F.col("s_acctbal").cast("double").cast("string"), F.col("s_suppkey").cast("double").cast("string")).alias("line"))
+    extra = s.where("key % 3 = 0").select("key", F.explode(F.array(F.struct(F.lit(1).alias("i"), F.col("line").alias("value")), F.struct(F.lit(2).alias("i"), F.lit("  ").alias("value")))).alias("e")).select("key", "e.i", "e.value")
+    path = scratch(s)
+    s.select("key", F.lit(0).alias("i"), F.col("line").alias("value")).union(extra).repartitionByRange(5, "key", "i").sortWithinPartitions("key", "i").select("value").write.text(path)
+    return separated(spark, path, 2).select("row_id", F.col("x")[0].alias("x1"), F.col("x")[1].alias("x2"))
+
+
 @query()
 def noise_sparse(spark, sf):
     return sparse_noise(_suppliers(spark, sf).select("row_id", F.array((F.col("x")[0] / 200).alias("a"), F.lit(50.0)).alias("x"))).select("row_id", F.round(F.col("x")[0], 6).alias("x"), F.round(F.col("x")[1], 6).alias("y"))

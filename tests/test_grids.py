@@ -1,5 +1,6 @@
 """Grid searches, detectors for many parameters at once, and sources, against brute force on small fixtures."""
 
+import hashlib
 import math
 import random
 from itertools import combinations
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from outrate.operators import detectors, grids, neighbors
+from outrate.operators import blocks, density, detectors, factors, grids, neighbors
 from outrate.operators import ratedistortion as rd
 from outrate.operators.state import kept
 from outrate.sources import points as sources
@@ -49,7 +50,7 @@ def _same(graded, want):
 
 @pytest.mark.parametrize("rows", [7, 1024])
 def test_blocks(points, rows, monkeypatch):
-    monkeypatch.setattr(neighbors, "ROWS", rows)
+    monkeypatch.setattr(blocks, "ROWS", rows)
     far = np.where(np.eye(len(X), dtype=bool), np.inf, D)
     got = {(r.a, r.rk): r.b for r in neighbors.knn(points, 3, 2).collect()}
     assert got == {(i, k + 1): int(j) for i in range(len(X)) for k, j in enumerate(np.argsort(far[i], kind="stable")[:3])}
@@ -93,13 +94,15 @@ def test_density_grids(spark, points, task):
     assert [(r.p1, r.p2) for r in rows] == [(p, pytest.approx(e)) for p, e in want]
     for r in rows[::9]:
         assert r.recall == pytest.approx(_metrics(set(range(len(X))) - set(_dense(r.p2 + 1e-12, int(r.p1))))[1])
-    clusters, pairs, grid, params = grids.density(task, 2)
-    assert len(params) == 20
+    clusters, near, grid = grids.density(task)
+    params = [(r.least, r.eps) for r in grid.orderBy("grid").collect()]
+    assert params == [(p, pytest.approx(e)) for p, e in want]
     got = {(r.grid, r.row_id): r.cluster for r in clusters.collect()}
-    measured = kept(detectors.represented(clusters, pairs, grid))
+    assert len(got) == len(params) * len(X)
+    measured = kept(density.represented(clusters, points, near, grid, 2))
     purged = {(r.grid, r.row_id) for r in detectors.purge_density(measured, "maxmax").collect()}
     flags = {(r.grid, r.row_id): r.flags for r in rd.flagged_by(measured, [1.0]).collect()}
-    for g, (least, eps) in enumerate(params[:6]):
+    for g, (least, eps) in list(enumerate(params))[::23]:
         label = _dense(eps, least)
         own = [got[g, i] for i in range(len(X))]
         assert all(own[i] == label[i] for i in label) and len({own[i] for i in range(len(X)) if i not in label} - set(label.values())) == len(X) - len(label)
@@ -118,8 +121,19 @@ def test_density_grids(spark, points, task):
         slope = (h - h2) / (total - total2) if ok else None
         assert {i for q, i in purged if q == g} == ({i for i in range(len(X)) if round(d[i] + change[i] / slope, 9) >= 0} if ok else set())
         assert {i for i in range(len(X)) if flags[g, i]} == {i for i in range(len(X)) if d[i] >= change[i] * total}
-    for search in (grids.cblof_dbscan, grids.cp_dbscan, grids.cpp_dbscan):
-        assert grids.winners(search(task, steps=1)).count() == 4
+    factor = {}
+    large = clusters.groupBy("grid").agg(F.lit(2).alias("large"))
+    for r in density.cblof_knn(clusters.join(large, "grid"), points, near, 2).collect():
+        factor[r.grid, r.row_id] = r.score
+    assert len(factor) == len(got)
+    d1 = np.where(np.eye(len(X), dtype=bool), np.inf, D).min(axis=1)
+    for g in range(0, len(params), 31):
+        own = [got[g, i] for i in range(len(X))]
+        big = sorted(set(own), key=lambda c: (-own.count(c), c))[:2]
+        mean = {c: np.mean([d1[i] for i, x in enumerate(own) if x == c]) for c in big}
+        for i, c in enumerate(own):
+            j = i if c in big else min((j for j in range(len(X)) if own[j] in big), key=lambda j: (D[i, j], j))
+            assert factor[g, i] == pytest.approx(own.count(c) * ((d1[i] if c in big else D[i, j]) - mean[own[j]]))
 
 
 def _tree():
@@ -208,6 +222,10 @@ def test_factor_and_rank_grids(task):
     top = lambda s: set(sorted(range(len(X)), key=lambda i: (-s[i], -i))[: len(TRUTH)])
     ks = [20, 6, 2]
     _same(grids.lof(task, ks), [top(lof(k)) for k in ks])
+    every = {(r.k, r.row_id): r.score for r in factors.lof_every(task.points, list(range(1, len(X))), 2).collect()}
+    assert len(every) == len(X) * (len(X) - 1)
+    for k in range(1, len(X)):
+        assert [every[k, i] for i in range(len(X))] == pytest.approx(lof(k))
     z = (A - A.mean(axis=0)) / A.std(axis=0, ddof=1)
     far = np.where(np.eye(len(X), dtype=bool), np.inf, D)
     score = lambda k: [np.linalg.svd(z[np.argsort(far[i], kind="stable")[:k]], compute_uv=False)[:2].sum() for i in range(len(X))]
@@ -249,12 +267,17 @@ def test_sparse_noise(spark):
     data = [(i, [float(i), 45.0]) for i in range(0, 60, 5)]
     got = sorted((r.row_id, tuple(r.x)) for r in sources.sparse_noise(spark.createDataFrame(data, "row_id long, x array<double>"), 40, drawn=10).collect())
     (x0, x1), (y0, y1) = sources.NOISE_BOX
-    rows = spark.range(400).select(F.col("id") + 4, x0 + (x1 - x0) * F.rand(1), y0 + (y1 - y0) * F.rand(2)).collect()
+    unit = lambda i, seed: (int(hashlib.md5(f"{i}:{seed}".encode()).hexdigest()[:12], 16) + 1) / 2**48
+    rows = [(i, x0 + (x1 - x0) * unit(i, 1), y0 + (y1 - y0) * unit(i, 2)) for i in range(4, 404)]
     kept_rows = [(i, p) for i, p in enumerate(sources.NOISE_FIRST)]
     for i, *p in rows:
         if all(math.dist(p, q) >= 3.5 for _, q in kept_rows) and all(math.dist(p, q) >= 3.5 for _, q in data):
             kept_rows.append((i, tuple(p)))
     assert got == kept_rows[:40]
+    one = spark.createDataFrame([(0, [0.0, 0.0])], "row_id long, x array<double>")
+    assert sources.sparse_noise(one, 12, drawn=1).count() == 12  # more is drawn where too few are accepted
+    with pytest.raises(ValueError, match="no room"):
+        sources.sparse_noise(one, 100_000, drawn=1, most=10)
 
 
 def test_tree_sql_with_equal_rows(spark, tmp_path):
