@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outrate.functions.vectors import dist, mean
-from outrate.operators.blocks import distances, matrix
+from outrate.operators.blocks import ROWS, distances, matrix, plain
 from outrate.operators.linkage import merges
 from outrate.operators.neighbors import knn, knn_with_ties, nearest, nearest_in, within
 from outrate.operators.ratedistortion import moves, purge_moved
@@ -74,8 +74,11 @@ def _stand(x: np.ndarray, new: np.ndarray, mode: str) -> bool:
 def _moved(sums: list[tuple], centers: Centers, mode: str = "canonical") -> tuple[Centers, bool]:
     """The means as new centers, without those that lost all rows, and whether any is elsewhere."""
     new: Centers = {}
-    for grid in centers:
-        own = [(c, x / n) for g, c, n, _, x in sums if g == grid and n > 0]
+    found: dict[int, list] = {g: [] for g in centers}
+    for g, c, n, _, x in sums:
+        if n > 0:
+            found[g].append((c, x / n))
+    for grid, own in found.items():
         new[grid] = np.array([c for c, _ in own], np.int64), np.array([x for _, x in own])
     still = all(len(new[g][0]) == len(c) and _stand(x, new[g][1], mode) for g, (c, x) in centers.items())
     return new, not still
@@ -101,6 +104,70 @@ def lloyd_all(points: DataFrame, centers: Centers, dims: int, rounds: int = ROUN
     return assigned(points, centers, dims)
 
 
+def _transfers(points: DataFrame, centers: Centers, sizes: dict[int, np.ndarray], names: dict[int, np.ndarray], dims: int) -> list:
+    """(grid, from, to, gain, row_id, x): of each grid and pair of clusters the row whose change from one to the other lessens the sum of
+    squares most.  As many rows as the models have pairs of clusters; where a row belongs is what names says."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, tuple] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, ids, grid, own = matrix(b["x"], dims), b["row_id"].to_numpy(), b["grid"].to_numpy(), b["cluster"].to_numpy()
+            for g in np.unique(grid):
+                some = np.flatnonzero(grid == g)
+                f, label = sizes[g], names[g]
+                at = np.searchsorted(label, own[some])
+                d = distances(x[some], centers[g][1]) ** 2
+                leave = np.where(f[at] > 1, f[at] / np.maximum(f[at] - 1, 1), 0.0) * d[np.arange(len(some)), at]
+                gain = leave[:, None] - f / (f + 1) * d
+                gain[np.arange(len(some)), at] = -np.inf
+                to = gain.argmax(axis=1)
+                gain = gain[np.arange(len(some)), to]
+                for i in np.flatnonzero(gain > 1e-9 * (1 + leave)):
+                    key, value = (int(g), int(at[i]), int(to[i])), (round(float(gain[i]), 9), -int(ids[some[i]]), x[some[i]].tolist())
+                    if key not in best or value[:2] > best[key][:2]:
+                        best[key] = value
+        if best:
+            rows = [(*k, v[0], -v[1], v[2]) for k, v in best.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(),) * 3 + (pa.float64(), pa.int64(), pa.list_(pa.float64())))], names=["grid", "one", "two", "gain", "row_id", "x"])
+
+    found = points.mapInArrow(run, "grid long, one long, two long, gain double, row_id long, x array<double>")
+    return found.groupBy("grid", "one", "two").agg(F.max_by(F.struct("gain", "row_id", "x"), F.struct("gain", -F.col("row_id"))).alias("m")).select("grid", "one", "two", "m.*").collect()
+
+
+def hartigan_all(points: DataFrame, centers: Centers, dims: int, starts: int = 1, rounds: int = ROUNDS) -> DataFrame:
+    """k-means by transfers, as Hartigan and Wong have it: Lloyd's rounds first, then rows change clusters one by one as long as that lessens
+    the sum of squares, their old and new center moving with them: (grid, row_id, cluster, d).  Of ``starts`` grids in a row only the one with the
+    least sum of squares after Lloyd's rounds goes on.  In a round each cluster gives or takes one row at most, the best transfers first, so
+    that none spoils another; all grids share the job."""
+    found = kept(lloyd_all(points, centers, dims, rounds))
+    cost = {r.grid: r.c for r in found.groupBy("grid").agg(F.sum(F.col("d") * F.col("d")).alias("c")).collect()}  # a row for each k and start
+    firsts = sorted({g - g % starts for g in centers})
+    chosen = [min((g for g in range(f, f + starts) if g in centers), key=lambda g: (round(cost.get(g, 0.0), 9), g)) for f in firsts]
+    rows = kept(found.where(F.col("grid").isin(chosen)).select("grid", "row_id", "cluster").join(points.select("row_id", "x"), "row_id"))
+    sums = rows.groupBy("grid", "cluster").agg(F.count("*").alias("f"), F.array(*[F.sum(F.col("x")[i]) for i in range(dims)]).alias("s")).collect()  # the models
+    names = {g: np.array(sorted(r.cluster for r in sums if r.grid == g), np.int64) for g in chosen}
+    size = {g: np.array([r.f for r in sorted(sums, key=lambda r: r.cluster) if r.grid == g], float) for g in chosen}
+    total = {g: np.array([r.s for r in sorted(sums, key=lambda r: r.cluster) if r.grid == g], float).reshape(-1, dims) for g in chosen}
+    spark = points.sparkSession
+    for _ in range(rounds):
+        now = {g: (names[g], total[g] / size[g][:, None]) for g in chosen}
+        moves, used = [], set()
+        for r in sorted(_transfers(rows, now, size, names, dims), key=lambda r: (-r.gain, r.row_id)):
+            if not {(r.grid, r.one), (r.grid, r.two)} & used:
+                used |= {(r.grid, r.one), (r.grid, r.two)}
+                moves.append((r.grid, r.row_id, int(names[r.grid][r.two])))
+                size[r.grid][[r.one, r.two]] += [-1, 1]
+                total[r.grid][[r.one, r.two]] += np.outer([-1, 1], r.x)
+        if not moves:
+            break
+        changed = spark.createDataFrame(moves, "grid long, row_id long, to long")
+        rows = kept(rows.join(F.broadcast(changed), ["grid", "row_id"], "left").select("grid", "row_id", F.coalesce("to", "cluster").alias("cluster"), "x"))  # half the clusters at most
+    centers_now = spark.createDataFrame([(g, int(c), x.tolist()) for g in chosen for c, x in zip(names[g], total[g] / size[g][:, None])], "grid long, cluster long, c array<double>")
+    return rows.join(F.broadcast(centers_now), ["grid", "cluster"]).select("grid", "row_id", "cluster", dist(F.col("x"), F.col("c"), dims).alias("d"))  # the models
+
+
 def lloyd(points: DataFrame, init: DataFrame, dims: int, rounds: int = ROUNDS) -> DataFrame:
     """k-means from given centers (center, c), until they stand still: row_id, cluster."""
     return lloyd_all(points, started(init), dims, rounds).select("row_id", "cluster") if not init.isEmpty() else points.select("row_id", F.lit(None).cast("long").alias("cluster"))
@@ -158,55 +225,67 @@ def kmor(points: DataFrame, init: DataFrame, dims: int, gamma: float, rounds: in
     return kmor_all(points, started(init), dims, {0: gamma}, rounds).select("row_id", "d")
 
 
-def ocrd_all(points: DataFrame, dims: int, betas: dict[int, float], q0: float = 0.5, rounds: int = 10, eps: float = 1e-10) -> DataFrame:
-    """One-class rate distortion for every beta: (grid, row_id) of rows not wholly represented by the common center.  A beta's center and
-    rate are the model, dims + 1 numbers; each round is one aggregation for all of them that still move."""
-    points = kept(points.select("row_id", "x"))
+#: Betas that meet a block of rows together.
+BETAS = 256
+
+
+def ocrd_table(points: DataFrame, dims: int, betas: DataFrame, q0: float = 0.5, rounds: int = 10, eps: float = 1e-10) -> DataFrame:
+    """One-class rate distortion for every beta (grid, beta): (grid, row_id) of rows not wholly represented by the common center.
+
+    A beta's center and rate are a row of a table.  In each round the betas that still move meet the rows block by block, partial sums are
+    added up by beta, and the next state is written; nothing comes to the driver but whether any moves."""
+    points = kept(points.select(F.col("row_id").cast("long").alias("row_id"), "x"))
     n = points.count()
     if not n:
         return points.select(F.lit(0).cast("long").alias("grid"), "row_id")
-    mean_all = points.agg(mean(F.col("x"), dims)).first()[0]
-    state = {g: (np.array(mean_all, float), float(q0)) for g in betas}
-    used, active = dict(state), set(betas)
+    block = F.pmod(F.xxhash64("row_id"), F.lit(math.ceil(n / ROWS)))
+    dealt = points.groupBy(block.alias("block")).agg(F.collect_list(F.struct("row_id", "x")).alias("r"))  # about ROWS rows each
+    rows = kept(dealt.select(F.col("r.row_id").alias("ids"), F.flatten("r.x").alias("xs")))
+    state = kept(betas.select("grid", "beta").crossJoin(points.agg(mean(F.col("x"), dims).alias("w"))).withColumns({"q": F.lit(float(q0)), "still": F.lit(False)}))
+
+    def met(of: DataFrame) -> DataFrame:
+        """Blocks of betas with blocks of rows."""
+        part = F.floor(F.col("grid") / BETAS)
+        packed = of.groupBy(part.alias("part")).agg(F.collect_list(F.struct("grid", "beta", "q", "w")).alias("b"))  # BETAS at most
+        return packed.select(F.col("b.grid").alias("grids"), F.col("b.beta").alias("betas"), F.col("b.q").alias("qs"), F.flatten("b.w").alias("ws")).crossJoin(rows)
+
+    def each(batch: pa.RecordBatch):
+        for i in range(batch.num_rows):
+            grids, b, q, w, ids, x = (plain(batch[c], i) for c in ("grids", "betas", "qs", "ws", "ids", "xs"))
+            x, w = x.reshape(-1, dims).astype(float), w.reshape(-1, dims)
+            p = np.exp2(-b[:, None] * distances(w, x))
+            yield grids, ids, x, p, n * q[:, None] * p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {g: np.zeros(2 + dims) for g in active}
-        for b in batches:
-            if b.num_rows:
-                x = matrix(b["x"], dims)
-                for g in active:
-                    w, q = used[g]
-                    p = np.exp2(-betas[g] * distances(x, w[None])[:, 0])
-                    rate = np.minimum(1.0, n * q * p)
-                    total[g] += np.concatenate([[(rate == 1).sum(), p[rate < 1].sum()], (rate[:, None] * x).sum(axis=0)])
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(total), pa.int64()), pa.array([total[g] for g in sorted(total)], pa.list_(pa.float64()))], names=["grid", "sums"])
-
-    for r in range(rounds):
-        for g in active:
-            used[g] = state[g]
-        parts = points.select("x").mapInArrow(run, "grid long, sums array<double>").groupBy("grid").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(2 + dims)]).alias("sums"))
-        for row in parts.collect():  # one for each beta
-            whole, rest, w = row.sums[0], row.sums[1], np.array(row.sums[2:]) / n
-            state[row.grid] = w, whole / n + used[row.grid][1] * rest
-            if ((used[row.grid][0] - w) ** 2).sum() <= eps:
-                active = active - {row.grid}
-        if not active:
-            break
+        for batch in batches:
+            for grids, _, x, p, rate in each(batch):
+                sums = np.column_stack([(rate >= 1).sum(axis=1), np.where(rate < 1, p, 0.0).sum(axis=1), np.minimum(1.0, rate) @ x])
+                yield pa.RecordBatch.from_arrays([pa.array(grids), pa.array(list(sums), pa.list_(pa.float64()))], names=["grid", "sums"])
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, ids = matrix(b["x"], dims), b["row_id"].to_numpy()
-                for g, (w, q) in used.items():
-                    out = ids[n * q * np.exp2(-betas[g] * distances(x, w[None])[:, 0]) < 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), g)), pa.array(out)], names=["grid", "row_id"])
-
-    return points.select(F.col("row_id").cast("long").alias("row_id"), "x").mapInArrow(flag, "grid long, row_id long")
+        for batch in batches:
+            for grids, ids, _, _, rate in each(batch):
+                g, r = np.nonzero(rate < 1)
+                yield pa.RecordBatch.from_arrays([pa.array(grids[g]), pa.array(ids[r])], names=["grid", "row_id"])
+
+    for _ in range(rounds - 1):
+        parts = met(state.where("NOT still")).mapInArrow(run, "grid long, sums array<double>").groupBy("grid").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(2 + dims)]).alias("s"))
+        moved = F.transform(F.slice("s", 3, dims), lambda v: v / n)
+        way = F.aggregate(F.zip_with("w", "w2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
+        new = state.where("NOT still").join(parts, "grid").withColumn("w2", moved).withColumn("still", way <= eps)
+        # A beta that stands still keeps the center and the rate of its last round.
+        q = F.when(F.col("still"), F.col("q")).otherwise(F.col("s")[0] / n + F.col("q") * F.col("s")[1])
+        new = new.select("grid", "beta", F.when(F.col("still"), F.col("w")).otherwise(F.col("w2")).alias("w"), q.alias("q"), "still")
+        state = kept(state.where("still").unionByName(new))
+        if state.where("NOT still").isEmpty():
+            break
+    return met(state).mapInArrow(flag, "grid long, row_id long")
 
 
 def ocrd(points: DataFrame, dims: int, beta: float, q0: float = 0.5, rounds: int = 10, eps: float = 1e-10) -> DataFrame:
     """One-class rate distortion: row_id of rows not wholly represented by the common center."""
-    return ocrd_all(points, dims, {0: beta}, q0, rounds, eps).select("row_id")
+    one = points.sparkSession.createDataFrame([(0, float(beta))], "grid long, beta double")
+    return ocrd_table(points, dims, one, q0, rounds, eps).select("row_id")
 
 
 def singletons_all(clusters: DataFrame) -> DataFrame:
@@ -252,20 +331,6 @@ def cblof(clusters: DataFrame, dims: int, large: int, mode: str = "canonical") -
     return cblof_all(clusters.select(F.lit(0).alias("grid"), "row_id", "cluster", "x", F.lit(large).alias("large")), dims).select("row_id", "score")
 
 
-def cblof_knn_all(clusters: DataFrame, d1: DataFrame, near: DataFrame) -> DataFrame:
-    """clusters (grid, row_id, cluster, large), d1 (row_id, d1), near (a, b, d) of all pairs both ways -> (grid, row_id, score): see
-    ``cblof_knn``, for every grid."""
-    rows = clusters.join(d1, "row_id")
-    stats = rows.groupBy("grid", "cluster", "large").agg(F.count("*").alias("f"), F.avg("d1").alias("m"))
-    stats = stats.withColumn("big", F.row_number().over(Window.partitionBy("grid").orderBy(F.desc("f"), "cluster")) <= F.col("large"))
-    rows = kept(rows.drop("large").join(stats, ["grid", "cluster"]))
-    inside = rows.where("big").select("grid", "row_id", (F.col("f") * (F.col("d1") - F.col("m"))).alias("score"))
-    other = rows.where("big").select("grid", F.col("row_id").alias("b"), F.col("m").alias("mb"))
-    some = rows.where("NOT big").select("grid", F.col("row_id").alias("a"), "f").join(near, "a").join(other, ["grid", "b"])
-    best = some.groupBy("grid", "a", "f").agg(F.min_by(F.struct("d", "mb"), F.struct("d", "b")).alias("m"))
-    return inside.union(best.select("grid", F.col("a").alias("row_id"), (F.col("f") * (F.col("m.d") - F.col("m.mb"))).alias("score")))
-
-
 def cblof_knn_by_place(rows: DataFrame, dims: int, large: int) -> DataFrame:
     """``cblof_knn`` of rows (row_id, cluster, x, d1) with the original's slips: a label is taken for the rank of a size; means stand in the
     order in which clusters first appear, are divided by the size once more, and are looked up by the label, or for rows of small clusters by

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import partial, reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
@@ -25,19 +26,26 @@ from outrate.operators.state import kept
 
 
 class Task(NamedTuple):
-    """Points (row_id, x), rows that are truly outliers (row_id), and how many there are of both."""
+    """Points (row_id, x), rows that are truly outliers (row_id), how many there are of both, and what several searches have in common."""
 
     points: DataFrame
     truth: DataFrame
     dims: int
     n: int
     m: int
+    shared: dict
+
+    def once(self, key: tuple, make: Callable[[], object]):
+        """What make makes, at the first call with that key."""
+        if key not in self.shared:
+            self.shared[key] = make()
+        return self.shared[key]
 
 
 def task(points: DataFrame, truth: DataFrame, dims: int) -> Task:
     points = kept(points.select(F.col("row_id").cast("long").alias("row_id"), "x"))
     truth = kept(truth.select(F.col("row_id").cast("long").alias("row_id")).distinct())
-    return Task(points, truth, dims, points.count(), truth.count())
+    return Task(points, truth, dims, points.count(), truth.count(), {})
 
 
 Params = list[tuple[float, float | None]]
@@ -97,24 +105,27 @@ MULTIPLIERS = spread(0.1, 10, 30)
 
 
 def ocrd(t: Task, thin: int = 1) -> DataFrame:
-    betas = spread(0.1, 10, t.n)[::thin]
+    """As many betas as there are rows, as a table."""
+    number = t.points.sparkSession.range(0, t.n, thin).select(F.floor(F.col("id") / thin).cast("long").alias("grid"), (0.1 + (10 - 0.1) * F.col("id") / max(1, t.n - 1)).alias("beta"))
+    betas = kept(number)
     even = kept(detectors.scaled(t.points, t.dims).withColumn("x", F.transform("x", lambda v: F.coalesce(v, F.lit(0.0)))))
-    return scored(t, detectors.ocrd_all(even, t.dims, dict(enumerate(betas))), [(b, None) for b in betas])
+    return scored(t, detectors.ocrd_table(even, t.dims, betas), betas.select("grid", F.col("beta").alias("p1"), F.lit(None).cast("double").alias("p2")))
 
 
 def kmeans(t: Task, ks: list[int], starts: int = 1) -> DataFrame:
+    return t.once(("kmeans", *ks, starts), lambda: kept(_kmeans(t, ks, starts)))
+
+
+def _kmeans(t: Task, ks: list[int], starts: int) -> DataFrame:
     """(grid, row_id, cluster, d) for each k, numbered as in ks: of several starts, the first of which takes the first rows and the others
-    rows drawn by a hash, that with the least sum of squares."""
+    rows drawn by a hash, that with the least sum of squares.  All starts of all ks advance together, one job a round."""
     centers = {}
     for s in range(starts):
         order = ["row_id"] if s == 0 else [F.xxhash64("row_id", F.lit(s)), "row_id"]
         rows = t.points.orderBy(*order).limit(max(ks)).select(F.monotonically_increasing_id().alias("center"), F.col("x").alias("c"))
-        own = detectors.started(kept(rows), {i * starts + s: k for i, k in enumerate(ks)})
-        centers |= own
-    found = kept(detectors.lloyd_all(t.points, centers, t.dims))
-    cost = {r.grid: r.c for r in found.groupBy("grid").agg(F.sum(F.col("d") * F.col("d")).alias("c")).collect()}  # a row for each k and start
-    chosen = {min(range(i * starts, (i + 1) * starts), key=lambda g: (round(cost.get(g, 0.0), 9), g)): i for i in range(len(ks))}
-    return found.where(F.col("grid").isin(list(chosen))).withColumn("grid", F.create_map(*[F.lit(v).cast("long") for p in chosen.items() for v in p])[F.col("grid")])
+        centers |= detectors.started(rows, {i * starts + s: k for i, k in enumerate(ks)})
+    found = kept(detectors.hartigan_all(t.points, centers, t.dims, starts))
+    return found.select(F.floor(F.col("grid") / starts).cast("long").alias("grid"), "row_id", "cluster", "d")
 
 
 def _with_rows(t: Task, clusters: DataFrame) -> DataFrame:
@@ -160,9 +171,10 @@ def cpp_kmeans(t: Task, ks: list[int] = KS, multipliers: list[float] = MULTIPLIE
 
 def tree(t: Task, thetas: list[int]) -> DataFrame:
     """(grid, row_id, cluster, x): the cuts of one complete-linkage tree, numbered as in thetas."""
-    found = detectors.cut(t.points, detectors.hac_merges(t.points), thetas)
+    merges = t.once(("merges",), lambda: detectors.hac_merges(t.points))
+    found = detectors.cut(t.points, merges, thetas)
     number = t.points.sparkSession.createDataFrame([(k, i) for i, k in enumerate(thetas)], "theta long, grid long")
-    return kept(found.withColumnRenamed("grid", "theta").join(F.broadcast(number), "theta").select("grid", "row_id", "cluster").join(t.points, "row_id"))  # the grid
+    return kept(found.withColumnRenamed("grid", "theta").join(number, "theta").select("grid", "row_id", "cluster").join(t.points, "row_id"))  # the grid
 
 
 def hac_singletons(t: Task, thin: int = 1) -> DataFrame:
@@ -190,11 +202,16 @@ def least_points(t: Task) -> list[int]:
     return [t.dims + i for i in range(1, 11)]
 
 
+def _lists(t: Task) -> DataFrame:
+    """Neighbour lists (a, b, d, rk) for all numbers of points."""
+    return t.once(("lists",), lambda: kept(knn(t.points, max(least_points(t)), t.dims)))
+
+
 def dbscan_noise(t: Task) -> DataFrame:
     """All distinct neighbour distances as eps, for each number of points.  A row is noise below the least of its own core distance and the
     greater of the distance to a neighbour and that one's core distance, so one number of each row stands for all eps."""
     leasts = least_points(t)
-    near = kept(knn(t.points, max(leasts), t.dims))
+    near = _lists(t)
     spark = t.points.sparkSession
     sizes = F.broadcast(spark.createDataFrame([(k,) for k in leasts], "least int"))  # ten numbers
     core = kept(near.join(sizes, F.col("rk") == F.col("least") - 1).select("least", "a", F.col("d").alias("core")))
@@ -211,10 +228,14 @@ def dbscan_noise(t: Task) -> DataFrame:
 
 
 def density(t: Task) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return t.once(("density",), lambda: _density(t))
+
+
+def _density(t: Task) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(grid, row_id, cluster) with noise as clusters of its own; neighbour lists; and the grid (grid, eps, least): for each number of points
     all distinct neighbour distances, in their order."""
     leasts = least_points(t)
-    near = kept(knn(t.points, max(leasts), t.dims))
+    near = _lists(t)
     eps = near.where(F.col("rk").isin(leasts)).select(F.col("rk").cast("int").alias("least"), F.col("d").alias("eps")).distinct()
     grid = kept(numbered(eps, ["least", "eps"], "grid").select((F.col("grid") - 1).cast("long").alias("grid"), "eps", "least"))
     tree = trees.forest(t.points, near, leasts, t.dims)
@@ -232,15 +253,18 @@ def cblof_dbscan(t: Task) -> DataFrame:
     return scored(t, top(t, scores.withColumn("score", F.round("score", 9))), _named(grid))
 
 
-def cp_dbscan(t: Task, kind: str = "maxmax") -> DataFrame:
+def _represented(t: Task) -> DataFrame:
     clusters, near, grid = density(t)
-    return scored(t, detectors.purge_density(kept(trees.represented(clusters, t.points, near, grid, t.dims)), kind), _named(grid))
+    return t.once(("represented",), lambda: kept(trees.represented(clusters, t.points, near, grid, t.dims)))
+
+
+def cp_dbscan(t: Task, kind: str = "maxmax") -> DataFrame:
+    return scored(t, detectors.purge_density(_represented(t), kind), _named(density(t)[2]))
 
 
 def cpp_dbscan(t: Task, multipliers: list[float] = MULTIPLIERS) -> DataFrame:
     """p1: eps; the number of points is told by the order of the grid."""
-    clusters, near, grid = density(t)
-    measured = kept(trees.represented(clusters, t.points, near, grid, t.dims))
+    grid, measured = density(t)[2], _represented(t)
     place = (F.col("grid") * len(multipliers) + F.col("k")).alias("grid")
     ks = t.points.sparkSession.createDataFrame(list(enumerate(multipliers)), "k int, p2 double")
     counts = flag_counts(t, rd.flagged_by(measured, multipliers), multipliers).select(place, "tp", "p")
@@ -248,7 +272,7 @@ def cpp_dbscan(t: Task, multipliers: list[float] = MULTIPLIERS) -> DataFrame:
 
 
 def lps(t: Task, ks: list[int] | None = None) -> DataFrame:
-    ks = ks or list(range(-(-t.dims // 2), 1, -1))
+    ks = ks or list(range(max(2, -(-t.dims // 2)), 1, -1))
     near, even = kept(knn(t.points, max(ks), t.dims)), kept(detectors.scaled(t.points, t.dims))
     return scored(t, top(t, detectors.lps_all(near, even, ks, 2, t.dims)), [(k, None) for k in ks])
 
@@ -285,23 +309,31 @@ SEARCHERS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (
     ocrd, kmeans_singletons, kmeans_mm, kmor, cblof_kmeans, cp_kmeans, cpp_kmeans, hac_singletons, cblof_hac, cp_hac, cpp_hac,
     dbscan_noise, cblof_dbscan, cp_dbscan, cpp_dbscan, lof, lps,
 )}
+KINDS = ("minmin", "minmax", "maxmin", "maxmax")
+#: The same purge under every perturbation, for each way of clustering.
+ABLATION: dict[str, Callable[..., DataFrame]] = {f"{name}_{kind}": partial(search, kind=kind) for name, search in (("kmeans", cp_kmeans), ("hac", cp_hac), ("dbscan", cp_dbscan)) for kind in KINDS}
 EVALUATED = "dataset string, detector string, precision double, recall double, f_score double, mcc double, seconds double"
+METRICS = ("precision", "recall", "f_score", "mcc")
 
 
-def competition(datasets: dict[str, Task], searchers: dict[str, Callable[[Task], DataFrame]]) -> DataFrame:
-    """(dataset, detector, precision, recall, f_score, mcc, seconds): each metric from its own best grid point, seconds for each grid point.
-    Points are scaled by their largest absolute value first."""
-    rows = []
+def graded(datasets: dict[str, Task], searchers: dict[str, Callable[[Task], DataFrame]]) -> DataFrame:
+    """(dataset, detector, grid_order, p1, p2, the metrics, seconds): every point of every grid in one table, seconds for each grid point.
+    Points are scaled by their largest absolute value first; what several searches of a dataset need is computed once, for the first."""
+    out = []
     for dataset, t in datasets.items():
         most = t.points.agg(F.max(F.aggregate("x", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v))))).first()[0] or 1.0
-        even = t._replace(points=kept(t.points.select("row_id", F.transform("x", lambda v: v / F.lit(most)).alias("x"))))
+        even = t._replace(points=kept(t.points.select("row_id", F.transform("x", lambda v: v / F.lit(most)).alias("x"))), shared={})
         for detector, search in searchers.items():
             began = time.time()
-            graded = kept(search(even))
-            took = (time.time() - began) / max(1, graded.count())
-            won = {r.metric: r.value for r in winners(graded).collect()}  # four rows
-            rows.append((dataset, detector, *(float(won.get(m, 0.0)) for m in ("precision", "recall", "f_score", "mcc")), took))
-    return next(iter(datasets.values())).points.sparkSession.createDataFrame(rows, EVALUATED)
+            found = kept(search(even).select(F.lit(dataset).alias("dataset"), F.lit(detector).alias("detector"), F.col("grid_order").cast("long").alias("grid_order"), "p1", "p2", *METRICS))
+            out.append(found.withColumn("seconds", F.lit((time.time() - began) / max(1, found.count()))))
+    return reduce(DataFrame.union, out)
+
+
+def competition(datasets: dict[str, Task], searchers: dict[str, Callable[[Task], DataFrame]]) -> DataFrame:
+    """(dataset, detector, precision, recall, f_score, mcc, seconds): each metric from its own best grid point, seconds for each grid point."""
+    every = graded(datasets, searchers)
+    return every.groupBy("dataset", "detector").agg(*[F.coalesce(F.max(m), F.lit(0.0)).alias(m) for m in METRICS], F.max("seconds").alias("seconds"))
 
 
 def wide(evaluated: DataFrame, metric: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from outrate.operators import blocks, density, grids, neighbors, prefix
+from outrate.operators import blocks, density, detectors, grids, linkage, neighbors, prefix
 from outrate.operators import ratedistortion as rd
 from outrate.operators.state import kept
 from outrate.sources import points as sources
@@ -147,3 +147,65 @@ def test_readers_by_ranges(spark, tmp_path, ranges):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_transfers_end_where_none_helps(spark):
+    """Sums of squares are not above Lloyd's, and no single row's change of cluster lessens them: recomputed by brute force."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(m, 1.5, (25, 2)) for m in ((0, 0), (5, 0), (2, 5))])
+    points = _frame(spark, x)
+    init = points.where("row_id < 5").select((F.col("row_id") + 1).alias("center"), F.col("x").alias("c"))
+    centers = detectors.started(init, {0: 5, 2: 3, 4: 2})
+    cost = lambda rows: {g: sum(r.d**2 for r in rows if r.grid == g) for g in (0, 2, 4)}
+    before, rows = cost(detectors.lloyd_all(points, centers, 2).collect()), detectors.hartigan_all(points, centers, 2, 2).collect()
+    after = cost(rows)
+    for g in (0, 2, 4):
+        assert after[g] <= before[g] + 1e-9
+        own = {r.row_id: r.cluster for r in rows if r.grid == g}
+        assert len(own) == len(x)
+        sse = lambda labels: sum(((x[[i for i in labels if labels[i] == c]] - x[[i for i in labels if labels[i] == c]].mean(axis=0)) ** 2).sum() for c in set(labels.values()))
+        assert sse(own) == pytest.approx(after[g])
+        for i in range(0, len(x), 4):
+            for c in set(own.values()) - {own[i]}:
+                assert sse({**own, i: c}) >= after[g] - 1e-7
+
+
+def test_evaluation_is_one_table(spark):
+    """Every winner is the greatest of its grid; the ablation holds each clustering under each perturbation."""
+    data = {}
+    for name, seed in (("a", 3), ("b", 5)):
+        points = _frame(spark, _clustered(24, 2, 3, seed))
+        data[name] = grids.task(points, points.where("row_id % 6 = 0"), 2)
+    some = {n: grids.SEARCHERS[n] for n in ("kmeans_mm", "dbscan_noise", "lof", "lps")}
+    every = kept(grids.graded(data, some))
+    found = {(r.dataset, r.detector): r for r in grids.competition(data, some).collect()}
+    assert set(found) == {(d, s) for d in data for s in some}
+    for key, r in found.items():
+        rows = [x for x in every.collect() if (x.dataset, x.detector) == key]
+        assert [r[m] for m in grids.METRICS] == pytest.approx([max(x[m] for x in rows) for m in grids.METRICS])
+    t = data["a"]
+    ks = {f"kmeans_{k}": lambda t, k=k: grids.cp_kmeans(t, [4, 2], kind=k) for k in grids.KINDS}
+    rows = kept(rd.measure(grids._with_rows(grids.task(t.points, t.truth, 2), grids.kmeans(t, [4, 2])), 2))
+    graded = grids.graded({"a": t._replace(shared={})}, ks)
+    assert {r.detector for r in graded.collect()} == set(ks) and graded.count() == 8 and rows.count() == 48
+    assert set(grids.ABLATION) == {f"{c}_{k}" for c in ("kmeans", "hac", "dbscan") for k in grids.KINDS} and len(grids.SEARCHERS) == 17
+
+
+def test_linkage_by_phases(spark, monkeypatch):
+    """The same heights as one merge after another, when clusters are never listed with all others before the end."""
+    monkeypatch.setattr(linkage, "SMALL", 6)
+    monkeypatch.setattr(linkage, "NEAR", 3)
+    monkeypatch.setattr(blocks, "ROWS", 20)
+    x = np.concatenate([_clustered(60, 2, 5), [[3.0, 3.0]] * 4])
+    d = blocks.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    want = []
+    for _ in range(len(x) - 1):
+        i, j = sorted(divmod(int(d.argmin()), len(x)))
+        want.append(d[i, j])
+        d[i] = d[:, i] = np.maximum(d[i], d[j])
+        d[i, i] = np.inf
+        d[j] = d[:, j] = np.inf
+    got = linkage.merges(_frame(spark, x)).orderBy("step").collect()
+    assert [r.step for r in got] == list(range(1, len(x))) and [r.d for r in got] == want
+    assert linkage.merges(_frame(spark, x).where("false")).count() == 0
