@@ -7,8 +7,8 @@ many rows a cell holds.
 A row with something to find within a bound asks for the rings that the triangle inequality leaves: of cell j those from d - bound to d +
 bound, d being its distance to pivot j, and none if the plane half-way between its own pivot and pivot j is farther off than the bound.
 Blocks ask for what their rows do.  Pairs of blocks come from an equi-join on the cell; a task compares two blocks, and within them only
-rows that still may find something.  Where the bounds are no help (all rows far apart, in many dimensions) all blocks meet, as they
-would without them.
+rows that still may find something.  Where the bounds are no help (rows about as far from each other as from everything, in many
+dimensions), which shows in how many pairs are asked for, all rows meet all in larger blocks, so that fewer copies of them move.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ from outrate.operators.state import importable, kept
 
 #: Rows of a block, and pivots and rings of a cell at most: what is sent to all tasks doesn't grow with the rows.
 ROWS, PIVOTS, RINGS = 1024, 1024, 256
+#: Blocks' worth of rows up to which all meet all at once.  Rows of the blocks that meet all others, the share of all pairs of blocks from
+#: which on they do, and distances that stand at once.
+WHOLE, COARSE, MOST, AT_ONCE = 4, 4096, 0.5, 1 << 20
 #: Bounds are widened by this share, so that rounding decides nothing.
 SLACK = 1e-9
 
@@ -146,8 +149,8 @@ def search(points: DataFrame, others: DataFrame | None, dims: int, k: int | None
     own = points.select("row_id", "x")
     base = kept(own) if others is None else kept(others.select("row_id", "x"))
     n = base.count()
-    if others is None and n <= ROWS:
-        return _one_block(base, dims, choose, bound, seen)
+    if n <= WHOLE * ROWS:
+        return _all(own, base, n, ROWS, dims, choose, bound, seen)
     s = space(base, n, dims)
     there = blocks(base, s, dims)
     here = there if others is None else blocks(own, s, dims)
@@ -156,7 +159,9 @@ def search(points: DataFrame, others: DataFrame | None, dims: int, k: int | None
     else:
         asking = _first(here, there, s, dims, k, choose, bound, seen, others is None)
         found = asking.select(F.explode(F.arrays_zip("a", "b", "d")).alias("f")).select("f.*")
-    pairs = pairs_of(asking, there)
+    pairs = kept(pairs_of(asking, there))
+    if pairs.count() > MOST * here.count() * there.count():
+        return _all(own, base, n, COARSE, dims, choose, bound, seen)
     if k is not None:
         pairs = pairs.join(asking.select("block", "home"), "block").where("home IS NULL OR home <> other").select("block", "other")
     one = asking.select("block", "cell", F.col("ids").alias("ids_a"), F.col("xs").alias("xs_a"), "bounds")
@@ -178,19 +183,30 @@ def search(points: DataFrame, others: DataFrame | None, dims: int, k: int | None
     return more if found is None else found.union(more)
 
 
-def _one_block(points: DataFrame, dims: int, choose: Callable[[np.ndarray], np.ndarray], bound: float, seen: Accumulator | None) -> DataFrame:
-    """The same of rows that are one block."""
+def _all(points: DataFrame, others: DataFrame, n: int, size: int, dims: int, choose: Callable[[np.ndarray], np.ndarray], bound: float, seen: Accumulator | None) -> DataFrame:
+    """The same by blocks dealt out by a hash, each with each; size: rows of a block of points."""
+    parts = math.ceil(n / COARSE)
+
+    def packed(df: DataFrame, name: str, k: int) -> DataFrame:
+        rows = df.select(F.pmod(F.xxhash64("row_id"), F.lit(k)).alias(name), F.struct(F.col("row_id").cast("long").alias("row_id"), F.col("x").cast("array<double>").alias("x")).alias("r"))
+        rows = rows.groupBy(name).agg(F.sort_array(F.collect_list("r")).alias("r"))  # about COARSE rows
+        return rows.select(name, F.col("r.row_id").alias(f"ids_{name}"), F.flatten("r.x").alias(f"xs_{name}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                a, x = plain(batch["ids"], i), plain(batch["xs"], i).astype(np.float64).reshape(-1, dims)
-                if seen is not None:
-                    seen.add(len(a) ** 2)
-                yield from _taken(a, a, distances(x, x), np.full(len(a), bound), choose)
-
-    rows = points.agg(F.sort_array(F.collect_list(F.struct(F.col("row_id").cast("long").alias("row_id"), F.col("x").cast("array<double>").alias("x")))).alias("rows"))  # ROWS at most
-    return rows.select(F.col("rows.row_id").alias("ids"), F.flatten("rows.x").alias("xs")).mapInArrow(run, "a long, b long, d double")
+                a, b = plain(batch["ids_a"], i), plain(batch["ids_b"], i)
+                xa, xb = (plain(batch[c], i).astype(np.float64).reshape(-1, dims) for c in ("xs_a", "xs_b"))
+                step = max(1, AT_ONCE // max(1, len(b)))
+                for at in range(0, len(a), step):
+                    part = slice(at, at + step)
+                    if seen is not None:
+                        seen.add(len(a[part]) * len(b))
+                    yield from _taken(a[part], b, distances(xa[part], xb), np.full(len(a[part]), bound), choose)
+
+    one = packed(points, "a", max(1, math.ceil(points.count() / size)))
+    number = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")).alias("b")
+    return one.select("ids_a", "xs_a", number).join(packed(others, "b", parts), "b").drop("b").mapInArrow(run, "a long, b long, d double")
 
 
 def _taken(a: np.ndarray, b: np.ndarray, d: np.ndarray, bounds: np.ndarray, choose: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
