@@ -29,8 +29,8 @@ from outrate.operators.state import importable, kept
 #: Rows of a block, and pivots and rings of a cell at most: what is sent to all tasks doesn't grow with the rows.
 ROWS, PIVOTS, RINGS = 1024, 1024, 256
 #: Blocks' worth of rows up to which all meet all at once.  Rows of the blocks that meet all others, the share of all pairs of blocks from
-#: which on they do, and distances that stand at once.
-WHOLE, COARSE, MOST, AT_ONCE = 4, 4096, 0.5, 1 << 20
+#: which on they do, distances that stand at once, and tasks that share what meets one such block.
+WHOLE, COARSE, MOST, AT_ONCE, SPREAD = 4, 4096, 0.5, 1 << 20, 8
 #: Bounds are widened by this share, so that rounding decides nothing.
 SLACK = 1e-9
 
@@ -204,9 +204,11 @@ def _all(points: DataFrame, others: DataFrame, n: int, size: int, dims: int, cho
                         seen.add(len(a[part]) * len(b))
                     yield from _taken(a[part], b, distances(xa[part], xb), np.full(len(a[part]), bound), choose)
 
-    one = packed(points, "a", max(1, math.ceil(points.count() / size)))
-    number = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")).alias("b")
-    return one.select("ids_a", "xs_a", number).join(packed(others, "b", parts), "b").drop("b").mapInArrow(run, "a long, b long, d double")
+    every = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<long>")).alias(name)
+    one = packed(points, "a", max(1, math.ceil(points.count() / size))).select("ids_a", "xs_a", F.pmod("a", F.lit(SPREAD)).alias("s"), every(parts, "b"))
+    two = packed(others, "b", parts).select("b", "ids_b", "xs_b", every(SPREAD, "s"))
+    # A block of others would meet all of points' in one task.
+    return one.join(two, ["b", "s"]).drop("b", "s").mapInArrow(run, "a long, b long, d double")
 
 
 def _taken(a: np.ndarray, b: np.ndarray, d: np.ndarray, bounds: np.ndarray, choose: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
