@@ -77,6 +77,15 @@ def _listed(members: DataFrame, dims: int, height: float | None) -> tuple[DataFr
     return kept(single.union(_farthest(members, found, near.where("na > 1 OR nb > 1"), height, dims))), height
 
 
+def _renamed(names: DataFrame | None, now: DataFrame) -> DataFrame:
+    """(cluster, name): what the clusters that were merged in a phase go by, after one more round."""
+    into = now.select(F.col("b").alias("cluster"), F.col("a").alias("name"))
+    if names is None:
+        return kept(into)
+    again = into.select(F.col("cluster").alias("name"), F.col("name").alias("next"))
+    return kept(names.join(again, "name", "left").select("cluster", F.coalesce("next", "name").alias("name")).union(into))
+
+
 def merges(points: DataFrame) -> DataFrame:
     """(step, a, b, d) of points (row_id, x): the merges in order; cluster b goes into a, and both go by their first rows.  What is equal
     is merged in the order of (d, a, b)."""
@@ -100,12 +109,8 @@ def merges(points: DataFrame) -> DataFrame:
                 break
             merged += n
             found.append(now)
-            into = now.select(F.col("b").alias("cluster"), F.col("a").alias("name"))
-            if names is None:
-                names = into
-            else:
-                names = names.join(into.select(F.col("cluster").alias("name"), F.col("name").alias("next")), "name", "left").select("cluster", F.coalesce("next", "name").alias("name")).union(into)
-            names = kept(names)
+            if height < math.inf:  # else all pairs are listed, and no phase follows
+                names = _renamed(names, now)
             both = now.select(F.explode(F.array("a", "b")).alias("end"), F.col("a").alias("to"))
             for c in "ab":
                 near = near.join(both.select(F.col("end").alias(c), F.col("to").alias(f"to_{c}")), c, "left")
@@ -114,8 +119,8 @@ def merges(points: DataFrame) -> DataFrame:
             near = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("d").alias("d"), F.count("*").alias("n"), F.max("parts").alias("parts"))
             near = kept(near.where("n = parts").select("a", "b", "d"))
         height = height * 2 if not merged else None
-        if merged:
-            left -= merged
+        left -= merged
+        if names is not None:
             members = kept(members.join(names, "cluster", "left").select("row_id", "x", F.coalesce("name", "cluster").alias("cluster")))
     every = kept(reduce(DataFrame.union, found))
     return kept(numbered(every, ["d", "round", "a", "b"], "step").select(F.col("step").cast("int").alias("step"), "a", "b", "d"))
