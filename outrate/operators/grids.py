@@ -16,6 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from outrate.functions.vectors import Distortion, dist
 from outrate.operators import density as trees
 from outrate.operators import detectors, factors
 from outrate.operators import ratedistortion as rd
@@ -159,13 +160,13 @@ def cblof_kmeans(t: Task, ks: list[int] = KS, starts: int = 1) -> DataFrame:
     return scored(t, top(t, detectors.cblof_all(rows, t.dims)), [(k, None) for k in ks])
 
 
-def cp_kmeans(t: Task, ks: list[int] = KS, kind: str = "maxmax", starts: int = 1) -> DataFrame:
-    measured = kept(rd.measure(_with_rows(t, kmeans(t, ks, starts)), t.dims))
-    return scored(t, rd.purge_perturbed(measured, kind, t.dims), [(k, None) for k in ks])
+def cp_kmeans(t: Task, ks: list[int] = KS, kind: str | rd.Perturbation = "maxmax", starts: int = 1, distortion: Distortion = dist) -> DataFrame:
+    measured = kept(rd.measure(_with_rows(t, kmeans(t, ks, starts)), t.dims, distortion))
+    return scored(t, rd.purge_perturbed(measured, kind, t.dims, distortion), [(k, None) for k in ks])
 
 
-def cpp_kmeans(t: Task, ks: list[int] = KS, multipliers: list[float] = MULTIPLIERS, starts: int = 1) -> DataFrame:
-    measured = kept(rd.measure(_with_rows(t, kmeans(t, ks, starts)), t.dims))
+def cpp_kmeans(t: Task, ks: list[int] = KS, multipliers: list[float] = MULTIPLIERS, starts: int = 1, distortion: Distortion = dist) -> DataFrame:
+    measured = kept(rd.measure(_with_rows(t, kmeans(t, ks, starts)), t.dims, distortion))
     return scored_flags(t, rd.flagged_by(measured, multipliers), len(ks), multipliers, ks)
 
 
@@ -187,15 +188,15 @@ def cblof_hac(t: Task, thin: int = 1) -> DataFrame:
     return scored(t, top(t, detectors.cblof_all(kept(tree(t, thetas).select("*", _large(thetas))), t.dims)), [(k, None) for k in thetas])
 
 
-def cp_hac(t: Task, kind: str = "maxmax", thin: int = 1) -> DataFrame:
+def cp_hac(t: Task, kind: str | rd.Perturbation = "maxmax", thin: int = 1, distortion: Distortion = dist) -> DataFrame:
     thetas = list(range(t.n - 1, 0, -1))[::thin]
-    return scored(t, rd.purge_perturbed(kept(rd.measure(tree(t, thetas), t.dims)), kind, t.dims), [(k, None) for k in thetas])
+    return scored(t, rd.purge_perturbed(kept(rd.measure(tree(t, thetas), t.dims, distortion)), kind, t.dims, distortion), [(k, None) for k in thetas])
 
 
-def cpp_hac(t: Task, multipliers: list[float] = MULTIPLIERS, thin: int = 1, mode: str = "canonical") -> DataFrame:
+def cpp_hac(t: Task, multipliers: list[float] = MULTIPLIERS, thin: int = 1, mode: str = "canonical", distortion: Distortion = dist) -> DataFrame:
     """mode ``reference``: the original's grid, which by a slip holds the first cut only."""
     thetas = list(range(t.n - 1, 0, -1))[: 1 if mode == "reference" else None : thin]
-    return scored_flags(t, rd.flagged_by(kept(rd.measure(tree(t, thetas), t.dims)), multipliers), len(thetas), multipliers, thetas)
+    return scored_flags(t, rd.flagged_by(kept(rd.measure(tree(t, thetas), t.dims, distortion)), multipliers), len(thetas), multipliers, thetas)
 
 
 def least_points(t: Task) -> list[int]:

@@ -1,14 +1,14 @@
 """Rate-distortion curves of clusterings, and the rows that no clustering on the curve represents well.
 
 A clustering is a DataFrame (clustering_id, row_id, cluster, x, rep); representations are cluster
-means unless given.  Everything is one or two aggregations by key; only per-clustering and per-cluster
+means unless given.  What a row costs is Euclidean distance unless another distortion is given.  Everything is one or two aggregations by key; only per-clustering and per-cluster
 results, whose number does not grow with the rows, are joined back.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from outrate.functions.vectors import change_of_entropy, dist, mean, xlog2x
-from outrate.operators.state import importable
+from outrate.functions.vectors import Distortion, change_of_entropy, dist, mean, xlog2x
+from outrate.operators.state import importable, kept
 
 
 def represent(clusters: DataFrame, dims: int) -> DataFrame:
@@ -26,8 +26,8 @@ def represent(clusters: DataFrame, dims: int) -> DataFrame:
     return clusters.join(means, ["clustering_id", "cluster"])
 
 
-def distances(represented: DataFrame, dims: int) -> DataFrame:
-    return represented.withColumn("d", dist(F.col("x"), F.col("rep"), dims))
+def distances(represented: DataFrame, dims: int, distortion: Distortion = dist) -> DataFrame:
+    return represented.withColumn("d", distortion(F.col("x"), F.col("rep"), dims))
 
 
 def cluster_stats(measured: DataFrame) -> DataFrame:
@@ -111,26 +111,26 @@ def boundaries(stats: DataFrame, curve: DataFrame) -> DataFrame:
     return stats.join(F.broadcast(slopes(curve).where("curve_pos >= 2")), "clustering_id").select("curve_pos", "clustering_id", "cluster", radius.alias("radius"))  # a row per clustering
 
 
-def purge(clusters: DataFrame, dims: int) -> DataFrame:
+def purge(clusters: DataFrame, dims: int, distortion: Distortion = dist) -> DataFrame:
     """Rows at or beyond their cluster's radius at every tested vertex: row_id.  Curves of one vertex: none."""
-    measured = distances(represent(clusters, dims), dims)
+    measured = distances(represent(clusters, dims), dims, distortion)
     stats = cluster_stats(measured)
     edges = boundaries(stats, lower_hull(rd_points(stats)))
     tested = measured.select("clustering_id", "cluster", "row_id", "d").join(edges, ["clustering_id", "cluster"])
     return tested.groupBy("row_id").agg(F.bool_and(F.col("d") >= F.col("radius")).alias("out")).where("out").select("row_id")
 
 
-def zones(clusters: DataFrame, dims: int) -> DataFrame:
+def zones(clusters: DataFrame, dims: int, distortion: Distortion = dist) -> DataFrame:
     """Distinct representations with a positive radius at each tested vertex."""
     represented = represent(clusters, dims)
-    stats = cluster_stats(distances(represented, dims))
+    stats = cluster_stats(distances(represented, dims, distortion))
     edges = boundaries(stats, lower_hull(rd_points(stats))).where("radius > 0")
     return represented.select("clustering_id", "cluster", "rep").dropDuplicates(["clustering_id", "cluster"]).join(edges, ["clustering_id", "cluster"])
 
 
-def purge_parametric(clusters: DataFrame, dims: int, ks: list[float]) -> DataFrame:
+def purge_parametric(clusters: DataFrame, dims: int, ks: list[float], distortion: Distortion = dist) -> DataFrame:
     """(row_id, k) beyond change of entropy / k * total distortion, for every k with one pass over the rows."""
-    measured = distances(represent(clusters, dims), dims)
+    measured = distances(represent(clusters, dims), dims, distortion)
     stats = cluster_stats(measured)
     total = Window.partitionBy("clustering_id")
     edges = stats.withColumn("total", F.sum("distortion").over(total)).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
@@ -173,10 +173,10 @@ def single(clusters: DataFrame, name: int = 1) -> DataFrame:
     return clusters.select(F.lit(name).alias("clustering_id"), "row_id", "cluster", "x")
 
 
-def with_perturbed(clusters: DataFrame, kind: str, dims: int) -> DataFrame:
+def with_perturbed(clusters: DataFrame, kind: str, dims: int, distortion: Distortion = dist) -> DataFrame:
     """The clustering (1) and its perturbation (2)."""
     base = single(clusters)
-    labels = perturb(distances(represent(base, dims), dims).select("row_id", "cluster", "d"), kind)
+    labels = perturb(distances(represent(base, dims), dims, distortion).select("row_id", "cluster", "d"), kind)
     return base.union(clusters.select("row_id", "x").join(labels, "row_id").select(F.lit(2).alias("clustering_id"), "row_id", "cluster", "x"))
 
 
@@ -188,10 +188,10 @@ def rate(d: Column) -> Column:
 # -- many clusterings at once: (grid, row_id, cluster, x), one for each point of a grid of parameters
 
 
-def measure(clusters: DataFrame, dims: int) -> DataFrame:
-    """clusters (grid, row_id, cluster, x) with rep, the cluster's mean, and d, the distance to it."""
+def measure(clusters: DataFrame, dims: int, distortion: Distortion = dist) -> DataFrame:
+    """clusters (grid, row_id, cluster, x) with rep, the cluster's mean, and d, the distortion by it."""
     means = clusters.groupBy("grid", "cluster").agg(mean(F.col("x"), dims).alias("rep"))
-    return clusters.join(means, ["grid", "cluster"]).withColumn("d", dist(F.col("x"), F.col("rep"), dims))
+    return clusters.join(means, ["grid", "cluster"]).withColumn("d", distortion(F.col("x"), F.col("rep"), dims))
 
 
 def moves(measured: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
@@ -221,14 +221,49 @@ def purge_moved(measured: DataFrame, stats: DataFrame, picks: DataFrame, after:
     return measured.select("grid", "cluster", "row_id", "d").join(edges, ["grid", "cluster"]).where(F.round(F.col("d") - F.col("radius"), 9) >= 0).select("grid", "row_id")
 
 
-def purge_perturbed(measured: DataFrame, kind: str, dims: int) -> DataFrame:
-    """(grid, row_id): purging of each clustering, by means, against its perturbation.  The move changes one cluster's mean, so only that
-    cluster's rows are measured again.  measured should be a written table, as three scans read it."""
+def purge_against(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(grid, row_id): purging by each grid's curve of two clusterings (grid, row_id, cluster, d) of the same rows.  The one with more
+    distortion is tested; where it hasn't the lower entropy, or the two are equal in nine decimals, the curve has one vertex and nothing
+    is purged.  What is equal in nine decimals to its radius is beyond it.  Both should be written tables."""
+    names = ["grid", "row_id", "cluster", "d"]
+    both = first.select(F.lit(1).alias("side"), *names).unionByName(second.select(F.lit(2).alias("side"), *names))
+    stats = both.groupBy("grid", "side", "cluster").agg(F.count("*").alias("f"), F.sum("d").alias("distortion"))
+    h = F.log2(F.sum("f")) - F.sum(xlog2x(F.col("f"))) / F.sum("f")
+    points = stats.groupBy("grid", "side").agg(F.sum("f").alias("n"), F.sum("distortion").alias("total"), h.alias("h"))
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    pair = points.groupBy("grid").agg(F.max("n").alias("n"), *[of(k, c).alias(f"{c}{k}") for k in (1, 2) for c in ("total", "h")])
+    slope = (F.col("h1") - F.col("h2")) / (F.col("total1") - F.col("total2"))
+    apart = (F.round(F.abs(F.col("total1") - F.col("total2")), 9) > 0) & (F.round(F.abs(F.col("h1") - F.col("h2")), 9) > 0)
+    tested = F.when(F.col("total1") > F.col("total2"), 1).otherwise(2).alias("side")
+    curve = pair.where(apart).select("grid", tested, "n", slope.alias("slope")).where("slope < 0")
+    edges = stats.join(curve, ["grid", "side"]).select("grid", "side", "cluster", (change_of_entropy(F.col("f"), F.col("n")) / -F.col("slope")).alias("radius"))
+    return both.join(edges, ["grid", "side", "cluster"]).where(F.round(F.col("d") - F.col("radius"), 9) >= 0).select("grid", "row_id")
+
+
+#: Clusterings (grid, row_id, cluster, x, rep, d) -> the labels (grid, row_id, cluster) they are held against.
+Perturbation = Callable[[DataFrame], DataFrame]
+
+
+def each_farthest(measured: DataFrame) -> DataFrame:
+    """A perturbation: of every cluster of several rows the farthest row forms a cluster of its own.  Ties: the first.  Labels are from 0."""
+    row = F.max_by("row_id", F.struct(F.round("d", 9), -F.col("row_id")))
+    moved = measured.groupBy("grid", "cluster").agg(F.count("*").alias("f"), row.alias("row_id")).where("f > 1")
+    moved = moved.select("grid", "row_id", (-1 - F.col("row_id")).alias("alone"))
+    return measured.join(moved, ["grid", "row_id"], "left").select("grid", "row_id", F.coalesce("alone", F.col("cluster").cast("long")).alias("cluster"))
+
+
+def purge_perturbed(measured: DataFrame, kind: str | Perturbation, dims: int, distortion: Distortion = dist) -> DataFrame:
+    """(grid, row_id): purging of each clustering, by means, against its perturbation: one of ``perturb``'s kinds, or any function.  The
+    kinds change one cluster's mean, so only that cluster's rows are measured again; what a function returns is measured as a whole.
+    measured should be a written table, as three scans read it."""
+    if callable(kind):
+        labels = kind(measured).join(measured.select("grid", "row_id", "x"), ["grid", "row_id"])
+        return purge_against(measured, kept(measure(labels, dims, distortion)))
     stats, picks = moves(measured, kind)
     rest = F.array(*[(F.col("f") * F.col("first.rep")[i] - F.col("first.x")[i]) / (F.col("f") - 1) for i in range(dims)])
     target = picks.where("f > 1").select("grid", "cluster", "moved", rest.alias("mean2"))
     again = measured.select("grid", "cluster", "row_id", "x", "d").join(target, ["grid", "cluster"]).where("row_id <> moved")
-    change = again.groupBy("grid").agg(F.sum(dist(F.col("x"), F.col("mean2"), dims)).alias("new"), F.sum("d").alias("old"))
+    change = again.groupBy("grid").agg(F.sum(distortion(F.col("x"), F.col("mean2"), dims)).alias("new"), F.sum("d").alias("old"))
     after = picks.join(change, "grid").select("grid", (F.col("total") - F.col("old") - F.col("first.d") + F.col("new")).alias("total2"))
     return purge_moved(measured, stats, picks, after)
 

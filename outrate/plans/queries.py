@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outrate.functions.vectors import change_of_entropy
-from outrate.operators import detectors, grids, metrics, neighbors
+from outrate.functions.vectors import change_of_entropy, chebyshev, manhattan
+from outrate.operators import detectors, grids, metrics, neighbors, ordered
 from outrate.operators import ratedistortion as rd
 from outrate.operators.state import kept, scratch
 from outrate.sources.points import datasets, disc_noise, separated, sparse_noise, table_points, write_arff, write_separated
@@ -251,6 +251,42 @@ def purge_param_parts(spark, sf):
     return rd.purge_parametric(rd.single(_parts(spark, sf)), 2, _KS)
 
 
+#: Clusters and what they cost by the sum of absolute differences instead of Euclid's distance.
+_ABSOLUTE = CENTERS.replace("sqrt(sum((v - m) * (v - m)))", "sum(abs(v - m))")
+
+
+@query(f"WITH {PARTS}, {_ABSOLUTE} SELECT row_id, k FROM d JOIN f USING (cluster), t, (SELECT unnest({_KS})::DOUBLE AS k) WHERE d >= {CE} / k * dt")
+def purge_param_manhattan(spark, sf):
+    return rd.purge_parametric(rd.single(_parts(spark, sf)), 2, _KS, manhattan)
+
+
+_LARGEST = LINES.replace("sqrt((a - ma) * (a - ma) + (b - mb) * (b - mb) + (c - mc) * (c - mc) + (t - mt) * (t - mt))", "greatest(abs(a - ma), abs(b - mb), abs(c - mc), abs(t - mt))")
+
+
+@query(f"WITH {_LARGEST}, {HULL} SELECT row_id FROM d JOIN bo USING (clustering_id, cluster) GROUP BY row_id HAVING bool_and(d >= radius)")
+def purge_multi_chebyshev(spark, sf):
+    return rd.purge(_lines(spark, sf), 4, chebyshev)
+
+
+_EACH = "nl AS (SELECT row_id, CASE WHEN f > 1 AND row_number() OVER (PARTITION BY cluster ORDER BY round(d, 9) DESC, row_id) = 1 THEN -1 - row_id ELSE cluster END AS cluster FROM d JOIN f USING (cluster))"
+
+
+@query(_purge_sql("maxmax").replace(_perturbed_sql("maxmax"), _EACH))
+def purge_each_farthest(spark, sf):
+    measured = kept(rd.measure(_vectors(spark, sf).withColumn("grid", F.lit(0)), DIMS))
+    return rd.purge_perturbed(measured, rd.each_farthest, DIMS).select("row_id")
+
+
+def _absolute_perturbed(sql: str) -> str:
+    return sql.replace("sqrt(sum((v - m) * (v - m)))", "sum(abs(v - m))")
+
+
+@query(_absolute_perturbed(_purge_sql("maxmax")))
+def purge_maxmax_manhattan(spark, sf):
+    measured = kept(rd.measure(_vectors(spark, sf).withColumn("grid", F.lit(0)), DIMS, manhattan))
+    return rd.purge_perturbed(measured, "maxmax", DIMS, manhattan).select("row_id")
+
+
 @query(f"WITH {PARTS}, mx AS (SELECT max(abs(v)) AS m FROM e) SELECT row_id, round(s / m, 9) AS x1, round(r / m, 9) AS x2 FROM p, mx")
 def maxabs_scale(spark, sf):
     p = _parts(spark, sf)
@@ -493,6 +529,12 @@ def kmor(spark, sf):
     return detectors.kmor(p.select("row_id", "x"), detectors.first_rows(p, 5), 2, 1.5, 10).select("row_id", F.round("d", 6).alias("d"))
 
 
+@query()
+def kmor_reference(spark, sf):
+    p = _parts(spark, sf)
+    return ordered.kmor_in_order(p, detectors.first_rows(p, 5), 2, 1.5).select("row_id", F.round("d", 6).alias("d"))
+
+
 def _ocrd_sql(betas: str, rounds: int = 10) -> str:
     """betas: (g, beta) as SQL; ends with ov (g, beta, row_id)."""
     parts = [f"WITH {SUPPLIERS}, z AS (SELECT row_id, (r - m) / s AS x FROM p, (SELECT avg(r) AS m, stddev_samp(r) AS s FROM p)), s0 AS MATERIALIZED (SELECT g, beta, n, w, 0.5::DOUBLE AS q FROM (SELECT count(*) AS n, avg(x) AS w FROM z), ({betas}))"]
