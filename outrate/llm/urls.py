@@ -3,8 +3,11 @@
 Hosts are written without spaces, so each label is split into words first: a Viterbi search over the
 unigram counts of all words of all pages, where an unknown stretch costs more the longer it is.  Counts
 and labels meet in a join, so none is left out at any size.  The classifier is multinomial naive Bayes
-over these words; urls that name a known bad thing (``SEEDS``) are its examples of bad ones, all others
-of good ones, and a url is blocked only if that is likelier by ``MARGIN``.
+over these words, as often as they stand in a url.  It starts from two fixed lists of names (``BAD``,
+``GOOD``), which are its labelled examples; urls that it is sure of by these (``SURE``) then count as
+examples too, all of them, and the verdict is by the counts of both.  A word that stands in neither
+class says nothing.  The rules' own verdicts are no labels: they go by country and section, where the
+same hosts stand on both sides.
 
 Null url or one without ``://``: host and path are empty, no rule fits, and the verdict is allow.  A rule
 with a path from ``/`` does not fit a url whose path is empty.  Rules are compared by bytes.  Very long
@@ -15,6 +18,7 @@ gives an empty result.  Extra columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,13 +30,26 @@ from outrate.llm.common import LOWER, UPPER, hot_join, table
 
 #: Rule -> verdict: host, then path from its first slash.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-#: Words of hosts and paths that tell of unwanted sites.
-SEEDS = frozenset("spam pills casino viagra porn xxx poker betting bet loan loans payday cheap free download warez crack torrent replica escort adult sex nude gambling jackpot lottery cialis pharmacy hack hacks malware phishing".split())
+#: Names of unwanted sites, as words.
+BAD = (
+    "online casino bonus", "casino royal win", "big win slots", "poker stars bet", "sports bets live", "best bets today", "free spins casino", "lottery jackpot win", "payday loans fast", "cheap loans online",
+    "cheap pills online", "viagra pills shop", "cialis generic cheap", "online pharmacy discount pills", "adult cams live", "adult dating x", "xxx videos free", "porn tube free", "sex chat adult", "nude girls cams",
+    "spam mail blast", "link farm", "spam farm links", "content farm seo", "seo backlinks cheap", "free download crack", "warez torrent download", "keygen serial crack", "replica watches cheap", "fake rolex replica",
+    "ads server click", "popup ads network", "banner ads track", "click track pixel", "ad tracker", "malware update", "phishing login verify", "hack tools free", "escort service adult", "gambling tips bet",
+)
+#: Names of other sites, as words.
+GOOD = (
+    "city library", "university research", "weather forecast today", "garden flowers", "organic farm market", "local news daily", "cooking recipes home", "travel guide europe", "history museum", "open source code",
+    "health clinic", "school district", "music festival", "book reviews", "free library books", "job market report", "science journal", "bird watching club", "photo gallery art", "football club news",
+    "train time table", "community center", "software documentation", "mountain hiking trails", "language learning", "family doctor", "car repair shop", "wine and cheese", "house and garden", "film archive",
+    "math lessons", "town hall", "race track history", "win the marathon", "online dictionary", "radio live", "public health service", "cheap flights guide", "theatre tickets", "animal shelter",
+)
 #: Words of any host or path, which say nothing.
 PLAIN = frozenset("www com org net example html htm php index http https blog m en de fr es ref page".split())
-LONGEST, MARGIN, SMOOTH = 20, 1.0, 1.0
-#: What each letter of an unknown stretch costs.
-UNKNOWN = 2.3
+#: LONGEST word; what a rate of 0 in a class counts as; share of urls that are bad; log odds from which a url counts as an example.
+LONGEST, LEAST, PRIOR, SURE = 20, 0.002, 0.1, 1.0
+#: What each letter of an unknown stretch costs, and the share of all words that a word of the lists has at least.
+UNKNOWN, KNOWN = 2.3, 1e-4
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -69,12 +86,19 @@ def split(label: str, costs: dict[str, float], total: float) -> list[str]:
     return words[::-1]
 
 
+def examples() -> list[tuple[str, int, int]]:
+    """(word, bad, good): how often a word stands in the lists."""
+    bad, good = (Counter(w for name in names for w in name.split() if w not in PLAIN) for names in (BAD, GOOD))
+    return [(w, bad[w], good[w]) for w in sorted({*bad, *good})]
+
+
 def unigrams(pages: DataFrame) -> DataFrame:
-    """(word, n): counts of all words of all pages' visible text, and of the seeds."""
+    """(word, n): counts of all words of all pages' visible text; words of the lists have a share of KNOWN at least."""
     text = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^<>]*>", " "))
     counts = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where(F.length("word").between(2, LONGEST)).groupBy("word").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("n", F.when(F.length("word") == 2, F.greatest(F.lit(1), F.floor(F.col("n") / 10))).otherwise(F.col("n")).cast("long"))
-    sure = pages.sparkSession.createDataFrame([(w, 50) for w in sorted(SEEDS | {"farm", "online", "shop", "news"})], "word string, n long")
+    counts = table(counts, "counts")
+    least = math.ceil(KNOWN * (counts.agg(F.sum("n")).first()[0] or 0)) or 1
+    sure = pages.sparkSession.createDataFrame([(w, least) for w, _, _ in examples() if len(w) > 1], "word string, n long")
     return table(counts.union(sure).groupBy("word").agg(F.max("n").alias("n")), "unigrams")
 
 
@@ -82,13 +106,13 @@ def _split(total: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [split(label, {x["word"]: math.log(total / x["n"]) for x in known}, total) for label, known in zip(b["label"].to_pylist(), b["known"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b["label"], pa.array([sorted(set(x)) for x in out], pa.list_(pa.string()))], names=["label", "words"])
+            yield pa.RecordBatch.from_arrays([b["label"], pa.array(out, pa.list_(pa.string()))], names=["label", "words"])
 
     return run
 
 
 def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
-    """labels (label), each once -> label, words: its distinct words.  Every part of a label that could be a word is looked up in
+    """labels (label), each once -> label, words: its words in order.  Every part of a label that could be a word is looked up in
     the whole of counts by a join, and a task gets each label with what was found for it."""
     total = float((counts.agg(F.sum("n")).first()[0] or 0) + 1)
     # A long label is taken in stretches, so no row has more than 200 * LONGEST parts.
@@ -100,18 +124,25 @@ def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
     return table(labels.join(known, "label", "left").select("label", F.coalesce("known", F.array().cast("array<struct<word:string,n:bigint>>")).alias("known")).mapInArrow(_split(total), "label string, words array<string>"), "split")
 
 
-def scores(urls: DataFrame) -> DataFrame:
-    """urls (words) -> word, odds: log odds of every word for bad by two counts of all urls, smoothed.  Urls with a seed are the bad
-    ones; the seeds' own words count too, and each url once per word."""
-    each = urls.select(_bad().alias("bad"), F.explode("words").alias("word"))
-    per = each.groupBy("word").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g"))
-    total = per.agg(F.sum("b").alias("nb"), F.sum("g").alias("ng"), F.count("*").alias("v"))
-    p, q = (F.log((F.col(x) + SMOOTH) / (F.col(n) + SMOOTH * F.col("v"))) for x, n in (("b", "nb"), ("g", "ng")))
-    return per.crossJoin(F.broadcast(total)).select("word", (p - q).alias("odds"))  # one row of totals
+def odds(counts: DataFrame) -> DataFrame:
+    """counts (word, b, g), words of bad and of good examples -> word, odds: log odds for bad, by the rates of both classes."""
+    total = counts.agg(F.greatest(F.sum("b"), F.lit(1)).alias("nb"), F.greatest(F.sum("g"), F.lit(1)).alias("ng"))
+    p, q = (F.log(F.col(x) / F.col(n) + LEAST) for x, n in (("b", "nb"), ("g", "ng")))
+    return counts.crossJoin(F.broadcast(total)).select("word", (p - q).alias("odds"))  # one row of totals
 
 
-def _bad() -> Column:
-    return F.exists("words", lambda w: w.isin(sorted(SEEDS)))
+def scores(words: DataFrame) -> DataFrame:
+    """words (u1, u2, words), a written table -> u1, u2, score: log odds for bad of every url with words."""
+    base = math.log(PRIOR / (1 - PRIOR))
+    known = words.sparkSession.createDataFrame(examples(), "word string, b long, g long")
+    each = words.select("u1", "u2", F.explode("words").alias("word"))
+    first = each.join(F.broadcast(odds(known)), "word", "left")  # the words of the lists
+    first = first.groupBy("u1", "u2").agg((F.lit(base) + F.coalesce(F.sum("odds"), F.lit(0.0))).alias("score"), F.collect_list("word").alias("words"))
+    more = first.where(F.abs("score") > SURE).select((F.col("score") > 0).alias("bad"), F.explode("words").alias("word"))
+    more = more.groupBy("word").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g"))
+    every = table(known.union(more).groupBy("word").agg(F.sum("b").alias("b"), F.sum("g").alias("g")), "examples")
+    found = hot_join(table(each, "url-words"), table(odds(every), "odds"), ["word"], "left")
+    return found.groupBy("u1", "u2").agg((F.lit(base) + F.coalesce(F.sum("odds"), F.lit(0.0))).alias("score"))
 
 
 def judge(pages: DataFrame) -> DataFrame:
@@ -120,16 +151,12 @@ def judge(pages: DataFrame) -> DataFrame:
     every = pages.select("page_id", F.col("url").alias("__url")).select("page_id", host.alias("host"), path.alias("path"))
     every = table(every.withColumns({"u1": F.xxhash64("host", "path"), "u2": F.xxhash64("path", "host")}), "urls")
     each = every.select("u1", "u2", "host", "path").dropDuplicates(["u1", "u2"])
-    label = F.explode(F.array_distinct(F.split(F.lower(F.concat("host", F.lit(" "), "path")), r"[^\p{L}]+"))).alias("label")
+    label = F.explode(F.split(F.lower(F.concat("host", F.lit(" "), "path")), r"[^\p{L}]+")).alias("label")
     labels = table(each.select("u1", "u2", label).where(F.col("label") != "").where(~F.col("label").isin(sorted(PLAIN))), "labels")
-    words = hot_join(labels, segmented(labels.select("label").distinct(), unigrams(pages)), ["label"]).groupBy("u1", "u2").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    words = hot_join(labels, segmented(labels.select("label").distinct(), unigrams(pages)), ["label"]).groupBy("u1", "u2").agg(F.flatten(F.collect_list("words")).alias("words"))
     words = table(words.withColumn("words", F.filter("words", lambda w: ~w.isin(sorted(PLAIN)))), "words")
-    odds = scores(words)
-    bad, n = words.agg(F.count_if(_bad()), F.count("*")).first()
-    base = math.log((bad + 1) / (n - bad + 1))
-    found = table(words.select("u1", "u2", F.explode("words").alias("word")), "url-words")
-    total = hot_join(found, odds, ["word"]).groupBy("u1", "u2").agg((F.lit(base) + F.sum("odds")).alias("score"))
+    total, base = scores(words), math.log(PRIOR / (1 - PRIOR))
     out = hot_join(every, total, ["u1", "u2"], "left").withColumn("score", F.coalesce("score", F.lit(base))).withColumn("rule", rule(F.col("host"), F.col("path")))
     verdicts = reduce(lambda c, r: c.when(F.col("rule") == r, F.lit(RULES[r])), RULES, F.when(F.lit(False), ""))
-    method = F.when((F.col("score") > MARGIN) & (F.col("host") != ""), "block").otherwise("allow")
+    method = F.when((F.col("score") > 0) & (F.col("host") != ""), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", verdicts.otherwise(method).alias("verdict"), F.when(F.col("rule").isNull(), F.round("score", 6)).alias("score"))

@@ -291,7 +291,7 @@ def test_packing_puts_copies_together(spark, monkeypatch):
 
 
 def test_urls_by_brute_force(spark, monkeypatch):
-    """The splits, naive Bayes' scores and verdicts of all urls, recomputed one by one."""
+    """The splits, naive Bayes' scores of both rounds and verdicts of all urls, recomputed one by one."""
     import math
     import re
 
@@ -303,27 +303,35 @@ def test_urls_by_brute_force(spark, monkeypatch):
     html = [f"<p class='x'>{' '.join(rng.choice(vocabulary) for _ in range(30))}</p>" for _ in range(80)]
     hosts = ["".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 3))) for _ in range(80)]
     urls_of = [f"http://{h}.org/{rng.choice(vocabulary)}-{rng.choice(vocabulary)}/{i % 7}" for i, h in enumerate(hosts)]
-    urls_of[3:9] = [None, "no scheme", "http://", urls_of[0], urls_of[0], "https://" + "zyx" * 150 + ".org/q"]
+    urls_of[3:9] = [None, "no scheme", "http://", urls_of[0], urls_of[0], "https://" + "zyx" * 15000 + ".org/q"]
+    urls_of[9:14] = ["http://casinocasino.org/casino", "http://onlinecasinobonus.org/x", "http://cheapflights.org/guide/house", "http://casinozor.org/", "http://zor.org/"]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame([(i, u, h, "x", 1) for i, (u, h) in enumerate(zip(urls_of, html, strict=True))], "page_id long, url string, html string, word string, n int")).collect()}
     counts = Counter(w for h in html for w in re.split(r"[^a-z]+", re.sub("<[^<>]*>", " ", h)) if 2 <= len(w) <= 20)
-    counts = {w: max(1, n // 10) if len(w) == 2 else n for w, n in counts.items()}
-    counts |= {w: max(50, counts.get(w, 0)) for w in urls.SEEDS | {"farm", "online", "shop", "news"}}
+    least = math.ceil(1e-4 * sum(counts.values()))
+    listed = [[w for name in names for w in name.split() if w not in urls.PLAIN] for names in (urls.BAD, urls.GOOD)]
+    counts |= {w: max(least, counts[w]) for names in listed for w in names if len(w) > 1}
     total = sum(counts.values()) + 1
     costs = {w: math.log(total / n) for w, n in counts.items()}
 
     def words(url):
         rest = url.partition("://")[2] if url else ""
-        found = {w for x in set(re.split("[^a-z]+", re.split("[?#]", rest)[0])) - urls.PLAIN - {""} for w in urls.split(x, costs, total)}
-        return frozenset(found - urls.PLAIN) if rest else frozenset()
+        return [w for x in re.split("[^a-z]+", re.split("[?#]", rest)[0]) if x and x not in urls.PLAIN for w in urls.split(x, costs, total) if w not in urls.PLAIN]
 
-    each = {u: words(u) for u in urls_of if u and words(u)}
-    bad = {u for u, w in each.items() if w & urls.SEEDS}
-    b, g = (Counter(w for u in some for w in each[u]) for some in (bad, set(each) - bad))
-    v, nb, ng = len(set(b) | set(g)), sum(b.values()), sum(g.values())
+    def scorer(bad, good):
+        b, g = Counter(bad), Counter(good)
+        odds = lambda w: math.log(b[w] / len(bad) + 0.002) - math.log(g[w] / len(good) + 0.002)
+        return lambda some: math.log(0.1 / 0.9) + sum(map(odds, some))
+
+    each = {u: words(u) for u in urls_of if u}
+    first = scorer(*listed)
+    more = [[w for u in each for w in each[u] if sign * first(each[u]) > 1] for sign in (1, -1)]
+    last = scorer(listed[0] + more[0], listed[1] + more[1])
     for i, u in enumerate(urls_of):
-        score = math.log((len(bad) + 1) / (len(each) - len(bad) + 1)) + sum(math.log((b[w] + 1) / (nb + v)) - math.log((g[w] + 1) / (ng + v)) for w in words(u))
-        assert got[i].score == pytest.approx(score, abs=2e-6) and got[i].verdict == ("block" if score > 1 and got[i].host else "allow")
-    assert len(bad) > 5 and {"block", "allow"} == {r.verdict for r in got.values()}
+        score = last(each.get(u, []))
+        assert got[i].score == pytest.approx(score, abs=2e-6) and got[i].verdict == ("block" if score > 0 and got[i].host else "allow")
+    assert more[0] and {"block", "allow"} == {r.verdict for r in got.values()}
+    assert [got[i].verdict for i in (10, 11, 13)] == ["block", "allow", "allow"]  # found by the split; a listed word among others; unknown
+    assert words("http://onlinecasinobonus.org/x") == ["online", "casino", "bonus", "x"] and words(urls_of[9]).count("casino") == 3
     assert urls.split("sunflowergarden", costs, total) == ["sun", "flower", "garden"]
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
