@@ -32,10 +32,10 @@ from outrate.llm.common import LOWER, UPPER, hot_join, table
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 #: Names of unwanted sites, as words.
 BAD = (
-    "online casino bonus", "casino royal win", "big win slots", "poker stars bet", "sports bets live", "best bets today", "free spins casino", "lottery jackpot win", "payday loans fast", "cheap loans online",
-    "cheap pills online", "viagra pills shop", "cialis generic cheap", "online pharmacy discount pills", "adult cams live", "adult dating x", "xxx videos free", "porn tube free", "sex chat adult", "nude girls cams",
-    "spam mail blast", "link farm", "spam farm links", "content farm seo", "seo backlinks cheap", "free download crack", "warez torrent download", "keygen serial crack", "replica watches cheap", "fake rolex replica",
-    "ads server click", "popup ads network", "banner ads track", "click track pixel", "ad tracker", "malware update", "phishing login verify", "hack tools free", "escort service adult", "gambling tips bet",
+    "online casino bonus", "casino royal", "big win slots", "poker stars bet", "sports bets live", "best bets today", "free spins casino", "lottery jackpot win", "payday loans fast", "cheap loans online",
+    "cheap meds online", "viagra pills shop", "cialis generic cheap", "online pharmacy discount pills", "adult cams live", "adult dating", "xxx videos free", "porn tube free", "sex chat adult", "nude girls cams",
+    "spam mail blast", "link farm", "spam links", "content farm seo", "seo backlinks cheap", "free download crack", "warez torrent download", "keygen serial crack", "replica watches cheap", "fake rolex replica",
+    "ads server click", "popup ads network", "banner ads pixel", "click track pixel", "ad tracker", "malware update", "phishing login verify", "hack tools free", "escort service adult", "gambling tips bet",
 )
 #: Names of other sites, as words.
 GOOD = (
