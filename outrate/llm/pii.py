@@ -8,7 +8,7 @@ A segment is reported if it beats reading the same tokens as ordinary text by ``
 and overlaps no base span; base spans always stay.
 
 The model is trained anew on a bounded sample: the ``SAMPLE`` distinct snippets around digits or
-``@`` with the smallest hashes, labelled by the base patterns, and rewritings of them with other
+``@`` with the smallest hashes, their first ``SNIPPET`` characters (no text is cut when spans are sought), labelled by the base patterns, and rewritings of them with other
 separators, so that it learns the shape of a span rather than one notation.
 
 Null and empty text: no spans.  Rows without doc_id and repeated rows are each scanned by themselves.
@@ -36,7 +36,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-SAMPLE, EPOCHS, RATE, DECAY = 400, 6, 0.25, 1e-4
+SAMPLE, SNIPPET, EPOCHS, RATE, DECAY = 400, 120, 6, 0.25, 1e-4
 LONGEST, AROUND, MARGIN = 14, 5, 3.0
 #: Tokens the model reads together, and those at the end that it only looks at: what begins there is read with the next ones.
 READ, AHEAD = 400, 2 * LONGEST
@@ -405,7 +405,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from a bounded sample of the documents' snippets."""
     found = docs.select("text").mapInArrow(_snippets, "snippet string").distinct()
     rows = found.orderBy(F.xxhash64("snippet"), "snippet").limit(sample).collect()
-    return train([r.snippet[:120] for r in rows]) if rows else None
+    return train([r.snippet[:SNIPPET] for r in rows]) if rows else None
 
 
 def _per_text(model: Model | None, make: Callable[[list[Span], list[Span], str], tuple], schema: pa.Schema):
