@@ -1,7 +1,7 @@
 """Quality scores by co-training: one naive Bayes classifier reads the text, another only the page's metadata.
 
-Every document becomes two short lists of numbers: what its text is like (ranges of shares of letters, digits, symbols, repeated and
-new words, and how often words of each hash occur), and hashes of its metadata.  Both classifiers start from a bounded sample of
+Every document becomes two short lists of numbers: what its text is like (ranges of shares of letters, digits, symbols, words seen before and
+words equal to the one just before them, and how often words of each hash occur), and hashes of its metadata.  Both classifiers start from a bounded sample of
 labelled documents.  In each round both score all documents; those that either is sure of (a calibrated probability of SURE) teach
 the other.  What is learned from them are counts by class, summed in Spark over the whole table; nothing is sampled on that side, so it
 grows with the input.  Taught and labelled counts weigh the same, and the classes' shares stay those of the labels.
