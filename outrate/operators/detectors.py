@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outrate.functions.vectors import dist, mean
-from outrate.operators.blocks import ROWS, distances, matrix, plain
+from outrate.operators.blocks import AT_ONCE, ROWS, distances, matrix, plain
 from outrate.operators.linkage import merges
 from outrate.operators.neighbors import knn, knn_with_ties, nearest, nearest_in, within
 from outrate.operators.ratedistortion import moves, purge_moved
@@ -38,32 +38,78 @@ def _near(batches: Iterator[pa.RecordBatch], centers: Centers, dims: int):
                 yield grid, ids, x, best, d[np.arange(len(best)), best]
 
 
-def assigned(points: DataFrame, centers: Centers, dims: int) -> DataFrame:
-    """(grid, row_id, cluster, d): each row's nearest center in every grid; ties: the smaller."""
+def assigned(points: DataFrame, centers: Centers, dims: int, rows: bool = False) -> DataFrame:
+    """(grid, row_id, cluster, d): each row's nearest center in every grid; ties: the smaller.  With rows, x too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for grid, ids, _, best, d in _near(batches, centers, dims):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), grid)), pa.array(ids), pa.array(centers[grid][0][best]), pa.array(d)], names=["grid", "row_id", "cluster", "d"])
+        for b in batches:
+            for grid, ids, _, best, d in _near(iter([b]), centers, dims):
+                columns = [pa.array(np.full(len(ids), grid)), pa.array(ids), pa.array(centers[grid][0][best]), pa.array(d)]
+                yield pa.RecordBatch.from_arrays([*columns, b["x"]] if rows else columns, names=["grid", "row_id", "cluster", "d", *(["x"] if rows else [])])
+
+    x = F.col("x").cast("array<double>").alias("x")
+    return points.select(F.col("row_id").cast("long").alias("row_id"), x).mapInArrow(run, "grid long, row_id long, cluster long, d double" + (", x array<double>" if rows else ""))
+
+
+def _stacked(centers: Centers) -> list[tuple[int, list[int], np.ndarray]]:
+    """(k, grids, centers) for every number of centers: those of all grids that have as many, one below the other."""
+    grids: dict[int, list[int]] = {}
+    for g, (names, _) in centers.items():
+        grids.setdefault(len(names), []).append(g)
+    return [(k, gs, np.concatenate([centers[g][1] for g in gs])) for k, gs in grids.items() if k]
 
-    return points.select(F.col("row_id").cast("long").alias("row_id"), "x").mapInArrow(run, "grid long, row_id long, cluster long, d double")
+
+def _nearest_of(x: np.ndarray, k: int, c: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Some rows at a time: which they are, and for each of them and each grid of k centers the number of the nearest and its distance."""
+    step = max(1, AT_ONCE // len(c))
+    for i in range(0, len(x), step):
+        d = distances(x[i : i + step], c).reshape(-1, len(c) // k, k)
+        best = np.round(d, 9).argmin(axis=2)
+        yield slice(i, i + step), best, np.take_along_axis(d, best[:, :, None], axis=2)[:, :, 0]
 
 
 def _sums(points: DataFrame, centers: Centers, dims: int, cut: dict[int, float] | None = None) -> list[tuple]:
     """(grid, center, rows, sum of distances, sums of coordinates) of the rows within cut: partial sums in the tasks, a row for each center
     to the driver, as many as the model has."""
+    stacks = _stacked(centers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {g: np.zeros((len(names), 2 + dims)) for g, (names, _) in centers.items()}
-        for grid, _, x, best, d in _near(batches, centers, dims):
-            some = d <= cut[grid] if cut else slice(None)
-            for k, column in enumerate([np.ones(len(best)), d, *x.T]):
-                total[grid][:, k] += np.bincount(best[some], column[some], len(total[grid]))
-        for grid, sums in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sums), grid)), pa.array(centers[grid][0]), pa.array(list(sums), pa.list_(pa.float64()))], names=["grid", "center", "sums"])
+        total = [np.zeros((2 + dims, len(c))) for _, _, c in stacks]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b["x"], dims)
+            for (k, grids, c), sums in zip(stacks, total):
+                limits = np.array([cut[g] for g in grids]) if cut else np.inf
+                for some, best, d in _nearest_of(x, k, c):
+                    inside = d <= limits if cut else np.ones(d.shape, bool)
+                    place = (best + np.arange(len(grids)) * k)[inside]
+                    for i, column in enumerate([np.ones_like(d), d, *(np.broadcast_to(v[:, None], d.shape) for v in x[some].T)]):
+                        sums[i] += np.bincount(place, column[inside], len(c))
+        for (k, grids, _), sums in zip(stacks, total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(grids, k)), pa.array(np.concatenate([centers[g][0] for g in grids])), pa.array(list(sums.T), pa.list_(pa.float64()))], names=["grid", "center", "sums"])
 
     parts = points.select(F.col("row_id").cast("long").alias("row_id"), "x").mapInArrow(run, "grid long, center long, sums array<double>")
-    every = parts.groupBy("grid", "center").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(2 + dims)]).alias("sums")).orderBy("grid", "center")
-    return [(r.grid, r.center, r.sums[0], r.sums[1], np.array(r.sums[2:])) for r in every.collect()]
+    every = parts.groupBy("grid", "center").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(2 + dims)]).alias("sums"))
+    return [(r.grid, r.center, r.sums[0], r.sums[1], np.array(r.sums[2:])) for r in sorted(every.collect(), key=lambda r: (r.grid, r.center))]
+
+
+def _costs(points: DataFrame, centers: Centers, dims: int) -> dict[int, float]:
+    """Each grid's sum of squared distances to the nearest center: partial sums in the tasks, a row for each grid to the driver."""
+    stacks = _stacked(centers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(len(grids)) for _, grids, _ in stacks]
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b["x"], dims)
+                for (k, _, c), sums in zip(stacks, total):
+                    for _, _, d in _nearest_of(x, k, c):
+                        sums += (d * d).sum(axis=0)
+        for (_, grids, _), sums in zip(stacks, total):
+            yield pa.RecordBatch.from_arrays([pa.array(grids, pa.int64()), pa.array(sums)], names=["grid", "c"])
+
+    return {r.grid: r.c for r in points.select("x").mapInArrow(run, "grid long, c double").groupBy("grid").agg(F.sum("c").alias("c")).collect()}
 
 
 def _stand(x: np.ndarray, new: np.ndarray, mode: str) -> bool:
@@ -71,17 +117,16 @@ def _stand(x: np.ndarray, new: np.ndarray, mode: str) -> bool:
     return bool(((x - new).sum(axis=0) ** 2).sum() < 1e-5) if mode == "reference" else np.allclose(new, x, rtol=1e-12, atol=1e-12)
 
 
-def _moved(sums: list[tuple], centers: Centers, mode: str = "canonical") -> tuple[Centers, bool]:
-    """The means as new centers, without those that lost all rows, and whether any is elsewhere."""
+def _moved(sums: list[tuple], centers: Centers, mode: str = "canonical") -> tuple[Centers, set[int]]:
+    """The means as new centers, without those that lost all rows, and the grids in which any is elsewhere."""
     new: Centers = {}
     found: dict[int, list] = {g: [] for g in centers}
     for g, c, n, _, x in sums:
         if n > 0:
             found[g].append((c, x / n))
     for grid, own in found.items():
-        new[grid] = np.array([c for c, _ in own], np.int64), np.array([x for _, x in own])
-    still = all(len(new[g][0]) == len(c) and _stand(x, new[g][1], mode) for g, (c, x) in centers.items())
-    return new, not still
+        new[grid] = np.array([c for c, _ in own], np.int64), np.array([x for _, x in own], np.float64).reshape(-1, *centers[grid][1].shape[1:])
+    return new, {g for g, (c, x) in centers.items() if len(new[g][0]) != len(c) or not _stand(x, new[g][1], mode)}
 
 
 def started(init: DataFrame, grids: dict[int, int] | None = None) -> Centers:
@@ -90,23 +135,60 @@ def started(init: DataFrame, grids: dict[int, int] | None = None) -> Centers:
     return {g: (np.array([c for c, _ in rows[:k]], np.int64), np.array([x for _, x in rows[:k]], np.float64)) for g, k in (grids or {0: len(rows)}).items()}
 
 
+def drawn(points: DataFrame, k: int, starts: int, dims: int) -> list[np.ndarray]:
+    """For every start the coordinates of k rows: of the first those with the smallest ids, of the others those with the smallest hashes of
+    id and start.  One pass over the rows for all starts; each task hands on k rows a start."""
+    hashes = F.array(F.col("row_id"), *[F.xxhash64("row_id", F.lit(s)) for s in range(1, starts)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: list[list[tuple]] = [[] for _ in range(starts)]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, h = b["row_id"].to_numpy(), b["h"].flatten().to_numpy().reshape(-1, starts)
+            last = min(k, len(h)) - 1
+            bound = np.partition(h, last, axis=0)[last]
+            for s in range(starts):
+                at = np.flatnonzero(h[:, s] <= (min(bound[s], least[s][-1][0]) if len(least[s]) == k else bound[s]))
+                new = zip(h[at, s].tolist(), ids[at].tolist(), b["x"].take(pa.array(at)).to_pylist())
+                least[s] = sorted([*least[s], *new], key=lambda r: r[:2])[:k]
+        rows = [(s, *r) for s in range(starts) for r in least[s]]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(),) * 3 + (pa.list_(pa.float64()),))], names=["start", "h", "row_id", "x"])
+
+    some = points.select(F.col("row_id").cast("long").alias("row_id"), F.col("x").cast("array<double>").alias("x"))
+    found = some.withColumn("h", hashes).mapInArrow(run, "start long, h long, row_id long, x array<double>")
+    place = F.row_number().over(Window.partitionBy("start").orderBy("h", "row_id")).alias("place")
+    rows = found.select("start", "x", place).where(F.col("place") <= k).orderBy("start", "place").collect()  # k rows a start
+    return [np.array([r.x for r in rows if r.start == s], np.float64).reshape(-1, dims) for s in range(starts)]
+
+
 #: The most rounds; loops end as soon as centers stand still.
 ROUNDS = 100
 
 
+def advanced(points: DataFrame, centers: Centers, dims: int, rounds: int = ROUNDS) -> Centers:
+    """Where k-means' centers come to stand still.  All grids share a round's job, and those that stand are left out of the next."""
+    moving = centers
+    for _ in range(rounds):
+        new, elsewhere = _moved(_sums(points, moving, dims), moving)
+        centers, moving = centers | new, {g: new[g] for g in elsewhere}
+        if not moving:
+            break
+    return centers
+
+
 def lloyd_all(points: DataFrame, centers: Centers, dims: int, rounds: int = ROUNDS) -> DataFrame:
     """k-means from given centers, until they stand still: (grid, row_id, cluster, d)."""
     points = kept(points.select("row_id", "x"))
-    for _ in range(rounds):
-        centers, moved = _moved(_sums(points, centers, dims), centers)
-        if not moved:
-            break
-    return assigned(points, centers, dims)
+    return assigned(points, advanced(points, centers, dims, rounds), dims)
 
 
-def _transfers(points: DataFrame, centers: Centers, sizes: dict[int, np.ndarray], names: dict[int, np.ndarray], dims: int) -> list:
+def _transfers(points: DataFrame, centers: Centers, sizes: dict[int, np.ndarray], names: dict[int, np.ndarray], gone: dict[int, dict[int, int]], dims: int) -> list:
     """(grid, from, to, gain, row_id, x): of each grid and pair of clusters the row whose change from one to the other lessens the sum of
-    squares most.  As many rows as the models have pairs of clusters; where a row belongs is what names says."""
+    squares most.  As many rows as the models have pairs of clusters.  gone: the rows that have changed before, and where each now is, by
+    its place in names."""
+    changed = {g: (np.array(sorted(rows), np.int64), np.array([rows[i] for i in sorted(rows)], np.int64)) for g, rows in gone.items() if rows}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple, tuple] = {}
@@ -118,6 +200,10 @@ def _transfers(points: DataFrame, centers: Centers, sizes: dict[int, np.ndarray]
                 some = np.flatnonzero(grid == g)
                 f, label = sizes[g], names[g]
                 at = np.searchsorted(label, own[some])
+                if g in changed:
+                    rows, now = changed[g]
+                    place = np.minimum(np.searchsorted(rows, ids[some]), len(rows) - 1)
+                    at = np.where(rows[place] == ids[some], now[place], at)
                 d = distances(x[some], centers[g][1]) ** 2
                 leave = np.where(f[at] > 1, f[at] / np.maximum(f[at] - 1, 1), 0.0) * d[np.arange(len(some)), at]
                 gain = leave[:, None] - f / (f + 1) * d
@@ -141,29 +227,35 @@ def hartigan_all(points: DataFrame, centers: Centers, dims: int, starts: int = 1
     the sum of squares, their old and new center moving with them: (grid, row_id, cluster, d).  Of ``starts`` grids in a row only the one with the
     least sum of squares after Lloyd's rounds goes on.  In a round each cluster gives or takes one row at most, the best transfers first, so
     that none spoils another; all grids share the job."""
-    found = kept(lloyd_all(points, centers, dims, rounds))
-    cost = {r.grid: r.c for r in found.groupBy("grid").agg(F.sum(F.col("d") * F.col("d")).alias("c")).collect()}  # a row for each k and start
+    points = kept(points.select("row_id", "x"))
+    centers = advanced(points, centers, dims, rounds)
+    cost = _costs(points, centers, dims)  # a row for each k and start
     firsts = sorted({g - g % starts for g in centers})
     chosen = [min((g for g in range(f, f + starts) if g in centers), key=lambda g: (round(cost.get(g, 0.0), 9), g)) for f in firsts]
-    rows = kept(found.where(F.col("grid").isin(chosen)).select("grid", "row_id", "cluster").join(points.select("row_id", "x"), "row_id"))
+    rows = kept(assigned(points, {g: centers[g] for g in chosen}, dims, rows=True).drop("d"))
     sums = rows.groupBy("grid", "cluster").agg(F.count("*").alias("f"), F.array(*[F.sum(F.col("x")[i]) for i in range(dims)]).alias("s")).collect()  # the models
     names = {g: np.array(sorted(r.cluster for r in sums if r.grid == g), np.int64) for g in chosen}
     size = {g: np.array([r.f for r in sorted(sums, key=lambda r: r.cluster) if r.grid == g], float) for g in chosen}
     total = {g: np.array([r.s for r in sorted(sums, key=lambda r: r.cluster) if r.grid == g], float).reshape(-1, dims) for g in chosen}
     spark = points.sparkSession
+    gone: dict[int, dict[int, int]] = {g: {} for g in chosen}  # at most half a row for each cluster and round
+    moving = [g for g in chosen if len(names[g])]
     for _ in range(rounds):
-        now = {g: (names[g], total[g] / size[g][:, None]) for g in chosen}
-        moves, used = [], set()
-        for r in sorted(_transfers(rows, now, size, names, dims), key=lambda r: (-r.gain, r.row_id)):
+        now = {g: (names[g], total[g] / size[g][:, None]) for g in moving}
+        used: set[tuple[int, int]] = set()
+        for r in sorted(_transfers(rows.where(F.col("grid").isin(moving)), now, size, names, gone, dims), key=lambda r: (-r.gain, r.row_id)):
             if not {(r.grid, r.one), (r.grid, r.two)} & used:
                 used |= {(r.grid, r.one), (r.grid, r.two)}
-                moves.append((r.grid, r.row_id, int(names[r.grid][r.two])))
+                gone[r.grid][r.row_id] = r.two
                 size[r.grid][[r.one, r.two]] += [-1, 1]
                 total[r.grid][[r.one, r.two]] += np.outer([-1, 1], r.x)
-        if not moves:
+        moving = sorted({g for g, _ in used})  # where nothing was gained nothing will be
+        if not moving:
             break
+    moves = [(g, i, int(names[g][c])) for g, found in gone.items() for i, c in found.items()]
+    if moves:
         changed = spark.createDataFrame(moves, "grid long, row_id long, to long")
-        rows = kept(rows.join(F.broadcast(changed), ["grid", "row_id"], "left").select("grid", "row_id", F.coalesce("to", "cluster").alias("cluster"), "x"))  # half the clusters at most
+        rows = rows.join(F.broadcast(changed), ["grid", "row_id"], "left").select("grid", "row_id", F.coalesce("to", "cluster").alias("cluster"), "x")  # rounds x half the clusters at most
     centers_now = spark.createDataFrame([(g, int(c), x.tolist()) for g in chosen for c, x in zip(names[g], total[g] / size[g][:, None])], "grid long, cluster long, c array<double>")
     return rows.join(F.broadcast(centers_now), ["grid", "cluster"]).select("grid", "row_id", "cluster", dist(F.col("x"), F.col("c"), dims).alias("d"))  # the models
 
@@ -189,7 +281,8 @@ def kmeans_mm_all(points: DataFrame, centers: Centers, dims: int, out: int, roun
         if r == rounds - 1:
             break
         rest = found.join(far.select("grid", "row_id"), ["grid", "row_id"], "left_anti").join(x, "row_id")
-        sums = rest.groupBy("grid", "cluster").agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(dims)]).alias("s")).orderBy("grid", "cluster").collect()
+        sums = rest.groupBy("grid", "cluster").agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(dims)]).alias("s")).collect()
+        sums = sorted(sums, key=lambda r: (r.grid, r.cluster))
         centers, moved = _moved([(g.grid, g.cluster, g.n, 0.0, np.array(g.s)) for g in sums], centers, mode)
         if not moved:
             break

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from functools import partial, reduce
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,10 +122,8 @@ def _kmeans(t: Task, ks: list[int], starts: int) -> DataFrame:
     """(grid, row_id, cluster, d) for each k, numbered as in ks: of several starts, the first of which takes the first rows and the others
     rows drawn by a hash, that with the least sum of squares.  All starts of all ks advance together, one job a round."""
     centers = {}
-    for s in range(starts):
-        order = ["row_id"] if s == 0 else [F.xxhash64("row_id", F.lit(s)), "row_id"]
-        rows = t.points.orderBy(*order).limit(max(ks)).select(F.monotonically_increasing_id().alias("center"), F.col("x").alias("c"))
-        centers |= detectors.started(rows, {i * starts + s: k for i, k in enumerate(ks)})
+    for s, rows in enumerate(detectors.drawn(t.points, max(ks), starts, t.dims)):
+        centers |= {i * starts + s: (np.arange(len(rows[:k])), rows[:k]) for i, k in enumerate(ks)}
     found = kept(detectors.hartigan_all(t.points, centers, t.dims, starts))
     return found.select(F.floor(F.col("grid") / starts).cast("long").alias("grid"), "row_id", "cluster", "d")
 

@@ -170,6 +170,30 @@ def test_transfers_end_where_none_helps(spark):
                 assert sse({**own, i: c}) >= after[g] - 1e-7
 
 
+def test_starts_are_drawn_in_one_pass(spark):
+    """Each start's rows are those that sorting all rows by the start's hash gives, over several partitions and with fewer rows than asked."""
+    points = _frame(spark, np.random.default_rng(3).normal(size=(300, 2))).repartition(7)
+    for some, k in ((points, 6), (points.where("row_id < 4"), 6), (points.where("false"), 6)):
+        got = detectors.drawn(some, k, 3, 2)
+        for s in range(3):
+            order = ["row_id"] if s == 0 else [F.xxhash64("row_id", F.lit(s)), "row_id"]
+            assert got[s].tolist() == [r.x for r in some.orderBy(*order).limit(k).collect()]
+
+
+def test_grids_of_centers_do_not_disturb_each_other(spark):
+    """Grids that stand still early are left out of later rounds; each ends as it does alone, also where rows of a batch are taken in parts."""
+    points = _frame(spark, np.random.default_rng(5).normal(size=(200, 2)))
+    starts = detectors.drawn(points, 4, 4, 2)
+    centers = {g: (np.arange(2 + g % 3), starts[g][: 2 + g % 3]) for g in range(4)}
+    together = detectors.advanced(points, centers, 2)
+    for g in centers:
+        x, c = np.array([r.x for r in points.orderBy("row_id").collect()]), centers[g][1]
+        for _ in range(100):
+            own = np.linalg.norm(x[:, None] - c[None], axis=2).argmin(axis=1)
+            c = np.array([x[own == k].mean(axis=0) for k in range(len(c)) if (own == k).any()])
+        assert together[g][1] == pytest.approx(c)
+
+
 def test_evaluation_is_one_table(spark):
     """Every winner is the greatest of its grid; the ablation holds each clustering under each perturbation."""
     data = {}
