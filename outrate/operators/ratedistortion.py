@@ -21,8 +21,9 @@ from outrate.operators.state import importable, kept
 
 
 def represent(clusters: DataFrame, dims: int) -> DataFrame:
-    """(clustering_id, row_id, cluster, x) with rep, the cluster's mean."""
-    means = clusters.groupBy("clustering_id", "cluster").agg(mean(F.col("x"), dims).alias("rep"))
+    """(clustering_id, row_id, cluster, x) with rep, the cluster's mean.  Means are written first, so that Spark knows their size: where it
+    broadcasts them, no row moves, however many rows a cluster holds."""
+    means = kept(clusters.groupBy("clustering_id", "cluster").agg(mean(F.col("x"), dims).alias("rep")))
     return clusters.join(means, ["clustering_id", "cluster"])
 
 
@@ -112,11 +113,13 @@ def boundaries(stats: DataFrame, curve: DataFrame) -> DataFrame:
 
 
 def purge(clusters: DataFrame, dims: int, distortion: Distortion = dist) -> DataFrame:
-    """Rows at or beyond their cluster's radius at every tested vertex: row_id.  Curves of one vertex: none."""
-    measured = distances(represent(clusters, dims), dims, distortion)
+    """Rows at or beyond their cluster's radius at every tested vertex: row_id.  Curves of one vertex: none.
+
+    What each row costs is written once, without its vector, as the curve and the test both read it."""
+    measured = kept(distances(represent(clusters, dims), dims, distortion).select("clustering_id", "cluster", "row_id", "d"))
     stats = cluster_stats(measured)
-    edges = boundaries(stats, lower_hull(rd_points(stats)))
-    tested = measured.select("clustering_id", "cluster", "row_id", "d").join(edges, ["clustering_id", "cluster"])
+    edges = kept(boundaries(stats, lower_hull(rd_points(stats))))  # a row for each tested cluster; its size is known to the join
+    tested = measured.join(edges, ["clustering_id", "cluster"])
     return tested.groupBy("row_id").agg(F.bool_and(F.col("d") >= F.col("radius")).alias("out")).where("out").select("row_id")
 
 

@@ -170,6 +170,13 @@ def test_transfers_end_where_none_helps(spark):
                 assert sse({**own, i: c}) >= after[g] - 1e-7
 
 
+def test_means_meet_rows_where_they_lie(spark):
+    """Few means, whose size is known, are broadcast: no row is shuffled to meet its cluster's mean."""
+    rows = spark.range(2000).select(F.lit(1).alias("clustering_id"), F.col("id").alias("row_id"), (F.col("id") % 3).alias("cluster"), F.array(F.col("id").cast("double")).alias("x"))
+    plan = rd.represent(rows, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_starts_are_drawn_in_one_pass(spark):
     """Each start's rows are those that sorting all rows by the start's hash gives, over several partitions and with fewer rows than asked."""
     points = _frame(spark, np.random.default_rng(3).normal(size=(300, 2))).repartition(7)
