@@ -47,3 +47,18 @@ def test_a_task_hands_on_k_rows_for_each_of_its_own(spark, small_blocks):
     points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, x array<double>")
     shares = math.ceil(8 / math.ceil(n / 64))  # TASKS by blocks of LARGE; blocks of COARSE are 20
     assert blocks.search(points, None, 5, k, neighbors._least(k)).count() <= n * k * shares
+
+
+def test_small_ks_need_no_table_of_all_distances(spark, monkeypatch):
+    from outrate.operators import factors
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(60, 2)), np.repeat(rng.normal(size=(2, 2)), 9, axis=0), rng.integers(0, 4, (30, 2))])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, x array<double>")
+    monkeypatch.setattr(factors, "LISTED", 0)
+    want = {(r.k, r.row_id): r.score for r in factors.lof_every(points, [20, 10, 5, 1], 2).collect()}
+    monkeypatch.setattr(factors, "LISTED", 64)
+    monkeypatch.delattr(factors, "sorted_distances")
+    got = {(r.k, r.row_id): r.score for r in factors.lof_every(points, [20, 10, 5, 1], 2).collect()}
+    assert got.keys() == want.keys() and len(got) == 4 * len(x)
+    np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-9)
