@@ -62,3 +62,16 @@ def test_small_ks_need_no_table_of_all_distances(spark, monkeypatch):
     got = {(r.k, r.row_id): r.score for r in factors.lof_every(points, [20, 10, 5, 1], 2).collect()}
     assert got.keys() == want.keys() and len(got) == 4 * len(x)
     np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-9)
+
+
+def test_pairs_of_one_small_file_are_many_tasks(spark, tmp_path):
+    spark.range(5000).selectExpr("id * 3 % 5000 AS row_id", "array(CAST(id * id % 997 AS double)) AS x").coalesce(1).write.parquet(f"{tmp_path}/points")
+    points = spark.read.parquet(f"{tmp_path}/points")
+    found = neighbors.pairs(points, 1)
+    x = np.empty(5000)
+    for r in points.collect():
+        x[r.row_id] = r.x[0]
+    sums = found.selectExpr("count(*)", "count(DISTINCT a * 5000L + b)", "count_if(a >= b)", "sum(CAST(d AS long) * (a + 2 * b))").first()
+    i, j = np.triu_indices(5000, 1)
+    assert tuple(sums) == (len(i), len(i), 0, int((np.abs(x[i] - x[j]) * (i + 2 * j)).sum()))
+    assert found.rdd.getNumPartitions() > 1
