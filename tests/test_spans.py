@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from outrate.operators import detectors, grids, spans
+from outrate.operators import density, detectors, grids, spans
 from outrate.operators import ratedistortion as rd
 from outrate.operators.state import kept
 
@@ -54,3 +54,18 @@ def test_cuts_without_labels(some, monkeypatch):
     for kind, want in kinds.items():
         assert _rows(grids.cp_hac(some, kind)) == want, kind
     assert _rows(grids.cp_hac(some, thin=3)) == [(i // 3, *r[1:]) for i, r in enumerate(kinds["maxmax"]) if i % 3 == 0]
+
+
+def test_density_without_labels(some, monkeypatch):
+    """Equal rows, noise, borders, all four kinds and three multipliers; before, every row was labelled at every point of the grid."""
+    clusters, near, grid = grids._density(some)
+    measured = kept(density.represented(clusters, some.points, near, grid, 2))
+    kinds = {kind: _rows(grids.scored(some, detectors.purge_density(measured, kind), grids._named(grid))) for kind in grids.KINDS}
+    ks = [0.1, 1.0, 3.0]
+    flags = grids.flag_counts(some, rd.flagged_by(measured, ks), ks)
+    flags = sorted((r.grid * 3 + r.k, r.tp, r.p) for r in flags.collect())
+    monkeypatch.setattr(density, "clusters", None)
+    found = grids.cpp_dbscan(some, ks).where("tp + fp > 0").select("grid_order", F.col("tp").cast("long"), (F.col("tp") + F.col("fp")).cast("long"))
+    assert sorted(tuple(r) for r in found.collect()) == flags
+    for kind, want in kinds.items():
+        assert _rows(grids.cp_dbscan(some, kind)) == want, kind
