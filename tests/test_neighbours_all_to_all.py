@@ -75,3 +75,28 @@ def test_pairs_of_one_small_file_are_many_tasks(spark, tmp_path):
     i, j = np.triu_indices(5000, 1)
     assert tuple(sums) == (len(i), len(i), 0, int((np.abs(x[i] - x[j]) * (i + 2 * j)).sum()))
     assert found.rdd.getNumPartitions() > 1
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_single_precision_loses_no_pair(ties):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[50:60] = x[50]  # equal rows: a limit of nothing
+    x[300] = x[301] + 1e-9
+    d = blocks.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    for k, bound in ((3, np.inf), (None, 0.7)):
+        found = blocks.Found(np.arange(600), x, k, ties, bound)
+        for at in range(0, 600, 150):
+            found.meet(np.arange(at, at + 150), x[at : at + 150])
+        got = set(zip(found.rows.tolist(), found.others.tolist()))
+        kth = np.sort(d, axis=1)[:, 2:3]
+        if k is None:
+            want = set(zip(*(v.tolist() for v in np.nonzero(d <= bound))))
+        elif ties:
+            want = set(zip(*(v.tolist() for v in np.nonzero(d <= kth))))
+        else:
+            want = {(i, int(j)) for i, r in enumerate(np.argsort(d, axis=1, kind="stable")[:, :3]) for j in r}
+        assert got == want
+        assert found.kind(2.0, found.limit**2) is np.float32 and found.kind(1e9, found.limit**2) is np.float64
