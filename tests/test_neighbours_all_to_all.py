@@ -4,7 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from outrate.functions.decimals import short
 from outrate.operators import blocks, neighbors
 
 
@@ -100,3 +102,18 @@ def test_single_precision_loses_no_pair(ties):
             want = {(i, int(j)) for i, r in enumerate(np.argsort(d, axis=1, kind="stable")[:, :3]) for j in r}
         assert got == want
         assert found.kind(2.0, found.limit**2) is np.float32 and found.kind(1e9, found.limit**2) is np.float64
+
+
+def test_blocks_of_pairs_move_packed(spark):
+    """A row of a shuffle for each pair of blocks, not one for each row and block; and nulls stay."""
+    points = spark.createDataFrame([(i, [float(i) if i else None]) for i in range(300)], "row_id long, x array<double>")
+    found = neighbors.pairs(points, 1)
+    assert found.count() == 300 * 299 // 2 and found.where("d IS NULL").count() == 299
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(rows") == 2
+
+
+def test_short_is_round(spark):
+    v = [0.1234565, 2.5e-7, 5e-7, 4.9999999e-7, 1.0000005, 1e12 + 0.25, 8388608.123456789, 0.0, -3.25, float("inf"), float("nan"), None, *(np.random.default_rng(1).integers(0, 10**8, 500) / 2e6).tolist()]
+    both = spark.createDataFrame([(x,) for x in v], "v double").select(short(F.col("v"), 6).alias("a"), F.round("v", 6).alias("b"))
+    assert both.where("NOT a <=> b").count() == 0 and both.count() == len(v)
