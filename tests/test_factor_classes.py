@@ -35,3 +35,16 @@ def test_equal_rows_are_one_class_for_every_k(spark, monkeypatch):
     for k in ks:
         order = sorted(range(24), key=lambda i: (not np.isnan(got[k, i]), -round(got[k, i], 9) if not np.isnan(got[k, i]) else 0, -i))[:4]
         assert rows[k] == (len(truth & set(order)), 4), k
+
+
+def test_sums_from_ranks_are_sums_one_by_one(monkeypatch):
+    """Several ks are a product of matrices; ties, weights, a row itself, and infinite densities."""
+    monkeypatch.setattr(factors, "WIDE", 4)
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 9, (7, 1)), rng.integers(0, 9, (12, 1))
+    d, w = np.abs(a - b.T).astype(float), rng.integers(0, 3, (7, 12)).astype(float)
+    kd, other = (np.sort(rng.integers(0, 9, (n, 19)), axis=1).astype(float) for n in (7, 12))
+    lrd = np.where(rng.random((12, 19)) < 0.1, np.inf, rng.random((12, 19)))
+    for reach, values in ((True, other), (False, lrd)):
+        for got, want in zip(factors._from_ranks(d, w, kd, values, reach), factors._one_by_one(d, w, kd, values, reach)):
+            np.testing.assert_allclose(got, want, rtol=1e-12)
